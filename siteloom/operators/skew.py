@@ -84,7 +84,7 @@ def record_edges(df: DataFrame, key: str, value: str, order: str, ident: str, *,
         w = Window.partitionBy("_key").orderBy("_order", "_id")
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         best = (F.min if smallest else F.max)("_value").over(before)
-        beats = F.col("_value") < best if smallest else F.col("_value") > best
+        beats = F.col("_value") < F.col("_best") if smallest else F.col("_value") > F.col("_best")
         return (
             part.withColumn("_n", F.row_number().over(w))
             .withColumn("_best", best)
