@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 #: A key holding at least this share of the rows is hot. There can be no more than 1/share of them, so the list of
 #: hot keys is bounded whatever the table holds.
-HOT_SHARE = 1 / 500
+HOT_SHARE = 1 / 200
+#: Into how many the tasks' summaries of frequent keys are merged first.
+SUMMARIES = 32
 SALTS = 64
 
 
 def hot_keys(df: DataFrame, *keys: str, share: float = HOT_SHARE) -> dict[str, list]:
     """The values of each key column that hold at least `share` of its rows, found in one pass over all rows.
 
-    A mergeable frequent-items summary with 32 counters per possible hot key is kept per task, so nothing is
-    shuffled but the summaries. The summary overestimates, so no hot key is missed; a key reported by mistake only
-    takes the salted way, whose results are the same.
+    A mergeable frequent-items summary with eight counters per possible hot key is kept per task, so nothing is
+    shuffled but the summaries, and they are merged in two steps so that no task reads those of all others. The summary
+    overestimates, so no hot key is missed; a key reported by mistake only takes the salted way, whose results are
+    the same.
     """
     most = int(1 / share)
-    tracked = 32 * most
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.expr(f"approx_top_k(`{k}`, {most}, {tracked})").alias(f"top_{i}") for i, k in enumerate(keys)],
+    tracked = 8 * most
+    part = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("_part")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k_accumulate(`{k}`, {tracked})").alias(f"s_{i}") for i, k in enumerate(keys)]
+    )
+    row = part.agg(
+        F.sum("n").alias("n"), *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(s_{i}, {tracked}), {most})").alias(f"top_{i}") for i, k in enumerate(keys)]
     ).first()
     least = (row["n"] or 0) * share
     return {k: [x["item"] for x in row[f"top_{i}"] or [] if x["item"] is not None and x["count"] >= max(least, 2)] for i, k in enumerate(keys)}

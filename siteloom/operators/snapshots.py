@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to so many snapshots their order is put into the plan; beyond it is joined.
+SNAPSHOTS_INLINE = 1000
+
+
 def latest(df: DataFrame, keys: list[str], values: list[str], at: str, ident: str) -> DataFrame:
     """Per `keys` the `values` of the row with the latest `at` (null: earliest of all; ties: the largest `ident`).
 
@@ -30,11 +34,17 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: str, values: list[str],
     residues - only rows that differ - are full-joined by key to label them.
     """
     state = latest(df.select(snapshot, key, *values, at, ident), [snapshot, key], values, at, ident)
-    # Snapshots are few; the window runs over one row for each.
-    following = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().select(F.col(snapshot).alias("_s"), F.lead(snapshot).over(Window.orderBy(snapshot)).alias("_next"))
-    first = following.agg(F.min("_s").alias("_first"))
+    ids = [r[0] for r in df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().orderBy(snapshot).limit(SNAPSHOTS_INLINE + 1).collect()]
     # One shuffle by key alone serves the aggregate over (key, snapshot, values) as well.
-    state = state.repartition(key).join(F.broadcast(following), F.col(snapshot) == F.col("_s")).crossJoin(F.broadcast(first))
+    state = state.repartition(key)
+    if len(ids) <= SNAPSHOTS_INLINE:
+        following = dict(zip(ids, ids[1:]))
+        pairs = F.create_map(*[F.lit(x) for kv in following.items() for x in kv]) if following else F.lit(None).cast(f"map<{df.schema[snapshot].dataType.simpleString()},{df.schema[snapshot].dataType.simpleString()}>")
+        state = state.withColumn("_next", pairs[F.col(snapshot)]).withColumn("_first", F.lit(ids[0]) if ids else F.lit(None))
+    else:
+        order = df.select(snapshot).where(F.col(snapshot).isNotNull()).distinct()
+        order = order.select(snapshot, F.lead(snapshot).over(Window.orderBy(snapshot)).alias("_next"))
+        state = state.join(order, snapshot).withColumn("_first", F.lit(ids[0]))
     sides = F.array(
         F.struct(F.when(F.col(snapshot) != F.col("_first"), F.col(snapshot)).alias("at"), F.lit(1).alias("sign")),
         F.struct(F.col("_next").alias("at"), F.lit(-1).alias("sign")),
