@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from siteloom.llm import neardup
+from siteloom.llm import neardup, packing, tokenizer
 from siteloom.sources.tables import table
 
 QUERIES = {
     "p5_found": lambda spark, d: neardup.near_duplicate_pairs(table(spark, d, "page_captures", "capture_id", "visible_text")),
     "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "page_captures", "capture_id", "visible_text")),
+    "p6_ids": lambda spark, d: tokenizer.document_ids(table(spark, d, "documents", "doc_id", "text")),
+    "p7_containers": lambda spark, d: packing.packed_documents(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs")),
+    "p7_fill": lambda spark, d: packing.fill_report(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs")),
 }
 
 SQL: dict[str, str] = {}
