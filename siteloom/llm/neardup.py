@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from siteloom.session import checkpointed
 
-REGISTERS = 160
-#: Rows of a band. At similarity s (b near 1) a band agrees with probability s^4, so a pair at 0.7 shares none of the 40
-#: bands with probability (1 - 0.7^4)^40 = 2e-5.
+REGISTERS = 200
+#: Rows of a band. At similarity s (b near 1) a band agrees with probability p = s^4. A pair at 0.7 shares fewer than two
+#: of the 50 bands with probability (1-p)^50 + 50p(1-p)^49 = 2e-5, one at 0.25 shares two with probability 0.016.
 BAND_ROWS = 4
+SHARED_BANDS = 2
 BASE = 1.002
 RATE = 20.0
 LIMIT = 16000  # q: b^q is over 7e13, more elements than any text has
@@ -72,52 +73,66 @@ def registers_of(elements: np.ndarray, registers: int = REGISTERS) -> np.ndarray
     return np.clip(level, 0, LIMIT + 1).astype(np.int16)
 
 
-SKETCH = pa.schema([("_id", pa.int64()), ("_hi", pa.int64()), ("_lo", pa.int64()), ("_size", pa.int32()), ("_set", pa.list_(pa.int64())), ("_registers", pa.list_(pa.int16())), ("_bands", pa.list_(pa.int64()))])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch], least_words: int, words_n: int, registers: int, band_rows: int) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    for batch in batches:
-        out: dict[str, list] = {n: [] for n in SKETCH.names}
-        for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = (text or "").lower().split()
-            if ident is None or len(words) < max(least_words, 1):
-                continue
-            if len(known) > 500_000:
-                known.clear()
-            hashes = np.empty(len(words), np.uint64)
-            for i, w in enumerate(words):
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                hashes[i] = h
-            s = shingles(hashes, words_n)
-            if not len(s):
-                continue
-            r = registers_of(s, registers)
-            bands = r[: registers - registers % band_rows].reshape(-1, band_rows).astype(np.uint64)
-            key = np.arange(len(bands), dtype=np.uint64)
-            for c in range(band_rows):
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, c])
-            digest = xxhash.xxh3_128_intdigest(s.tobytes())
-            out["_id"].append(ident)
-            out["_hi"].append(np.uint64(digest >> 64).view(np.int64))
-            out["_lo"].append(np.uint64(digest & _MASK).view(np.int64))
-            out["_size"].append(len(s))
-            out["_set"].append(s.view(np.int64))
-            out["_registers"].append(r)
-            out["_bands"].append(key.view(np.int64))
-        yield pa.RecordBatch.from_pydict(out, schema=SKETCH)
-
-
-def sketches(df: DataFrame, ident: str, text: str, least_words: int = LEAST_WORDS, words_n: int = WORDS, registers: int = REGISTERS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """One row per id with at least `least_words` words (and one shingle): digest, size and elements of its set, registers
-    and band keys. Words are the pieces of the lower-cased text between runs of white space. Repeated rows count once;
-    null ids and null, empty or shorter texts give none.
+SKETCH = pa.schema([("_id", pa.int64()), ("_hi", pa.int64()), ("_lo", pa.int64()), ("_size", pa.int32()), ("_registers", pa.list_(pa.int16()))])
+SETS = pa.schema([("_id", pa.int64()), ("_set", pa.list_(pa.int64()))])
+
+
+def _sets(batch: pa.RecordBatch, known: dict[str, int], least_words: int, words_n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Ids and shingle sets of a batch of (id, text). `known` keeps the hashes of words already seen."""
+    for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        words = (text or "").lower().split()
+        if len(words) < max(least_words, 1):
+            continue
+        if len(known) > 500_000:
+            known.clear()
+        hashes = np.empty(len(words), np.uint64)
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            hashes[i] = h
+        s = shingles(hashes, words_n)
+        if len(s):
+            yield ident, s
+
+
+def _texts(df: DataFrame, ident: str, text: str) -> DataFrame:
+    return df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
+
+
+def sketches(df: DataFrame, ident: str, text: str, least_words: int = LEAST_WORDS, words_n: int = WORDS, registers: int = REGISTERS) -> DataFrame:
+    """One row per id with at least `least_words` words (and one shingle): digest and size of its set, and its registers.
+
+    Words are the pieces of the lower-cased text between runs of white space. Null ids and null, empty or shorter texts
+    give none.
     """
-    one = df.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    kind = "_id long, _hi long, _lo long, _size int, _set array<long>, _registers array<smallint>, _bands array<long>"
-    return one.mapInArrow(lambda b: _sketches(b, least_words, words_n, registers, band_rows), kind)
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in SKETCH.names}
+            for ident, s in _sets(batch, known, least_words, words_n):
+                digest = xxhash.xxh3_128_intdigest(s.tobytes())
+                out["_id"].append(ident)
+                out["_hi"].append(np.uint64(digest >> 64).view(np.int64))
+                out["_lo"].append(np.uint64(digest & _MASK).view(np.int64))
+                out["_size"].append(len(s))
+                out["_registers"].append(registers_of(s, registers))
+            yield pa.RecordBatch.from_pydict(out, schema=SKETCH)
+
+    return _texts(df, ident, text).mapInArrow(run, "_id long, _hi long, _lo long, _size int, _registers array<smallint>")
+
+
+def shingle_sets(df: DataFrame, ident: str, text: str, ids: DataFrame, least_words: int = LEAST_WORDS, words_n: int = WORDS) -> DataFrame:
+    """(_id, _set): the whole shingle sets of the texts in `ids` (_id), once each."""
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            got = list(_sets(batch, known, least_words, words_n))
+            yield pa.RecordBatch.from_pydict({"_id": [i for i, _ in got], "_set": [s.view(np.int64) for _, s in got]}, schema=SETS)
+
+    return _texts(df, ident, text).join(ids, "_id", "left_semi").mapInArrow(run, "_id long, _set array<long>").dropDuplicates(["_id"])
 
 
 def estimated_similarity(a: Column, b: Column, size_a: Column, size_b: Column, registers: int = REGISTERS) -> Column:
@@ -154,31 +169,37 @@ def near_pairs(df: DataFrame, ident: str, text: str, similarity: float = SIMILAR
     at least `similarity`, and the membership (_id, _class) of every text.
 
     Equal texts are one class before anything is paired, so a text copied a million times meets its neighbours once. Only
-    representatives that share a band become candidates (one shuffle on the band key, skewed bands are split by AQE);
-    candidates are told apart by id alone, then by the registers' estimate with a margin of four standard errors, and
-    what remains is verified on the whole sets. No candidate is capped or sampled.
+    representatives that share two bands and whose sizes allow the similarity become candidates (one shuffle on the band
+    key, skewed bands are split by AQE); candidates are told apart by ids alone, then by the registers' estimate with a
+    margin of four standard errors, and what remains is verified on the whole sets, which are made again only for the
+    texts that still have a candidate. No candidate is capped or sampled.
     """
-    sk = checkpointed(sketches(df, ident, text, least_words, words_n, registers, band_rows))
+    sk = checkpointed(sketches(df, ident, text, least_words, words_n, registers))
     members = classes(sk)
     first = sk.groupBy("_hi", "_lo").agg(F.min("_id").alias("_id"))
-    reps = sk.join(first, ["_hi", "_lo", "_id"], "left_semi")
-    band = reps.select("_id", F.explode("_bands").alias("_band"))
+    reps = sk.join(first, ["_hi", "_lo", "_id"], "left_semi").dropDuplicates(["_id"]).select("_id", "_size", "_registers")
+    key = F.transform(F.sequence(F.lit(0), F.lit(registers // band_rows - 1)), lambda i: F.xxhash64(i, F.slice("_registers", i * band_rows + 1, F.lit(band_rows))))
+    band = reps.select("_id", "_size", F.explode(key).alias("_band"))
+    x, y = band.alias("x"), band.alias("y")
+    fits = F.least("x._size", "y._size") >= similarity * F.greatest("x._size", "y._size")
     pairs = (
-        band.alias("x")
-        .join(band.alias("y"), (F.col("x._band") == F.col("y._band")) & (F.col("x._id") < F.col("y._id")))
-        .select(F.col("x._id").alias("_a"), F.col("y._id").alias("_b"))
-        .distinct()
+        x.join(y, (F.col("x._band") == F.col("y._band")) & (F.col("x._id") < F.col("y._id")) & fits)
+        .groupBy(F.col("x._id").alias("_a"), F.col("y._id").alias("_b"))
+        .agg(F.count(F.lit(1)).alias("_bands"))
+        .where(F.col("_bands") >= SHARED_BANDS)
+        .select("_a", "_b")
     )
-    side = lambda c, *extra: reps.dropDuplicates(["_id"]).select(F.col("_id").alias(f"_{c}"), *[F.col(f"_{x}").alias(f"_{c}_{x}") for x in extra])
+    side = lambda d, c: d.select(*[F.col(n).alias(f"_{c}" + n.replace("_id", "")) for n in d.columns])
     margin = 4 * (similarity * (1 - similarity) / registers) ** 0.5
-    close = (
-        pairs.join(side("a", "size", "registers"), "_a")
-        .join(side("b", "size", "registers"), "_b")
-        .where(F.least("_a_size", "_b_size") >= similarity * F.greatest("_a_size", "_b_size"))
+    close = checkpointed(
+        pairs.join(side(reps, "a"), "_a")
+        .join(side(reps, "b"), "_b")
         .where(estimated_similarity(F.col("_a_registers"), F.col("_b_registers"), F.col("_a_size"), F.col("_b_size"), registers) >= similarity - margin)
         .select("_a", "_b")
     )
-    both = close.join(side("a", "set"), "_a").join(side("b", "set"), "_b")
+    ids = close.select(F.col("_a").alias("_id")).unionByName(close.select(F.col("_b").alias("_id"))).distinct()
+    sets = shingle_sets(df, ident, text, ids, least_words, words_n)
+    both = close.join(side(sets, "a"), "_a").join(side(sets, "b"), "_b")
     shared = F.size(F.array_intersect("_a_set", "_b_set")).cast("long")
     union = F.size("_a_set") + F.size("_b_set") - shared
     exact = both.select("_a", "_b", shared.alias("_shared"), union.alias("_union")).where(F.col("_shared") >= similarity * F.col("_union") - 1e-9)
