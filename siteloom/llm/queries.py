@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siteloom.llm import neardup, packing, tokenizer
+from siteloom.llm import neardup, packing, residue, tokenizer
 from siteloom.sources.tables import table
 
 QUERIES = {
+    "p1_found": lambda spark, d: residue.residue(table(spark, d, "page_captures"), table(spark, d, "crawl_records")),
+    "p2_found": lambda spark, d: residue.main_bodies(table(spark, d, "page_captures"), table(spark, d, "crawl_records")),
     "p5_found": lambda spark, d: neardup.near_duplicate_pairs(table(spark, d, "page_captures", "capture_id", "visible_text")),
     "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "page_captures", "capture_id", "visible_text")),
     "p6_ids": lambda spark, d: tokenizer.document_ids(table(spark, d, "documents", "doc_id", "text")),
