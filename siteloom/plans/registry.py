@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.plans import training
+from siteloom.plans import audit, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**training.QUERIES, **audit.QUERIES}
+SQL = {**training.SQL, **audit.SQL}
