@@ -16,6 +16,12 @@ from siteloom.operators import gates, references
 from siteloom.operators.gates import sure
 
 SCOPE = ["crawl_id"]
+VIEWS = """All Internal External Status2xx Status3xx Status4xx Status5xx NoResponse TitleMissing TitleDuplicate TitleMultiple TitleTooShort TitleTooLong TitlePixelTooNarrow TitlePixelTooWide MetaMissing
+MetaDuplicate MetaMultiple MetaTooShort MetaTooLong MetaPixelTooNarrow MetaPixelTooWide H1Missing H1Duplicate H1TooLong H2Missing H2Duplicate H2TooLong TitleSameAsH1 CanonicalMissing CanonicalMultiple CanonicalUncrawled
+CanonicalToRedirect CanonicalToError CanonicalNonIndexable CanonicalChain CanonicalLoop PaginationNextToError PaginationPrevToError PaginationNextLoop PaginationPrevLoop PaginationNextNonReciprocal PaginationPrevNonReciprocal
+PaginationCanonicalToLinkedPage PaginationMultipleTargets AmpMultipleTargets AmpToError AmpNonReciprocal AmpTargetMissingMarker DirectivesNoindex ImagesMissingAlt ImagesAltTooLong SecurityMixedContent SecurityInsecureForms
+SecurityMissingHsts SecurityMissingCsp SecurityMissingXFrameOptions SecurityMissingContentTypeOptions MobileMissingViewport HreflangInvalid HreflangMissingSelfReference HreflangMissingReturnLink HreflangNonCanonicalTarget
+StructuredDataInvalid StructuredDataWarning HtmlDeprecatedTags HtmlMissingDoctype HtmlDuplicateIds RenderedDomChanged NearDuplicate ExactDuplicate ThinContent LowTextRatio BrokenLinks SitemapOrphan""".split()
 
 
 @dataclass(frozen=True)

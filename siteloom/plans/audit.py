@@ -50,14 +50,6 @@ def _snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
-VIEW_NAMES = """All Internal External Status2xx Status3xx Status4xx Status5xx NoResponse TitleMissing TitleDuplicate TitleMultiple TitleTooShort TitleTooLong TitlePixelTooNarrow TitlePixelTooWide MetaMissing
-MetaDuplicate MetaMultiple MetaTooShort MetaTooLong MetaPixelTooNarrow MetaPixelTooWide H1Missing H1Duplicate H1TooLong H2Missing H2Duplicate H2TooLong TitleSameAsH1 CanonicalMissing CanonicalMultiple CanonicalUncrawled
-CanonicalToRedirect CanonicalToError CanonicalNonIndexable CanonicalChain CanonicalLoop PaginationNextToError PaginationPrevToError PaginationNextLoop PaginationPrevLoop PaginationNextNonReciprocal PaginationPrevNonReciprocal
-PaginationCanonicalToLinkedPage PaginationMultipleTargets AmpMultipleTargets AmpToError AmpNonReciprocal AmpTargetMissingMarker DirectivesNoindex ImagesMissingAlt ImagesAltTooLong SecurityMixedContent SecurityInsecureForms
-SecurityMissingHsts SecurityMissingCsp SecurityMissingXFrameOptions SecurityMissingContentTypeOptions MobileMissingViewport HreflangInvalid HreflangMissingSelfReference HreflangMissingReturnLink HreflangNonCanonicalTarget
-StructuredDataInvalid StructuredDataWarning HtmlDeprecatedTags HtmlMissingDoctype HtmlDuplicateIds RenderedDomChanged NearDuplicate ExactDuplicate ThinContent LowTextRatio BrokenLinks SitemapOrphan""".split()
-
-
 def crawl(spark, d):
     return records(table(spark, d, "crawl_records"))
 
@@ -66,7 +58,7 @@ def _view(name):
     return lambda spark, d: audit.view(crawl(spark, d), name).select("crawl_id", "id", "final_url")
 
 
-QUERIES = {f"view_{_snake(n)}": _view(n) for n in VIEW_NAMES}
+QUERIES = {f"view_{_snake(n)}": _view(n) for n in audit.VIEWS}
 SQL = {f"view_{_snake(n)}": f"SELECT crawl_id, id, final_url FROM {R} WHERE {c}" for n, c in CONDITIONS.items()}
 
 #: What the rules ask of the tables at hand: (rule, severity, condition).

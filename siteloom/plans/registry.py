@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.plans import audit, training
+from siteloom.plans import audit, reports, training
 
-QUERIES = {**training.QUERIES, **audit.QUERIES}
-SQL = {**training.SQL, **audit.SQL}
+QUERIES = {**training.QUERIES, **audit.QUERIES, **reports.QUERIES}
+SQL = {**training.SQL, **audit.SQL, **reports.SQL}
