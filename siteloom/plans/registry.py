@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.plans import audit, comparison, reports, training
+from siteloom.plans import audit, comparison, pages, reports, training
 
-QUERIES = {**training.QUERIES, **audit.QUERIES, **reports.QUERIES, **comparison.QUERIES}
-SQL = {**training.SQL, **audit.SQL, **reports.SQL, **comparison.SQL}
+QUERIES = {**training.QUERIES, **audit.QUERIES, **reports.QUERIES, **comparison.QUERIES, **pages.QUERIES}
+SQL = {**training.SQL, **audit.SQL, **reports.SQL, **comparison.SQL, **pages.SQL}
