@@ -87,6 +87,7 @@ def plain(text: str) -> str:
     return text.lower().replace("ß", "ss").replace("’", "'")
 
 
+@lru_cache(200_000)
 def spelled(token: str) -> str:
     """A token with letters written as digits or signs undone, and stretched letters shortened to two."""
     token = token.strip("'-!|+")
@@ -109,10 +110,17 @@ class Trie:
             node[""] = at
 
     def near(self, token: str, most: int) -> list[tuple[int, int]]:
-        """(entry, distance) of all entries within `most` edits; an asterisk in the token stands for any letter."""
+        """(entry, distance) of the entries within `most` edits that begin with the token's first letter.
+
+        An asterisk in the token stands for any letter. Misspellings keep the first letter, so only its branch is walked.
+        """
         out: list[tuple[int, int]] = []
         width = len(token) + 1
-        stack = [(self.root, "", list(range(width)), None)]
+        top = list(range(width))
+        branch = self.root.get(token[0])
+        if branch is None:
+            return out
+        stack = [(branch, token[0], [1, 0, *range(1, width - 1)], top)]
         while stack:
             node, last, row, above = stack.pop()
             for c, child in node.items():
@@ -200,7 +208,7 @@ class Matcher:
         most = edits(word)
         if not most or not word.isalpha():
             return None
-        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most) if d and len(TABLE[i][0]) >= 5 and TABLE[i][0][0] == word[0]]
+        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most) if d and len(TABLE[i][0]) >= 5]
         if not hits:
             return None
         d, _, i = min(hits)
