@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.blocks import CELLS, FURNITURE, HEADINGS, MAIN, TEXTUAL, Page, container_kinds
+from siteloom.llm.notices import seeds
 
 LABELS = ("heading", "paragraph", "item", "row", "link", "button", "note", "block")
 BODY = 4  # the first labels belong to the main body
@@ -25,6 +26,8 @@ BITS = 15
 #: The labelled sample: the captures whose ids hash lowest, about so many, from the whole table.
 SAMPLE = 1600
 EPOCHS = 6
+#: Features of the markup count more than each of the many features of the text.
+MARKUP_WEIGHT = 3.0
 #: Captures scored at once.
 AT_ONCE = 128
 
@@ -123,6 +126,7 @@ def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[lis
         if words:
             f.append(f"l{words[-1]}")
             f.append(f"q{words[0]}")
+        plain = len(f)
         if with_markup and page.leaf[i] >= 0:
             leaf = page.leaves[page.leaf[i]]
             text, controls = kinds[leaf.container]
@@ -132,7 +136,7 @@ def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[lis
             f.append("t-")
         weight = 1 / math.sqrt(len(words) or 1)
         slots += map(slot, f)
-        values += [1.0] * len(f)
+        values += [1.0] * plain + [MARKUP_WEIGHT] * (len(f) - plain)
         more = [slot(f"_{w}") for w in words]
         more += [slot(f"{a} {b}") for a, b in zip(words, words[1:])]
         slots += more
@@ -261,16 +265,44 @@ def train(captures: DataFrame, size: int = SAMPLE) -> Crf | None:
     return fit_rows([(r["source_url"], r["raw_html"], r["rendered_html"], r["visible_text"]) for r in rows])
 
 
+def _hollowed(page: Page, y: list[int], notices: list[str]) -> tuple[Page, list[int]]:
+    """The page with its first body paragraphs or items replaced by `notices`, the others of its body (headings aside) left out."""
+    out, kinds, left = Page("", None, None), [], list(notices)
+    out.title = page.title
+    for i, label in enumerate(y):
+        text = page.lines[i]
+        if 0 < label < BODY:
+            if not left:
+                continue
+            text, label = left.pop(0), 1
+        out.lines.append(text)
+        out.raw.append(text)
+        out.blank_before.append(page.blank_before[i])
+        out.leaf.append(-1)
+        kinds.append(label)
+    return out, kinds
+
+
 def fit_rows(rows: list[tuple]) -> Crf | None:
-    """`fit` on (url, raw_html, rendered_html, visible_text)."""
+    """`fit` on (url, raw_html, rendered_html, visible_text).
+
+    Bodies that are nothing but a notice are rare, so every third page is also shown hollowed, with made notices in its place.
+    """
     pages, gold = [], []
-    for url, raw, rendered, visible in rows:
+    made = [t for t, y in seeds() if y]
+    for n, (url, raw, rendered, visible) in enumerate(rows):
         page = Page(visible, raw, rendered)
         y = labels(page)
         if y:
             for with_markup in (True, False):
                 pages.append(features(page, url, with_markup))
                 gold.append(y)
+            if n % 3 == 0:
+                at = n * 7 % len(made)
+                hollow, z = _hollowed(page, y, (made + made)[at : at + 1 + n % 4])
+                if any(0 < k < BODY for k in z):
+                    pages.append(features(hollow, url, False))
+                    gold.append(z)
     return fit(pages, gold) if pages else None
 
 

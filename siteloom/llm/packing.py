@@ -134,6 +134,8 @@ def pack(items: DataFrame, ident: str, size: str, kinds: dict[str, int]) -> Data
     that holds a third of all items is ranked by many tasks.
     """
     spark = items.sparkSession
+    if not kinds:
+        return items.limit(0).select(F.lit("").alias("container_kind"), F.lit(0).cast("long").alias("container_id"), ident, F.lit(0).alias("piece"), F.col(size).cast("long").alias("size"))
     one = items.where(F.col(ident).isNotNull() & (F.col(size) > 0)).select(F.col(ident), F.col(size).cast("long").alias("_size"))
     caps = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(c)).cast("long").alias("cap")) for k, c in kinds.items()])
     rest = one.select(ident, "_size", F.explode(caps).alias("_c")).select(

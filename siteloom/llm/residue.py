@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm import mainbody
 from siteloom.llm.blocks import Page
+from siteloom.llm.notices import REPORTS, seeds
 
 BITS = 17
 #: Captures and distinct status texts from which weakly labelled lines are drawn, by lowest hash.
@@ -111,9 +112,27 @@ def fit(rows: list[np.ndarray], y: list[int], epochs: int = 12, ridge: float = 2
 
 
 def body_lines(page: Page, labels) -> list[str]:
-    """The main body's lines, headings aside unless there is nothing else."""
-    lines = [t for t, y in zip(page.lines, labels) if 0 < y < mainbody.BODY]
-    return lines or [t for t, y in zip(page.lines, labels) if y == 0]
+    """The main body's blocks of text, headings aside unless there is nothing else.
+
+    Wrapped lines are put together again: those of one leaf, and where the markup does not say, a paragraph's next line
+    after one that ends within a sentence.
+    """
+    for wanted in (range(1, mainbody.BODY), (0,)):
+        out: list[str] = []
+        last = -2
+        for i, (text, y) in enumerate(zip(page.lines, labels)):
+            if y not in wanted:
+                continue
+            leaf = page.leaf[i]
+            wrapped = last == i - 1 and leaf == page.leaf[last] and (leaf >= 0 or (y == labels[last] == 1 and not page.blank_before[i] and text[0].islower() and out[-1][-1] not in ".!?…:"))
+            if wrapped:
+                out[-1] += " " + text
+            else:
+                out.append(text)
+            last = i
+        if out:
+            return out
+    return []
 
 
 def weak_label(lines: list[str]) -> int | None:
@@ -196,7 +215,7 @@ def training_lines(captures: DataFrame, records: DataFrame, size: int = SAMPLE,
 
 
 def fit_lines(lines: list[tuple], texts: list[tuple]) -> dict[str, Linear]:
-    """A classifier for lines and one for status texts; a field without examples of both classes has none.
+    """A classifier for status texts, and one for lines unless the sample has no real lines: then phrases decide.
 
     Residue is the same in both fields, so each learns the other's positive examples; what is no residue differs. The
     registered reason phrases and codes stand among the status texts whether the sample has them or not.
@@ -204,15 +223,19 @@ def fit_lines(lines: list[tuple], texts: list[tuple]) -> dict[str, Linear]:
     plain = [t for r in sorted(REASONS) for t in (r, r.title(), r.upper())] + [str(c) for c in range(200, 600)]
     filled = [t.split() for t, _, y, _ in lines if y and re.search(r"\b(lorem|ipsum)\b", t, re.I)]
     spread = [" ".join(w[at : at + 2 + at % 6]).strip(".").lower() for w in filled for at in range(0, len(w) - 1, 5)]
-    known = [t for t, y in texts if y]
+    known = [t for t, y in texts if y] + [t for t, y in seeds() if y]
+    mentions = [t for t, y in seeds() if not y]
     # A status that contains residue is residue as well.
-    around = [form.format(t) for t in known if len(t) < 40 for form in ("OK {}", "HTTP {}", "Error: {}", "{} (cached)")]
-    status = [(t, y) for t, y in texts] * 8 + [(t, 0) for t in plain] + [(t, y) for t, _, y, _ in lines if y and len(t) < 160] + [(t, 1) for t in spread + around]
+    around = [form.format(t) for i, t in enumerate(dict.fromkeys(known)) if len(t) < 40 for form in (("OK {}", "HTTP {}", "Error: {}", "{} (cached)")[i % 4], "OK {}")]
+    marked = [f"<{tag}>{t}</{tag}>" for i, t in enumerate(dict.fromkeys(known)) if len(t) > 30 for tag in (("p", "b", "title")[i % 3],)]
+    status = [(t, y) for t, y in texts] * 8 + [(t, 0) for t in plain * 2 + REPORTS * 12] + [(t, y) for t, _, y, _ in lines if y and len(t) < 160] + [(t, 1) for t in known * 4 + spread + around + marked]
     rows = {
-        "line": [(features(t, "line", title), y) for t, title, y, _ in lines] + [(features(t, "line"), 1) for t in known],
+        "line": [(features(t, "line", title), y) for t, title, y, _ in lines] + [(features(t, "line"), 1) for t in known] + [(features(t, "line"), 0) for t in mentions],
         "status": [(features(t, "status"), y) for t, y in status],
     }
-    return {f: fit([x for x, _ in r], [y for _, y in r], epochs=12 if f == "line" else 30) for f, r in rows.items() if len({y for _, y in r}) == 2}
+    if all(y for _, _, y, _ in lines):
+        del rows["line"]  # nothing to tell residue from
+    return {f: fit([x for x, _ in r], [y for _, y in r], epochs=12 if f == "line" else 30) for f, r in rows.items()}
 
 
 class Judge:
