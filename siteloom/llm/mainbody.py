@@ -44,6 +44,35 @@ def slot(feature: str) -> int:
     return got
 
 
+_tokens: dict[str, tuple[str, int, bool]] = {}
+_pairs: dict[tuple[str, str], int] = {}
+
+
+def token(raw: str) -> tuple[str, int, bool]:
+    """(word, its slot, whether it begins in upper case) of a token: lower case, without marks around it, numbers as 0."""
+    got = _tokens.get(raw)
+    if got is None:
+        if len(_tokens) > 500_000:
+            _tokens.clear()
+        word = raw.casefold().strip(".,;:!?()…\"'")
+        word = "0" if word.isdigit() else word
+        got = _tokens[raw] = (word, slot(f"_{word}"), raw[0].isupper())
+    return got
+
+
+def pair_slots(words: list[str]) -> list[int]:
+    """Slots of the pairs of consecutive words."""
+    out = []
+    for key in zip(words, words[1:]):
+        got = _pairs.get(key)
+        if got is None:
+            if len(_pairs) > 300_000:
+                _pairs.clear()
+            got = _pairs[key] = xxhash.xxh32_intdigest(f"{key[0]} {key[1]}".encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+        out.append(got)
+    return out
+
+
 def label_of(page: Page, kinds: dict[int, tuple[bool, bool]], i: int) -> int:
     """The kind of block that the markup makes of line i, or -1 without a leaf."""
     at = page.leaf[i]
@@ -88,7 +117,7 @@ def _ending(text: str) -> str:
 _SEPARATORS = (" | ", " › ", " / ", " · ", " > ", "©", "@", "   ", " » ")
 
 
-def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[list[int], list[float], list[int]]:
+def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(slots, values, number of features of each line)."""
     n = len(page.lines)
     host = (urlsplit(url).hostname or "") if url else ""
@@ -97,8 +126,8 @@ def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[lis
     kinds = container_kinds(page) if with_markup else {}
     shape, tokens = [], []
     for i, line in enumerate(page.lines):
-        words = line.split()
-        capital = sum(w[0].isupper() for w in words) / len(words)
+        words = [token(t) for t in line.split()]
+        capital = sum(w[2] for w in words) / len(words)
         raw = page.raw[i]
         shape.append((f"{min(9, int(math.log2(len(line))))}{_ending(line)}", f"{min(12, len(words))}{int(4 * capital)}", len(raw) - len(raw.lstrip())))
         tokens.append(words)
@@ -122,7 +151,8 @@ def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[lis
             f.append("title")
         if url and len(low) > 8 and "-".join(w for w in low.replace(",", "").split()) in url:
             f.append("slug")
-        words = ["0" if w.isdigit() else w for w in (t.casefold().strip(".,;:!?()…\"'") for t in tokens[i]) if w]
+        kept = [t for t in tokens[i] if t[0]]
+        words = [t[0] for t in kept]
         if words:
             f.append(f"l{words[-1]}")
             f.append(f"q{words[0]}")
@@ -137,12 +167,17 @@ def features(page: Page, url: str | None, with_markup: bool = True) -> tuple[lis
         weight = 1 / math.sqrt(len(words) or 1)
         slots += map(slot, f)
         values += [1.0] * plain + [MARKUP_WEIGHT] * (len(f) - plain)
-        more = [slot(f"_{w}") for w in words]
-        more += [slot(f"{a} {b}") for a, b in zip(words, words[1:])]
+        more = [t[1] for t in kept]
+        more += pair_slots(words)
         slots += more
         values += [weight] * len(more)
         counts.append(len(f) + len(more))
-    return slots, values, counts
+    return np.array(slots, np.int64), np.array(values, np.float32), counts
+
+
+def _stacked(pages: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, values, number of features of each line) of all pages."""
+    return np.concatenate([p[0] for p in pages]), np.concatenate([p[1] for p in pages]), np.concatenate([p[2] for p in pages])
 
 
 class Crf:
@@ -153,9 +188,7 @@ class Crf:
 
     def emissions(self, pages: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """(scores of shape pages x longest x labels, lengths)."""
-        idx = np.fromiter((s for p in pages for s in p[0]), np.int64)
-        val = np.fromiter((v for p in pages for v in p[1]), np.float32, len(idx))
-        per = np.fromiter((c for p in pages for c in p[2]), np.int64)
+        idx, val, per = _stacked(pages)
         flat = np.add.reduceat(self.weights[idx] * val[:, None], np.concatenate(([0], np.cumsum(per)[:-1])), axis=0)
         lengths = np.fromiter((len(p[2]) for p in pages), np.int64, len(pages))
         out = np.zeros((len(pages), lengths.max(), len(LABELS)), np.float32)
@@ -216,9 +249,7 @@ def _gradient(model: Crf, pages: list[tuple], gold: list[list[int]]) -> tuple[np
         delta[i, np.arange(len(y)), y] += 1
         first[y[0]] += 1
         np.add.at(moves, (y[:-1], y[1:]), 1)
-    per = np.fromiter((c for p in pages for c in p[2]), np.int64)
-    idx = np.fromiter((s for p in pages for s in p[0]), np.int64)
-    val = np.fromiter((v for p in pages for v in p[1]), np.float32, len(idx))
+    idx, val, per = _stacked(pages)
     rows = np.repeat(delta[mask], per, axis=0) * val[:, None]
     weights = np.stack([np.bincount(idx, rows[:, c], 1 << BITS) for c in range(k)], axis=1)
     return weights, moves, first

@@ -45,7 +45,7 @@ def test_viterbi_finds_the_best_path():
     r = np.random.default_rng(3)
     k = len(mainbody.LABELS)
     model = mainbody.Crf(r.normal(size=(1 << mainbody.BITS, k)).astype("f4"), r.normal(size=(k, k)).astype("f4"), r.normal(size=k).astype("f4"))
-    pages = [([1, 2, 3, 4], [1.0] * 4, [1, 2, 1]), ([9], [0.5], [1]), ([], [], [])]
+    pages = [(np.array(i), np.array(v), n) for i, v, n in (([1, 2, 3, 4], [1.0] * 4, [1, 2, 1]), ([9], [0.5], [1]), ([], [], []))]
     score, _ = model.emissions(pages[:2])
     best = max(itertools.product(range(k), repeat=3), key=lambda y: model.first[y[0]] + sum(score[0, t, y[t]] for t in range(3)) + sum(model.moves[a, b] for a, b in zip(y, y[1:])))
     assert tuple(model.decode(pages)[0]) == best and [len(x) for x in model.decode(pages)] == [3, 1, 0]
