@@ -187,15 +187,15 @@ def compared_reports(before: DataFrame, after: DataFrame, rules: tuple[str, ...]
         sides[name] = named.join(found, "id").drop("id").alias(name)
     b, a = sides["b"], sides["a"]
     both = b.join(a, (F.col("b.request_url") == F.col("a.request_url")) & (F.col("b.occurrence") == F.col("a.occurrence")), "full")
-    lost = both.agg(F.count_if(F.col("b.seen") & ~gates.sure(F.col("a.seen"))).alias("lost"))
+    lost = both.where(F.col("b.seen") & ~gates.sure(F.col("a.seen"))).limit(1).count()
     none = F.array().cast("array<string>")
     rows = both.select(
         F.coalesce("b.request_url", "a.request_url").alias("request_url"), F.coalesce("b.occurrence", "a.occurrence").alias("occurrence"), F.coalesce("b.rules", none).alias("had"), F.coalesce("a.rules", none).alias("has"),
         F.col("b.seen").alias("b_seen"), F.col("a.seen").alias("a_seen"), F.col("b.html").alias("b_html"), F.col("a.html").alias("a_html"),
-    ).withColumn("rule", F.explode(F.array_union("had", "has"))).crossJoin(F.broadcast(lost))  # one row
+    ).withColumn("rule", F.explode(F.array_union("had", "has")))
     had, has = F.array_contains("had", F.col("rule")), F.array_contains("has", F.col("rule"))
     response = F.startswith("rule", F.lit("response."))
-    whole = F.col("rule").isin(*_GLOBAL) & (F.col("lost") > 0)
+    whole = F.col("rule").isin(*_GLOBAL) if lost else F.lit(False)
     fit = lambda s: F.when(response, gates.sure(F.col(f"{s}_seen"))).otherwise(gates.sure(F.col(f"{s}_html")))
     reason = (
         F.when(had & has, None)
