@@ -79,7 +79,7 @@ def bounded_bytes(c: Column | str, most: int) -> Column:
     """
     c = _col(c)
     raw = F.substring(F.encode(c, "UTF-8"), 1, most)
-    cut = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\uFFFD+$", "")
     return F.when(F.octet_length(c) <= most, c).otherwise(cut)
 
 

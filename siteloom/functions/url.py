@@ -250,8 +250,9 @@ def normalised_query(c: Column | str, strip_all: bool = False, drop: list[str] =
         return base
     parts = F.filter(F.split(F.regexp_extract(c, r"\?(.*)$", 1), "&"), lambda p: p != "")
     name = lambda p: F.substring_index(p, "=", 1)
-    for pattern in drop:
-        parts = F.filter(parts, lambda p, pattern=pattern: ~F.rlike(name(p), F.lit(f"^(?:{pattern})$")))
+    if drop:
+        dropped = F.lit("^(?:" + "|".join(f"(?:{p})" for p in drop) + ")$")
+        parts = F.filter(parts, lambda p: ~F.rlike(name(p), dropped))
     if ordered:
         pairs = F.array_sort(F.transform(parts, lambda p: F.struct(name(p).alias("n"), F.substring(p, F.char_length(name(p)) + 1, F.char_length(p)).alias("v"))))
         parts = F.transform(pairs, lambda p: F.concat(p["n"], p["v"]))

@@ -74,13 +74,13 @@ def canonical_targets(attrs: DataFrame, index: DataFrame, scope: list[str]) -> D
 def cycle_ids(edges: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle.
 
-    Pointer doubling: after k rounds each node knows the node 2^k steps on. Ends drop out, so what is left once 2^k is at
-    least the number of edges never ends. Rounds grow with the logarithm of the edges and stop as soon as none is left.
+    Pointer doubling: after k rounds each node knows the node 2^k steps on. Ends drop out, so what is left once 2^k is over
+    the number of edges never ends. Rounds grow with the logarithm of the edges and stop as soon as none is left.
     """
     jump = checkpointed(edges.select(*scope, "id", "next"))
     left = total = jump.count()
     reach = 1
-    while left and reach < total:
+    while left and reach <= total:
         ahead = jump.select(*scope, F.col("id").alias("next"), F.col("next").alias("_far"))
         jump = checkpointed(jump.join(ahead, [*scope, "next"]).select(*scope, "id", F.col("_far").alias("next")))
         left, reach = jump.count(), 2 * reach

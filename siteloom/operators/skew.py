@@ -26,10 +26,12 @@ def hot_keys(df: DataFrame, *keys: str, share: float = HOT_SHARE) -> dict[str, l
     part = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("_part")).agg(
         F.count(F.lit(1)).alias("n"), *[F.expr(f"approx_top_k_accumulate(`{k}`, {tracked})").alias(f"s_{i}") for i, k in enumerate(keys)]
     )
-    row = part.agg(
+    row = part.groupBy(F.col("_part").isNull()).agg(  # grouped, so that an empty table gives no row instead of an empty summary
         F.sum("n").alias("n"), *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(s_{i}, {tracked}), {most})").alias(f"top_{i}") for i, k in enumerate(keys)]
     ).first()
-    least = (row["n"] or 0) * share
+    if row is None:
+        return {k: [] for k in keys}
+    least = row["n"] * share
     return {k: [x["item"] for x in row[f"top_{i}"] or [] if x["item"] is not None and x["count"] >= max(least, 2)] for i, k in enumerate(keys)}
 
 
