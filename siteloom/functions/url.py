@@ -185,7 +185,8 @@ def plain_serialised(c: Column | str) -> Column:
 def serialised(c: Column | str) -> Column:
     """The serialisation of any address: plain ones on the JVM; the Arrow function gets null in their place."""
     c = trimmed(c)
-    return F.coalesce(F.when(is_plain(c), plain_serialised(c)), serialise(F.when(~is_plain(c), c)))
+    odd = F.when(F.rlike(c, F.lit(r"(?i)^[\x00-\x20]*https?:")) & ~is_plain(c), c)  # whatever has another scheme is no address
+    return F.coalesce(F.when(is_plain(c), plain_serialised(c)), serialise(odd))
 
 
 def aliases_of(text: Column, parsed: Column) -> Column:
@@ -209,8 +210,10 @@ def aliases(c: Column | str) -> Column:
 
 def with_aliases(df: DataFrame, columns: list[str], name: str = "alias") -> DataFrame:
     """`df` with one row per distinct alias of any of `columns` (rows without any are left out)."""
-    names = F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), serialised(c)) for c in columns])))
-    return df.withColumn(name, F.explode(names))
+    # Serialised first, in columns of their own: each is used several times in the aliases.
+    parsed = {f"_parsed_{i}": serialised(c) for i, c in enumerate(columns)}
+    names = F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), F.col(p)) for c, p in zip(columns, parsed)])))
+    return df.withColumns(parsed).withColumn(name, F.explode(names)).drop(*parsed)
 
 
 def scheme_free(c: Column | str) -> Column:

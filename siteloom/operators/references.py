@@ -125,6 +125,8 @@ def declared_targets(attrs: DataFrame, index: DataFrame, scope: list[str], kind:
 def relation_flags(records: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, the ten pagination and AMP flags) of the records with any declared target."""
     attrs = checkpointed(attributes(records, scope))
+    if not attrs.where(F.size("next") + F.size("prev") + F.size("amp") > 0).limit(1).count():
+        return attrs.limit(0).select(*scope, "id", *[F.lit(False).alias(f) for f in FLAGS[6:]])
     index = checkpointed(alias_index(attrs, scope))
     info = attrs.select(*scope, F.col("id").alias("target"), F.col("target_error").alias("t_error"), F.col("eligible").alias("t_ok"), "amp_document", F.col("canonical").alias("t_canonical"), F.col("final_url").alias("t_final"))
     found = {k: checkpointed(declared_targets(attrs, index, scope, k)) for k in ("next", "prev", "amp")}
