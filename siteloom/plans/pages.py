@@ -9,7 +9,7 @@ from siteloom.functions import url as U
 from siteloom.functions.html import DESCRIPTION_FONT, TITLE_FONT, WIDTHS
 
 from siteloom.plans.audit import BROKEN, CONDITIONS, HTML, OK, R, crawl, key, utrim
-from siteloom.plans.reports import edges
+from siteloom.plans.reports import edges, names
 from siteloom.sinks import files
 from siteloom.sources import pages
 from siteloom.sources.tables import once, table
@@ -113,7 +113,25 @@ def _title_issue(name: str, condition: str) -> str:
 
 
 
+
+
+def _pixels(c: str, font: float) -> str:
+    """The estimated width in SQL, group by group as `pixel_width` counts it."""
+    rest, parts = f"coalesce({c}, '')", []
+    for chars, width in WIDTHS:
+        quoted = chars.replace("'", "''")
+        without = f"translate({rest}, '{quoted}', '')"
+        parts.append(f"(length({rest}) - length({without})) * {width * font!r}::DOUBLE")
+        rest = without
+    kept = f"regexp_replace({rest}, '[^\\x00-\\x7F]', '', 'g')"
+    parts += [f"length({kept}) * {0.56 * font!r}::DOUBLE", f"(length({rest}) - length({kept})) * {font!r}::DOUBLE"]
+    return f"CAST(floor({' + '.join(parts)} + 0.5) AS BIGINT)"
+
+
 SQL = {
+    "pixel_widths": f"SELECT id, {_pixels('title', TITLE_FONT)} AS title_pixels, {_pixels('h1', DESCRIPTION_FONT)} AS h1_pixels FROM {R} WHERE title IS NOT NULL",
+    "url_aliases": f"SELECT target_url, unnest({names('target_url')}) AS alias FROM (SELECT DISTINCT target_url FROM link_edges WHERE target_url IS NOT NULL)",
+    "page_references_of_markup": f"SELECT 'canonical' AS kind, count(*) AS n FROM {_CAPS} WHERE regexp_matches(raw_html, '<link rel=\"canonical\" href=\"[^\"#]')",
     "page_titles": f"SELECT capture_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(raw_html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(raw_html, '<h1>([^<]*)', 1), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')), '') AS h1, len(regexp_extract_all(raw_html, '<h1>')) AS h1_count, nullif(replace(regexp_extract(raw_html, '<link rel=\"canonical\" href=\"([^\"#]*)', 1), '&amp;', '&'), '') AS canonical, starts_with(lower(raw_html), '<!doctype html') AS html_doctype FROM {_CAPS}",
     "page_words": "SELECT capture_id, len(list_filter(regexp_split_to_array(visible_text, '[\\t\\n\\x0B\\f\\r \\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) AS words, strlen(visible_text) AS bytes FROM (SELECT DISTINCT capture_id, visible_text FROM page_captures WHERE capture_id IS NOT NULL AND visible_text IS NOT NULL)",
     "page_headers": "SELECT capture_id, " + ", ".join(f"nullif(regexp_extract(response_headers, '(?m)^{n}: ([^\\r\\n]*)', 1), '') AS {a}" for n, a in (("content-type", "content_type"), ("cache-control", "cache_control"), ("server", "server"))) + " FROM (SELECT DISTINCT capture_id, response_headers FROM page_captures WHERE capture_id IS NOT NULL)",

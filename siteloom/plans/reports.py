@@ -126,6 +126,12 @@ SELECT crawl_id, id, unknown AND classification = 'internal' AND coalesce({host(
   NOT unknown AND NOT own AND regexp_replace({serial('final_url')}, '#.*$', '') <> regexp_replace({serial('tu')}, '#.*$', '') AND coalesce(te, false) AND far AS canonical_chain FROM k
 """
 _CANONICAL_FLAGS = references.FLAGS[:5]
+#: A path of single targets with more steps than any chain without a loop is taken to have.
+_CANONICAL_LOOP = _CANONICAL.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT crawl_id, id, unknown", 1)[0].rstrip() + f""",
+e AS (SELECT crawl_id, id, target FROM k WHERE NOT unknown AND NOT own AND coalesce(te, false) AND regexp_replace({serial('final_url')}, '#.*$', '') <> regexp_replace({serial('tu')}, '#.*$', '')),
+w(crawl_id, id, a, steps) AS (SELECT crawl_id, id, target, 1 FROM e UNION ALL SELECT w.crawl_id, w.id, e.target, w.steps + 1 FROM w JOIN e ON e.crawl_id = w.crawl_id AND e.id = w.a WHERE w.steps < 40)
+SELECT crawl_id, id, true AS canonical_loop FROM w WHERE steps = 40
+"""
 
 _HREFLANG = f"""
 WITH {_REFS} named AS {NAMED}, prim AS (SELECT crawl_id, alias, min(id) AS target FROM named GROUP BY 1, 2),
@@ -204,6 +210,12 @@ SQL = {
     "grid_search": f"SELECT crawl_id, id, final_url FROM {R} WHERE {_MUSEUM}",
     "grid_sort_page": f"SELECT crawl_id, id, final_url FROM {R} WHERE classification = 'internal' ORDER BY word_count DESC NULLS LAST, id OFFSET 20 LIMIT 50",
     "canonical_flags": f"SELECT * FROM ({_CANONICAL}) WHERE {' OR '.join(_CANONICAL_FLAGS)}",
+    "canonical_loops": _CANONICAL_LOOP,
+    "view_canonical_loop": f"SELECT l.crawl_id, l.id, r.final_url FROM ({_CANONICAL_LOOP}) l JOIN {R} r USING (crawl_id, id)",
+    **{f"view_{f}": f"SELECT c.crawl_id, c.id, r.final_url FROM ({_CANONICAL}) c JOIN {R} r USING (crawl_id, id) WHERE c.{f}" for f in _CANONICAL_FLAGS},
+    "reference_counts": "SELECT r.crawl_id, "
+    + ", ".join(f"count(*) FILTER (WHERE {f'coalesce(c.{n}, false)' if n in _CANONICAL_FLAGS else 'l.id IS NOT NULL' if n == 'canonical_loop' else 'false'}) AS {n}" for n in audit.REFERENCE_COUNTERS)
+    + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1",
     "hreflang_return": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_missing_return FROM x WHERE x.eligible AND NOT x.self AND x.target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l b JOIN l o ON o.crawl_id = x.crawl_id AND o.id = x.id WHERE b.crawl_id = x.crawl_id AND b.id = x.target AND list_has_any(b.n, o.own))",
     "hreflang_canonical": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_non_canonical FROM x JOIN (SELECT crawl_id, id, canonical, {ALL} AS own FROM {R}) t ON t.crawl_id = x.crawl_id AND t.id = x.target WHERE x.eligible AND trim(coalesce(t.canonical, '')) <> '' AND NOT list_has_any({names('t.canonical')}, t.own)",
     "pagination_next_errors": _target_errors("pagination", "next_to_error"),

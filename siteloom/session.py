@@ -27,16 +27,21 @@ def get_spark(app: str = "siteloom", cpus: str | None = None) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` through the shared checkpoint folder.
-
-    The folder named by spark.checkpoint.dir is used as it is. Only where it is unset (tests, local runs) does the
-    session get a temporary one: on a cluster a machine-local folder would be lost with its machine.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only on a local master, where
+    none is named (tests, local runs).
     """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="siteloom-checkpoint-")
+    return named.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siteloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.session import shared_folder
+
 
 def merged(current: DataFrame | None, batch: DataFrame, key: str, order: str, keep_old: tuple[str, ...] = ()) -> DataFrame:
     """The latest row per key of both sides (largest `order`, then the batch); `keep_old` columns keep their last value that
@@ -112,11 +114,5 @@ def read_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_bat
 
 
 def working_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder; a temporary one only where none is named (tests)."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="siteloom-"), name)
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
