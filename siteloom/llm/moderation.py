@@ -156,6 +156,12 @@ def _entries() -> tuple[list[tuple[str, str, float]], dict[str, int]]:
 
 
 TABLE, PLACE = _entries()
+#: Entries of two words by their first word.
+PAIRS: dict[str, dict[str, int]] = {}
+for _word, _at in PLACE.items():
+    if "-" in _word:
+        _first, _, _second = _word.partition("-")
+        PAIRS.setdefault(_first, {})[_second] = _at
 
 
 @lru_cache(1)
@@ -253,6 +259,9 @@ def tokens_of(sentence: str) -> list[str]:
     return [t.strip("'-!|+") for t in _TOKEN.findall(_unspaced(sentence)) if t.strip("'-!|+")]
 
 
+_NONE: dict[str, int] = {}
+
+
 def score(sentence: str, match: Matcher) -> tuple[float, str]:
     """(score, category) of one sentence, already plain: the best window around any anchor.
 
@@ -261,16 +270,15 @@ def score(sentence: str, match: Matcher) -> tuple[float, str]:
     sense, and quotation marks around the anchor, take away.
     """
     found = []
-    last = ""
+    seconds: dict[str, int] = {}
     for i, t in enumerate(tokens_of(sentence)):
         got = match(t)
         if got is not None:
             found.append((i, got[0], got[1]))
         word = spelled(t)
-        pair = PLACE.get(f"{last}-{word}")  # entries of two words
-        if pair is not None:
-            found.append((i, pair, 1.0))
-        last = word
+        if word in seconds:
+            found.append((i, seconds[word], 1.0))
+        seconds = PAIRS.get(word, _NONE)
     if not any(TABLE[e][2] >= 0.4 for _, e, _ in found):
         return 0.0, ""
     quoted = " ".join(_QUOTED.findall(sentence))
