@@ -110,6 +110,16 @@ def _many(c: str) -> Column:
     return sure(F.size(c) > 1)
 
 
+class Lazy(dict):
+    """A dict whose values are made by functions when first asked for: building a condition costs many calls to the JVM."""
+
+    def __getitem__(self, name):
+        value = super().__getitem__(name)
+        if callable(value) and not isinstance(value, tuple):
+            value = self[name] = value()
+        return value
+
+
 def predicates(t: Thresholds = Thresholds()) -> dict[str, tuple[Column, str | None]]:
     """Each view's condition and the evidence it needs. html(...) adds the gate of complete successful HTML."""
     html = lambda c, need=None: (gates.success_html() & sure(c), need)
@@ -117,39 +127,39 @@ def predicates(t: Thresholds = Thresholds()) -> dict[str, tuple[Column, str | No
     col = F.col
     ref = lambda name: html(col(name), "canonical" if name in references.FLAGS[:6] else "relations")
     ok2xx = gates.success()
-    return {
-        "All": plain(F.lit(True)), "Internal": plain(col("classification") == "internal"), "External": plain(col("classification") == "external"),
-        "Status2xx": plain(ok2xx), "Status3xx": plain(gates.redirect() | sure(F.size("redirect_chain") > 0)),
-        "Status4xx": plain(col("status_code").between(400, 499)), "Status5xx": plain(col("status_code") >= 500), "NoResponse": plain(gates.no_response()),
-        "TitleMissing": html(blank("title")), "TitleDuplicate": html(col("dup_title"), "dup_title"), "TitleMultiple": html(_over("title_count", 1)),
-        "TitleTooShort": html(~blank("title") & (col("title_len") < t.title_min_chars)), "TitleTooLong": html(col("title_len") > t.title_max_chars),
-        "TitlePixelTooNarrow": html(~blank("title") & (col("title_pixel_width") < t.title_min_pixels)), "TitlePixelTooWide": html(col("title_pixel_width") > t.title_max_pixels),
-        "MetaMissing": html(blank("meta_description")), "MetaDuplicate": html(col("dup_meta_description"), "dup_meta_description"), "MetaMultiple": html(_over("meta_description_count", 1)),
-        "MetaTooShort": html(~blank("meta_description") & (col("meta_description_len") < t.meta_min_chars)), "MetaTooLong": html(col("meta_description_len") > t.meta_max_chars),
-        "MetaPixelTooNarrow": html(~blank("meta_description") & (col("meta_description_pixel_width") < t.meta_min_pixels)), "MetaPixelTooWide": html(col("meta_description_pixel_width") > t.meta_max_pixels),
-        "H1Missing": html(blank("h1")), "H1Duplicate": html(col("dup_h1"), "dup_h1"), "H1TooLong": html(col("h1_len") > t.h1_max_chars),
-        "H2Missing": html(blank("h2")), "H2Duplicate": html(col("dup_h2"), "dup_h2"), "H2TooLong": html(col("h2_len") > t.h2_max_chars),
-        "TitleSameAsH1": html(~blank("title") & (ascii_lower(trimmed("title")) == ascii_lower(trimmed("h1")))),
-        "CanonicalMissing": html(blank("canonical")), "CanonicalMultiple": html(_over("canonical_count", 1)),
-        "CanonicalUncrawled": ref("canonical_uncrawled"), "CanonicalToRedirect": ref("canonical_to_redirect"), "CanonicalToError": ref("canonical_to_error"),
-        "CanonicalNonIndexable": ref("canonical_non_indexable"), "CanonicalChain": ref("canonical_chain"), "CanonicalLoop": ref("canonical_loop"),
-        "PaginationNextToError": ref("next_to_error"), "PaginationPrevToError": ref("prev_to_error"), "PaginationNextLoop": ref("next_loop"), "PaginationPrevLoop": ref("prev_loop"),
-        "PaginationNextNonReciprocal": ref("next_non_reciprocal"), "PaginationPrevNonReciprocal": ref("prev_non_reciprocal"), "PaginationCanonicalToLinkedPage": ref("pagination_canonical_to_linked_page"),
-        "PaginationMultipleTargets": html(_many("rel_next_targets") | _many("rel_prev_targets")), "AmpMultipleTargets": html(_many("amphtml_targets")),
-        "AmpToError": ref("amp_to_error"), "AmpNonReciprocal": ref("amp_non_reciprocal"), "AmpTargetMissingMarker": ref("amp_target_missing_marker"),
-        "DirectivesNoindex": plain(F.contains(F.lower("indexability_status"), F.lit("noindex"))),
-        "ImagesMissingAlt": html(_over("images_missing_alt")), "ImagesAltTooLong": html(_over("images_alt_too_long")),
-        "SecurityMixedContent": html(_over("mixed_content_count")), "SecurityInsecureForms": html(_over("insecure_form_count")),
-        "SecurityMissingHsts": plain(ok2xx & F.startswith("final_url", F.lit("https://")) & ~col("hsts_header")), "SecurityMissingCsp": html(~col("content_security_policy_header")),
-        "SecurityMissingXFrameOptions": html(~col("x_frame_options_header")), "SecurityMissingContentTypeOptions": plain(ok2xx & ~col("x_content_type_options_header")),
-        "MobileMissingViewport": html(~col("viewport")), "HreflangInvalid": html(_over("hreflang_invalid_count")), "HreflangMissingSelfReference": html(col("hreflang_missing_self_reference")),
-        "HreflangMissingReturnLink": html(col("hreflang_missing_return"), "hreflang"), "HreflangNonCanonicalTarget": html(col("hreflang_non_canonical"), "hreflang"),
-        "StructuredDataInvalid": html(_over("structured_data_error_count") | _over("json_ld_invalid_count")), "StructuredDataWarning": html(_over("structured_data_warning_count")),
-        "HtmlDeprecatedTags": html(_over("deprecated_html_tag_count")), "HtmlMissingDoctype": html(~col("html_doctype")), "HtmlDuplicateIds": html(_over("duplicate_id_count")),
-        "RenderedDomChanged": html(col("rendered_dom_changed")), "NearDuplicate": html(col("dup_cluster"), "dup_cluster"), "ExactDuplicate": html(col("dup_hash"), "dup_hash"),
-        "ThinContent": html(col("word_count") < t.thin_content_words), "LowTextRatio": html(col("text_to_code_ratio") * 100 < t.min_text_ratio_percent),
-        "BrokenLinks": plain(gates.broken()), "SitemapOrphan": plain(col("in_sitemap") & (col("inlink_count") == 0) & (col("classification") == "internal")),
-    }
+    return Lazy({
+        "All": lambda: plain(F.lit(True)), "Internal": lambda: plain(col("classification") == "internal"), "External": lambda: plain(col("classification") == "external"),
+        "Status2xx": lambda: plain(ok2xx), "Status3xx": lambda: plain(gates.redirect() | sure(F.size("redirect_chain") > 0)),
+        "Status4xx": lambda: plain(col("status_code").between(400, 499)), "Status5xx": lambda: plain(col("status_code") >= 500), "NoResponse": lambda: plain(gates.no_response()),
+        "TitleMissing": lambda: html(blank("title")), "TitleDuplicate": lambda: html(col("dup_title"), "dup_title"), "TitleMultiple": lambda: html(_over("title_count", 1)),
+        "TitleTooShort": lambda: html(~blank("title") & (col("title_len") < t.title_min_chars)), "TitleTooLong": lambda: html(col("title_len") > t.title_max_chars),
+        "TitlePixelTooNarrow": lambda: html(~blank("title") & (col("title_pixel_width") < t.title_min_pixels)), "TitlePixelTooWide": lambda: html(col("title_pixel_width") > t.title_max_pixels),
+        "MetaMissing": lambda: html(blank("meta_description")), "MetaDuplicate": lambda: html(col("dup_meta_description"), "dup_meta_description"), "MetaMultiple": lambda: html(_over("meta_description_count", 1)),
+        "MetaTooShort": lambda: html(~blank("meta_description") & (col("meta_description_len") < t.meta_min_chars)), "MetaTooLong": lambda: html(col("meta_description_len") > t.meta_max_chars),
+        "MetaPixelTooNarrow": lambda: html(~blank("meta_description") & (col("meta_description_pixel_width") < t.meta_min_pixels)), "MetaPixelTooWide": lambda: html(col("meta_description_pixel_width") > t.meta_max_pixels),
+        "H1Missing": lambda: html(blank("h1")), "H1Duplicate": lambda: html(col("dup_h1"), "dup_h1"), "H1TooLong": lambda: html(col("h1_len") > t.h1_max_chars),
+        "H2Missing": lambda: html(blank("h2")), "H2Duplicate": lambda: html(col("dup_h2"), "dup_h2"), "H2TooLong": lambda: html(col("h2_len") > t.h2_max_chars),
+        "TitleSameAsH1": lambda: html(~blank("title") & (ascii_lower(trimmed("title")) == ascii_lower(trimmed("h1")))),
+        "CanonicalMissing": lambda: html(blank("canonical")), "CanonicalMultiple": lambda: html(_over("canonical_count", 1)),
+        "CanonicalUncrawled": lambda: ref("canonical_uncrawled"), "CanonicalToRedirect": lambda: ref("canonical_to_redirect"), "CanonicalToError": lambda: ref("canonical_to_error"),
+        "CanonicalNonIndexable": lambda: ref("canonical_non_indexable"), "CanonicalChain": lambda: ref("canonical_chain"), "CanonicalLoop": lambda: ref("canonical_loop"),
+        "PaginationNextToError": lambda: ref("next_to_error"), "PaginationPrevToError": lambda: ref("prev_to_error"), "PaginationNextLoop": lambda: ref("next_loop"), "PaginationPrevLoop": lambda: ref("prev_loop"),
+        "PaginationNextNonReciprocal": lambda: ref("next_non_reciprocal"), "PaginationPrevNonReciprocal": lambda: ref("prev_non_reciprocal"), "PaginationCanonicalToLinkedPage": lambda: ref("pagination_canonical_to_linked_page"),
+        "PaginationMultipleTargets": lambda: html(_many("rel_next_targets") | _many("rel_prev_targets")), "AmpMultipleTargets": lambda: html(_many("amphtml_targets")),
+        "AmpToError": lambda: ref("amp_to_error"), "AmpNonReciprocal": lambda: ref("amp_non_reciprocal"), "AmpTargetMissingMarker": lambda: ref("amp_target_missing_marker"),
+        "DirectivesNoindex": lambda: plain(F.contains(F.lower("indexability_status"), F.lit("noindex"))),
+        "ImagesMissingAlt": lambda: html(_over("images_missing_alt")), "ImagesAltTooLong": lambda: html(_over("images_alt_too_long")),
+        "SecurityMixedContent": lambda: html(_over("mixed_content_count")), "SecurityInsecureForms": lambda: html(_over("insecure_form_count")),
+        "SecurityMissingHsts": lambda: plain(ok2xx & F.startswith("final_url", F.lit("https://")) & ~col("hsts_header")), "SecurityMissingCsp": lambda: html(~col("content_security_policy_header")),
+        "SecurityMissingXFrameOptions": lambda: html(~col("x_frame_options_header")), "SecurityMissingContentTypeOptions": lambda: plain(ok2xx & ~col("x_content_type_options_header")),
+        "MobileMissingViewport": lambda: html(~col("viewport")), "HreflangInvalid": lambda: html(_over("hreflang_invalid_count")), "HreflangMissingSelfReference": lambda: html(col("hreflang_missing_self_reference")),
+        "HreflangMissingReturnLink": lambda: html(col("hreflang_missing_return"), "hreflang"), "HreflangNonCanonicalTarget": lambda: html(col("hreflang_non_canonical"), "hreflang"),
+        "StructuredDataInvalid": lambda: html(_over("structured_data_error_count") | _over("json_ld_invalid_count")), "StructuredDataWarning": lambda: html(_over("structured_data_warning_count")),
+        "HtmlDeprecatedTags": lambda: html(_over("deprecated_html_tag_count")), "HtmlMissingDoctype": lambda: html(~col("html_doctype")), "HtmlDuplicateIds": lambda: html(_over("duplicate_id_count")),
+        "RenderedDomChanged": lambda: html(col("rendered_dom_changed")), "NearDuplicate": lambda: html(col("dup_cluster"), "dup_cluster"), "ExactDuplicate": lambda: html(col("dup_hash"), "dup_hash"),
+        "ThinContent": lambda: html(col("word_count") < t.thin_content_words), "LowTextRatio": lambda: html(col("text_to_code_ratio") * 100 < t.min_text_ratio_percent),
+        "BrokenLinks": lambda: plain(gates.broken()), "SitemapOrphan": lambda: plain(col("in_sitemap") & (col("inlink_count") == 0) & (col("classification") == "internal")),
+    })
 
 
 def with_evidence(df: DataFrame, needs: set[str], scope: list[str]) -> DataFrame:

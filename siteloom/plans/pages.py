@@ -81,7 +81,7 @@ QUERIES = {
     "pixel_widths": lambda spark, d: crawl(spark, d).where("title is not null").select("id", pixel_width("title", TITLE_FONT).alias("title_pixels"), pixel_width("h1", DESCRIPTION_FONT).alias("h1_pixels")),
     "sitemap_export": lambda spark, d: files.sitemap_lines(crawl(spark, d)),
     "report_sections": lambda spark, d: files.report_sections(crawl(spark, d)),
-    "workbook_titles": lambda spark, d: files.audit_sheets(crawl(spark, d))["Titles"].groupBy("crawl_id", "issue").agg(F.count(F.lit(1)).alias("n")),
+    "workbook_titles": lambda spark, d: files.audit_sheet(crawl(spark, d), "Titles").groupBy("crawl_id", "issue").agg(F.count(F.lit(1)).alias("n")),
     "csv_guard": lambda spark, d: edges(spark, d).select("id", files.guarded(F.col("anchor_text")).alias("anchor_text")),
     "stream_upserts": _upserts,
     "stream_summary": _stream_summary,

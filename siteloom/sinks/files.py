@@ -129,14 +129,17 @@ AUDIT_SHEETS = {
 }
 
 
+def audit_sheet(records: DataFrame, sheet: str, scope: list[str] = audit.SCOPE) -> DataFrame:
+    """One sheet of the audit workbook: a row per record and view that holds it, from one scan."""
+    views = AUDIT_SHEETS[sheet]
+    flags = audit.flagged(records, views, scope=scope)
+    issue = F.explode(F.array_compact(F.array(*[F.when(F.col(v), F.lit(v)) for v in views])))
+    return flags.select(*scope, "id", "url", "final_url", "status_code", "title", "canonical", issue.alias("issue"))
+
+
 def audit_sheets(records: DataFrame, scope: list[str] = audit.SCOPE) -> dict[str, DataFrame]:
-    """Summary and one DataFrame per sheet of the audit workbook; each sheet's views share one scan."""
-    out = {"Summary": audit.summary(records, scope=scope)}
-    for sheet, views in AUDIT_SHEETS.items():
-        flags = audit.flagged(records, views, scope=scope)
-        issue = F.explode(F.array_compact(F.array(*[F.when(F.col(v), F.lit(v)) for v in views])))
-        out[sheet] = flags.select(*scope, "id", "url", "final_url", "status_code", "title", "canonical", issue.alias("issue"))
-    return out
+    """Summary and all sheets of the audit workbook."""
+    return {"Summary": audit.summary(records, scope=scope)} | {n: audit_sheet(records, n, scope) for n in AUDIT_SHEETS}
 
 
 def write_filtered_xlsx(path: str, records: DataFrame, query: GridQuery, scope: list[str] = audit.SCOPE) -> None:
@@ -178,21 +181,22 @@ def write_sitemaps(folder: str, records: DataFrame) -> None:
 
 # ---------------------------------------------------------------- HTML summary
 
-#: Section: condition over records. Numbers are the report's own limits.
+#: Section: condition over records, given the views. Numbers are the report's own limits.
 SECTIONS = {
-    "Broken URLs": gates.broken, "Titles and descriptions": lambda: audit.predicates()["TitleMissing"][0] | audit.predicates()["TitleTooLong"][0] | audit.predicates()["MetaMissing"][0],
-    "Headings and canonicals": lambda: audit.predicates()["H1Missing"][0] | (gates.success_html() & (F.col("h1_count") > 1)) | audit.predicates()["CanonicalMissing"][0],
-    "Images": lambda: audit.predicates()["ImagesMissingAlt"][0] | audit.predicates()["ImagesAltTooLong"][0] | (gates.sure(F.startswith("content_type", F.lit("image/"))) & (F.col("size_bytes") > gates.LARGE_IMAGE_BYTES)),
-    "Performance": lambda: gates.sure(F.col("size_bytes") > 1_000_000) | gates.sure(F.col("ttfb_ms") > 800) | gates.sure(F.col("response_time_ms") > 3_000),
-    "Security": lambda: gates.sure(F.startswith("final_url", F.lit("http://"))) | audit.predicates()["SecurityMixedContent"][0] | audit.predicates()["SecurityMissingHsts"][0] | audit.predicates()["SecurityMissingCsp"][0],
-    "Structured data and languages": lambda: audit.predicates()["StructuredDataInvalid"][0] | audit.predicates()["HreflangInvalid"][0],
-    "HTML validation": lambda: audit.predicates()["HtmlDeprecatedTags"][0] | audit.predicates()["HtmlDuplicateIds"][0], "Rendering": lambda: audit.predicates()["RenderedDomChanged"][0],
+    "Broken URLs": lambda p: gates.broken(), "Titles and descriptions": lambda p: p["TitleMissing"][0] | p["TitleTooLong"][0] | p["MetaMissing"][0],
+    "Headings and canonicals": lambda p: p["H1Missing"][0] | (gates.success_html() & (F.col("h1_count") > 1)) | p["CanonicalMissing"][0],
+    "Images": lambda p: p["ImagesMissingAlt"][0] | p["ImagesAltTooLong"][0] | (gates.sure(F.startswith("content_type", F.lit("image/"))) & (F.col("size_bytes") > gates.LARGE_IMAGE_BYTES)),
+    "Performance": lambda p: gates.sure(F.col("size_bytes") > 1_000_000) | gates.sure(F.col("ttfb_ms") > 800) | gates.sure(F.col("response_time_ms") > 3_000),
+    "Security": lambda p: gates.sure(F.startswith("final_url", F.lit("http://"))) | p["SecurityMixedContent"][0] | p["SecurityMissingHsts"][0] | p["SecurityMissingCsp"][0],
+    "Structured data and languages": lambda p: p["StructuredDataInvalid"][0] | p["HreflangInvalid"][0],
+    "HTML validation": lambda p: p["HtmlDeprecatedTags"][0] | p["HtmlDuplicateIds"][0], "Rendering": lambda p: p["RenderedDomChanged"][0],
 }
 
 
 def report_sections(records: DataFrame) -> DataFrame:
     """(section, records): exact counts of all sections from one pass."""
-    counts = records.agg(*[F.count_if(c()).alias(n) for n, c in SECTIONS.items()])
+    p = audit.predicates()
+    counts = records.agg(*[F.count_if(c(p)).alias(n) for n, c in SECTIONS.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(f"`{n}`").alias("records")) for n in SECTIONS])).alias("x")).select("x.*")
 
 
@@ -201,7 +205,8 @@ def write_html_report(path: str, records: DataFrame, edges: DataFrame | None = N
     counters = audit.summary(records, scope=[]).first().asDict()
     counts = {r["section"]: r["records"] for r in report_sections(records).collect()}
     parts = [f"<h1>{html.escape(title)}</h1><table>", *[f"<tr><th>{html.escape(k)}</th><td>{v}</td></tr>" for k, v in counters.items()], "</table>"]
-    rows = {n: records.where(c()).select("id", "final_url", "status_code", "title").orderBy("id").limit(SECTION_ROWS).collect() for n, c in SECTIONS.items()}
+    p = audit.predicates()
+    rows = {n: records.where(c(p)).select("id", "final_url", "status_code", "title").orderBy("id").limit(SECTION_ROWS).collect() for n, c in SECTIONS.items()}
     if edges is not None:
         broken = links.edge_view(edges, "broken", records)
         counts["Broken links"] = broken.count()
