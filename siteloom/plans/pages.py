@@ -25,11 +25,10 @@ def signals(spark, d):
 
 
 def _tested(spark, d):
-    """Robots texts of documents as host files, tested with the addresses of the same page's site."""
-    docs = table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'robots_txt' and text is not null").select(F.concat(F.lit("h"), F.pmod("doc_id", F.lit(20))).alias("host"), "text", "doc_id")
-    one = docs.groupBy("host").agg(F.min_by("text", "doc_id").alias("text"))
-    urls = crawl(spark, d).select("final_url").distinct().select(F.concat(F.lit("h"), F.pmod(F.length("final_url"), F.lit(20))).alias("host"), F.col("final_url").alias("url"))
-    return pages.robots_tests(one, urls, "larkcrawler/2.1")
+    """Every robots text of the documents, a file of its own, tested with all addresses of the crawls."""
+    docs = once(table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'robots_txt' and text is not null"), "doc_id")
+    urls = crawl(spark, d).select(F.col("final_url").alias("url")).distinct()
+    return pages.robots_batches(docs.select(F.col("doc_id").alias("id"), "text"), urls, "larkcrawler/2.1")
 
 
 def _upserts(spark, d):
@@ -73,7 +72,7 @@ QUERIES = {
     "custom_extract_css": lambda spark, d: pages.custom_values(captures(spark, d).where("raw_html is not null"), "capture_id", "raw_html", [{"name": "headings", "kind": "css", "pattern": "main > h2, article h2"}, {"name": "robots", "kind": "cssAttribute", "pattern": "meta[name=robots]", "attribute": "content"}]),
     "custom_extract_regex": lambda spark, d: captures(spark, d).where("raw_html is not null").select("capture_id", F.explode(F.regexp_extract_all("raw_html", F.lit(r'"v":([0-9]+)'), F.lit(1))).alias("value")),
     "custom_search": lambda spark, d: pages.custom_searches(captures(spark, d).where("raw_html is not null"), "capture_id", "raw_html", [{"name": "cookies", "pattern": "cookie"}]).select("capture_id", F.col("custom_searches")[0]["match_count"].alias("matches")),
-    "robots_batch": lambda spark, d: _tested(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("n")),
+    "robots_batch": lambda spark, d: _tested(spark, d).groupBy("verdict").agg(F.sum("n").alias("n")),
     "normalise_urls": lambda spark, d: table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct().select("target_url", U.normalised_query("target_url", drop=["utm_.*"]).alias("normalised"), U.folder_depth("target_url").alias("folder_depth"), U.resource_class("target_url").alias("kind")),
     "url_aliases": lambda spark, d: U.with_aliases(table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct(), ["target_url"]),
     "scope_filter": lambda spark, d: crawl(spark, d).select("final_url").distinct().where(U.in_scope("final_url", "https://www.istnequogate.example/", subdomains=True, exclude=["/tag/"])).select("final_url"),

@@ -6,11 +6,13 @@ import re
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import html as H
 from siteloom.functions import url as U
+from siteloom.session import checkpointed
 from siteloom.sources.schema import RECORD
 
 _LISTS = {
@@ -143,12 +145,15 @@ class Robots:
     def allowed(self, target: str) -> bool:
         best, verdict = -1, True
         for allow, pattern in self.rules:
-            body = pattern.removesuffix("$")
-            regex = "".join(".*" if c == "*" else re.escape(c) for c in body) + ("$" if pattern.endswith("$") else "")
-            if re.match(regex, target) and (len(pattern) > best or (len(pattern) == best and allow)):
+            if re.match(self.regex(pattern), target) and (len(pattern) > best or (len(pattern) == best and allow)):
                 best, verdict = len(pattern), allow
         return verdict
 
+    @staticmethod
+    def regex(pattern: str) -> str:
+        body = pattern.removesuffix("$")
+        return "".join(".*" if c == "*" else re.escape(c) for c in body) + ("$" if pattern.endswith("$") else "")
+
 
 def robots_tests(files: DataFrame, tests: DataFrame, agent: str) -> DataFrame:
     """(host, url, verdict): allowed, blocked or invalid for each url of `tests` (host, url) by the robots text of its host in
@@ -173,6 +178,54 @@ def robots_tests(files: DataFrame, tests: DataFrame, agent: str) -> DataFrame:
     return tests.join(files, "host", "left").select("host", "url", "text").mapInPandas(run, "host string, url string, verdict string")
 
 
+def _blocks(df: DataFrame, kind: str, name: str, most: int) -> DataFrame:
+    """One row for each run of at most `most` rows of the one column of `df`, as an array."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                values = batch.column(0).slice(at, most)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)], names=[name])
+
+    return checkpointed(df.mapInArrow(run, f"{name} array<{kind}>"))
+
+
+def robots_batches(files: DataFrame, urls: DataFrame, agent: str) -> DataFrame:
+    """(id, verdict, n): how many of all `urls` (url) each robots text of `files` (id long, text) allows, blocks or finds
+    invalid; counts of nothing are left out.
+
+    All pairs are tested. Texts and addresses meet in blocks, and a pattern that several texts of a block share is matched
+    once against a block of addresses, so a pair costs something only where a rule matches.
+    """
+    counted = pa.schema([("id", pa.int64()), ("verdict", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for texts, addresses in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [p for p in map(U.parse, addresses) if p is not None]
+                targets = [p[3] + ("" if p[4] is None else f"?{p[4]}") for p in parts]
+                hits: dict[str, list[int]] = {}
+                for f in texts:
+                    best: dict[int, tuple[int, bool]] = {}
+                    for allow, pattern in Robots(f["text"] or "", agent).rules:
+                        if pattern not in hits:
+                            matched = re.compile(Robots.regex(pattern)).match
+                            hits[pattern] = [i for i, t in enumerate(targets) if matched(t)]
+                        key = (len(pattern), allow)
+                        for i in hits[pattern]:
+                            if key > best.get(i, (-1, True)):
+                                best[i] = key
+                    blocked = sum(not allow for _, allow in best.values())
+                    counts = {"allowed": len(targets) - blocked, "blocked": blocked, "invalid": len(addresses) - len(parts)}
+                    out += [(f["id"], verdict, n) for verdict, n in counts.items() if n]
+            yield pa.RecordBatch.from_pylist([dict(zip(counted.names, row)) for row in out], schema=counted)
+
+    texts = _blocks(files.select(F.struct("id", "text").alias("_f")), "struct<id:bigint,text:string>", "texts", 500)
+    pairs = texts.crossJoin(_blocks(urls.select("url"), "string", "urls", 5000))
+    return pairs.mapInArrow(run, "id long, verdict string, n long").groupBy("id", "verdict").agg(F.sum("n").alias("n"))
+
+
 # ---------------------------------------------------------------- sitemaps
 
 

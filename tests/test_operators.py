@@ -261,6 +261,27 @@ def test_robots_longest_rule_wins():
     assert r.delay_ms == 1500 and r.sitemaps == ["https://a.test/s.xml"] and not pages.Robots("User-agent: *\nDisallow: /", "x").allowed("/")
 
 
+def test_robots_batch_tests_every_file_with_every_address(spark, sf):
+    from siteloom.plans.pages import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_kind = 'robots_txt' and text is not null and doc_id is not null").dropDuplicates(["doc_id"]).collect()
+    urls = [r["final_url"] for r in spark.read.parquet(f"{sf}/crawl_records.parquet").where("id is not null").select("final_url").distinct().collect()]
+    got = {r["verdict"]: r["n"] for r in QUERIES["robots_batch"](spark, sf).collect()}
+    assert sum(got.values()) == len(docs) * len(urls)
+    texts = ["User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /*.pdf$", "User-agent: larkcrawler\nDisallow: /a\nAllow: /a", "User-agent: x\nDisallow: /", "", "User-agent: *\nDisallow: /"]
+    texts += [f"User-agent: *\nDisallow: /{i}" for i in range(40)]
+    urls = [f"{SITE}/a", f"{SITE}/a/b", f"{SITE}/q.pdf", f"{SITE}/7?x=1", SITE, "nothing"]
+    files = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for u in urls:
+            p = U.parse(u)
+            verdict = "invalid" if p is None else "allowed" if pages.Robots(t, "larkcrawler").allowed(p[3] + ("" if p[4] is None else f"?{p[4]}")) else "blocked"
+            want[i, verdict] = want.get((i, verdict), 0) + 1
+    rows = pages.robots_batches(files, spark.createDataFrame([(u,) for u in urls], "url string").repartition(3), "larkcrawler").collect()
+    assert {(r["id"], r["verdict"]): r["n"] for r in rows} == want
+
+
 def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     docs = [("https://a.test/i.xml", f"<sitemapindex {ns}><sitemap><loc>/s.xml</loc></sitemap><sitemap><loc>/i.xml</loc></sitemap></sitemapindex>"), ("https://a.test/s.xml", f"<x:urlset xmlns:x='n'><x:url><x:loc> /p?a=1&amp;b=2 </x:loc></x:url><x:url><x:loc>/p?a=1&amp;b=2</x:loc></x:url></x:urlset>"), ("https://a.test/bad.xml", "<urlset><url>")]
