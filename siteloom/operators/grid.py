@@ -26,9 +26,12 @@ NUMBER_OPERATORS = frozenset("equals notEquals lessThan greaterThan isEmpty isNo
 #: Scalar columns that the global search reads.
 SEARCHED = (
     "url final_url status_code status_text content_type indexability indexability_status title meta_description meta_keywords meta_robots x_robots_tag h1 h2 canonical amphtml rel_next rel_prev redirect_target "
-    "redirect_type response_hash content_hash error classification depth word_count near_duplicate_cluster_id"
+    "redirect_type response_hash content_hash error classification depth word_count near_duplicate_cluster_id list_position deprecated_html_tag_count duplicate_id_count js_rendered rendered_dom_changed "
+    "rendered_word_count_delta rendered_link_count_delta search_console_clicks search_console_impressions search_console_ctr search_console_average_position"
 ).split()
 SEARCHED_ARRAYS = ("amphtml_targets", "rel_next_targets", "rel_prev_targets")
+#: Searched too where the first inlinks are joined.
+SEARCHED_INLINK = ("first_inlink_source_url", "first_inlink_anchor_text", "first_inlink_source_position")
 
 _SORTED = """statusCode responseTimeMs dnsLookupTimeMs tcpConnectTimeMs tlsHandshakeTimeMs ttfbMs downloadTimeMs totalNetworkTimeMs transferRateBytesPerSec resolvedIpCount inSitemap listPosition listDuplicateIndex sizeBytes depth
 titleLen titleCount titlePixelWidth metaDescription metaDescriptionLen metaDescriptionCount metaDescriptionPixelWidth h1 h1Len h1Count h2 h2Len h2Count canonicalCount relNext relPrev amphtml metaKeywords wordCount textToCodeRatio
@@ -117,16 +120,20 @@ def segment(text: str, regex: bool = False) -> Column:
     return test("url") | test("final_url")
 
 
-def search(text: str) -> Column:
-    """Literal substring of any searched column, without regard to case; blank text finds everything."""
+def search(text: str, inlinks: bool = False) -> Column:
+    """Literal substring of any searched column, without regard to case; blank text finds everything. `inlinks`: those of
+    `links.first_inlinks` are joined and searched too.
+    """
     text = text.strip().lower()
     if not text:
         return F.lit(True)
-    hits = [contains_ci(c, text) for c in SEARCHED]
+    hits = [contains_ci(c, text) for c in (*SEARCHED, *(SEARCHED_INLINK if inlinks else ()))]
     hits += [F.coalesce(F.exists(c, lambda x: F.contains(F.lower(x), F.lit(text))), F.lit(False)) for c in SEARCHED_ARRAYS]
     in_values = lambda e: F.contains(F.lower(e["name"]), F.lit(text)) | F.exists(e["values"], lambda v: F.contains(F.lower(v), F.lit(text)))
     hits.append(F.coalesce(F.exists("custom_extractions", in_values), F.lit(False)))
-    hits.append(F.coalesce(F.exists("custom_searches", lambda e: F.contains(F.lower(e["name"]), F.lit(text)) | F.exists(e["snippets"], lambda v: F.contains(F.lower(v), F.lit(text)))), F.lit(False)))
+    hits.append(F.coalesce(F.exists("custom_searches", lambda e: F.contains(F.lower(e["name"]), F.lit(text)) | F.contains(e["match_count"].cast("string"), F.lit(text)) | F.exists(e["snippets"], lambda v: F.contains(F.lower(v), F.lit(text)))), F.lit(False)))
+    issue = lambda e: reduce(lambda a, b: a | b, [contains_ci(e[k], text) for k in ("severity", "message", "path")])
+    hits.append(F.coalesce(F.exists("structured_data_issues", issue), F.lit(False)))
     return reduce(lambda a, b: a | b, hits)
 
 
@@ -145,15 +152,21 @@ def order(query: GridQuery) -> list[Column]:
     return [c.desc() if query.descending else c.asc(), F.col("id")]
 
 
-def filtered(records: DataFrame, query: GridQuery, scope: list[str] = audit.SCOPE) -> DataFrame:
-    """All rows that a grid query finds, unsorted."""
+def filtered(records: DataFrame, query: GridQuery, scope: list[str] = audit.SCOPE, edges: DataFrame | None = None) -> DataFrame:
+    """All rows that a grid query finds, unsorted. `edges` is needed for a search text only, which their first inlinks may hold."""
     rows = audit.view(records, query.view, query.thresholds, scope)
-    return rows.where(segment(query.segment, query.segment_regex)).where(search(query.search)).where(rules(query.rules, query.match_any))
+    rows = rows.where(segment(query.segment, query.segment_regex)).where(rules(query.rules, query.match_any))
+    if not query.search.strip():
+        return rows
+    if edges is None:
+        raise ValueError("searching needs the link edges")
+    linked = rows.join(links.first_inlinks(rows, edges, scope), [*scope, "id"], "left")
+    return linked.where(search(query.search, inlinks=True)).drop(*SEARCHED_INLINK)
 
 
 def page(records: DataFrame, query: GridQuery, edges: DataFrame | None = None, scope: list[str] = audit.SCOPE) -> DataFrame:
-    """The page of rows. `edges` is needed to sort by the first inlink only."""
-    rows = filtered(records, query, scope)
+    """The page of rows. `edges` is needed to search and to sort by the first inlink only."""
+    rows = filtered(records, query, scope, edges)
     if query.sort and query.sort.startswith("firstInlink"):
         if edges is None:
             raise ValueError("sorting by the first inlink needs the link edges")
@@ -163,5 +176,5 @@ def page(records: DataFrame, query: GridQuery, edges: DataFrame | None = None, s
 
 def response(records: DataFrame, query: GridQuery, edges: DataFrame | None = None, scope: list[str] = audit.SCOPE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(page of rows, one-row total, summary per crawl)."""
-    total = filtered(records, query, scope).agg(F.count(F.lit(1)).alias("total"))
+    total = filtered(records, query, scope, edges).agg(F.count(F.lit(1)).alias("total"))
     return page(records, query, edges, scope), total, audit.summary(records, thresholds=query.thresholds, scope=scope)

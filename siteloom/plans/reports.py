@@ -66,7 +66,8 @@ def _edges(view):
 
 
 def _grid(q, ordered=False):
-    return lambda spark, d: (grid.page(crawl(spark, d), q) if ordered else grid.filtered(crawl(spark, d), q)).select("crawl_id", "id", "final_url")
+    found = lambda rows, linked: grid.page(rows, q, linked) if ordered else grid.filtered(rows, q, edges=linked)
+    return lambda spark, d: found(crawl(spark, d), edges(spark, d) if q.search else None).select("crawl_id", "id", "final_url")
 
 
 def _rule(*args):

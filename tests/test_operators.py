@@ -124,6 +124,31 @@ def test_grid_search_reads_lists_and_is_literal(spark):
     assert df.where(grid.segment("[", True)).count() == 0  # an invalid pattern finds nothing
 
 
+def test_grid_search_reads_first_inlinks(spark):
+    df = site(spark, [{"url": f"{SITE}/{i}", "final_url": f"{SITE}/{i}", "storage_key": f"{SITE}/{i}"} for i in range(1, 5)] + [{"structured_data_issues": [("warning", "No museum", "$")]}])
+    rows = [(1, f"{SITE}/museum", f"{SITE}/1", "x", 1, 1), (2, "s", f"{SITE}/2", "The Museum", 1, 2), (3, "s", f"{SITE}/3", "first", 1, 3), (4, "s", f"{SITE}/3", "museum later", 2, 4)]
+    edges = spark.createDataFrame(rows, "id long, source_url string, target_url string, anchor_text string, source_position int, discovery_order long")
+    query = grid.GridQuery(search=" Museum ")
+    assert [r["id"] for r in grid.page(df, query, edges, []).collect()] == [1, 2, 5]
+    assert [r["id"] for r in grid.page(df, grid.GridQuery(search="Museum", sort="firstInlinkSourceUrl", descending=True), edges, []).collect()] == [2, 1, 5]
+    assert grid.response(df, query, edges, [])[1].first()["total"] == 3
+    with pytest.raises(ValueError):
+        grid.page(df, query, scope=[])
+
+
+def test_grid_search_query_equals_sql_with_first_inlinks(spark, sf):
+    from compare import differences, views
+    from siteloom.plans import registry
+
+    inlinks = f"({registry.SQL['first_inlinks']})"
+    sql = f"""
+        SELECT crawl_id, id, final_url FROM ({registry.SQL["grid_search"]}) UNION
+        SELECT r.crawl_id, r.id, r.final_url FROM (SELECT DISTINCT crawl_id, id, final_url FROM crawl_records WHERE id IS NOT NULL) r JOIN {inlinks} f ON f.crawl_id = r.crawl_id AND f.id = r.id
+        WHERE lower(coalesce(f.first_inlink_source_url, '')) LIKE '%museum%' OR lower(coalesce(f.first_inlink_anchor_text, '')) LIKE '%museum%'
+    """
+    assert differences(registry.QUERIES["grid_search"](spark, sf), views(sf), sql) == ""
+
+
 def test_grid_custom_sort(spark):
     df = site(spark, [{"custom_extractions": [{"name": "p", "values": ["b"]}]}, {}, {"custom_extractions": [{"name": "p", "values": ["A", "c"]}]}])
     assert [r["id"] for r in grid.page(df, grid.GridQuery(sort="custom:p:value"), scope=[]).collect()] == [2, 3, 1]
