@@ -47,6 +47,29 @@ ASIDE = (
     "novel essay studies study propaganda called moderators moderator remove removes helpline victims quoted report reported article history museum-guide screening cancer health contraception sculptors marble figures carved painting "
     "kennel puppies puppy litter soup gravy pub cakes boots recipe process processes worker queue uploads jobs database replicas node parent restart drum bass coast bird species form recorded weight dictionary translation"
 )
+# Ordinary words and names that are spelled like an entry, without accents: never taken for a misspelling of it.
+ORDINARY = frozenset(
+    "fussy hussy pushy picken ticken nicken dicken flicken sicken zicken nickt tickt pickt flickt ficht bitten ritten sitten mitten kitten litten tritten dollar collar foliar pollo polls polly polka bolla colla holla pulla "
+    "baisser baisers raiser braiser kaiser baser corno horno forno torno porto perno hornos tornos cornos pernos sonography phonography orography monography ripples tipples nodes dudes rudes nudges nukes nubes nudos "
+    "thorny corny horns hornby election elections direction directions ejection ejections selection selections reactions rejection rejections detection detections evictions perfection perfections execution executions "
+    "creations resection resections defection defections parties pantries pansies patties pasties loaned moated maned haughty naught teile weile seile keile heile meile feile zeile peile geige guile hackten packten backten knackten "
+    "neckten nickten borgia uncentered uncensured armateur explicates implicites exploites censure mensura cesura baked raked faked waked caked named snaked nuked trust thrush addressed unaddressed redressed unstressed "
+    "underused unblessed unpressed grounding profaning hardcover hardcode hardcoded nachte packte hackte backte neckte nickte knackte packt hackt backt neckt knackt pacientes clientes valientes salientes parientes dolientes "
+    "calmantes chauves chaumes claudes adult adulte adultes adulto dusty rusty lusty musty gusty fusty bushy busby busts bursty strip stripe stripes straps strops trips bogies bodied bodices explicate explicitly explizit explizite "
+    "wallowed locked kicked picked ticked nicked wicked linked liked lacked lucked flicked clicked slicked licker deckhead duckhead dastard dastards bustard bustards banker hanker canker tanker ranker wander walker anker wanken "
+    "wankel wacker winker price brick trick crick erick pricy boron moran morton mormon mormons myron morin mourons idiom idioms idioma idiome where whole whose shore chore whorl birch pitch witch hitch batch botch butch mitch "
+    "titch regard reward petard renard retards retarde retardo retarder cretan cretans creatin creton cretons debite defile decile schlappe stehlampe tischlampe renner kenner nenner tenner jenner penne pennen penned pinner penser "
+    "bonnard galope salopp saloppe bayard bavard carbon cabros cabran presse tresse dresse kresse bresse fressen fresst gueuse gueules verriss verpass vermiss merge werde verde herde perde merle merke foudre poutre loutre "
+    "outre fourre feutre boutre pierda muerda ducking bucking tucking mucking funking blend bleep blued bread breeds creed greed freed brewed bleeding breading breezing preceding breeching greve breve crete creme treve crepe crave "
+    "crewe clever creer creez muerte fueran muevan brown crown grown frown drawn fetze regarded rewarded restarted stainless chainless leser closer closers looser loses laser lasers lower lowers lover lovers poser loner loners loger "
+    "losen boser loyer loyers louer mirthless userless fuseless apathetic empathetic crash brash thrash discussing disguising digesting distrusting disrupting disputing stash slash tenth dutch stirn stirbt streben starben "
+    "fahne sahne zahle zahme zaune invierno inferno estupendo wreck druck caser passer casier cassel casse cassee wasser nasser masser cesser causer classer casher caster chaser chausser parti partie partis partit partio martir patir "
+    "parir figura figur figuren figured summer hummer nummer kummer drummer dimmer bummer dummies gotten roten routen ratten retten grotten motten rosten shamed unashamed pedalo soporte soportar soportan hafen laufen kaufen taufen "
+    "saufen raufen hauen hausen harfen halfen hande bands lande rande wande banda bando bandy binde bunde bange barde brande bonde chose choker choked chokes flown blown taste paste haste caste baste wastes wasted weste wuste "
+    "warte gaste kaste vaste money donkey verein vereine termin termine ermine hermine fermin vermik verpin fifth plaza playa placa plata plana plage llaga praga interior interiors inferir animal animales diseases betray betrags tasse "
+    "kasse masse passe lasse gasse nasse basse fasse rosse trasse brasse raste russe risse raise linking singing winking inking sinning stinking slinking cleanser driver drives drive drivel riven versagt vertagt verzagt "
+    "criminel bloody flood brood bloom blond depart depot deporte terminate determinate heritent perecen sobre cobra sombra sopra sobria sabra smeller breaching bleaching wreathing sheathing broaching preaching breasting".split()
+)
 
 _LOOKALIKE = str.maketrans(
     "аеорсхуіѕјԁһոԛԝκοντρυαεικνЕТОРАНКХСВМ"[:37],
@@ -179,8 +202,8 @@ def edits(token: str) -> int:
 class Matcher:
     """Entries of a token, exact or near, remembered per process.
 
-    near_words: how often each token that is near an entry but no entry itself occurs, and each entry. A token more
-    frequent than the entry it resembles is a word of its own ("where"), not a misspelling.
+    ORDINARY words ("where") are words of their own, not misspellings, whatever table is judged. frequency: counts of a
+    reference vocabulary, if the caller has one; there a token more frequent than the entry it resembles is a word too.
     """
 
     def __init__(self, frequency: dict[str, int] | None = None):
@@ -212,7 +235,7 @@ class Matcher:
             hits = [(i, d) for i, d in trie().near(token, 0) if TABLE[i][2] >= 0.5]
             return (min(hits)[0], 0.9) if hits else None
         most = edits(word)
-        if not most or not word.isalpha():
+        if not most or not word.isalpha() or word in ORDINARY:
             return None
         hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most) if d and len(TABLE[i][0]) >= 5]
         if not hits:
@@ -222,16 +245,6 @@ class Matcher:
             return None
         return i, 0.8 if d == 1 else 0.7
 
-    def near(self, token: str) -> str | None:
-        """The normalised token if it is an entry or near one."""
-        if "*" in token:
-            return None
-        word = spelled(token)
-        if word in PLACE:
-            return word if TABLE[PLACE[word]][2] >= 0.4 else None
-        most = edits(word)
-        return word if most and word.isalpha() and any(len(TABLE[i][0]) >= 5 for i, _ in trie().near(word, most)) else None
-
 
 def _unspaced(sentence: str) -> str:
     """Letters written apart are joined; where that hides several words, the entries inside are set apart again."""
@@ -316,33 +329,6 @@ def judge(text: str, match: Matcher) -> tuple[float, str]:
     return best
 
 
-def near_words(df: DataFrame, text: str) -> dict[str, int]:
-    """In how many texts each entry, and each token that is near one, occurs.
-
-    Counted over all texts with partial sums per task. Only spellings within the edit distance of an entry come back to
-    the driver: the lexicon's neighbourhoods bound their number, not the corpus.
-    """
-
-    def run(batches):
-        match, known, counts = Matcher(), {}, Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen = set(_TOKEN.findall(_unspaced(plain(t))))
-                for w in seen:
-                    if w not in known:
-                        known[w] = match.near(w.strip("'-!|+"))
-                counts.update({known[w] for w in seen} - {None})
-                if len(known) > 500_000:
-                    known.clear()
-            if len(counts) > 200_000:
-                yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
-                counts = Counter()
-        yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
-
-    rows = df.select(text).where(F.length(text) > 0).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r["word"]: r["n"] for r in rows}
-
-
 def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), frequency: dict[str, int] | None = None) -> DataFrame:
     """`ident`, `keep`, score double, category string and flagged boolean of every row.
 
@@ -350,10 +336,9 @@ def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), fre
     """
     columns = [ident, *keep]
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes)
-    sent = df.sparkSession.sparkContext.broadcast(near_words(df, text) if frequency is None else frequency)
 
     def run(batches):
-        match = Matcher(sent.value)
+        match = Matcher(frequency)
         for batch in batches:
             got = [judge(t, match) if t else (0.0, "") for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -48,6 +48,13 @@ def test_frequent_neighbours_are_words_of_their_own():
     assert M.Matcher({"idiott": 1, "idiot": 30})("idoit") is not None
 
 
+def test_flags_do_not_depend_on_copies_or_other_texts(spark):
+    text, own = "You are an idoit", "You are where the whole regard and the price of bread are"
+    for copies in (1, 2, 5):
+        df = spark.createDataFrame([(i, text) for i in range(copies)] + [(100 + i, own) for i in range(copies)] + [(200, "You are an idoit, said he")], "doc_id long, text string")
+        assert sorted(r["doc_id"] for r in M.flagged_documents(df).collect()) == [*range(copies), 200]
+
+
 def test_table(spark):
     long = "The bridge is long. " * 5000 + "You absolute moron, nobody likes you."
     rows = [(1, None, "s", 0), (2, "", "s", 0), (3, "  ", None, 0), (4, long, "s", 0), (4, long, "s", 0), (5, "A kettle.", None, 0), (None, "You moron", "s", 0)]
