@@ -119,10 +119,19 @@ def spelled(token: str) -> str:
     return _RUN.sub(r"\1\1", token)
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to `most` of its letters."""
+    out = step = {word}
+    for _ in range(most):
+        step = {w[:i] + w[i + 1 :] for w in step for i in range(len(w))}
+        out = out | step
+    return out
+
+
 class Trie:
     """All entries by letter; `near` walks it with the rows of a Levenshtein automaton, adjacent swaps counting once."""
 
-    __slots__ = ("root",)
+    __slots__ = ("root", "shorter", "longest")
 
     def __init__(self, entries: dict[str, int]):
         self.root: dict = {}
@@ -131,19 +140,29 @@ class Trie:
             for c in word:
                 node = node.setdefault(c, {})
             node[""] = at
+        self.longest = max(map(len, entries), default=0)
+        self.shorter = [frozenset(x for w in entries for x in shortened(w, most)) for most in range(3)]
 
-    def near(self, token: str, most: int) -> list[tuple[int, int]]:
-        """(entry, distance) of the entries within `most` edits that begin with the token's first letter.
+    def near(self, token: str, most: int, first: bool = True) -> list[tuple[int, int]]:
+        """(entry, distance) of the entries within `most` edits; with `first` those only that begin with the token's first letter.
 
-        An asterisk in the token stands for any letter. Misspellings keep the first letter, so only its branch is walked.
+        An asterisk in the token stands for any letter, the first included.
         """
         out: list[tuple[int, int]] = []
+        if len(token) > self.longest + most:
+            return out
         width = len(token) + 1
         top = list(range(width))
-        branch = self.root.get(token[0])
-        if branch is None:
-            return out
-        stack = [(branch, token[0], [1, 0, *range(1, width - 1)], top)]
+        if not first or token[0] == "*":
+            # Texts within so many edits have a shortening in common, so most tokens need no walk.
+            if most < 3 and "*" not in token and shortened(token, most).isdisjoint(self.shorter[most]):
+                return out
+            stack = [(self.root, "", top, None)]
+        else:
+            branch = self.root.get(token[0])
+            if branch is None:
+                return out
+            stack = [(branch, token[0], [1, 0, *range(1, width - 1)], top)]
         while stack:
             node, last, row, above = stack.pop()
             for c, child in node.items():
@@ -230,6 +249,9 @@ class Matcher:
         if at is not None and not masked:
             return at, 1.0
         if masked:
+            inner = token.strip("*")
+            if len(inner) > 2 and "*" not in inner and token[0] == token[-1]:
+                return self(inner)  # set between asterisks for emphasis
             if len(token) - masked < 2 or len(token) < 4 or masked > len(token) - 2:
                 return None
             hits = [(i, d) for i, d in trie().near(token, 0) if TABLE[i][2] >= 0.5]
@@ -237,7 +259,7 @@ class Matcher:
         most = edits(word)
         if not most or not word.isalpha() or word in ORDINARY:
             return None
-        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most) if d and len(TABLE[i][0]) >= 5]
+        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most, first=False) if d and len(TABLE[i][0]) >= 5]
         if not hits:
             return None
         d, _, i = min(hits)

@@ -55,6 +55,27 @@ def test_flags_do_not_depend_on_copies_or_other_texts(spark):
         assert sorted(r["doc_id"] for r in M.flagged_documents(df).collect()) == [*range(copies), 200]
 
 
+@pytest.mark.parametrize("text", ["You are an *diot", "you are an **iot", "you are an odiot", "you are an ediot", "you *itch", "You are an *idiot*", "you are a joron", "your are an imbecile, an **becile"])
+def test_spellings_of_the_first_letter(text):
+    assert M.judge(text, M.Matcher())[0] >= M.THRESHOLD
+
+
+@given(st.text("abcd", min_size=1, max_size=7), st.lists(st.text("abcd", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.integers(0, 2))
+@settings(max_examples=300, deadline=None)
+def test_whole_trie_walk_equals_edit_distance(token, words, most):
+    got = dict(M.Trie({w: i for i, w in enumerate(words)}).near(token, most, first=False))
+    assert got == {i: distance(token, w) for i, w in enumerate(words) if distance(token, w) <= most}
+
+
+def test_long_tokens_are_not_shortened():
+    assert M.Matcher()("x" * 1_000_000) is None and M.Matcher().find("ab" * 100_000) is None
+
+
+def test_ordinary_words_are_no_entries_but_near_one():
+    for w in M.ORDINARY:
+        assert w not in M.PLACE and M.trie().near(w, M.edits(w), first=False), w
+
+
 def test_table(spark):
     long = "The bridge is long. " * 5000 + "You absolute moron, nobody likes you."
     rows = [(1, None, "s", 0), (2, "", "s", 0), (3, "  ", None, 0), (4, long, "s", 0), (4, long, "s", 0), (5, "A kettle.", None, 0), (None, "You moron", "s", 0)]
