@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, count as count_from
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,11 +106,11 @@ def url_tree(records: DataFrame, scope: list[str]) -> DataFrame:
     return rows.groupBy(*scope, "path", (F.col("segments") + 1).alias("segments")).agg(F.count(F.lit(1)).alias("total"), of(200, 299).alias("success"), of(300, 399).alias("redirects"), of(400, 499).alias("client_errors"), F.count_if(F.col("status_code") >= 500).alias("server_errors"), F.count_if("_n").alias("no_response"), F.count_if("_b").alias("broken"))
 
 
-def frontier_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, in_scope=None, follow_nofollow: bool = False, max_urls: int | None = None) -> DataFrame:
+def frontier_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, in_scope=None, follow_nofollow: bool = False, max_urls: int | None = None) -> DataFrame:
     """(url, depth): a simulated crawl over captured links from `seeds` (url): breadth first, each address once.
 
     Links out of scope, and nofollow links unless allowed, are not followed; `max_urls` ends the crawl after the level that
-    reaches it.
+    reaches it. A `max_depth` of None goes on until no address is new.
     """
     rows = edges.where("source_url is not null and target_url is not null")
     if not follow_nofollow:
@@ -120,7 +120,7 @@ def frontier_levels(edges: DataFrame, seeds: DataFrame, max_depth: int = 20, in_
     rows = checkpointed(rows.select(U.without_fragment("source_url").alias("source_url"), U.without_fragment("target_url").alias("target_url")).distinct())
     seen = level = checkpointed(seeds.select(U.without_fragment("url").alias("url")).where("url is not null").distinct().withColumn("depth", F.lit(0)))
     count = level.count()
-    for depth in range(1, max_depth + 1):
+    for depth in count_from(1) if max_depth is None else range(1, max_depth + 1):
         if max_urls is not None and count >= max_urls:
             break
         found = rows.join(level.select(F.col("url").alias("source_url")), "source_url", "left_semi").select(F.col("target_url").alias("url")).distinct()

@@ -165,7 +165,7 @@ QUERIES = {
     "graph_edges": lambda spark, d: graph.graph_edges(edges(spark, d), internal_only=True).select("id", "source_url", "target_url", "link_type"),
     "graph_sections": lambda spark, d: graph.sections(graph.graph_nodes(crawl(spark, d), SCOPE), SCOPE),
     "url_tree": lambda spark, d: graph.url_tree(crawl(spark, d), SCOPE),
-    "frontier_bfs": lambda spark, d: graph.frontier_levels(edges(spark, d), edges(spark, d).where("source_depth = 0").select(F.col("source_url").alias("url")), max_depth=12),
+    "frontier_bfs": lambda spark, d: graph.frontier_levels(edges(spark, d), edges(spark, d).where("source_depth = 0").select(F.col("source_url").alias("url")), max_depth=None),
     "near_duplicate_clusters": lambda spark, d: graph.near_duplicate_clusters(table(spark, d, "page_captures", "capture_id", "visible_text"), "capture_id", "visible_text"),
 }
 

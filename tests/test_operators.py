@@ -307,6 +307,14 @@ def test_robots_batch_tests_every_file_with_every_address(spark, sf):
     assert {(r["id"], r["verdict"]): r["n"] for r in rows} == want
 
 
+def test_frontier_query_reaches_every_level(spark, tmp_path):
+    from siteloom.plans.registry import QUERIES
+
+    rows = [(i, f"{SITE}/{i}", f"{SITE}/{i + 1}", False, 0 if i == 0 else None) for i in range(24)] + [(24, f"{SITE}/24", f"{SITE}/3", False, None)]
+    spark.createDataFrame(rows, "id long, source_url string, target_url string, rel_nofollow boolean, source_depth int").write.parquet(f"{tmp_path}/link_edges.parquet")
+    assert {r["url"]: r["depth"] for r in QUERIES["frontier_bfs"](spark, str(tmp_path)).collect()} == {f"{SITE}/{i}": i for i in range(25)}
+
+
 def test_sitemaps(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     docs = [("https://a.test/i.xml", f"<sitemapindex {ns}><sitemap><loc>/s.xml</loc></sitemap><sitemap><loc>/i.xml</loc></sitemap></sitemapindex>"), ("https://a.test/s.xml", f"<x:urlset xmlns:x='n'><x:url><x:loc> /p?a=1&amp;b=2 </x:loc></x:url><x:url><x:loc>/p?a=1&amp;b=2</x:loc></x:url></x:urlset>"), ("https://a.test/bad.xml", "<urlset><url>")]
