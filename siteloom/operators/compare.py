@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import url as U
 from siteloom.functions.text import bounded_bytes, contains_ci, trimmed
 from siteloom.operators import audit, gates, links
+from siteloom.sources.schema import once
 
 FIELDS = ("finalUrl", "statusCode", "title", "metaDescription", "indexability", "headings", "canonical", "robotsDirectives", "content", "responseHash")
 _COLUMNS = (
@@ -23,7 +24,7 @@ def occurrences(records: DataFrame) -> DataFrame:
     hold where all rows of a request have distinct positive ones; else rows are numbered by (position, storage_key, id).
     """
     asked = F.coalesce(F.nullif(trimmed("url"), F.lit("")), F.nullif(F.regexp_extract("storage_key", r"(https?://.*)$", 1), F.lit("")), F.col("final_url"))
-    df = records.select(*_COLUMNS).withColumn("request_url", U.without_fragment(asked))
+    df = once(records).select(*_COLUMNS).withColumn("request_url", U.without_fragment(asked))
     position = F.coalesce("list_position", U.list_position("storage_key")).cast("bigint")
     w = Window.partitionBy("request_url")
     ordered = w.orderBy(F.coalesce(position, F.col("id")), "storage_key", "id")
@@ -128,16 +129,17 @@ def report_evidence(records: DataFrame, edges: DataFrame | None = None, scoped:
     Diagnostics look at the whole snapshot; `scoped` then narrows the records reported on. Broken links (rule links.broken)
     are added where `edges` are given: links from a scoped record to a failed address.
     """
-    df = audit.flagged(records, sorted(set(_REPORT_VIEWS.values())), thresholds, scope)
+    p = audit.predicates(thresholds)
+    wanted = {r: p[v] for r, v in _REPORT_VIEWS.items()}
+    columns = (F.col("id").alias("record_id"), "url", "final_url", *([] if scoped is None else [gates.sure(scoped).alias("_scoped")]))
+    found = audit.hits(records, wanted, scope, columns, {r: bounded_bytes(F.col(o).cast("string"), PREVIEW_BYTES) for r, (_, _, o) in REPORT_RULES.items()})
     if scoped is not None:
-        df = df.where(scoped)
-    found = [
-        F.when(F.col(_REPORT_VIEWS[r]), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.lit(c).alias("category"), bounded_bytes(F.col(o).cast("string"), PREVIEW_BYTES).alias("observed")))
-        for r, (s, c, o) in REPORT_RULES.items()
-    ]
-    pages = df.select(*scope, F.col("id").alias("record_id"), "url", "final_url", F.explode(F.array_compact(F.array(*found))).alias("_f")).select(
-        *scope, F.concat("_f.rule", F.lit(":record:"), "record_id").alias("evidence_id"), "_f.rule", "_f.severity", "_f.category", "record_id", U.without_fragment("url").alias("request_url"), F.lit(None).cast("string").alias("source_url"), F.col("final_url").alias("target_url"), "_f.observed"
-    )
+        found = found.where("_scoped")
+    of = lambda i: F.create_map(*[F.lit(x) for r, v in REPORT_RULES.items() for x in (r, v[i])])[F.col("label")]
+    pages = found.select(
+        *scope, F.concat("label", F.lit(":record:"), "record_id").alias("evidence_id"), F.col("label").alias("rule"), of(0).alias("severity"), of(1).alias("category"), "record_id",
+        U.without_fragment("url").alias("request_url"), F.lit(None).cast("string").alias("source_url"), F.col("final_url").alias("target_url"), F.col("value").alias("observed"),
+    )
     if edges is None:
         return pages
     sources = records if scoped is None else records.where(scoped)
@@ -157,10 +159,12 @@ def report_findings(evidence: DataFrame, scope: list[str] = audit.SCOPE) -> Data
 
 def report_coverage(records: DataFrame, scope: list[str] = audit.SCOPE) -> DataFrame:
     """(scope, records, eligible_html, blocked, failed, unavailable) of the reported records."""
-    return records.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(gates.success_html()).alias("eligible_html"), F.count_if(gates.robots_blocked()).alias("blocked"), F.count_if(gates.broken()).alias("failed"),
-        F.count_if(F.col("status_code").isNull() & F.col("error").isNull() & ~gates.robots_blocked()).alias("unavailable"),
-    )
+    kinds = {
+        "eligible_html": gates.success_html(), "blocked": gates.robots_blocked(), "failed": gates.broken(),
+        "unavailable": F.col("status_code").isNull() & F.col("error").isNull() & ~gates.robots_blocked(),
+    }
+    rows = records.select(*scope, "id", *[c.alias(n) for n, c in kinds.items()]).distinct()
+    return rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("records"), *[F.count_if(n).alias(n) for n in kinds])
 
 
 def report_page(evidence: DataFrame, rule: str, after: str = "", limit: int = 1000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import url as U
 from siteloom.operators import gates
 from siteloom.session import checkpointed
+from siteloom.sources.schema import once
 
 
 def graph_nodes(records: DataFrame, scope: list[str], max_nodes: int | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def graph_edges(edges: DataFrame, internal_only: bool = False, max_edges: int |
     rows = edges.where("source_url is not null and target_url is not null")
     if internal_only:
         rows = rows.where(internal())
-    rows = rows.select("id", "source_url", "target_url", "link_type", "rel_nofollow")
+    rows = rows.select("id", "source_url", "target_url", "link_type", "rel_nofollow").distinct()
     return rows if max_edges is None else rows.orderBy("id").limit(max_edges)
 
 
@@ -66,8 +67,8 @@ def crawl_path(edges: DataFrame, target: str, max_edges: int | None = None, most
     """
     rows = edges.where("source_url is not null and target_url is not null")
     if max_edges is not None:
-        rows = rows.orderBy("id").limit(max_edges)
-    rows = checkpointed(rows.select("id", "source_url", "target_url", "discovery_order", "source_position", "source_depth"))
+        rows = once(rows).orderBy("id").limit(max_edges)
+    rows = checkpointed(rows.select("id", "source_url", "target_url", "discovery_order", "source_position", "source_depth").distinct())
     spark = edges.sparkSession
     wanted = [r[0] for r in U.with_aliases(spark.createDataFrame([(target,)], "u string"), ["u"]).select("alias").distinct().collect()]
     names = lambda c: F.array_distinct(F.concat(U.aliases(c), F.array(c)))
@@ -101,7 +102,8 @@ def crawl_path(edges: DataFrame, target: str, max_edges: int | None = None, most
 
 def url_tree(records: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, path, segments, total, status classes, no_response, broken) of every prefix of the final addresses."""
-    rows = records.select(*scope, F.posexplode(U.tree_paths("final_url")).alias("segments", "path"), "status_code", gates.no_response().alias("_n"), gates.broken().alias("_b"))
+    rows = records.select(*scope, "id", "final_url", "status_code", gates.no_response().alias("_n"), gates.broken().alias("_b")).distinct()
+    rows = rows.select(*scope, F.posexplode(U.tree_paths("final_url")).alias("segments", "path"), "status_code", "_n", "_b")
     of = lambda lo, hi: F.count_if(F.col("status_code").between(lo, hi))
     return rows.groupBy(*scope, "path", (F.col("segments") + 1).alias("segments")).agg(F.count(F.lit(1)).alias("total"), of(200, 299).alias("success"), of(300, 399).alias("redirects"), of(400, 499).alias("client_errors"), F.count_if(F.col("status_code") >= 500).alias("server_errors"), F.count_if("_n").alias("no_response"), F.count_if("_b").alias("broken"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.text import contains_ci, extraction_value, matches, search_matches, text_key
 from siteloom.operators import audit, links
+from siteloom.sources.schema import once
 
 MOST_ROWS = 1_000_000
 MOST_RULES = 20
@@ -153,9 +154,11 @@ def order(query: GridQuery) -> list[Column]:
 
 
 def filtered(records: DataFrame, query: GridQuery, scope: list[str] = audit.SCOPE, edges: DataFrame | None = None) -> DataFrame:
-    """All rows that a grid query finds, unsorted. `edges` is needed for a search text only, which their first inlinks may hold."""
-    rows = audit.view(records, query.view, query.thresholds, scope)
-    rows = rows.where(segment(query.segment, query.segment_regex)).where(rules(query.rules, query.match_any))
+    """All rows that a grid query finds, once each, unsorted. `edges` is needed for a search text only, which their first
+    inlinks may hold. Whether a row is among duplicates is asked of the whole view, before segment and rules narrow it.
+    """
+    rows = audit.held(records, query.view, query.thresholds, scope)
+    rows = once(rows.where(segment(query.segment, query.segment_regex)).where(rules(query.rules, query.match_any)))
     if not query.search.strip():
         return rows
     if edges is None:

@@ -10,17 +10,37 @@ from pyspark.sql import functions as F
 from siteloom.functions import url as U
 from siteloom.functions.text import blank, contains_ci, text_key, trimmed
 from siteloom.operators import gates
+from siteloom.sources.schema import once
 
-EDGE_TEXTS = "source_url target_url anchor_text rel link_type source_status_code target_status_code source_depth target_depth source_position id".split()
+# Searched columns, and the sort keys of the report interface by column.
+EDGE_TEXTS = ["source_url", "target_url", "anchor_text", "rel", "link_type", "source_status_code", "target_status_code", "source_depth", "target_depth", "source_position", "id"]
 EDGE_SORTS = dict(sourceUrl="source_url", targetUrl="target_url", anchorText="anchor_text", rel="rel", relNofollow="rel_nofollow", linkType="link_type", sourceStatusCode="source_status_code", targetStatusCode="target_status_code", sourceDepth="source_depth", targetDepth="target_depth", sourcePosition="source_position", discoveryOrder="discovery_order")
 ANCHOR_SORTS = dict(anchorText="anchor_text", targetUrl="target_url", linkType="link_type", linkCount="link_count", sourceCount="source_count", nofollowCount="nofollow_count", exampleSource="example_source_url", targetStatusCode="target_status_code")
 IMAGE_SORTS = dict(pageUrl="page_url", imageUrl="image_url", altText="alt_text", altLen="alt_len", missingAlt="missing_alt", altTooLong="alt_too_long", width="width", height="height", sizeBytes="size_bytes", oversized="oversized", sourcePosition="source_position")
 SITEMAP_SORTS = dict(severity="severity_rank", issueCount="issue_count", finalUrl="final_url", url="url", statusCode="status_code", indexability="indexability", canonical="canonical", redirectTarget="redirect_target", inlinkCount="inlink_count", depth="depth", classification="classification", issues="issues")
 
 
-def edges_once(df: DataFrame) -> DataFrame:
-    """Link edges, exact repeats (same id) once; rows without id are left out."""
-    return df.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+# What a sitemap report says of a record, and its rank (1 warning, 2 error), in the order of the report.
+SITEMAP_ISSUES = {
+    "robots": ("Robots-blocked URL in sitemap", 1),
+    "no response": ("No response URL in sitemap", 2),
+    "3xx": ("Redirecting URL in sitemap", 1),
+    "4xx": ("4xx URL in sitemap", 2),
+    "5xx": ("5xx URL in sitemap", 2),
+    "not indexable": ("Non-indexable URL in sitemap", 1),
+    "canonical": ("Canonical points to a different URL", 1),
+    "redirect target": ("Sitemap URL has a redirect target", 1),
+    "external": ("External URL in sitemap", 1),
+    "orphan": ("Orphan URL in sitemap", 1),
+    "error": ("Fetch error for sitemap URL", 2),
+}
+
+
+def known_edges(df: DataFrame) -> DataFrame:
+    """Link edges without rows that lack an id. Exact repeats (same id) stay in: each operator drops them after its own
+    filter, or aggregates in a way that they do not change.
+    """
+    return df.where(F.col("id").isNotNull())
 
 
 def _found(text: str, columns: list[str]) -> Column:
@@ -35,7 +55,8 @@ def failed_addresses(records: DataFrame) -> DataFrame:
 
 
 def edge_view(edges: DataFrame, view: str = "all", records: DataFrame | None = None, internal_only: bool = False, source: str | None = None, target: str | None = None, search: str = "") -> DataFrame:
-    """Edges of a view: all, internal, external, nofollow or broken (status from 400, or an address of a failed record).
+    """Edges of a view, once each: all, internal, external, nofollow or broken (status from 400, or an address of a failed
+    record).
 
     The failed addresses are joined by equality after being made distinct, so a hot target meets one row.
     """
@@ -58,7 +79,7 @@ def edge_view(edges: DataFrame, view: str = "all", records: DataFrame | None = N
     for c, want in (("source_url", source), ("target_url", target)):
         if want is not None:
             df = df.where(F.col(c) == want)
-    return df.where(_found(search, EDGE_TEXTS))
+    return once(df.where(_found(search, EDGE_TEXTS)))
 
 
 def internal() -> Column:
@@ -75,6 +96,7 @@ def resolved_edges(edges: DataFrame, records: DataFrame) -> DataFrame:
     """Edges with status and depth of both ends from the records: per literal address those of the last upserted record
     (largest id) with that alias; ends that no record has keep what they had.
     """
+    edges = once(edges)
     named = U.with_aliases(records.select("id", "storage_key", "url", "final_url", "status_code", "depth"), ["storage_key", "url", "final_url"])
     last = named.groupBy("alias").agg(F.max(F.struct("id", F.col("status_code").alias("s"), F.col("depth").alias("d"))).alias("_last"))
     for end in ("source", "target"):
@@ -88,16 +110,17 @@ def resolved_edges(edges: DataFrame, records: DataFrame) -> DataFrame:
 
 def inlink_counts(edges: DataFrame) -> DataFrame:
     """(url, count) of links by literal target."""
-    return edges.where(F.col("target_url").isNotNull()).groupBy(F.col("target_url").alias("url")).agg(F.count(F.lit(1)).alias("count"))
+    rows = edges.where(F.col("target_url").isNotNull()).select("id", "target_url").distinct()
+    return rows.groupBy(F.col("target_url").alias("url")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def inlinks(records: DataFrame, edges: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, inlinks): links to any alias of each record; 0 without any. Links are counted per literal target first,
     so the join with the aliases meets one row for each address.
     """
-    named = U.with_aliases(records.select(*scope, "id", "storage_key", "url", "final_url"), ["storage_key", "url", "final_url"])
+    named = U.with_aliases(records.select(*scope, "id", "storage_key", "url", "final_url").distinct(), ["storage_key", "url", "final_url"])
     got = named.join(inlink_counts(edges).withColumnRenamed("url", "alias"), "alias").groupBy(*scope, "id").agg(F.sum("count").alias("inlinks"))
-    return records.select(*scope, "id").join(got, [*scope, "id"], "left").select(*scope, "id", F.coalesce("inlinks", F.lit(0)).alias("inlinks"))
+    return records.select(*scope, "id").distinct().join(got, [*scope, "id"], "left").select(*scope, "id", F.coalesce("inlinks", F.lit(0)).alias("inlinks"))
 
 
 def first_inlinks(records: DataFrame, edges: DataFrame, scope: list[str]) -> DataFrame:
@@ -113,7 +136,8 @@ def first_inlinks(records: DataFrame, edges: DataFrame, scope: list[str]) -> Dat
 
 def outlink_counts(edges: DataFrame) -> DataFrame:
     """(source_url, outlinks, internal_outlinks, external_outlinks)."""
-    return edges.where(F.col("source_url").isNotNull()).groupBy("source_url").agg(F.count(F.lit(1)).alias("outlinks"), F.count_if(internal()).alias("internal_outlinks"), F.count_if(~internal()).alias("external_outlinks"))
+    rows = edges.where(F.col("source_url").isNotNull()).select("id", "source_url", internal().alias("_in")).distinct()
+    return rows.groupBy("source_url").agg(F.count(F.lit(1)).alias("outlinks"), F.count_if("_in").alias("internal_outlinks"), F.count_if(~F.col("_in")).alias("external_outlinks"))
 
 
 def anchor_texts(edges: DataFrame) -> DataFrame:
@@ -123,7 +147,8 @@ def anchor_texts(edges: DataFrame) -> DataFrame:
     Links are first merged by source, so the distinct sources are a plain count and no group meets one task whole.
     """
     key = text_key(F.coalesce("anchor_text", F.lit("")))
-    by_source = edges.groupBy(key.alias("anchor_key"), "target_url", "link_type", "source_url").agg(
+    rows = edges.select("id", "anchor_text", "target_url", "link_type", "source_url", "rel_nofollow", "target_status_code").distinct()
+    by_source = rows.groupBy(key.alias("anchor_key"), "target_url", "link_type", "source_url").agg(
         F.min("anchor_text").alias("t"), F.count(F.lit(1)).alias("n"), F.count_if("rel_nofollow").alias("nf"), F.max("target_status_code").alias("s")
     )
     return by_source.groupBy("anchor_key", "target_url", "link_type").agg(
@@ -139,7 +164,7 @@ def anchor_page(edges: DataFrame, search: str = "", sort: str = "linkCount", des
 
 def redirect_hops(records: DataFrame, scope: list[str]) -> DataFrame:
     """One row per hop of each redirect chain, hop_index from 1."""
-    return records.select(*scope, "id", "url", "final_url", F.posexplode("redirect_chain").alias("_at", "_h")).select(*scope, "id", "url", "final_url", (F.col("_at") + 1).alias("hop_index"), F.col("_h.url").alias("hop_url"), F.col("_h.status_code").alias("hop_status_code"), F.col("_h.location").alias("location"))
+    return records.select(*scope, "id", "url", "final_url", F.posexplode("redirect_chain").alias("_at", "_h")).distinct().select(*scope, "id", "url", "final_url", (F.col("_at") + 1).alias("hop_index"), F.col("_h.url").alias("hop_url"), F.col("_h.status_code").alias("hop_status_code"), F.col("_h.location").alias("location"))
 
 
 def sized_images(images: DataFrame, records: DataFrame, large: int = gates.LARGE_IMAGE_BYTES) -> DataFrame:
@@ -163,25 +188,26 @@ def image_page(images: DataFrame, records: DataFrame, page_url: str | None = Non
 
 def references(refs: DataFrame, source_key: str | None = None, kind: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Page references in id order, repeats (same id) once."""
-    rows = refs.where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    rows = refs.where(F.col("id").isNotNull())
     if source_key is not None:
         rows = rows.where(F.col("source_storage_key") == source_key)
     if kind is not None:
         rows = rows.where(F.col("kind") == kind)
+    rows = once(rows)
     return rows if limit is None else rows.orderBy("id").offset(offset).limit(limit)
 
 
 def sitemap_report(records: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, ..., issues, issue_count, severity_rank, severity) of the records in a sitemap; clean ones have the label OK."""
-    status, external = F.col("status_code"), F.col("classification") == "external"
-    blocked = gates.robots_blocked()
-    found = [
-        (blocked, "Blocked by robots.txt", 1), (gates.no_response(), "No response", 2), (gates.redirect(), "Redirect", 1), (gates.sure(status.between(400, 499)), "Client error", 2), (gates.sure(status >= 500), "Server error", 2),
-        (gates.sure(F.col("indexability") != "Indexable"), "Not indexable", 1), (~blank("canonical") & (trimmed("canonical") != F.col("final_url")), "Canonical elsewhere", 1), (~blank("redirect_target"), "Redirect target", 1),
-        (external, "External", 1), ((F.col("inlink_count") == 0) & ~external, "No inlinks", 1), (~blocked & ~blank("error"), "Error", 2),
-    ]
+    status, external, blocked = F.col("status_code"), gates.sure(F.col("classification") == "external"), gates.robots_blocked()
+    met = {
+        "robots": blocked, "no response": gates.no_response(), "3xx": gates.redirect(), "4xx": status.between(400, 499), "5xx": status.between(500, 599),
+        "not indexable": (F.col("indexability") != "Indexable") | (F.col("indexability_status") != "Indexable"), "canonical": ~blank("canonical") & (trimmed("canonical") != F.col("final_url")),
+        "redirect target": ~blank("redirect_target"), "external": external, "orphan": (F.col("inlink_count") == 0) & ~external, "error": ~blocked & ~blank("error"),
+    }
+    found = [(met[k], label, rank) for k, (label, rank) in SITEMAP_ISSUES.items()]
     hits = F.array_compact(F.array(*[F.when(gates.sure(c), F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"))) for c, label, rank in found]))
-    rows = records.where("in_sitemap").withColumn("_hits", hits)
+    rows = once(records.where("in_sitemap")).withColumn("_hits", hits)
     rank = F.coalesce(F.array_max(F.transform("_hits", lambda h: h["rank"])), F.lit(0))
     return rows.select(
         *scope, "id", "url", "final_url", "status_code", "indexability", "canonical", "redirect_target", "inlink_count", "depth", "classification",
@@ -199,7 +225,9 @@ def sitemap_page(records: DataFrame, scope: list[str], search: str = "", sort: s
 def exact_duplicate_groups(records: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, response_hash, addresses, records) of hashes found at two or more final addresses."""
     rows = records.where(gates.success_html() & F.col("response_hash").isNotNull()).withColumn("_key", U.final_key("final_url")).where(F.col("_key").isNotNull())
-    return rows.groupBy(*scope, "response_hash").agg(F.count_distinct("_key").alias("addresses"), F.count(F.lit(1)).alias("records")).where("addresses > 1")
+    rows = rows.select(*scope, "id", "response_hash", "_key").distinct()
+    per = rows.groupBy(*scope, "response_hash", "_key").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*scope, "response_hash").agg(F.count(F.lit(1)).alias("addresses"), F.sum("n").alias("records")).where("addresses > 1")
 
 
 def metric_merge(records: DataFrame, metrics: DataFrame, columns: list[str], scope: list[str], order: str, scheme_free: bool = False) -> DataFrame:

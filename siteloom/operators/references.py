@@ -6,6 +6,8 @@ row, so the hot side is never multiplied; AQE splits its skewed partition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,15 @@ FLAGS = (
     "amp_non_reciprocal", "pagination_canonical_to_linked_page", "amp_target_missing_marker",
 )
 
+CANONICAL, RELATIONS = FLAGS[:6], FLAGS[6:]
+
 
 def _hops() -> Column:
     return F.filter("redirect_chain", lambda h: h["status_code"].between(300, 399))
 
 
 def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
-    """The few columns that reference questions ask of a record."""
+    """The few columns that reference questions ask of a record; repeats once."""
     target_error = gates.no_response() | gates.sure(F.col("status_code").between(400, 599)) | (gates.redirect() & F.col("error").isNotNull())
     fetched = F.col("status_code").isNotNull() | F.col("error").isNotNull() | gates.robots_blocked()
     non_indexable = gates.robots_blocked() | (gates.sure(F.col("indexability") == "Non-indexable") & ~gates.broken() & ~gates.redirect())
@@ -38,7 +42,7 @@ def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
         gates.sure(F.col("error") == "Redirect limit exceeded").alias("limit"), "amp_document",
         F.coalesce("rel_next_targets", F.array_compact(F.array("rel_next"))).alias("next"), F.coalesce("rel_prev_targets", F.array_compact(F.array("rel_prev"))).alias("prev"),
         F.coalesce("amphtml_targets", F.array_compact(F.array("amphtml"))).alias("amp"),
-    )
+    ).distinct()
 
 
 def alias_index(attrs: DataFrame, scope: list[str]) -> DataFrame:
@@ -87,11 +91,28 @@ def cycle_ids(edges: DataFrame, scope: list[str]) -> DataFrame:
     return jump.select(*scope, "id")
 
 
-def canonical_flags(records: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, id, six canonical flags) of the records that have any."""
+@dataclass(frozen=True)
+class Resolved:
+    """What all reference questions about a crawl share, each made once."""
+
+    attrs: DataFrame
+    index: DataFrame
+    targets: DataFrame
+
+
+def resolved(records: DataFrame, scope: list[str]) -> Resolved:
     attrs = checkpointed(attributes(records, scope))
-    index = alias_index(attrs, scope)
-    targets = checkpointed(canonical_targets(attrs, index, scope))
+    index = checkpointed(alias_index(attrs, scope))
+    return Resolved(attrs, index, checkpointed(canonical_targets(attrs, index, scope)))
+
+
+def canonical_flags(records: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id, six canonical flags) of the records that have an absolute canonical."""
+    return canonical_marks(resolved(records, scope), scope)
+
+
+def canonical_marks(base: Resolved, scope: list[str]) -> DataFrame:
+    attrs, targets = base.attrs, base.targets
     info = attrs.select(*scope, F.col("id").alias("target"), F.col("fetched").alias("t_fetched"), F.col("broken").alias("t_broken"), F.col("non_indexable").alias("t_non"), F.col("eligible").alias("t_ok"), F.col("final_url").alias("t_final"))
     me = attrs.select(*scope, "id", "internal", "final_url", "canonical")
     far = targets.select(*scope, F.col("id").alias("target"), (~F.col("self")).alias("t_points_on"))
@@ -124,10 +145,13 @@ def declared_targets(attrs: DataFrame, index: DataFrame, scope: list[str], kind:
 
 def relation_flags(records: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, the ten pagination and AMP flags) of the records with any declared target."""
-    attrs = checkpointed(attributes(records, scope))
+    return relation_marks(resolved(records, scope), scope)
+
+
+def relation_marks(base: Resolved, scope: list[str]) -> DataFrame:
+    attrs, index = base.attrs, base.index
     if not attrs.where(F.size("next") + F.size("prev") + F.size("amp") > 0).limit(1).count():
         return attrs.limit(0).select(*scope, "id", *[F.lit(False).alias(f) for f in FLAGS[6:]])
-    index = checkpointed(alias_index(attrs, scope))
     info = attrs.select(*scope, F.col("id").alias("target"), F.col("target_error").alias("t_error"), F.col("eligible").alias("t_ok"), "amp_document", F.col("canonical").alias("t_canonical"), F.col("final_url").alias("t_final"))
     found = {k: checkpointed(declared_targets(attrs, index, scope, k)) for k in ("next", "prev", "amp")}
     parts: list[DataFrame] = []
@@ -158,7 +182,7 @@ def relation_flags(records: DataFrame, scope: list[str]) -> DataFrame:
     points = U.aliases_of(F.col("t_canonical"), U.serialised("t_canonical"))
     lost = blank("t_canonical") | (U.final_key("t_canonical").isNotNull() & ~F.arrays_overlap(points, mine))
     parts.append(away.where(lost).select(*scope, "id", F.lit("amp_non_reciprocal").alias("flag")))
-    canonical = canonical_targets(attrs, index, scope).where(~F.col("self") & F.col("target").isNotNull())
+    canonical = base.targets.where(~F.col("self") & F.col("target").isNotNull())
     observed = attrs.where(F.col("eligible") & F.col("observed")).select(*scope, F.col("id").alias("target"))
     linked = found["next"].unionByName(found["prev"]).where("target <> id").select(*scope, "id", "target").distinct()
     parts.append(canonical.join(observed, [*scope, "target"], "left_semi").join(linked, [*scope, "id", "target"], "left_semi").select(*scope, "id", F.lit("pagination_canonical_to_linked_page").alias("flag")))
@@ -173,7 +197,7 @@ def hreflang_flags(records: DataFrame, scope: list[str]) -> DataFrame:
 
     A link's target is the lowest record id among the aliases' lowest ids; unknown targets never flag.
     """
-    base = records.select(*scope, "id", "storage_key", "url", "final_url", "canonical", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links"))
+    base = records.select(*scope, "id", "storage_key", "url", "final_url", "canonical", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links")).distinct()
     named = checkpointed(U.with_aliases(base.select(*scope, "id", "storage_key", "url", "final_url"), ["storage_key", "url", "final_url"]).select(*scope, "id", "alias"))
     primary = named.groupBy(*scope, "alias").agg(F.min("id").alias("target"))
     links = U.with_aliases(base.where("size(_links) > 0").select(*scope, "id", F.posexplode("_links").alias("at", "_l")).select(*scope, "id", "at", F.col("_l.url").alias("_u")), ["_u"]).select(*scope, "id", "at", "alias")

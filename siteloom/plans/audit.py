@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from siteloom.operators import audit
 from siteloom.sources.schema import records
 from siteloom.sources.tables import table
@@ -46,6 +48,19 @@ CONDITIONS = {
 }
 
 
+def message_sql(text: str, says: dict[str, str]) -> str:
+    """A rule's message in SQL: braces hold a threshold, one of `says` or a column."""
+    parts = []
+    for i, piece in enumerate(text.replace("}", "{").split("{")):
+        if i % 2 == 0:
+            parts.append("'" + piece.replace("'", "''") + "'")
+        elif hasattr(audit.Thresholds(), piece):
+            parts.append(f"'{getattr(audit.Thresholds(), piece)}'")
+        else:
+            parts.append(says.get(piece) or f"coalesce(CAST({piece} AS VARCHAR), '')")
+    return " || ".join(parts)
+
+
 def _snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
@@ -63,31 +78,28 @@ def _view(name):
 QUERIES = {f"view_{_snake(n)}": _view(n) for n in audit.VIEWS if n in CONDITIONS or n.startswith("Canonical")}
 SQL = {f"view_{_snake(n)}": f"SELECT crawl_id, id, final_url FROM {R} WHERE {c}" for n, c in CONDITIONS.items()}
 
-#: What the rules ask of the tables at hand: (rule, severity, condition).
-_RULES = [
-    ("response.client_error", "error", CONDITIONS["Status4xx"]), ("response.server_error", "error", CONDITIONS["Status5xx"]), ("response.redirect_error", "error", "status_code BETWEEN 300 AND 399 AND error IS NOT NULL"),
-    ("response.no_response", "error", NONE), ("directives.noindex", "info", CONDITIONS["DirectivesNoindex"]), ("security.missing_hsts", "warning", CONDITIONS["SecurityMissingHsts"]), ("security.missing_csp", "info", HTML),
-    ("security.missing_x_frame_options", "info", HTML), ("security.missing_x_content_type_options", "info", OK), ("sitemap.orphan", "warning", CONDITIONS["SitemapOrphan"]), ("title.missing", "warning", CONDITIONS["TitleMissing"]),
-    ("title.duplicate", "warning", CONDITIONS["TitleDuplicate"]), ("title.too_short", "info", CONDITIONS["TitleTooShort"]), ("title.too_long", "warning", f"{CONDITIONS['TitleTooLong']} AND NOT {BLANK['title']}"), ("title.same_as_h1", "info", CONDITIONS["TitleSameAsH1"]),
-    ("meta_description.missing", "warning", HTML), ("h1.missing", "warning", CONDITIONS["H1Missing"]), ("h1.duplicate", "warning", CONDITIONS["H1Duplicate"]), ("h1.too_long", "info", f"{CONDITIONS['H1TooLong']} AND NOT {BLANK['h1']}"), ("h2.missing", "info", HTML),
-    ("canonical.missing", "info", CONDITIONS["CanonicalMissing"]), ("canonical.multiple", "warning", CONDITIONS["CanonicalMultiple"]), ("content.thin", "info", CONDITIONS["ThinContent"]), ("content.low_text_ratio", "info", CONDITIONS["LowTextRatio"]),
-    ("mobile.missing_viewport", "warning", HTML), ("content.near_duplicate", "info", CONDITIONS["NearDuplicate"]), ("content.exact_duplicate", "info", CONDITIONS["ExactDuplicate"]),
-]
-_LONG = " UNION ALL ".join(f"SELECT crawl_id, id, final_url AS url, '{r}' AS rule, '{s}' AS severity FROM {R} WHERE {c}" for r, s, c in _RULES)
-_NO_REFERENCES = "rule not in ('canonical.uncrawled','canonical.to_redirect','canonical.to_error','canonical.non_indexable','canonical.chain','canonical.loop')"
+#: Views of columns that the captured tables lack are asked of the shop's records instead.
+_ABSENT = ("TitlePixelTooNarrow", "MetaMissing", "H2Missing", "SecurityMissingHsts", "SecurityMissingCsp", "SecurityMissingXFrameOptions", "SecurityMissingContentTypeOptions", "MobileMissingViewport")
+for _n in _ABSENT:
+    del QUERIES[f"view_{_snake(_n)}"], SQL[f"view_{_snake(_n)}"]
+
+#: What the rules ask of the tables at hand where that is not the view's condition alone.
+RULE_CONDITIONS = {
+    "response.redirect_error": "status_code BETWEEN 300 AND 399 AND error IS NOT NULL", "title.too_long": f"{CONDITIONS['TitleTooLong']} AND NOT {BLANK['title']}", "h1.too_long": f"{CONDITIONS['H1TooLong']} AND NOT {BLANK['h1']}",
+}
+#: Counters of what the tables at hand can tell.
+KNOWN = [c for c, v in audit.COUNTERS.items() if v in CONDITIONS and v not in _ABSENT]
+_OWN = ["indexable", "non_indexable"]
+_COUNTED = {c: f"count(*) FILTER (WHERE {CONDITIONS[audit.COUNTERS[c]]}) AS {c}" for c in KNOWN} | {"indexable": "count(*) FILTER (WHERE indexability = 'Indexable') AS indexable", "non_indexable": "count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable"}
+_PROGRESS = [c for c in KNOWN if c != "exact_duplicates"]
 
 QUERIES |= {
-    "issues_long": lambda spark, d: audit.issues(crawl(spark, d)),
-    "issues_of_rows": lambda spark, d: audit.issues(crawl(spark, d)).where(_NO_REFERENCES).select("crawl_id", "id", "url", "rule", "severity"),
-    "issues_by_rule": lambda spark, d: audit.issues(crawl(spark, d)).where(_NO_REFERENCES).groupBy("crawl_id", "rule", "severity").count().withColumnRenamed("count", "issues"),
-    "summary": lambda spark, d: audit.summary(crawl(spark, d)),
-    "progress_summary": lambda spark, d: audit.progress_summary(crawl(spark, d)),
-    "reference_counts": lambda spark, d: audit.summary(crawl(spark, d), list(audit.REFERENCE_COUNTERS)),
-}
-SQL |= {
-    "issues_of_rows": _LONG,
-    "issues_by_rule": f"SELECT crawl_id, rule, severity, count(*) AS issues FROM ({_LONG}) GROUP BY 1, 2, 3",
-    "progress_summary": "SELECT crawl_id, "
-    + ", ".join(f"count(*) FILTER (WHERE {CONDITIONS.get(v, 'false')}) AS {c}" for c, v in audit.COUNTERS.items() if c not in audit.REFERENCE_COUNTERS and c != "exact_duplicates")
-    + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} GROUP BY crawl_id",
+    "progress_summary": lambda spark, d: audit.progress_summary(crawl(spark, d)).select("crawl_id", *_PROGRESS, *_OWN),
+    "reference_counts": lambda spark, d: audit.summary(crawl(spark, d), [c for c in audit.REFERENCE_COUNTERS if c.startswith("canonical_")]),
+    "summary": lambda spark, d: audit.summary(crawl(spark, d)).select("crawl_id", *KNOWN, *_CANONICALS, *_OWN),
+    "issues_long": lambda spark, d: audit.issues(crawl(spark, d)).select("crawl_id", "id", "url", "rule", "severity", "view", "message"),
+    "issues_by_rule": lambda spark, d: audit.issues(crawl(spark, d)).groupBy("crawl_id", "rule", "severity").agg(F.count(F.lit(1)).alias("issues")),
 }
+_CANONICALS = [c for c in audit.REFERENCE_COUNTERS if c.startswith("canonical_")]
+SQL |= {"progress_summary": f"SELECT crawl_id, {', '.join(_COUNTED[c] for c in (*_PROGRESS, *_OWN))} FROM {R} GROUP BY crawl_id"}
+SUMMARY = ", ".join(_COUNTED.values())

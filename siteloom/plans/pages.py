@@ -8,7 +8,7 @@ from siteloom.functions import text as T
 from siteloom.functions import url as U
 from siteloom.functions.html import DESCRIPTION_FONT, TITLE_FONT, WIDTHS
 
-from siteloom.plans.audit import BROKEN, CONDITIONS, HTML, OK, R, crawl, key, utrim
+from siteloom.plans.audit import BLANK, BROKEN, CONDITIONS, HTML, OK, WHITE, R, crawl, dup, key, utrim
 from siteloom.plans.reports import edges, names
 from siteloom.sinks import files
 from siteloom.sources import pages
@@ -76,15 +76,15 @@ QUERIES = {
     "normalise_urls": lambda spark, d: table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct().select("target_url", U.normalised_query("target_url", drop=["utm_.*"]).alias("normalised"), U.folder_depth("target_url").alias("folder_depth"), U.resource_class("target_url").alias("kind")),
     "url_aliases": lambda spark, d: U.with_aliases(table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct(), ["target_url"]),
     "scope_filter": lambda spark, d: crawl(spark, d).select("final_url").distinct().where(U.in_scope("final_url", "https://www.istnequogate.example/", subdomains=True, exclude=["/tag/"])).select("final_url"),
-    "text_keys": lambda spark, d: crawl(spark, d).select("crawl_id", "id", T.text_key("title").alias("title_key"), T.trimmed("h1").alias("h1_trimmed"), T.clamped("title", 20).alias("clamped"), T.transfer_rate("size_bytes", "response_time_ms").alias("rate"), T.status_label("status_code", "status_text").alias("label")),
-    "pixel_widths": lambda spark, d: crawl(spark, d).where("title is not null").select("id", pixel_width("title", TITLE_FONT).alias("title_pixels"), pixel_width("h1", DESCRIPTION_FONT).alias("h1_pixels")),
+    "text_keys": lambda spark, d: crawl(spark, d).select("crawl_id", "id", T.text_key("title").alias("title_key"), T.trimmed("h1").alias("h1_trimmed"), T.clamped("title", 20).alias("clamped"), T.transfer_rate("size_bytes", "response_time_ms").alias("rate"), T.status_label("status_code", "status_text").alias("label")).distinct(),
+    "pixel_widths": lambda spark, d: crawl(spark, d).where("title is not null").select("id", pixel_width("title", TITLE_FONT).alias("title_pixels"), pixel_width("h1", DESCRIPTION_FONT).alias("h1_pixels")).distinct(),
     "sitemap_export": lambda spark, d: files.sitemap_lines(crawl(spark, d)),
     "report_sections": lambda spark, d: files.report_sections(crawl(spark, d)),
     "workbook_titles": lambda spark, d: files.audit_sheet(crawl(spark, d), "Titles").groupBy("crawl_id", "issue").agg(F.count(F.lit(1)).alias("n")),
-    "csv_guard": lambda spark, d: edges(spark, d).select("id", files.guarded(F.col("anchor_text")).alias("anchor_text")),
+    "csv_guard": lambda spark, d: edges(spark, d).select("id", files.guarded(F.col("anchor_text")).alias("anchor_text")).distinct(),
     "stream_upserts": _upserts,
     "stream_summary": _stream_summary,
-    "stream_inlinks": lambda spark, d: ingest.inlink_counter(edges(spark, d)),
+    "stream_inlinks": lambda spark, d: ingest.inlink_counter(once(edges(spark, d), "id")),
     "stream_windows": lambda spark, d: ingest.windowed_events(table(spark, d, "events")).select(F.unix_seconds(F.col("start").cast("timestamp")).alias("start"), "event_type", "events"),
 }
 
@@ -98,11 +98,13 @@ _FOLDERS = f"len(list_filter(string_split(regexp_extract({_T}, '^https?://[^/?#]
 _PATH = f"regexp_extract({_T}, '^https?://[^/?#]*([^?#]*)', 1)"
 _ENDING = f"lower(regexp_extract({_PATH}, '\\.([A-Za-z0-9]+)$', 1))"
 _KINDS = " ".join(f"WHEN {_ENDING} IN ({', '.join(repr(e) for e in endings.split())}) THEN '{kind}'" for kind, endings in U.RESOURCE_CLASSES.items())
-_OK_HTML = HTML
+_TITLE_KEY, _H1_KEY = (f"translate(trim(regexp_replace(coalesce({c}, ''), '{WHITE}+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')" for c in ("title", "h1"))
+#: Descriptions, headers, viewports and images are no columns of the tables: their lack is a finding, their values give none.
 _SECTION = {
-    "Broken URLs": BROKEN, "Titles and descriptions": _OK_HTML, "Headings and canonicals": f"{_OK_HTML} AND ({utrim('h1')} = '' OR h1_count > 1 OR {utrim('canonical')} = '')", "Images": "coalesce(content_type LIKE 'image/%' AND size_bytes > 204800, false)",
-    "Performance": "coalesce(size_bytes > 1000000, false) OR coalesce(ttfb_ms > 800, false) OR coalesce(response_time_ms > 3000, false)", "Security": f"starts_with(final_url, 'http://') OR ({OK} AND starts_with(final_url, 'https://')) OR {_OK_HTML}",
-    "Structured data and languages": "false", "HTML validation": "false", "Rendering": "false",
+    "Broken URLs": BROKEN, "Titles And Meta Descriptions": HTML,
+    "Headings And Canonicals": f"{HTML} AND ({BLANK['h1']} OR h1_count > 1 OR h1_len > 70 OR {dup(_H1_KEY, f'{_H1_KEY} <> {repr(str())}')} OR {BLANK['canonical']} OR canonical_count > 1 OR coalesce(indexability = 'Indexable' AND canonical <> final_url, false))",
+    "Image Issues": f"coalesce({OK} AND lower(content_type) LIKE 'image/%' AND size_bytes > 204800, false)", "Performance Signals": "coalesce(size_bytes > 1000000, false) OR coalesce(ttfb_ms > 800, false) OR coalesce(response_time_ms > 3000, false)",
+    "Security And Protocol": f"starts_with(final_url, 'http://') OR coalesce({OK}, false)", "Structured Data And Hreflang": "false", "HTML Validation": "false", "Rendered DOM Differences": "false",
 }
 _XML = "replace(replace(replace(replace(replace(final_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 

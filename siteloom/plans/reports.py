@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.operators import audit, graph, grid, links, references
-from siteloom.plans.audit import BROKEN, CONDITIONS, HTML, NONE, ROBOTS, R, crawl, key
+from siteloom.plans.audit import BROKEN, CONDITIONS, HTML, NONE, ROBOTS, RULE_CONDITIONS, SUMMARY, R, crawl, key, message_sql
 from siteloom.sources.tables import table
 
 SCOPE = audit.SCOPE
 
 
 def edges(spark, d):
-    return links.edges_once(table(spark, d, "link_edges"))
+    return links.known_edges(table(spark, d, "link_edges"))
 
 
 def related(spark, d):
@@ -160,7 +160,7 @@ QUERIES = {
     "pagination_next_errors": _flags(references.relation_flags, "next_to_error", source=related),
     "amp_errors": _flags(references.relation_flags, "amp_to_error", source=related),
     "relation_flags": lambda spark, d: references.relation_flags(related(spark, d), SCOPE),
-    "view_multiple_targets": lambda spark, d: audit.flagged(related(spark, d), ["PaginationMultipleTargets", "AmpMultipleTargets"]).where("PaginationMultipleTargets or AmpMultipleTargets").select("crawl_id", "id", "PaginationMultipleTargets", "AmpMultipleTargets"),
+    "view_multiple_targets": lambda spark, d: audit.flagged(related(spark, d), ["PaginationMultipleTargets", "AmpMultipleTargets"], any_of=True).select("crawl_id", "id", "PaginationMultipleTargets", "AmpMultipleTargets"),
     "graph_nodes": lambda spark, d: graph.graph_nodes(crawl(spark, d), SCOPE).select("crawl_id", "url", "first_id", "status_code", "depth", "label", "section"),
     "graph_edges": lambda spark, d: graph.graph_edges(edges(spark, d), internal_only=True).select("id", "source_url", "target_url", "link_type"),
     "graph_sections": lambda spark, d: graph.sections(graph.graph_nodes(crawl(spark, d), SCOPE), SCOPE),
@@ -185,14 +185,34 @@ SELECT crawl_id, u AS url, first_id, status_code, depth, {_LABEL} AS label, {_SE
   SELECT crawl_id, final_url AS u, arg_min(id, (coalesce(list_position, id), id)) AS first_id, arg_max_null(status_code, (coalesce(list_position, id), id)) AS status_code, arg_max_null(depth, (coalesce(list_position, id), id)) AS depth FROM {R} GROUP BY 1, 2)
 """
 _ISSUES = [
-    (ROBOTS, "Blocked by robots.txt", 1), (NONE, "No response", 2), ("status_code BETWEEN 300 AND 399", "Redirect", 1), ("status_code BETWEEN 400 AND 499", "Client error", 2), ("status_code >= 500", "Server error", 2),
-    ("indexability <> 'Indexable'", "Not indexable", 1), ("trim(coalesce(canonical, '')) <> '' AND trim(canonical) <> final_url", "Canonical elsewhere", 1), ("trim(coalesce(redirect_target, '')) <> ''", "Redirect target", 1),
-    ("classification = 'external'", "External", 1), ("inlink_count = 0 AND classification <> 'external'", "No inlinks", 1), (f"NOT {ROBOTS} AND trim(coalesce(error, '')) <> ''", "Error", 2),
+    (ROBOTS, "Robots-blocked URL in sitemap", 1), (NONE, "No response URL in sitemap", 2), ("status_code BETWEEN 300 AND 399", "Redirecting URL in sitemap", 1), ("status_code BETWEEN 400 AND 499", "4xx URL in sitemap", 2), ("status_code BETWEEN 500 AND 599", "5xx URL in sitemap", 2),
+    ("indexability <> 'Indexable' OR indexability_status <> 'Indexable'", "Non-indexable URL in sitemap", 1), ("trim(coalesce(canonical, '')) <> '' AND trim(canonical) <> final_url", "Canonical points to a different URL", 1), ("trim(coalesce(redirect_target, '')) <> ''", "Sitemap URL has a redirect target", 1),
+    ("classification = 'external'", "External URL in sitemap", 1), ("inlink_count = 0 AND classification <> 'external'", "Orphan URL in sitemap", 1), (f"NOT {ROBOTS} AND trim(coalesce(error, '')) <> ''", "Fetch error for sitemap URL", 2),
 ]
 _HITS = "list_filter([" + ", ".join(f"CASE WHEN coalesce({c}, false) THEN '{label}' END" for c, label, _ in _ISSUES) + "], lambda x: x IS NOT NULL)"
 _RANK = "greatest(0, " + ", ".join(f"CASE WHEN coalesce({c}, false) THEN {r} ELSE 0 END" for c, _, r in _ISSUES) + ")"
 
+_FIRST = f"SELECT crawl_id, id, source_url AS first_inlink_source_url, anchor_text AS first_inlink_anchor_text, source_position AS first_inlink_source_position FROM (SELECT n.crawl_id, n.id, e.source_url, e.anchor_text, e.source_position, row_number() OVER (PARTITION BY n.crawl_id, n.id ORDER BY e.discovery_order, e.source_position, e.source_url NULLS FIRST, e.id) AS k FROM {NAMED} n JOIN {E} e ON e.target_url = n.alias) WHERE k = 1"
+_LINKED = " OR ".join(f"{_LOW.format(f'CAST({c} AS VARCHAR)')} LIKE '%museum%'" for c in grid.SEARCHED_INLINK)
+_RULE_VIEWS = {f"canonical.{n}": f"canonical_{n}" for n in ("uncrawled", "to_redirect", "to_error", "non_indexable", "chain")}
+
+
+def _rule_sql(rule: str) -> str:
+    view, severity, text = audit.RULES[rule]
+    shown = "BrokenLinks" if view.startswith(("Status", "_")) else view
+    says = {"text_percent": "printf('%.1f', text_to_code_ratio * 100)"}
+    source = f"(SELECT r.* FROM {R} r JOIN ({_CANONICAL}) c USING (crawl_id, id) WHERE c.{_RULE_VIEWS[rule]})" if rule in _RULE_VIEWS else f"(SELECT r.* FROM {R} r JOIN ({_CANONICAL_LOOP}) c USING (crawl_id, id))" if rule == "canonical.loop" else R
+    return f"SELECT crawl_id, id, final_url AS url, '{rule}' AS rule, '{severity}' AS severity, '{shown}' AS view, {message_sql(text, says)} AS message FROM {source} WHERE {RULE_CONDITIONS.get(rule) or CONDITIONS.get(view, 'true')}"
+
+
+#: Rules whose columns the tables at hand have, or whose absence is a finding of its own.
+_LONG = " UNION ALL ".join(_rule_sql(r) for r, (v, _, _) in audit.RULES.items() if v in CONDITIONS or r in RULE_CONDITIONS or r in _RULE_VIEWS or r == "canonical.loop")
+
+_REFERENCED = ", ".join(f"count(*) FILTER (WHERE {f'coalesce(c.{n}, false)' if n in _CANONICAL_FLAGS else 'l.id IS NOT NULL'}) AS {n}" for n in audit.REFERENCE_COUNTERS if n.startswith("canonical_"))
+
 SQL = {
+    "issues_long": _LONG,
+    "issues_by_rule": f"SELECT crawl_id, rule, severity, count(*) AS issues FROM ({_LONG}) GROUP BY 1, 2, 3",
     "link_edges_all": f"SELECT {EDGE} FROM {E}",
     "link_edges_internal": f"SELECT {EDGE} FROM {E} WHERE {INTERNAL}",
     "link_edges_external": f"SELECT {EDGE} FROM {E} WHERE NOT {INTERNAL}",
@@ -200,7 +220,7 @@ SQL = {
     "link_edges_broken": f"SELECT {EDGE} FROM {E} WHERE coalesce(target_status_code >= 400, false) OR target_url IN (SELECT a FROM {FAILED})",
     "inlink_counts": f"SELECT target_url AS url, count(*) AS count FROM {E} WHERE target_url IS NOT NULL GROUP BY 1",
     "inlinks_of_records": f"WITH c AS (SELECT target_url, count(*) AS n FROM {E} WHERE target_url IS NOT NULL GROUP BY 1), s AS (SELECT n.crawl_id, n.id, sum(c.n) AS s FROM {NAMED} n JOIN c ON c.target_url = n.alias GROUP BY 1, 2) SELECT r.crawl_id, r.id, CAST(coalesce(s.s, 0) AS BIGINT) AS inlinks FROM {R} r LEFT JOIN s USING (crawl_id, id)",
-    "first_inlinks": f"SELECT crawl_id, id, source_url AS first_inlink_source_url, anchor_text AS first_inlink_anchor_text, source_position AS first_inlink_source_position FROM (SELECT n.crawl_id, n.id, e.source_url, e.anchor_text, e.source_position, row_number() OVER (PARTITION BY n.crawl_id, n.id ORDER BY e.discovery_order, e.source_position, e.source_url NULLS FIRST, e.id) AS k FROM {NAMED} n JOIN {E} e ON e.target_url = n.alias) WHERE k = 1",
+    "first_inlinks": _FIRST,
     "outlink_counts": f"SELECT source_url, count(*) AS outlinks, count(*) FILTER (WHERE {INTERNAL}) AS internal_outlinks, count(*) FILTER (WHERE NOT {INTERNAL}) AS external_outlinks FROM {E} WHERE source_url IS NOT NULL GROUP BY 1",
     "anchor_texts": f"SELECT {ANCHOR} AS anchor_key, target_url, link_type, min(anchor_text) AS anchor_text, count(*) AS link_count, count(DISTINCT source_url) AS source_count, count(*) FILTER (WHERE rel_nofollow) AS nofollow_count, min(source_url) AS example_source_url, max(target_status_code) AS target_status_code FROM {E} GROUP BY ALL",
     "edge_endpoints": f"WITH n AS (SELECT alias, max(id) AS id FROM {NAMED} GROUP BY 1) SELECT e.id, CASE WHEN s.id IS NULL THEN e.source_status_code ELSE rs.status_code END AS source_status_code, CASE WHEN s.id IS NULL THEN e.source_depth ELSE rs.depth END AS source_depth, CASE WHEN t.id IS NULL THEN e.target_status_code ELSE rt.status_code END AS target_status_code, CASE WHEN t.id IS NULL THEN e.target_depth ELSE rt.depth END AS target_depth FROM {E} e LEFT JOIN n s ON s.alias = e.source_url LEFT JOIN {R} rs ON rs.id = s.id LEFT JOIN n t ON t.alias = e.target_url LEFT JOIN {R} rt ON rt.id = t.id",
@@ -208,15 +228,14 @@ SQL = {
     "sitemap_validation": f"SELECT crawl_id, id, final_url, CASE WHEN len(h) > 0 THEN array_to_string(h, '; ') ELSE 'OK' END AS issues, greatest(len(h), 1) AS issue_count, ['info', 'warning', 'error'][r + 1] AS severity FROM (SELECT *, {_HITS} AS h, {_RANK} AS r FROM {R} WHERE in_sitemap)",
     "exact_duplicate_groups": f"SELECT crawl_id, response_hash, count(DISTINCT regexp_replace(final_url, '#.*$', '')) AS addresses, count(*) AS records FROM {R} WHERE {HTML} AND response_hash IS NOT NULL GROUP BY 1, 2 HAVING addresses > 1",
     **{n: f"SELECT crawl_id, id, final_url FROM {R} WHERE {c}" for n, (_, c) in GRIDS.items() if c},
-    "grid_search": f"SELECT crawl_id, id, final_url FROM {R} WHERE {_MUSEUM}",
+    "grid_search": f"SELECT r.crawl_id, r.id, r.final_url FROM {R} r LEFT JOIN ({_FIRST}) f USING (crawl_id, id) WHERE {_MUSEUM} OR {_LINKED}",
     "grid_sort_page": f"SELECT crawl_id, id, final_url FROM {R} WHERE classification = 'internal' ORDER BY word_count DESC NULLS LAST, id OFFSET 20 LIMIT 50",
     "canonical_flags": f"SELECT * FROM ({_CANONICAL}) WHERE {' OR '.join(_CANONICAL_FLAGS)}",
     "canonical_loops": _CANONICAL_LOOP,
     "view_canonical_loop": f"SELECT l.crawl_id, l.id, r.final_url FROM ({_CANONICAL_LOOP}) l JOIN {R} r USING (crawl_id, id)",
     **{f"view_{f}": f"SELECT c.crawl_id, c.id, r.final_url FROM ({_CANONICAL}) c JOIN {R} r USING (crawl_id, id) WHERE c.{f}" for f in _CANONICAL_FLAGS},
-    "reference_counts": "SELECT r.crawl_id, "
-    + ", ".join(f"count(*) FILTER (WHERE {f'coalesce(c.{n}, false)' if n in _CANONICAL_FLAGS else 'l.id IS NOT NULL' if n == 'canonical_loop' else 'false'}) AS {n}" for n in audit.REFERENCE_COUNTERS)
-    + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1",
+    "reference_counts": "SELECT r.crawl_id, " + _REFERENCED + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1",
+    "summary": f"SELECT * FROM (SELECT crawl_id, {SUMMARY} FROM {R} GROUP BY 1) JOIN (SELECT r.crawl_id, {_REFERENCED} FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1) USING (crawl_id)",
     "hreflang_return": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_missing_return FROM x WHERE x.eligible AND NOT x.self AND x.target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l b JOIN l o ON o.crawl_id = x.crawl_id AND o.id = x.id WHERE b.crawl_id = x.crawl_id AND b.id = x.target AND list_has_any(b.n, o.own))",
     "hreflang_canonical": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_non_canonical FROM x JOIN (SELECT crawl_id, id, canonical, {ALL} AS own FROM {R}) t ON t.crawl_id = x.crawl_id AND t.id = x.target WHERE x.eligible AND trim(coalesce(t.canonical, '')) <> '' AND NOT list_has_any({names('t.canonical')}, t.own)",
     "pagination_next_errors": _target_errors("pagination", "next_to_error"),

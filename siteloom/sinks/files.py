@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from siteloom.functions import text as T
 from siteloom.operators import audit, gates, links
 from siteloom.operators.grid import GridQuery, filtered
+from siteloom.session import checkpointed
 
 XLSX_ROWS = 1_048_575
 SECTION_ROWS = 50
@@ -131,10 +133,9 @@ AUDIT_SHEETS = {
 
 def audit_sheet(records: DataFrame, sheet: str, scope: list[str] = audit.SCOPE) -> DataFrame:
     """One sheet of the audit workbook: a row per record and view that holds it, from one scan."""
-    views = AUDIT_SHEETS[sheet]
-    flags = audit.flagged(records, views, scope=scope)
-    issue = F.explode(F.array_compact(F.array(*[F.when(F.col(v), F.lit(v)) for v in views])))
-    return flags.select(*scope, "id", "url", "final_url", "status_code", "title", "canonical", issue.alias("issue"))
+    p = audit.predicates()
+    found = audit.hits(records, {v: p[v] for v in AUDIT_SHEETS[sheet]}, scope, ("url", "final_url", "status_code", "title", "canonical"))
+    return found.withColumnRenamed("label", "issue").drop("value")
 
 
 def audit_sheets(records: DataFrame, scope: list[str] = audit.SCOPE) -> dict[str, DataFrame]:
@@ -181,39 +182,111 @@ def write_sitemaps(folder: str, records: DataFrame) -> None:
 
 # ---------------------------------------------------------------- HTML summary
 
-#: Section: condition over records, given the views. Numbers are the report's own limits.
-SECTIONS = {
-    "Broken URLs": lambda p: gates.broken(), "Titles and descriptions": lambda p: p["TitleMissing"][0] | p["TitleTooLong"][0] | p["MetaMissing"][0],
-    "Headings and canonicals": lambda p: p["H1Missing"][0] | (gates.success_html() & (F.col("h1_count") > 1)) | p["CanonicalMissing"][0],
-    "Images": lambda p: p["ImagesMissingAlt"][0] | p["ImagesAltTooLong"][0] | (gates.sure(F.startswith("content_type", F.lit("image/"))) & (F.col("size_bytes") > gates.LARGE_IMAGE_BYTES)),
-    "Performance": lambda p: gates.sure(F.col("size_bytes") > 1_000_000) | gates.sure(F.col("ttfb_ms") > 800) | gates.sure(F.col("response_time_ms") > 3_000),
-    "Security": lambda p: gates.sure(F.startswith("final_url", F.lit("http://"))) | p["SecurityMixedContent"][0] | p["SecurityMissingHsts"][0] | p["SecurityMissingCsp"][0],
-    "Structured data and languages": lambda p: p["StructuredDataInvalid"][0] | p["HreflangInvalid"][0],
-    "HTML validation": lambda p: p["HtmlDeprecatedTags"][0] | p["HtmlDuplicateIds"][0], "Rendering": lambda p: p["RenderedDomChanged"][0],
-}
-
-
-def report_sections(records: DataFrame) -> DataFrame:
-    """(section, records): exact counts of all sections from one pass."""
-    p = audit.predicates()
-    counts = records.agg(*[F.count_if(c(p)).alias(n) for n, c in SECTIONS.items()])
+# The report's limits, its sections, and what it says of a record; braces as in the rules.
+LARGE_PAGE_BYTES, SLOW_TTFB_MS, SLOW_RESPONSE_MS = 1_000_000, 800, 3_000
+BROKEN_LINKS = "Broken Links"
+SECTIONS = (
+    "Broken URLs", "Titles And Meta Descriptions", "Headings And Canonicals", "Image Issues", "Performance Signals", "Security And Protocol", "Structured Data And Hreflang", "HTML Validation", "Rendered DOM Differences",
+)
+SECTION_ISSUES = [
+    ("Broken URLs", "broken", "{status_label}"),
+    ("Titles And Meta Descriptions", "TitleMultiple", "Multiple titles ({title_count} tags)"),
+    ("Titles And Meta Descriptions", "MetaMultiple", "Multiple meta descriptions ({meta_description_count} tags)"),
+    ("Titles And Meta Descriptions", "TitleMissing", "Missing title"),
+    ("Titles And Meta Descriptions", "title under", "Title under {title_min_chars} chars"),
+    ("Titles And Meta Descriptions", "title over", "Title over {title_max_chars} chars"),
+    ("Titles And Meta Descriptions", "title twice", "Duplicate title"),
+    ("Titles And Meta Descriptions", "MetaMissing", "Missing meta description"),
+    ("Titles And Meta Descriptions", "meta under", "Meta description under {meta_min_chars} chars"),
+    ("Titles And Meta Descriptions", "meta over", "Meta description over {meta_max_chars} chars"),
+    ("Titles And Meta Descriptions", "meta twice", "Duplicate meta description"),
+    ("Titles And Meta Descriptions", "title is h1", "Title same as H1"),
+    ("Headings And Canonicals", "H1Missing", "Missing H1"),
+    ("Headings And Canonicals", "several h1", "Multiple H1 tags"),
+    ("Headings And Canonicals", "h1 over", "H1 over {h1_max_chars} chars"),
+    ("Headings And Canonicals", "h1 twice", "Duplicate H1"),
+    ("Headings And Canonicals", "CanonicalMissing", "Missing canonical"),
+    ("Headings And Canonicals", "CanonicalMultiple", "Multiple canonical tags"),
+    ("Headings And Canonicals", "canonical away", "Canonical points away from indexable URL"),
+    ("Image Issues", "ImagesMissingAlt", "{images_missing_alt} images missing alt"),
+    ("Image Issues", "ImagesAltTooLong", "{images_alt_too_long} image alt values too long"),
+    ("Image Issues", "large image", "Image asset response over {large_image}"),
+    ("Performance Signals", "large page", "Response over {large_page}"),
+    ("Performance Signals", "slow first byte", "TTFB over {slow_ttfb}"),
+    ("Performance Signals", "slow response", "Response over {slow_response}"),
+    ("Security And Protocol", "plain http", "HTTP URL"),
+    ("Security And Protocol", "SecurityMixedContent", "{mixed_content_count} mixed-content references"),
+    ("Security And Protocol", "SecurityInsecureForms", "{insecure_form_count} insecure forms"),
+    ("Security And Protocol", "SecurityMissingHsts", "Missing HSTS"),
+    ("Security And Protocol", "SecurityMissingCsp", "Missing CSP"),
+    ("Security And Protocol", "SecurityMissingXFrameOptions", "Missing X-Frame-Options"),
+    ("Security And Protocol", "SecurityMissingContentTypeOptions", "Missing X-Content-Type-Options"),
+    ("Security And Protocol", "MobileMissingViewport", "Missing viewport"),
+    ("Structured Data And Hreflang", "invalid json", "{json_ld_invalid_count} invalid JSON-LD blocks"),
+    ("Structured Data And Hreflang", "data errors", "{structured_data_error_count} structured data errors"),
+    ("Structured Data And Hreflang", "StructuredDataWarning", "{structured_data_warning_count} structured data warnings"),
+    ("Structured Data And Hreflang", "data issues", "{first_data_issues}"),
+    ("Structured Data And Hreflang", "HreflangInvalid", "{hreflang_invalid_count} invalid hreflang tags"),
+    ("Structured Data And Hreflang", "HreflangMissingSelfReference", "Missing hreflang self-reference"),
+    ("HTML Validation", "HtmlDeprecatedTags", "{deprecated_html_tag_count} deprecated HTML tag instances"),
+    ("HTML Validation", "HtmlDuplicateIds", "{duplicate_id_count} duplicate id instances"),
+    ("Rendered DOM Differences", "RenderedDomChanged", "{rendered_word_count_delta} words, {rendered_link_count_delta} links"),
+]
+
+
+def _section_conditions(t: audit.Thresholds) -> dict[str, tuple[Column, str | None]]:
+    """What the sections ask beside the views, by the names of SECTION_ISSUES."""
+    ok, html, col, sure = gates.success(), gates.success_html(), F.col, gates.sure
+    own = {
+        "broken": gates.broken(), "title under": html & ~T.blank("title") & sure(col("title_len") < t.title_min_chars), "title over": html & ~T.blank("title") & sure(col("title_len") > t.title_max_chars),
+        "meta under": html & ~T.blank("meta_description") & sure(col("meta_description_len") < t.meta_min_chars), "meta over": html & ~T.blank("meta_description") & sure(col("meta_description_len") > t.meta_max_chars),
+        "title is h1": html & ~T.blank("title") & sure(T.ascii_text_key("h1") == T.ascii_text_key("title")), "several h1": html & ~T.blank("h1") & sure(col("h1_count") > 1), "h1 over": html & ~T.blank("h1") & sure(col("h1_len") > t.h1_max_chars),
+        "canonical away": html & sure((col("indexability") == "Indexable") & (col("canonical") != col("final_url"))),
+        "large image": ok & sure(F.startswith(F.lower("content_type"), F.lit("image/")) & (col("size_bytes") > t.large_image_bytes)), "large page": sure(col("size_bytes") > LARGE_PAGE_BYTES),
+        "slow first byte": sure(col("ttfb_ms") > SLOW_TTFB_MS), "slow response": sure(col("response_time_ms") > SLOW_RESPONSE_MS), "plain http": sure(F.startswith("final_url", F.lit("http://"))),
+        "invalid json": html & sure(col("json_ld_invalid_count") > 0), "data errors": html & sure(col("structured_data_error_count") > 0), "data issues": html & sure(F.size("structured_data_issues") > 0),
+    }
+    twice = {"title twice": "ascii_title", "meta twice": "ascii_meta_description", "h1 twice": "ascii_h1"}
+    return {n: (c, None) for n, c in own.items()} | {n: (html, flag) for n, flag in twice.items()}
+
+
+def report_rows(records: DataFrame, thresholds: audit.Thresholds = audit.Thresholds(), scope: list[str] = audit.SCOPE) -> DataFrame:
+    """(scope, section, id, final_url, status_code, title, issues): a row per section and record it lists, with all that the
+    section says of the record in the report's order, joined by "; ".
+    """
+    p, own = audit.predicates(thresholds), _section_conditions(thresholds)
+    first = F.transform(F.slice("structured_data_issues", 1, 5), lambda i: F.concat(i["severity"], F.lit(": "), i["message"], F.lit(" ("), i["path"], F.lit(")")))
+    limits = {"large_image": T.format_bytes(F.lit(thresholds.large_image_bytes)), "large_page": T.format_bytes(F.lit(LARGE_PAGE_BYTES)), "slow_ttfb": T.format_ms(F.lit(SLOW_TTFB_MS)), "slow_response": T.format_ms(F.lit(SLOW_RESPONSE_MS))}
+    derived = limits | {"first_data_issues": F.array_join(first, "; "), "status_label": T.status_label("status_code", "status_text")}
+    names = [f"{i:02d}" for i in range(len(SECTION_ISSUES))]
+    wanted = {n: own.get(c) or p[c] for n, (_, c, _) in zip(names, SECTION_ISSUES)}
+    found = audit.hits(records, wanted, scope, ("final_url", "status_code", "title"), {n: audit.message(m, derived, thresholds) for n, (_, _, m) in zip(names, SECTION_ISSUES)})
+    section = F.create_map(*[F.lit(x) for n, (s, _, _) in zip(names, SECTION_ISSUES) for x in (n, s)])[F.col("label")]
+    said = F.array_sort(F.collect_list(F.struct("label", "value")))  # as many as the report has things to say of a record
+    return found.groupBy(*scope, section.alias("section"), "id", "final_url", "status_code", "title").agg(F.array_join(F.transform(said, lambda x: x["value"]), "; ").alias("issues"))
+
+
+def report_sections(records: DataFrame, scope: list[str] = audit.SCOPE) -> DataFrame:
+    """(section, records): exact counts of all sections from one pass; empty sections have 0."""
+    rows = report_rows(records, scope=scope)
+    counts = rows.agg(*[F.count_if(F.col("section") == n).alias(n) for n in SECTIONS])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.col(f"`{n}`").alias("records")) for n in SECTIONS])).alias("x")).select("x.*")
 
 
 def write_html_report(path: str, records: DataFrame, edges: DataFrame | None = None, title: str = "Audit report") -> None:
     """One HTML file: summary counters, and of each section the exact count and its first 50 records by id."""
     counters = audit.summary(records, scope=[]).first().asDict()
-    counts = {r["section"]: r["records"] for r in report_sections(records).collect()}
+    found = checkpointed(report_rows(records, scope=[]))
+    counts = {n: 0 for n in SECTIONS} | {r["section"]: r["n"] for r in found.groupBy("section").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [f"<h1>{html.escape(title)}</h1><table>", *[f"<tr><th>{html.escape(k)}</th><td>{v}</td></tr>" for k, v in counters.items()], "</table>"]
-    p = audit.predicates()
-    rows = {n: records.where(c(p)).select("id", "final_url", "status_code", "title").orderBy("id").limit(SECTION_ROWS).collect() for n, c in SECTIONS.items()}
+    rows = {n: found.where(F.col("section") == n).select("final_url", "issues", "title", "id").orderBy("id").limit(SECTION_ROWS).collect() for n in SECTIONS}
     if edges is not None:
-        broken = links.edge_view(edges, "broken", records)
-        counts["Broken links"] = broken.count()
-        rows["Broken links"] = broken.select("id", F.col("target_url").alias("final_url"), F.col("target_status_code").alias("status_code"), F.col("anchor_text").alias("title")).orderBy("id").limit(SECTION_ROWS).collect()
+        broken = checkpointed(links.edge_view(edges, "broken", records).select("id", F.col("target_url").alias("final_url"), F.coalesce(F.col("target_status_code").cast("string"), F.lit("Unknown or not crawled")).alias("issues"), F.col("anchor_text").alias("title")))
+        counts[BROKEN_LINKS] = broken.count()
+        rows[BROKEN_LINKS] = broken.orderBy("id").limit(SECTION_ROWS).collect()
     for name, found in rows.items():
         parts.append(f"<h2>{html.escape(name)} ({counts[name]})</h2><table>")
-        parts += [f"<tr><td>{html.escape(r['final_url'] or '')}</td><td>{'' if r['status_code'] is None else r['status_code']}</td><td>{html.escape(r['title'] or '')}</td></tr>" for r in found]
+        parts += [f"<tr><td>{html.escape(r['final_url'] or '')}</td><td>{html.escape(r['issues'] or '')}</td><td>{html.escape(r['title'] or '')}</td></tr>" for r in found]
         parts.append("</table>")
 
     def write(part: str) -> None:

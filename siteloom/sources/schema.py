@@ -51,5 +51,14 @@ def conformed(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def records(df: DataFrame, scope: tuple[str, ...] = ("crawl_id",)) -> DataFrame:
-    """`conformed` records, exact repeats (same id) once, rows without id left out; `scope` columns name the crawl."""
-    return conformed(df, scope).where(F.col("id").isNotNull()).dropDuplicates(["id"])
+    """`conformed` records without rows that lack an id; `scope` columns name the crawl.
+
+    Exact repeats (same id) stay in. A row's predicate holds for its repeats as well, so operators filter at the scan first
+    and drop the repeats of what is left (`once`), or aggregate in a way that repeats do not change.
+    """
+    return conformed(df, scope).where(F.col("id").isNotNull())
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Exact repeats (same id) once, of whole rows that a filter has left."""
+    return df.dropDuplicates(["id"])
