@@ -74,6 +74,22 @@ def test_hot_keys_finds_every_hot_key(spark):
     assert {"a", "b"} <= set(skew.hot_keys(spark.createDataFrame(rows, "k string").repartition(6), "k", share=0.1)["k"])
 
 
+def test_no_key_brings_more_rows_than_the_bound_to_one_task(spark):
+    """Keys of 0.4 % of the rows are under the share, but over the bound on rows: they take the salted way."""
+    rows = [(f"k{i % 250}",) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k string").repartition(6)
+    assert skew.hot_keys(df, "k")["k"] == []
+    assert set(skew.hot_keys(df, "k", rows=10)["k"]) == {r[0] for r in rows}
+
+
+def test_bound_on_rows_changes_no_result(spark):
+    rows = edges(500, 4)
+    df = spark.createDataFrame(rows, EDGE).repartition(5)
+    assert {tuple(r) for r in skew.edge_records(df, salts=4, hot_rows=2).collect()} == records(rows)
+    few, many = (sorted(map(tuple, skew.address_totals(df, salts=4, hot_rows=n).collect())) for n in (2, 10**6))
+    assert few == many
+
+
 STATE = "crawl_id int, id long, storage_key string, canonical string, h1 string, meta_robots string, status_text string, completed_at long, change string, _sign int"
 
 
