@@ -12,6 +12,7 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ LEXICON = {
     ("hateful", 50): "thieves rats animals disease betrays race rasse raza sinking breathing cleanse burn driven verjagt chasser echarlos kriminell criminal blood deport exterminate meritent merecen sobra pack smaller",
     ("hateful", 30): "brains boat houses fewer spreading natur dirty vote marry allowed deserve weg leave humans out miss blut vivre vivir children",
 }
-GROUPS = "refugees refugee foreigners foreigner migrants immigrants newcomers believers faith gens-la refugiados fluchtlinge auslander etrangers extranjeros musulmans murovians murovian vostani beldar kedrim orlish quennites quennite tashlo sethite natives tribe people folk leute gens gente"
+GROUPS = "refugees refugee foreigners foreigner migrants immigrants newcomers believers faith gens-la refugiados fluchtlinge auslander etrangers extranjeros musulmans natives tribe people folk leute gens gente"
 # Words of contempt that name a group by themselves.
 NAMED = frozenset("race rasse raza pack ungeziefer subhuman".split())
 ADDRESSED = "you your yours yourself youre du dich dir dein deine ihr euch euer eure tu te ton tes toi vous votre t'es eres ti tus usted ustedes vosotros ich-hau"
@@ -68,7 +69,10 @@ ORDINARY = frozenset(
     "saufen raufen hauen hausen harfen halfen hande bands lande rande wande banda bando bandy binde bunde bange barde brande bonde chose choker choked chokes flown blown taste paste haste caste baste wastes wasted weste wuste "
     "warte gaste kaste vaste money donkey verein vereine termin termine ermine hermine fermin vermik verpin fifth plaza playa placa plata plana plage llaga praga interior interiors inferir animal animales diseases betray betrags tasse "
     "kasse masse passe lasse gasse nasse basse fasse rosse trasse brasse raste russe risse raise linking singing winking inking sinning stinking slinking cleanser driver drives drive drivel riven versagt vertagt verzagt "
-    "criminel bloody flood brood bloom blond depart depot deporte terminate determinate heritent perecen sobre cobra sombra sopra sobria sabra smeller breaching bleaching wreathing sheathing broaching preaching breasting".split()
+    "criminel bloody flood brood bloom blond depart depot deporte terminate determinate heritent perecen sobre cobra sombra sopra sobria sabra smeller breaching bleaching wreathing sheathing broaching preaching breasting "
+    "duck luck suck buck muck puck tuck ruck funk born corn worn torn horn morn port pore pork norn hits bits pits kits sits fits wits nits lits tots tips tins ties tics tilts tints titus titos tito milk mild mile mill milo mils orgs orge orga porgy "
+    "punt hunt runt bunt aunt cent cant curt cult count cuna junt sunt that swat teat trat twit twas pure sure cure lure here hare hire hurt hurl huge heure hurle jure dure mure shot ship shin spit slit suit skit whit chit shift shirt "
+    "seit sait soit snit mail haul faul paul saul mall mahl maut gaul maus maui maud raul caul pupa pita pata ruta puts putt puja pura pula puna puma punta pauta juta figs digs wigs rigs jigs gigs pegs pugs pins pips pies pings cuent".split()
 )
 
 _LOOKALIKE = str.maketrans(
@@ -143,26 +147,16 @@ class Trie:
         self.longest = max(map(len, entries), default=0)
         self.shorter = [frozenset(x for w in entries for x in shortened(w, most)) for most in range(3)]
 
-    def near(self, token: str, most: int, first: bool = True) -> list[tuple[int, int]]:
-        """(entry, distance) of the entries within `most` edits; with `first` those only that begin with the token's first letter.
-
-        An asterisk in the token stands for any letter, the first included.
-        """
+    def near(self, token: str, most: int) -> list[tuple[int, int]]:
+        """(entry, distance) of all entries within `most` edits. An asterisk in the token stands for any letter."""
         out: list[tuple[int, int]] = []
         if len(token) > self.longest + most:
             return out
         width = len(token) + 1
-        top = list(range(width))
-        if not first or token[0] == "*":
-            # Texts within so many edits have a shortening in common, so most tokens need no walk.
-            if most < 3 and "*" not in token and shortened(token, most).isdisjoint(self.shorter[most]):
-                return out
-            stack = [(self.root, "", top, None)]
-        else:
-            branch = self.root.get(token[0])
-            if branch is None:
-                return out
-            stack = [(branch, token[0], [1, 0, *range(1, width - 1)], top)]
+        # Texts within so many edits have a shortening in common, so most tokens need no walk.
+        if most < 3 and "*" not in token and shortened(token, most).isdisjoint(self.shorter[most]):
+            return out
+        stack = [(self.root, "", list(range(width)), None)]
         while stack:
             node, last, row, above = stack.pop()
             for c, child in node.items():
@@ -206,27 +200,42 @@ for _word, _at in PLACE.items():
         PAIRS.setdefault(_first, {})[_second] = _at
 
 
+#: From this weight on an entry is worth a misspelling. Lighter words add little and have many ordinary neighbours.
+WORTH = 0.3
+#: From this weight on so is an entry of four letters, for a swapped, changed or added letter; words of hate are longer.
+WORTH_SHORT = 0.7
+
+
 @lru_cache(1)
 def trie() -> Trie:
-    """Only words that weigh enough to matter are worth a misspelling."""
-    return Trie({w: i for i, (w, _, x) in enumerate(TABLE) if x >= 0.4})
+    return Trie({w: i for i, (w, _, x) in enumerate(TABLE) if x >= WORTH})
 
 
 def edits(token: str) -> int:
     """How many edits a token of this length may be away from an entry."""
     n = len(token)
-    return 0 if n < 5 else 1 if n < 9 else 2
+    return 0 if n < 4 else 1 if n < 9 else 2
+
+
+def _may_be(token: str, at: int) -> bool:
+    """Whether a token may be a misspelling of an entry, by the lengths of both: short words have too many neighbours for
+    every edit.
+    """
+    word, kind, weight = TABLE[at]
+    if len(token) == 4:
+        return len(word) == 4 and weight >= WORTH_SHORT and kind != "hateful"
+    return len(word) >= 5 or (len(word) == 4 and len(token) == 5 and weight >= WORTH_SHORT and kind != "hateful")
 
 
 class Matcher:
     """Entries of a token, exact or near, remembered per process.
 
-    ORDINARY words ("where") are words of their own, not misspellings, whatever table is judged. frequency: counts of a
-    reference vocabulary, if the caller has one; there a token more frequent than the entry it resembles is a word too.
+    ORDINARY words ("where") are words of their own, not misspellings, whatever table is judged: what a token is depends on
+    the token alone.
     """
 
-    def __init__(self, frequency: dict[str, int] | None = None):
-        self.frequency, self.known = frequency, {}
+    def __init__(self):
+        self.known = {}
 
     def __call__(self, token: str) -> tuple[int, float] | None:
         """(entry, share of its weight)."""
@@ -259,12 +268,10 @@ class Matcher:
         most = edits(word)
         if not most or not word.isalpha() or word in ORDINARY:
             return None
-        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most, first=False) if d and len(TABLE[i][0]) >= 5]
+        hits = [(d, -TABLE[i][2], i) for i, d in trie().near(word, most) if d and _may_be(word, i)]
         if not hits:
             return None
         d, _, i = min(hits)
-        if self.frequency is not None and self.frequency.get(word, 0) >= max(2, 0.5 * self.frequency.get(TABLE[i][0], 0)):
-            return None
         return i, 0.8 if d == 1 else 0.7
 
 
@@ -297,16 +304,49 @@ def tokens_of(sentence: str) -> list[str]:
 _NONE: dict[str, int] = {}
 
 
-def score(sentence: str, match: Matcher) -> tuple[float, str]:
-    """(score, category) of one sentence, already plain: the best window around any anchor.
+# People named by a word that no lexicon has: a capitalised word after a determiner, or a word that the sentence goes on to
+# speak of as of several people. Determiners, verbs and phrases of four languages, and animals of which the same is said:
+# fixed values.
+_MANY = r"(?:the|these|those|all|every|les|ces|die|diese|alle|los|las|esos|estos)"
+_DO = r"(?:are|were|should|must|do|don't|have|breed|belong|sind|sollen|mussen|gehoren|haben|sont|doivent|ont|son|deben|tienen)"
+_NAMED_PEOPLE = re.compile(rf"\b(?i:{_MANY})\s+([A-ZÀ-ÖØ-Þ][\w'-]{{3,}})")
+_SPOKEN_OF = re.compile(rf"(?:^|\b{_MANY} )([\w'-]{{4,}}) {_DO}\b|\b(?:of|to|on|from|against|the|all) ([\w'-]{{4,}}) (?:before they|because they|and they|they|nobody|all of them|every one of them)\b")
+ANIMALS = frozenset(
+    "ants aphids bats bears beetles bees birds bugs cats caterpillars cats chickens cows crows deer dogs ducks fish fleas flies foxes frogs geese goats horses insects locusts mice midges mites moles mosquitoes moths pests pigeons "
+    "rabbits slugs snails spiders squirrels termites ticks wasps weeds wolves worms schnecken mause tauben wespen zecken lause motten insekten souris pigeons guepes tiques limaces insectes ratones palomas avispas garrapatas babosas insectos".split()
+)
+
+
+def people(text: str) -> frozenset[str]:
+    """The words of a text (plain) that its capitals show as the name of a people."""
+    return frozenset(plain(w) for w in _NAMED_PEOPLE.findall(_INVISIBLE.sub("", text)))
+
+
+def spoken_of(tokens: list[str], match) -> bool:
+    """Whether a sentence speaks of some word as of several people; entries of the lexicon and animals are none."""
+    for a, b in _SPOKEN_OF.findall(" ".join(map(spelled, tokens))):
+        word = a or b
+        if word not in ANIMALS and match(word) is None:
+            return True
+    return False
 
-    Within WINDOW tokens of an anchor each distinct entry of its category adds its weight. Someone addressed adds to
-    abuse, a group to hate; hate without a group, and light abuse without anyone addressed, lose. Each word of another
-    sense, and quotation marks around the anchor, take away.
+
+#: What a window's context adds to the weights of its entries, before it is fitted (see `fit_context`): hate about a group and
+#: without one; abuse with someone addressed, and light abuse (under 0.7) without; a disguised sexual word said to someone;
+#: each word of another sense; an anchor within quotation marks.
+PRIOR = {"group": 0.35, "no_group": -0.45, "addressed": 0.35, "light": -0.1, "disguised": 0.2, "aside": -0.8, "quoted": -0.6}
+
+
+def windows(sentence: str, match: Matcher, named=frozenset) -> list[tuple[float, str, dict[str, float]]]:
+    """(sum of weights, category, context) of the window around each anchor of a sentence, already plain.
+
+    Within WINDOW tokens of an anchor each distinct entry of its category adds its weight. `named` gives the words that name
+    a people; it is asked only where hate may be said.
     """
     found = []
     seconds: dict[str, int] = {}
-    for i, t in enumerate(tokens_of(sentence)):
+    tokens = tokens_of(sentence)
+    for i, t in enumerate(tokens):
         got = match(t)
         if got is not None:
             found.append((i, got[0], got[1]))
@@ -315,43 +355,96 @@ def score(sentence: str, match: Matcher) -> tuple[float, str]:
             found.append((i, seconds[word], 1.0))
         seconds = PAIRS.get(word, _NONE)
     if not any(TABLE[e][2] >= 0.4 for _, e, _ in found):
-        return 0.0, ""
+        return []
     quoted = " ".join(_QUOTED.findall(sentence))
-    best, kind_of = 0.0, ""
+    out = []
     for i, e, share in found:
         word, kind, weight = TABLE[e]
         if kind not in CATEGORIES or weight < 0.4:
             continue
-        around = {}
+        around: dict[int, float] = {}
         for j, o, s in found:
             if abs(j - i) <= WINDOW:
                 around[o] = max(around.get(o, 0), s)
         kinds = Counter(TABLE[o][1] for o in around)
         total = sum(TABLE[o][2] * s for o, s in around.items() if TABLE[o][1] == kind)
+        context: dict[str, float] = {}
         if kind == "hateful":
-            total += 0.35 if kinds["group"] or any(TABLE[o][0] in NAMED for o in around) else -0.45
+            group = kinds["group"] or any(TABLE[o][0] in NAMED for o in around) or any(t in named() for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1]) or spoken_of(tokens, match)
+            context["group" if group else "no_group"] = 1
         elif kind == "abusive":
-            total += 0.35 if kinds["addressed"] else -0.1 if weight < 0.7 else 0
-        total -= 0.8 * kinds["aside"]
+            if kinds["addressed"]:
+                context["addressed"] = 1
+            elif weight < 0.7:
+                context["light"] = 1
+        elif share < 1 and weight >= 1 and kinds["addressed"]:
+            context["disguised"] = 1
+        if kinds["aside"]:
+            context["aside"] = kinds["aside"]
         if quoted and word in quoted:
-            total -= 0.6
-        if total > best:
-            best, kind_of = total, kind
-    return best, kind_of
+            context["quoted"] = 1
+        out.append((total, kind, context))
+    return out
+
+
+def judge(text: str, match: Matcher, context: dict[str, float] = PRIOR) -> tuple[float, str]:
+    """(score, category) of a whole text: those of its worst window; 0 and none where no window is over 0."""
+    best, _, kind = _worst(text, match, context)
+    return best, kind
 
 
-def judge(text: str, match: Matcher) -> tuple[float, str]:
-    """(score, category) of a whole text: those of its worst sentence."""
-    best = (0.0, "")
+def _worst(text: str, match: Matcher, weights: dict[str, float]) -> tuple[float, tuple | None, str]:
+    best: tuple[float, tuple | None, str] = (0.0, None, "")
+    known: list[frozenset] = []
+
+    def named() -> frozenset:
+        if not known:
+            known.append(people(text))
+        return known[0]
+
     for s in _SENTENCE.split(plain(text)):
-        if s:
-            got = score(s, match)
-            if got[0] > best[0]:
-                best = got
+        for total, kind, context in windows(s, match, named) if s else ():
+            got = total + sum(weights[c] * n for c, n in context.items())
+            if got > best[0]:
+                best = (got, (total, context), kind)
     return best
 
 
-def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), frequency: dict[str, int] | None = None) -> DataFrame:
+#: The labelled samples that the context is fitted on: those with an even id. The others are for measuring.
+FITTED_SAMPLES = 1000
+
+
+def fit_context(samples: list[tuple[int, str, str]], rounds: int = 3, steps: int = 200, rate: float = 0.05, spread: float = 0.15, sharpness: float = 6.0) -> dict[str, float]:
+    """What context adds to a window, fitted on (id, text, label) by logistic regression around PRIOR.
+
+    A text is its worst window under the weights of the round before. The prior is a normal distribution of `spread` around
+    PRIOR, so that what the samples do not speak of stays as it is.
+    """
+    match, weights = Matcher(), dict(PRIOR)
+    names = list(PRIOR)
+    start = np.array([PRIOR[n] for n in names])
+    for _ in range(rounds):
+        rows = [(got, label != "none") for _, text, label in samples if text and (got := _worst(text, match, weights)[1]) is not None]
+        if not rows:
+            return dict(PRIOR)
+        base = np.array([total for (total, _), _ in rows])
+        x = np.array([[context.get(n, 0) for n in names] for (_, context), _ in rows], float)
+        y = np.array([bad for _, bad in rows], float)
+        w = start.copy()
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-sharpness * (base + x @ w - THRESHOLD)))
+            w -= rate * (sharpness * x.T @ (p - y) + (w - start) / spread**2) / len(rows)
+        weights = dict(zip(names, w.tolist()))
+    return weights
+
+
+def fitted_context(samples: DataFrame) -> dict[str, float]:
+    """`fit_context` on at most FITTED_SAMPLES labelled samples of even id, lowest first."""
+    rows = samples.select("sample_id", "text", "label").where("sample_id % 2 = 0 and label is not null").orderBy("sample_id").limit(FITTED_SAMPLES).collect()
+    return fit_context([(r["sample_id"], r["text"], r["label"]) for r in rows])
+
+
+def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), context: dict[str, float] = PRIOR) -> DataFrame:
     """`ident`, `keep`, score double, category string and flagged boolean of every row.
 
     Null and empty texts have score 0, no category and are not flagged. Whole texts are read, however long.
@@ -360,9 +453,9 @@ def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), fre
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*columns).dtypes)
 
     def run(batches):
-        match = Matcher(frequency)
+        match = Matcher()
         for batch in batches:
-            got = [judge(t, match) if t else (0.0, "") for t in batch.column(len(columns)).to_pylist()]
+            got = [judge(t, match, context) if t else (0.0, "") for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(len(columns))],
@@ -376,18 +469,18 @@ def scored(df: DataFrame, ident: str, text: str, keep: tuple[str, ...] = (), fre
     return df.select(*columns, text).mapInArrow(run, f"{kinds}, score double, category string, flagged boolean")
 
 
-def flagged_documents(documents: DataFrame) -> DataFrame:
+def flagged_documents(documents: DataFrame, context: dict[str, float] = PRIOR) -> DataFrame:
     """(doc_id) of the documents with at least one abusive, hateful or sexually explicit passage, once each."""
-    return scored(documents, "doc_id", "text").where("flagged and doc_id is not null").select("doc_id").dropDuplicates(["doc_id"])
+    return scored(documents, "doc_id", "text", context=context).where("flagged and doc_id is not null").select("doc_id").dropDuplicates(["doc_id"])
 
 
-def document_scores(documents: DataFrame) -> DataFrame:
+def document_scores(documents: DataFrame, context: dict[str, float] = PRIOR) -> DataFrame:
     """(doc_id, source, score, category, flagged) of every document."""
-    return scored(documents, "doc_id", "text", ("source",))
+    return scored(documents, "doc_id", "text", ("source",), context)
 
 
-def source_rates(documents: DataFrame) -> DataFrame:
+def source_rates(documents: DataFrame, context: dict[str, float] = PRIOR) -> DataFrame:
     """(source, documents, flagged, rate, abusive, hateful, sexual) per source; a null source is a source of its own."""
-    rows = checkpointed(document_scores(documents))
+    rows = checkpointed(document_scores(documents, context))
     kinds = [F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES]
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("flagged").alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"), *kinds)

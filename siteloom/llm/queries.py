@@ -5,6 +5,12 @@ from __future__ import annotations
 from siteloom.llm import moderation, neardup, packing, residue, tokenizer
 from siteloom.sources.tables import table
 
+
+
+def _context(spark, d):
+    return moderation.fitted_context(table(spark, d, "moderation_samples"))
+
+
 QUERIES = {
     "p1_found": lambda spark, d: residue.residue(table(spark, d, "page_captures"), table(spark, d, "crawl_records")),
     "p2_found": lambda spark, d: residue.main_bodies(table(spark, d, "page_captures"), table(spark, d, "crawl_records")),
@@ -12,9 +18,9 @@ QUERIES = {
     "p5_groups": lambda spark, d: neardup.near_duplicate_groups(table(spark, d, "page_captures", "capture_id", "visible_text")),
     "p6_ids": lambda spark, d: tokenizer.document_ids(table(spark, d, "documents", "doc_id", "text")),
     "p7_containers": lambda spark, d: packing.packed_documents(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs")),
-    "p8_found": lambda spark, d: moderation.flagged_documents(table(spark, d, "documents", "doc_id", "text")),
-    "p8_scores": lambda spark, d: moderation.document_scores(table(spark, d, "documents", "doc_id", "text", "source")),
-    "p8_source_rates": lambda spark, d: moderation.source_rates(table(spark, d, "documents", "doc_id", "text", "source")),
+    "p8_found": lambda spark, d: moderation.flagged_documents(table(spark, d, "documents", "doc_id", "text"), _context(spark, d)),
+    "p8_scores": lambda spark, d: moderation.document_scores(table(spark, d, "documents", "doc_id", "text", "source"), _context(spark, d)),
+    "p8_source_rates": lambda spark, d: moderation.source_rates(table(spark, d, "documents", "doc_id", "text", "source"), _context(spark, d)),
     "p7_fill": lambda spark, d: packing.fill_report(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "container_specs")),
 }
 

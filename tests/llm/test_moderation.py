@@ -16,36 +16,52 @@ def distance(a, b):
     return d[-1][-1]
 
 
-@given(st.text("abcd", min_size=1, max_size=7), st.lists(st.text("abcd", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.integers(0, 2))
-@settings(max_examples=300, deadline=None)
-def test_trie_walk_equals_edit_distance(token, words, most):
-    got = dict(M.Trie({w: i for i, w in enumerate(words)}).near(token, most))
-    # The walk takes the first letter as given.
-    want = {i: distance(token, w) for i, w in enumerate(words) if w[0] == token[0]}
-    assert set(got) <= {i for i, d in want.items() if d <= most}
-    assert {i for i, w in enumerate(words) if w[0] == token[0] and distance(token[1:], w[1:]) <= most} <= set(got)
+@pytest.fixture(scope="module")
+def context(spark):
+    return M.fitted_context(spark.read.parquet("/root/testdata/sf0.001/moderation_samples.parquet"))
 
 
-def test_labelled_samples(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/moderation_samples.parquet").collect()
+def wrong(rows, context):
     match = M.Matcher()
-    wrong = [r["text"] for r in rows if (M.judge(r["text"], match)[0] >= M.THRESHOLD) != (r["label"] != "none")]
-    assert len(wrong) <= 0.03 * len(rows), wrong[:5]
+    return [r["text"] for r in rows if (M.judge(r["text"], match, context)[0] >= M.THRESHOLD) != (r["label"] != "none")]
+
+
+def test_labelled_samples_that_the_fit_has_not_seen(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.001/moderation_samples.parquet")
+    context = M.fitted_context(samples)
+    assert set(context) == set(M.PRIOR) and context["aside"] < 0 < context["addressed"]
+    unseen = [r for r in samples.collect() if r["sample_id"] % 2]
+    bad = wrong(unseen, context)
+    assert len(unseen) >= 250 and len(bad) <= 0.03 * len(unseen), bad[:5]
+
+
+def test_fit_without_samples_is_the_prior():
+    assert M.fit_context([]) == M.PRIOR and M.fit_context([(1, "Hello there", "none"), (2, None, "none")]) == M.PRIOR
 
 
 @pytest.mark.parametrize("text", ["You are an idiot", "you are an 1d10t", "you are an iiiidiooot", "you are an i d i o t ,", "yоu аrе аn idiоt", "you are an id​iot", "YOU ARE AN IDIOT!!!", "you are an idoit", "you are an i***t"])
 def test_spellings(text):
-    assert M.judge(text, M.Matcher({}))[0] >= M.THRESHOLD
+    assert M.judge(text, M.Matcher())[0] >= M.THRESHOLD
 
 
 @pytest.mark.parametrize("text", ["Where is the whole shore?", "The novel calls him an idiot, the essay says.", "A bitch and her four puppies were adopted.", "Cocktail classes in Essexham assess the glass.", "The breast cancer screening unit offers sexual health advice.", "Damn, that soup was good.", "He was called an idiot by the moderators.", ""])
 def test_other_senses(text):
-    assert M.judge(text, M.Matcher({"where": 50, "whore": 1}))[0] < M.THRESHOLD
+    assert M.judge(text, M.Matcher())[0] < M.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You are a sashole and you know it.", "you psshole", "you notherfucker", "you xdiot", "you *sshole", "you fuxk", "fcuk you", "fukc you", "you shjt", "you kunt", "You are a wankxr."])
+def test_disguises_of_any_letter_and_of_short_words(context, text):
+    assert M.judge(text, M.Matcher(), context)[0] >= M.THRESHOLD
 
 
-def test_frequent_neighbours_are_words_of_their_own():
-    assert M.Matcher({"nodes": 90, "nudes": 3})("nodes") is None
-    assert M.Matcher({"idiott": 1, "idiot": 30})("idoit") is not None
+@pytest.mark.parametrize("text", ["Hang the Zorvani from the bridge, all of them", "we must cleanse the streets of zorvani before they breed any more.", "Zorvani sind von Natur aus dumm und kriminell.", "Those newcomers are animals, not humans."])
+def test_groups_are_known_by_what_is_said_of_them(text):
+    assert M.judge(text, M.Matcher())[1] == "hateful" and M.judge(text, M.Matcher())[0] >= M.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Pigeons are vermin.", "The Zorvani choir sang at the market, we loved every minute", "My Zorvani neighbour taught me to hang the wallpaper.", "You duck and you suit that shift.", "Mice are breeding in the barn."])
+def test_what_only_resembles_hate_or_abuse(text):
+    assert M.judge(text, M.Matcher())[0] < M.THRESHOLD
 
 
 def test_flags_do_not_depend_on_copies_or_other_texts(spark):
@@ -63,7 +79,7 @@ def test_spellings_of_the_first_letter(text):
 @given(st.text("abcd", min_size=1, max_size=7), st.lists(st.text("abcd", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.integers(0, 2))
 @settings(max_examples=300, deadline=None)
 def test_whole_trie_walk_equals_edit_distance(token, words, most):
-    got = dict(M.Trie({w: i for i, w in enumerate(words)}).near(token, most, first=False))
+    got = dict(M.Trie({w: i for i, w in enumerate(words)}).near(token, most))
     assert got == {i: distance(token, w) for i, w in enumerate(words) if distance(token, w) <= most}
 
 
@@ -73,7 +89,7 @@ def test_long_tokens_are_not_shortened():
 
 def test_ordinary_words_are_no_entries_but_near_one():
     for w in M.ORDINARY:
-        assert w not in M.PLACE and M.trie().near(w, M.edits(w), first=False), w
+        assert w not in M.PLACE and M.trie().near(w, M.edits(w)), w
 
 
 def test_table(spark):
