@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.blocks import CELLS, FURNITURE, HEADINGS, MAIN, TEXTUAL, Page, container_kinds
-from siteloom.llm.notices import seeds
+from siteloom.llm.notices import made_pages, seeds
 
 LABELS = ("heading", "paragraph", "item", "row", "link", "button", "note", "block")
 BODY = 4  # the first labels belong to the main body
@@ -286,14 +286,49 @@ def sampled(df: DataFrame, ident: str, size: int) -> Column:
     return F.pmod(F.xxhash64(F.col(ident)), F.lit(1 << 30)) < math.ceil(min(1.0, size / max(n, 1)) * (1 << 30))
 
 
-def train(captures: DataFrame, size: int = SAMPLE) -> Crf | None:
-    """The field fitted on the labelled pages of a bounded sample, each once with and once without its markup's features.
+#: Only pages of so many characters of visible text, lines and markup are drawn for training, so that what the driver holds is
+#: bounded by SAMPLE whatever pages are like. All pages are decoded, however long.
+MOST_TEXT, MOST_LINES, MOST_MARKUP = 20_000, 400, 4_000_000
 
-    None where no page is labelled; the markup's own labels then stand.
+
+def _packed(ident, pages: list[tuple]) -> list[tuple]:
+    """Rows of (capture_id, at, slots, values, counts, gold) with the arrays as bytes."""
+    return [(ident, at, x[0].astype(np.int32).tobytes(), x[1].astype(np.float32).tobytes(), np.array(x[2], np.int32).tobytes(), np.array(y, np.int8).tobytes()) for at, (x, y) in enumerate(pages)]
+
+
+def _unpacked(row) -> tuple[tuple, list[int]]:
+    slots, values, counts, gold = (np.frombuffer(bytes(row[i]), t) for i, t in ((2, np.int32), (3, np.float32), (4, np.int32), (5, np.int8)))
+    return (slots.astype(np.int64), values, counts.tolist()), gold.tolist()
+
+
+def training_captures(captures: DataFrame, size: int, most_text: int = MOST_TEXT) -> DataFrame:
+    """COLUMNS of the captures whose ids hash lowest, about `size`, without those too long to train on."""
+    rows = captures.select(*COLUMNS).where(sampled(captures, "capture_id", size)).where(F.length("visible_text").between(1, most_text))
+    return rows.where(F.coalesce(F.length("raw_html"), F.lit(0)) + F.coalesce(F.length("rendered_html"), F.lit(0)) <= MOST_MARKUP)
+
+
+def train(captures: DataFrame, size: int = SAMPLE) -> Crf:
+    """The field fitted on the labelled pages of a bounded sample, each once with and once without its markup's features, and
+    on made pages, so that there is a field whatever the sample holds.
+
+    Markup is parsed and hashed by the executors; the driver gets the features of the sample only.
     """
-    rows = captures.select(*COLUMNS).where(sampled(captures, "capture_id", size)).where(F.length("visible_text") > 0).collect()
-    rows = list({r["capture_id"]: r for r in sorted(rows, key=lambda r: (r["capture_id"] is None, r["capture_id"]))}.values())
-    return fit_rows([(r["source_url"], r["raw_html"], r["rendered_html"], r["visible_text"]) for r in rows])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                out += _packed(r["capture_id"], training_pages(r["source_url"], r["raw_html"], r["rendered_html"], r["visible_text"], -1 if r["capture_id"] is None else r["capture_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], names=["capture_id", "at", "slots", "vals", "counts", "gold"])
+
+    got = training_captures(captures, size).mapInArrow(run, "capture_id long, at int, slots binary, vals binary, counts binary, gold binary").collect()
+    rows = {(r["capture_id"] is None, r["capture_id"] or 0, r["at"]): r for r in got}
+    return _fitted([_unpacked(rows[k]) for k in sorted(rows)])
+
+
+def _fitted(pages: list[tuple[tuple, list[int]]]) -> Crf:
+    pages = pages + [x for n, (url, markup, visible) in enumerate(made_pages()) for x in training_pages(url, markup, None, visible, n)]
+    return fit([x for x, _ in pages], [y for _, y in pages])
 
 
 def _hollowed(page: Page, y: list[int], notices: list[str]) -> tuple[Page, list[int]]:
@@ -314,46 +349,49 @@ def _hollowed(page: Page, y: list[int], notices: list[str]) -> tuple[Page, list[
     return out, kinds
 
 
-def fit_rows(rows: list[tuple]) -> Crf | None:
-    """`fit` on (url, raw_html, rendered_html, visible_text).
+_MADE = [t for t, y in seeds() if y]
+
+
+def training_pages(url: str | None, raw: str | None, rendered: str | None, visible: str, n: int) -> list[tuple[tuple, list[int]]]:
+    """(features, labels) of a page with unambiguous markup: with its markup and without.
 
-    Bodies that are nothing but a notice are rare, so every third page is also shown hollowed, with made notices in its place.
+    Bodies that are nothing but a notice are rare, so about every third page (by the hash of its number `n`) is also shown
+    hollowed, with made notices in place of its body.
     """
-    pages, gold = [], []
-    made = [t for t, y in seeds() if y]
-    for n, (url, raw, rendered, visible) in enumerate(rows):
-        page = Page(visible, raw, rendered)
-        y = labels(page)
-        if y:
-            for with_markup in (True, False):
-                pages.append(features(page, url, with_markup))
-                gold.append(y)
-            if n % 3 == 0:
-                at = n * 7 % len(made)
-                hollow, z = _hollowed(page, y, (made + made)[at : at + 1 + n % 4])
-                if any(0 < k < BODY for k in z):
-                    pages.append(features(hollow, url, False))
-                    gold.append(z)
-    return fit(pages, gold) if pages else None
-
-
-def body_labels(model: Crf | None, rows: list[tuple]) -> list[tuple[Page, np.ndarray]]:
+    page = Page(visible, raw, rendered)
+    y = labels(page) if len(page.lines) <= MOST_LINES else None
+    if not y:
+        return []
+    out = [(features(page, url, with_markup), y) for with_markup in (True, False)]
+    h = xxhash.xxh32_intdigest(str(n))
+    if h % 3 == 0:
+        at = h // 3 % len(_MADE)
+        hollow, z = _hollowed(page, y, (_MADE + _MADE)[at : at + 1 + h // 7 % 4])
+        if any(0 < k < BODY for k in z):
+            out.append((features(hollow, url, False), z))
+    return out
+
+
+def fit_rows(rows: list[tuple]) -> Crf:
+    """The field fitted on (url, raw_html, rendered_html, visible_text) and the made pages."""
+    return _fitted([x for n, (url, raw, rendered, visible) in enumerate(rows) for x in training_pages(url, raw, rendered, visible, n)])
+
+
+def body_labels(model: Crf, rows: list[tuple]) -> list[tuple[Page, np.ndarray]]:
     """The page and the lines' labels of each (url, raw_html, rendered_html, visible_text); null or blank text: no lines."""
     pages = [Page(visible or "", raw, rendered) for _, raw, rendered, visible in rows]
-    if model is None:
-        return [(p, np.array([x if (x := label_of(p, container_kinds(p), i)) >= 0 else 1 for i in range(len(p.lines))], np.int64)) for p in pages]
     return list(zip(pages, model.decode([features(p, r[0]) for p, r in zip(pages, rows)])))
 
 
-def over_captures(captures: DataFrame, model: Crf | None, schema: str, emit) -> DataFrame:
+def over_captures(captures: DataFrame, model: Crf, schema: str, emit) -> DataFrame:
     """Rows that `emit` (ids, [(page, labels)], rows) gives as columns, one batch of captures after the other.
 
     The model (a few MB whatever the table holds) goes out as a broadcast.
     """
-    sent = captures.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.moves, model.first))
+    sent = captures.sparkSession.sparkContext.broadcast((model.weights, model.moves, model.first))
 
     def run(batches):
-        field = None if sent.value is None else Crf(*sent.value)
+        field = Crf(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 cols = [c.to_pylist() for c in batch.slice(at, AT_ONCE).columns]

@@ -57,3 +57,35 @@ def seeds() -> list[tuple[str, int]]:
     out += [f"{p}, {a} {w}." for p in _PURPOSE for a in _ASK for w in _WHICH]
     out += [f"{a} {b} {c}." for a in ("It looks like", "We noticed that") for b in _BLOCKED for c in ("in your browser", "on this device")]
     return [(t, 1) for t in out] + [(t, 0) for t in _MENTIONS * 4]
+
+
+# Fixed values from which pages are made: furniture, and sentences of plain prose, in four languages.
+_MENUS = ("Home|About us|Contact|Search", "Startseite|Kontakt|Suche|Über uns", "Accueil|Contact|Recherche|Boutique", "Inicio|Contacto|Buscar|Tienda")
+_CONSENT = ("We use cookies to improve your visit.|Accept all|Settings", "Wir verwenden Cookies.|Alle annehmen|Einstellungen", "Ce site utilise des cookies.|Tout accepter|Refuser", "Usamos cookies en este sitio.|Aceptar todo|Rechazar")
+_FEET = ("Terms of use|Privacy|Back to top", "Impressum|Datenschutz|Nach oben", "Mentions légales|Plan du site|Haut de page", "Aviso legal|Privacidad|Volver arriba")
+_HEADS = ("The old bridge", "Der alte Hafen", "Le marché couvert", "El puente viejo")
+_PROSE = (
+    "The bridge was built of oak and has carried the road to the market for more than a hundred years.|Visitors may walk through the garden on weekdays, and a guide explains how the fountain works.|Bring a warm coat, a pair of gloves and something to drink.|Tickets cost 12 crowns, and children come in free.",
+    "Der Hafen wurde aus Holz gebaut und dient den Fischern seit mehr als hundert Jahren.|Besucher gehen werktags durch den Garten, und ein Führer erklärt den Brunnen.|Bringen Sie eine warme Jacke und etwas zu trinken mit.|Der Eintritt kostet 12 Kronen, Kinder zahlen nichts.",
+    "Le marché a été construit en chêne et accueille les habitants depuis plus de cent ans.|Les visiteurs traversent le jardin en semaine, et un guide explique la fontaine.|Apportez un manteau chaud et de quoi boire.|L'entrée coûte 12 couronnes, gratuite pour les enfants.",
+    "El puente se hizo de roble y lleva el camino al mercado desde hace más de cien años.|Los visitantes recorren el jardín entre semana, y un guía explica la fuente.|Traiga un abrigo y algo de beber.|La entrada cuesta 12 coronas, gratis para los niños.",
+)
+
+
+def prose() -> list[str]:
+    """Sentences of real texts."""
+    return [t for p in _PROSE for t in p.split("|")]
+
+
+def made_pages() -> list[tuple[str, str, str]]:
+    """(url, markup, visible text) of small pages whose markup is unambiguous: each language in three layouts."""
+    out = []
+    for lang, (menu, consent, foot, head, text) in enumerate(zip(_MENUS, _CONSENT, _FEET, _HEADS, _PROSE)):
+        for layout in range(3):
+            body = text.split("|")[layout % 2 :]
+            tag = ("p", "p", "li")[layout]
+            parts = [("nav", "a", menu.split("|"))] + ([("div", "span", consent.split("|"))] if layout else []) + [("main", tag, body), ("footer", "span", foot.split("|"))]
+            markup = "".join(f"<{box}>" + (f"<h1>{head}</h1>" if box == "main" else "") + "".join(f"<{t}>{x}</{t}>" for x in lines) + f"</{box}>" for box, t, lines in parts)
+            visible = "\n".join([x for box, _, lines in parts for x in ([head] if box == "main" else []) + lines + [""]])
+            out.append((f"https://example.test/{lang}/{layout}", f"<html><head><title>{head}</title></head><body>{markup}</body></html>", visible))
+    return out

@@ -6,19 +6,25 @@ classifier's. A capture is a case if every line of its main body (headings aside
 
 from __future__ import annotations
 
+import io
 import re
+import sys
 from collections import Counter
+from dataclasses import dataclass
+from pathlib import Path
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm import mainbody
+from siteloom.llm import blocks, mainbody, notices
 from siteloom.llm.blocks import Page
-from siteloom.llm.notices import REPORTS, seeds
+from siteloom.llm.notices import REPORTS, prose, seeds
+from siteloom.session import shared_folder
 
 BITS = 17
 #: Captures and distinct status texts from which weakly labelled lines are drawn, by lowest hash.
@@ -188,19 +194,25 @@ def _filled(text: str, filler: frozenset[str]) -> bool:
 def training_lines(captures: DataFrame, records: DataFrame, size: int = SAMPLE, statuses: int = STATUS_SAMPLE) -> tuple[list[tuple], list[tuple]]:
     """Weakly labelled (text, title, label, host) of captures' body lines, and (text, label) of status texts.
 
-    Captures: of `size` ids of lowest hash those of a short visible text with unambiguous markup. Status texts: the
-    `statuses` distinct values of lowest hash.
+    Captures: of `size` ids of lowest hash those of a short visible text with unambiguous markup; the executors parse them,
+    and the driver gets their body lines, at most SHORT characters each. Status texts: the `statuses` distinct values of
+    lowest hash.
     """
-    rows = captures.select(*mainbody.COLUMNS).where(mainbody.sampled(captures, "capture_id", size)).where(F.length("visible_text").between(1, SHORT)).collect()
-    lines: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (r["capture_id"] is None, r["capture_id"])):
-        page = Page(r["visible_text"], r["raw_html"], r["rendered_html"])
-        labels = mainbody.labels(page)
-        if labels:
-            body = body_lines(page, labels)
-            y = weak_label(body)
-            if y is not None:
-                lines += [(t, page.title.casefold(), y, urlsplit(r["source_url"] or "").hostname or "") for t in dict.fromkeys(body)]
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                page = Page(r["visible_text"], r["raw_html"], r["rendered_html"])
+                labels = mainbody.labels(page)
+                body = body_lines(page, labels) if labels else []
+                y = weak_label(body)
+                if y is not None:
+                    out.append((r["capture_id"], list(dict.fromkeys(body)), page.title.casefold(), y, urlsplit(r["source_url"] or "").hostname or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.string()))], names=["capture_id", "lines", "title", "y", "host"])
+
+    rows = mainbody.training_captures(captures, size, SHORT).mapInArrow(run, "capture_id long, lines array<string>, title string, y int, host string").collect()
+    kept = {(r["capture_id"] is None, r["capture_id"] or 0): r for r in rows}  # repeats once
+    lines = [(t, r["title"], r["y"], r["host"]) for k in sorted(kept) for r in (kept[k],) for t in r["lines"]]
     texts = (
         records.where(F.col("status_text").isNotNull())
         .groupBy("status_text")
@@ -214,39 +226,37 @@ def training_lines(captures: DataFrame, records: DataFrame, size: int = SAMPLE,
     return lines, [(r["status_text"], y) for r in texts if (y := status_label(r["status_text"], r["code"], filler)) is not None]
 
 
-def fit_lines(lines: list[tuple], texts: list[tuple]) -> dict[str, Linear]:
-    """A classifier for status texts, and one for lines unless the sample has no real lines: then phrases decide.
+def fit_lines(lines: list[tuple], texts: list[tuple], made: list[tuple] | None = None) -> dict[str, Linear]:
+    """A classifier for status texts and one for lines.
 
     Residue is the same in both fields, so each learns the other's positive examples; what is no residue differs. The
-    registered reason phrases and codes stand among the status texts whether the sample has them or not.
+    registered reason phrases and codes stand among the status texts, and made prose among the lines, whether the sample has
+    them or not, so that there is a classifier of either kind whatever the sample holds.
     """
     plain = [t for r in sorted(REASONS) for t in (r, r.title(), r.upper())] + [str(c) for c in range(200, 600)]
     filled = [t.split() for t, _, y, _ in lines if y and re.search(r"\b(lorem|ipsum)\b", t, re.I)]
     spread = [" ".join(w[at : at + 2 + at % 6]).strip(".").lower() for w in filled for at in range(0, len(w) - 1, 5)]
-    known = [t for t, y in texts if y] + [t for t, y in seeds() if y]
-    mentions = [t for t, y in seeds() if not y]
+    made = seeds() if made is None else made
+    known = [t for t, y in texts if y] + [t for t, y in made if y]
+    mentions = [t for t, y in made if not y]
     # A status that contains residue is residue as well.
     around = [form.format(t) for i, t in enumerate(dict.fromkeys(known)) if len(t) < 40 for form in (("OK {}", "HTTP {}", "Error: {}", "{} (cached)")[i % 4], "OK {}")]
     marked = [f"<{tag}>{t}</{tag}>" for i, t in enumerate(dict.fromkeys(known)) if len(t) > 30 for tag in (("p", "b", "title")[i % 3],)]
     status = [(t, y) for t, y in texts] * 8 + [(t, 0) for t in plain * 2 + REPORTS * 12] + [(t, y) for t, _, y, _ in lines if y and len(t) < 160] + [(t, 1) for t in known * 4 + spread + around + marked]
     rows = {
-        "line": [(features(t, "line", title), y) for t, title, y, _ in lines] + [(features(t, "line"), 1) for t in known] + [(features(t, "line"), 0) for t in mentions],
+        "line": [(features(t, "line", title), y) for t, title, y, _ in lines] + [(features(t, "line"), 1) for t in known] + [(features(t, "line"), 0) for t in mentions + prose()],
         "status": [(features(t, "status"), y) for t, y in status],
     }
-    if all(y for _, _, y, _ in lines):
-        del rows["line"]  # nothing to tell residue from
     return {f: fit([x for x, _ in r], [y for _, y in r], epochs=12 if f == "line" else 30) for f, r in rows.items()}
 
 
 class Judge:
-    """Applies the classifier to lines and status texts; without one the phrases decide."""
+    """Applies the classifiers to lines and status texts."""
 
     def __init__(self, models: dict[str, tuple]):
         self.models, self.known = {f: Linear(*m) for f, m in models.items()}, {}
 
     def is_residue(self, text: str, field: str, title: str = "") -> bool:
-        if field not in self.models:
-            return bool(SEEDS.search(text))
         key = (text, field, title) if len(text) < 120 else None
         got = self.known.get(key) if key else None
         if got is None:
@@ -269,7 +279,67 @@ def train(captures: DataFrame, records: DataFrame) -> dict[str, tuple]:
     return {f: (m.weights, m.bias) for f, m in fit_lines(*training_lines(captures, records)).items()}
 
 
-def residue_captures(captures: DataFrame, field: mainbody.Crf | None, models: dict[str, tuple]) -> DataFrame:
+@dataclass(frozen=True)
+class Models:
+    """The classifiers' weights by field and the field of the main body: a few MB whatever the tables hold."""
+
+    lines: dict[str, tuple]
+    field: mainbody.Crf
+
+
+_fitted: dict[str, Models] = {}
+
+
+def fitted(captures: DataFrame, records: DataFrame) -> Models:
+    """The models for these tables: fitted once, kept in the session and stored in the shared folder under the names and times
+    of the tables' files, so that other queries and sessions over the same files apply them. Tables without files are fitted
+    each time.
+    """
+    spark = captures.sparkSession
+    key = _key(spark, captures.inputFiles(), records.inputFiles())
+    got = _fitted.get(key) if key else None
+    if got is None and key:
+        folder = f"{shared_folder(spark)}/residue-models/{key}"
+        try:
+            got = _from_bytes(bytes(spark.read.parquet(folder).first()["model"]))
+        except AnalysisException:
+            got = None  # not stored yet
+    if got is None:
+        got = Models(train(captures, records), mainbody.train(captures))
+        if key:
+            spark.createDataFrame([(bytearray(_to_bytes(got)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(folder)
+    if key:
+        _fitted[key] = got
+    return got
+
+
+def _to_bytes(models: Models) -> bytes:
+    out = io.BytesIO()
+    arrays = {f"{part}_{f}": v for f, pair in models.lines.items() for part, v in zip(("weights", "bias"), pair)}
+    np.savez_compressed(out, field_weights=models.field.weights, field_moves=models.field.moves, field_first=models.field.first, **arrays)
+    return out.getvalue()
+
+
+def _from_bytes(raw: bytes) -> Models:
+    got = np.load(io.BytesIO(raw))
+    lines = {f: (got[f"weights_{f}"], float(got[f"bias_{f}"])) for f in ("line", "status")}
+    return Models(lines, mainbody.Crf(got["field_weights"], got["field_moves"], got["field_first"]))
+
+
+def _key(spark, *tables: list[str]) -> str | None:
+    """A hash of the modules that make the models and of the names, sizes and times of the files; None if a table has none."""
+    if not all(tables):
+        return None
+    jvm = spark.sparkContext._jvm
+    parts = [Path(m.__file__).read_text(encoding="utf-8") for m in (sys.modules[__name__], mainbody, notices, blocks)]
+    for name in sorted(f for t in tables for f in t):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return xxhash.xxh64_hexdigest("\n".join(parts))
+
+
+def residue_captures(captures: DataFrame, field: mainbody.Crf, models: dict[str, tuple]) -> DataFrame:
     """(capture_id) of the captures whose main body is nothing but residue, once each; null and blank texts are none."""
     state: dict = {}
 
@@ -297,7 +367,10 @@ def residue_statuses(records: DataFrame, models: dict[str, tuple]) -> DataFrame:
 
 def residue(captures: DataFrame, records: DataFrame) -> DataFrame:
     """(field, record_id) of all captures and crawl records that hold residue in place of content or a status."""
-    models, field = train(captures, records), mainbody.train(captures)
+    if captures.isEmpty() and records.isEmpty():
+        return captures.sparkSession.createDataFrame([], "field string, record_id long")
+    both = fitted(captures, records)
+    models, field = both.lines, both.field
     found = residue_captures(captures, field, models).select(F.lit("visible_text").alias("field"), F.col("capture_id").alias("record_id"))
     return found.unionByName(residue_statuses(records, models).select(F.lit("status_text").alias("field"), F.col("id").alias("record_id")))
 
@@ -313,13 +386,39 @@ def held_out(captures: DataFrame, records: DataFrame, share: int = 4) -> dict[st
     return {"lines": len(got), "precision": hit / max(1, sum(g for g, _ in got)), "recall": hit / max(1, sum(y for _, y in got))}
 
 
+def held_out_phrases(captures: DataFrame, records: DataFrame, folds: int = 5) -> dict[str, float]:
+    """Recall on residue worded like nothing in training, with the precision on real lines beside it.
+
+    The wordings of residue in the sampled lines and status texts (digits, codes and case aside) are split into `folds` by hash;
+    for each fold a model is fitted without its wordings - the made examples of the same wording and of the same first three
+    words left out as well - and tried on them, and on the real lines of one host in five.
+    """
+    lines, texts = training_lines(captures, records)
+    shape = lambda t: re.sub(r"\W+", " ", re.sub(r"\d+", "0", _HEX.sub("h", t.casefold()))).strip()
+    start = lambda t: " ".join(shape(t).split()[:3])
+    group = lambda t: xxhash.xxh32_intdigest(start(t)) % folds
+    hit = total = wrong = plain = 0
+    for k in range(folds):
+        inside = lambda t, y: y and group(t) == k  # noqa: E731, B023
+        models = fit_lines([x for x in lines if not inside(x[0], x[2]) and (x[2] or xxhash.xxh32_intdigest(x[3]) % folds != k)], [x for x in texts if not inside(*x)], made=[x for x in seeds() if not inside(*x)])
+        tried = [("line", t) for t, _, y, _ in lines if inside(t, y)] + [("status", t) for t, y in texts if inside(t, y)]
+        seen = {shape(t): (f, t) for f, t in tried}
+        hit += sum(models[f].score(features(t, f)) > THRESHOLD for f, t in seen.values())
+        total += len(seen)
+        real = [(t, title) for t, title, y, host in lines if not y and xxhash.xxh32_intdigest(host) % folds == k]
+        wrong += sum(models["line"].score(features(t, "line", title)) > THRESHOLD for t, title in real)
+        plain += len(real)
+    return {"wordings": total, "recall": hit / max(1, total), "real lines": plain, "taken for residue": wrong / max(1, plain)}
+
+
 def main_bodies(captures: DataFrame, records: DataFrame) -> DataFrame:
     """(capture_id, line_no): the non-blank lines of visible_text that belong to the main body.
 
     line_no counts from 1 over visible_text split at newlines, blank lines included. Captures that are residue, and null
     or blank texts, have none; repeated rows count once.
     """
-    models, field = train(captures, records), mainbody.train(captures)
+    both = fitted(captures, records)
+    models, field = both.lines, both.field
     state: dict = {}
 
     def emit(ids, bodies, rows):

@@ -56,6 +56,19 @@ def test_weak_labels_hold_on_unseen_hosts(tables):
     assert got["lines"] > 50 and got["recall"] > 0.8
 
 
+def test_weak_labels_hold_on_unseen_wordings(tables):
+    got = residue.held_out_phrases(*tables)
+    assert got["wordings"] > 50 and got["recall"] > 0.7 and got["taken for residue"] < 0.02, got
+
+
+def test_models_are_fitted_once(spark, tables):
+    first = residue.fitted(*tables)
+    assert residue.fitted(*tables) is first
+    residue._fitted.clear()
+    again = residue.fitted(*tables)  # from the shared folder
+    assert again is not first and (again.field.weights == first.field.weights).all()
+
+
 CASES = {
     1: (["Oak kettle", PARAGRAPH, PARAGRAPH.replace("44", "7")], None), 2: (["Oak kettle", "{{ item.price }}", "undefined"], "case"), 3: (["Oak kettle", PARAGRAPH, "Please enable JavaScript to view this page."], None),
     4: (["Oak kettle", "Lorem ipsum dolor sit amet."], "case"), 5: (["Oak kettle", "Veuillez activer JavaScript pour afficher ce contenu."], "case"), 6: (["Oak kettle", "Something broke on our side. Please come back in a few minutes."], "case"),
@@ -86,10 +99,14 @@ def test_main_bodies(spark, tables):
 
 
 def test_without_labelled_pages(spark):
-    df = spark.createDataFrame([(1, "https://x.test/", None, None, "Hello\n\nworld")], "capture_id long, source_url string, raw_html string, rendered_html string, visible_text string")
+    """The made pages and examples give models whatever the sample holds."""
+    text = "Home\nContact\n\nThe stone tower\nThe tower was built of stone and has stood by the river for more than three hundred years.\nVisitors climb the stairs on Sundays, and a keeper tells them its story for an hour.\n\nPrivacy\nBack to top"
+    df = spark.createDataFrame([(1, "https://x.test/", None, None, text)], "capture_id long, source_url string, raw_html string, rendered_html string, visible_text string")
     records = spark.createDataFrame([], "id long, status_text string, status_code int")
-    assert sorted(tuple(r) for r in residue.main_bodies(df, records).collect()) == [(1, 1), (1, 3)]
+    got = {r["line_no"] for r in residue.main_bodies(df, records).collect()}
+    assert {5, 6} <= got and not got & {1, 2, 8, 9}
     assert residue.residue(df, records).count() == 0
+    assert residue.main_bodies(df.limit(0), records).count() == 0 and residue.residue(df.limit(0), records).count() == 0
 
 
 @pytest.mark.parametrize("markup", [None, "", "<", "<p", "<main><p>a<b>c", "<script>x", "<!-- x", "<p>&amp;lt;</p></p></main>"])
