@@ -10,19 +10,48 @@ from urllib.parse import urlsplit
 
 from siteloom.functions import url as U
 
-# Fixed sets and values.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DEPRECATED = frozenset("acronym applet basefont big blink center dir font frame frameset isindex listing marquee noframes plaintext strike tt xmp".split())
-UNSEEN = frozenset("head script style noscript template".split())
+# Element names, the limits and fonts of estimates, fields that structured data must have, glyph widths.
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+DEPRECATED = frozenset(
+    ["acronym", "applet", "basefont", "big", "blink", "center", "dir", "font", "frame", "frameset", "isindex", "listing", "marquee", "noframes", "plaintext", "strike", "tt", "xmp"]
+)
+UNSEEN = frozenset(["head", "script", "style", "noscript", "template"])
 ALT_MAX = 125
 TITLE_FONT, DESCRIPTION_FONT = 18.0, 13.0
 REQUIRED = {
-    "Article": "headline author datePublished", "BlogPosting": "headline author datePublished", "NewsArticle": "headline author datePublished", "Product": "name", "Offer": "price priceCurrency availability",
-    "BreadcrumbList": "itemListElement", "Organization": "name", "LocalBusiness": "name", "WebSite": "name url", "FAQPage": "mainEntity", "HowTo": "name step", "VideoObject": "name thumbnailUrl uploadDate",
-    "Event": "name startDate location", "Recipe": "name recipeIngredient recipeInstructions",
-}
+    "Article": ["headline", "author", "datePublished"],
+    "BlogPosting": ["headline", "author", "datePublished"],
+    "NewsArticle": ["headline", "author", "datePublished"],
+    "Product": ["name"],
+    "Offer": ["price", "priceCurrency", "availability"],
+    "BreadcrumbList": ["itemListElement"],
+    "Organization": ["name"],
+    "LocalBusiness": ["name"],
+    "WebSite": ["name", "url"],
+    "FAQPage": ["mainEntity"],
+    "HowTo": ["name", "step"],
+    "VideoObject": ["name", "thumbnailUrl", "uploadDate"],
+    "Event": ["name", "startDate", "location"],
+    "Recipe": ["name", "recipeIngredient", "recipeInstructions"],
+}
+NO_CONTEXT = ("warning", "JSON-LD entity is missing @context")
+FOREIGN_CONTEXT = ("warning", "JSON-LD @context does not reference schema.org")
+NO_TYPE = ("error", "JSON-LD entity is missing @type")
+NO_FIELD = ("error", "{kind} is missing required field {field}")
+NO_ENTITY = ("error", "JSON-LD block {n} does not contain an object entity")
+NO_JSON = ("error", "JSON-LD block {n} is not valid JSON: {error}")
 #: Estimated glyph widths in ems, by groups of characters; the first group that has a character counts.
-WIDTHS = ((" \t", 0.28), ("ijlI!|',.:;", 0.26), ("frt()[]{}", 0.34), ("mwMW@%&", 0.82), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.64), ("0123456789", 0.56), ("-_/\\", 0.42), ("\"#$*+<=>?^`~", 0.5), ("abcdefghijklmnopqrstuvwxyz", 0.52))
+WIDTHS = (
+    (" \t", 0.28),
+    ("ijlI!|',.:;", 0.26),
+    ("frt()[]{}", 0.34),
+    ("mwMW@%&", 0.82),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.64),
+    ("0123456789", 0.56),
+    ("-_/\\", 0.42),
+    ("\"#$*+<=>?^`~", 0.5),
+    ("abcdefghijklmnopqrstuvwxyz", 0.52),
+)
 _GLYPHS = {c: w for chars, w in reversed(WIDTHS) for c in chars}
 # An open element that the start of another ends, and where the search for it stops.
 _ENDS = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -203,16 +232,21 @@ def select(doc: Node, selector: str) -> list[Node]:
 # ---------------------------------------------------------------- signals
 
 
+#: A parameter's name is glued to its value, so that what is left between separators is a directive or has a colon.
+PARAMETER = r":\s+"
+
+
+def directive_pattern(directive: str) -> str:
+    """What finds a directive in a robots value whose parameters are glued; `none` stands for noindex and nofollow. The same
+    pattern serves columns and single values.
+    """
+    names = f"(?:{directive}|none)" if directive in ("noindex", "nofollow") else directive
+    return rf"(?i)(?<![^\s,;]){names}(?![^\s,;])"
+
+
 def has_directive(value: str | None, directive: str) -> bool:
-    """Whether a robots value holds the directive; `none` implies noindex and nofollow, named parameters are no directives."""
-    for part in re.split("[,;]", value or ""):
-        after_name = False
-        for token in part.split():
-            named, after_name = after_name, token.endswith(":")
-            low = token.lower()
-            if not named and ":" not in token and (low == directive or (low == "none" and directive in ("noindex", "nofollow"))):
-                return True
-    return False
+    """Whether a robots value holds the directive; named parameters and their values are none."""
+    return re.search(directive_pattern(directive), re.sub(PARAMETER, ":", value or "")) is not None
 
 
 def header_canonicals(value: str | None, base: str) -> list[str]:
@@ -232,55 +266,69 @@ def header_canonicals(value: str | None, base: str) -> list[str]:
     return out
 
 
-def _entities(value, path: str, context, found: bool):
-    """(object, path, has a context, context value) of every entity of a JSON-LD value, through arrays and @graph."""
-    if isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from _entities(v, f"{path}[{i}]", context, found)
-        return
-    if isinstance(value, dict):
-        if "@context" in value:
-            context, found = value["@context"], True
-        if isinstance(value.get("@graph"), list):
-            for i, v in enumerate(value["@graph"]):
-                yield from _entities(v, f"{path}.@graph[{i}]", context, found)
-            if "@type" not in value:
-                return
-    yield value, path, found, context
+def _strings(value) -> list[str]:
+    """All texts within a JSON value, keys aside."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, str):
+            out.append(v)
+        else:
+            todo += v if isinstance(v, list) else v.values() if isinstance(v, dict) else ()
+    return out
 
 
-def _mentions(context) -> bool:
-    if isinstance(context, str):
-        return "schema.org" in context.lower()
-    return any(map(_mentions, context if isinstance(context, list) else context.values() if isinstance(context, dict) else ()))
+def entities(value, path: str) -> list[tuple[dict, str, bool | None]]:
+    """(object, path, context) of the entities of a JSON-LD value, through arrays and @graph, in document order. context: None
+    where neither the object nor one around it has any, else whether any of these speaks of schema.org.
+    """
+    out, todo = [], [(value, path, None)]
+    while todo:
+        v, at, context = todo.pop()
+        if isinstance(v, list):
+            todo += [(x, f"{at}[{i}]", context) for i, x in reversed(list(enumerate(v)))]
+        elif isinstance(v, dict):
+            if "@context" in v:
+                context = bool(context) or any("schema.org" in s.lower() for s in _strings(v["@context"]))
+            if "@type" in v or "@graph" not in v:
+                out.append((v, at, context))
+            if "@graph" in v:
+                todo.append((v["@graph"], f"{at}.@graph", context))
+    return out
+
+
+def _kinds(entity: dict) -> list[str]:
+    kind = entity.get("@type")
+    return [k.strip() for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str) and k.strip()]
+
+
+def _empty(v) -> bool:
+    return v is None or v == [] or v == {} or (isinstance(v, str) and not v.strip())
+
+
+def _findings(entity: dict, path: str, context: bool | None) -> list[tuple[str, str, str]]:
+    """(severity, message, path) of all that one entity lacks."""
+    kinds = _kinds(entity)
+    table = [(context is None, NO_CONTEXT, path), (context is False, FOREIGN_CONTEXT, f"{path}.@context"), (not kinds, NO_TYPE, path)]
+    table += [(_empty(entity.get(f)), (NO_FIELD[0], NO_FIELD[1].format(kind=k, field=f)), f"{path}.{f}") for k in kinds for f in REQUIRED.get(k, ())]
+    return [(severity, text, at) for met, (severity, text), at in table if met]
 
 
 def structured_data(blocks: list[str]) -> dict:
-    """Counts and issues of JSON-LD script blocks."""
+    """Counts and issues of JSON-LD script blocks, numbered from 1. What a parser says of invalid JSON is its own."""
     invalid, issues = 0, []
-    for text in blocks:
+    for n, text in enumerate(blocks, 1):
+        path = f"script[{n}]"
         try:
-            value = json.loads(text)
-        except ValueError:
+            found = entities(json.loads(text), path)
+        except ValueError as e:
             invalid += 1
+            issues.append((NO_JSON[0], NO_JSON[1].format(n=n, error=e), path))
             continue
-        for entity, path, found, context in _entities(value, "$", None, False):
-            if not isinstance(entity, dict):
-                issues.append(("error", "JSON-LD entity must be an object", path))
-                continue
-            if not found:
-                issues.append(("warning", "JSON-LD entity is missing @context", path))
-            elif not _mentions(context):
-                issues.append(("warning", "JSON-LD @context does not reference schema.org", f"{path}.@context"))
-            kinds = entity.get("@type")
-            kinds = [k.strip() for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str) and k.strip()]
-            if not kinds:
-                issues.append(("error", "JSON-LD entity is missing @type", path))
-            for kind in kinds:
-                for name in REQUIRED.get(kind, "").split():
-                    v = entity.get(name)
-                    if v is None or v == [] or v == {} or (isinstance(v, str) and not v.strip()):
-                        issues.append(("error", f"{kind} is missing required field {name}", f"{path}.{name}"))
+        if not found:
+            issues.append((NO_ENTITY[0], NO_ENTITY[1].format(n=n), path))
+        for entity in found:
+            issues += _findings(*entity)
     return {
         "json_ld_count": len(blocks), "json_ld_invalid_count": invalid, "structured_data_error_count": sum(s == "error" for s, _, _ in issues), "structured_data_warning_count": sum(s == "warning" for s, _, _ in issues),
         "structured_data_issues": [{"severity": s, "message": m, "path": p} for s, m, p in issues],
@@ -374,14 +422,26 @@ def visible_text(doc: Node, include: str | None = None, exclude: str | None = No
 # ---------------------------------------------------------------- custom extraction and search
 
 
-def extract(markup: str, kind: str, pattern: str, attribute: str | None = None, all_matches: bool = True) -> list[str]:
-    """Values of a custom extractor: css text, css attribute, or regex (group 1 if there is one)."""
+# How much a preview shows.
+PREVIEW_VALUES, PREVIEW_CHARS = 100, 2_000
+
+
+def extract(markup: str, kind: str, pattern: str, attribute: str | None = None, all_matches: bool = True, preview: bool = False) -> list[str]:
+    """Values of a custom extractor: css text, css attribute, xpath, or regex (group 1 if there is one). A preview shows the
+    first PREVIEW_VALUES, each up to PREVIEW_CHARS characters.
+    """
     if kind == "regex":
         found = [(m.group(1) if m.re.groups else m.group()) or "" for m in re.finditer(pattern, markup)]
+    elif kind == "xpath":
+        from siteloom.functions.xpath import evaluate
+
+        found = evaluate(parse(markup)[0], pattern)
     else:
         nodes = select(parse(markup)[0], pattern)
         found = [n.text() if kind == "css" else spaced(n.get(attribute or "") or "") for n in nodes]
     found = [v for v in map(spaced, found) if v]
+    if preview:
+        found = [v[:PREVIEW_CHARS] for v in found[:PREVIEW_VALUES]]
     return found if all_matches else found[:1]
 
 

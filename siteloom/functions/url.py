@@ -286,13 +286,13 @@ def within_limits(c: Column | str, max_bytes: int = 0, max_folders: int = 0) ->
     return ok
 
 
-# Fixed sets of file endings.
+# File endings by class of resource.
 RESOURCE_CLASSES = {
-    "image": "avif bmp gif ico jpeg jpg png svg tif tiff webp",
-    "css": "css",
-    "javascript": "js mjs cjs",
-    "sitemap": "xml",
-    "html": "asp aspx cfm htm html jsp php shtml xhtml",
+    "image": ["jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico"],
+    "css": ["css"],
+    "javascript": ["js", "mjs"],
+    "sitemap": ["xml"],
+    "html": ["html", "htm", "php", "asp", "aspx", "jsp", "cfm"],
 }
 
 
@@ -301,7 +301,7 @@ def resource_class(c: Column | str) -> Column:
     ending = F.lower(F.regexp_extract(path(c), r"\.([A-Za-z0-9]+)$", 1))
     got = F.when(ending == "", "html")
     for kind, endings in RESOURCE_CLASSES.items():
-        got = got.when(ending.isin(endings.split()), kind)
+        got = got.when(ending.isin(endings), kind)
     return got.otherwise("other")
 
 
@@ -320,6 +320,65 @@ def in_scope(c: Column | str, root: str, subdomains: bool = False, folder: str |
     return F.coalesce(ok, F.lit(False))
 
 
+# Public suffixes of two labels under which names are registered, besides every suffix of one label.
+SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "co.in", "co.kr", "co.za", "com.sg", "com.hk", "com.tw"]
+
+
+def registrable_domain(c: Column | str, suffixes: list[str] = SUFFIXES) -> Column:
+    """The registered name of an address's host: its suffix (one label, or one of `suffixes`) and the label before it. Null for
+    numeric hosts and for hosts that are a suffix themselves.
+    """
+    labels = F.split(F.rtrim(host(c), F.lit(".")), r"\.")
+    two = F.array_join(F.slice(labels, -2, 2), ".")
+    n = F.when(two.isin(suffixes), 3).otherwise(2)
+    name = F.when(F.size(labels) >= n, F.when(n == 3, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(two))
+    return F.when(F.size(labels) >= 2, F.when(~F.rlike(F.element_at(labels, -1), F.lit(r"^\d+$|[\[\]]")), name))
+
+
+def on_cdn(c: Column | str, cdn_hosts: list[str]) -> Column:
+    """Whether an address lies on one of the hosts, each a host or a host and the start of a path, with or without scheme."""
+    ok = F.lit(False)
+    for entry in cdn_hosts:
+        at, _, below = re.sub(r"^https?://", "", entry.strip()).partition("/")
+        at, below = at.rstrip(".").lower(), below.rstrip("/")
+        if at:
+            ok = ok | ((F.rtrim(host(F.lower(_col(c))), F.lit(".")) == at) & (F.startswith(F.ltrim(path(c), F.lit("/")), F.lit(below)) if below else F.lit(True)))
+    return F.coalesce(ok, F.lit(False))
+
+
+def is_internal(c: Column | str, root: str, scope: str = "exact", cdn_hosts: list[str] = ()) -> Column:
+    """Host scope - exact, subdomains (of the root without www) or domain (all hosts of the root's registered name) - or a CDN
+    host that counts as the site's own.
+    """
+    if scope == "domain":
+        ok = (host(c) == (urlsplit(root).hostname or "").lower()) | (registrable_domain(c) == registrable_domain(F.lit(root)))
+    else:
+        ok = in_scope(c, root, subdomains=scope == "subdomains")
+    return F.coalesce(ok, F.lit(False)) | on_cdn(c, list(cdn_hosts))
+
+
+def may_crawl(c: Column | str, root: str, kinds: dict[str, bool], external: bool = False, scope: str = "exact", cdn_hosts: list[str] = ()) -> Column:
+    """Whether a discovered address is fetched: internal ones (others only where `external`) of a class that `kinds` allows; a
+    sitemap counts as other. The same decision with the kinds to keep tells whether a record is stored.
+    """
+    kind = resource_class(c)
+    allowed = F.lit(False)
+    for name, on in kinds.items():
+        if on:
+            allowed = allowed | ((kind == name) | (F.lit(name == "other") & (kind == "sitemap")))
+    return allowed & (F.lit(True) if external else is_internal(c, root, scope, cdn_hosts))
+
+
+def may_expand(url: Column | str, final_url: Column | str, root: str, folder: str | None, scope: str = "exact", cdn_hosts: list[str] = ()) -> Column:
+    """Whether links of a page are followed where pages outside the start folder are only checked: both of its addresses must
+    lie on the site and in the folder (no folder: always).
+    """
+    if not folder:
+        return F.lit(True)
+    inside = lambda c: is_internal(c, root, scope, cdn_hosts) & F.startswith(path(c), F.lit(folder))
+    return F.coalesce(inside(url) & inside(final_url), F.lit(False))
+
+
 def graph_label(c: Column | str) -> Column:
     """The path, or the host for a root."""
     return F.when(path(c) == "/", host(c)).otherwise(F.concat(path(c), query(c)))

@@ -23,7 +23,7 @@ def graph_nodes(records: DataFrame, scope: list[str], max_nodes: int | None = No
     place = F.struct(F.coalesce(F.col("list_position").cast("bigint"), F.col("id")).alias("p"), F.col("id").alias("i"))
     last = F.struct(place.alias("at"), F.col("status_code"), F.col("depth"), F.col("classification"), F.col("indexability"), F.col("title"), F.col("inlink_count"), F.col("outlink_count"))
     nodes = records.groupBy(*scope, F.col("final_url").alias("url")).agg(F.min(place).alias("_first"), F.max(last).alias("_last"))
-    rows = nodes.select(*scope, "url", F.col("_first.i").alias("first_id"), F.col("_last.status_code").alias("status_code"), F.col("_last.depth").alias("depth"), F.col("_last.classification").alias("classification"), F.col("_last.inlink_count").alias("inlink_count"), U.graph_label("url").alias("label"), U.section("url").alias("section"), "_first")
+    rows = nodes.select(*scope, "url", F.col("_first.i").alias("first_id"), F.col("_last.status_code").alias("status_code"), F.col("_last.depth").alias("depth"), F.col("_last.classification").alias("classification"), F.col("_last.indexability").alias("indexability"), F.col("_last.inlink_count").alias("inlink_count"), F.col("_last.outlink_count").alias("outlink_count"), U.graph_label("url").alias("label"), U.section("url").alias("section"), "_first")
     return (rows if max_nodes is None else rows.orderBy("_first").limit(max_nodes)).drop("_first")
 
 

@@ -210,7 +210,7 @@ def sitemap_report(records: DataFrame, scope: list[str]) -> DataFrame:
     rows = once(records.where("in_sitemap")).withColumn("_hits", hits)
     rank = F.coalesce(F.array_max(F.transform("_hits", lambda h: h["rank"])), F.lit(0))
     return rows.select(
-        *scope, "id", "url", "final_url", "status_code", "indexability", "canonical", "redirect_target", "inlink_count", "depth", "classification",
+        *scope, "id", "url", "final_url", "status_code", "status_text", "indexability", "indexability_status", "canonical", "redirect_target", "inlink_count", "depth", "classification",
         F.when(F.size("_hits") > 0, F.array_join(F.transform("_hits", lambda h: h["label"]), "; ")).otherwise("OK").alias("issues"), F.greatest(F.size("_hits"), F.lit(1)).alias("issue_count"),
         rank.alias("severity_rank"), F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("error")), rank + 1).alias("severity"),
     )

@@ -210,6 +210,8 @@ _LONG = " UNION ALL ".join(_rule_sql(r) for r, (v, _, _) in audit.RULES.items()
 
 _REFERENCED = ", ".join(f"count(*) FILTER (WHERE {f'coalesce(c.{n}, false)' if n in _CANONICAL_FLAGS else 'l.id IS NOT NULL'}) AS {n}" for n in audit.REFERENCE_COUNTERS if n.startswith("canonical_"))
 
+SITEMAP_SQL = f"SELECT *, CASE WHEN len(h) > 0 THEN array_to_string(h, '; ') ELSE 'OK' END AS issues, ['info', 'warning', 'error'][r + 1] AS severity FROM (SELECT *, {_HITS} AS h, {_RANK} AS r FROM {R} WHERE in_sitemap)"
+
 SQL = {
     "issues_long": _LONG,
     "issues_by_rule": f"SELECT crawl_id, rule, severity, count(*) AS issues FROM ({_LONG}) GROUP BY 1, 2, 3",

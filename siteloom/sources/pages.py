@@ -51,14 +51,20 @@ def exploded(signals: DataFrame, ident: str, what: str) -> DataFrame:
     return signals.select(F.col(ident), F.col("url").alias("source_url"), F.explode(what).alias("_x")).select(ident, "source_url", "_x.*")
 
 
+def robots_directive(c, directive: str):
+    """Whether a robots value holds a directive, as `functions.html.has_directive` has it."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    return F.rlike(F.regexp_replace(c, H.PARAMETER, ":"), F.lit(H.directive_pattern(directive)))
+
+
 def with_indexability(records: DataFrame) -> DataFrame:
     """indexability and indexability_status of successful pages: header noindex, then meta noindex, then a canonical that
     leads elsewhere. Other responses keep what they have.
     """
-    noindex = lambda c: F.coalesce(F.rlike(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(^|[,;\s])(noindex|none)($|[,;\s])")), F.lit(False))
+    noindex = lambda c: robots_directive(c, "noindex")
     ok = F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
     status = (
-        F.when(noindex(F.col("x_robots_tag")), "X-Robots-Tag noindex").when(noindex(F.col("meta_robots")), "Meta noindex")
+        F.when(noindex(F.col("x_robots_tag")), "X-Robots-Tag noindex").when(noindex(F.col("meta_robots")), "Meta robots noindex")
         .when(F.col("canonical").isNotNull() & (F.coalesce(U.plain_final_key("canonical"), F.col("canonical")) != F.coalesce(U.plain_final_key("final_url"), F.col("final_url"))), "Canonicalized").otherwise("Indexable")
     )
     return records.withColumn("_s", status).withColumns({"indexability": F.when(ok, F.when(F.col("_s") == "Indexable", "Indexable").otherwise("Non-indexable")).otherwise(F.col("indexability")), "indexability_status": F.when(ok, F.col("_s")).otherwise(F.col("indexability_status"))}).drop("_s")
@@ -290,10 +296,10 @@ def sitemap_tree(docs: DataFrame, roots: DataFrame, most_depth: int = 4) -> Data
 
 
 def custom_values(pages: DataFrame, ident: str, markup: str, extractors: list[dict]) -> DataFrame:
-    """(ident, custom_extractions) of the extractors (name, kind css, cssAttribute or regex, pattern, attribute, all); a faulty
+    """(ident, custom_extractions) of the extractors (name, kind css, cssAttribute, xpath or regex, pattern, attribute, all); a faulty
     one gives a single row named extractor_error.
     """
-    kind_of = {"css": "css", "cssAttribute": "css-attribute", "regex": "regex"}
+    kind_of = {"css": "css", "cssAttribute": "css-attribute", "xpath": "xpath", "regex": "regex"}
 
     def one(h: str) -> list[dict]:
         try:

@@ -1,11 +1,13 @@
-"""Incremental ingestion: records upserted by key, links appended and counted, summaries kept up to date."""
+"""Incremental ingestion: rows upserted by key or replaced by source, links counted, windows and summaries kept up to date."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siteloom.session import shared_folder
 
@@ -23,89 +25,163 @@ def merged(current: DataFrame | None, batch: DataFrame, key: str, order: str, ke
     return got.select(key, *[(F.col(f"_keep_{c}") if c in keep_old else F.col(f"_row.{c}")).alias(c) for c in columns])
 
 
-class Versions:
-    """A table kept as whole versions in a folder: a version counts once its marker is written, so a writer that dies
-    half-way leaves the last one in force. The marker of a batch already applied makes a replay harmless.
+BUCKETS = 32
+#: How many versions of a bucket stay behind the current one, for readers that began before it.
+KEPT = 1
+
+
+class Buckets:
+    """A table kept in buckets by key. A version of it is a small manifest that names, for each bucket, the batch whose files
+    hold, with the table's counters beside them; it counts once it is there under its own name, so a writer that dies half-way
+    leaves the last one in force, and a batch already applied is known when it is replayed. A batch rewrites the buckets it
+    touches and no others; files that no kept version names are deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, key: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.key, self.buckets = spark, folder, key, buckets
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> int | None:
-        """The last complete version."""
-        if not self._fs.exists(self._path(self.folder)):
+        self._text = lambda p: jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._path(p)), "UTF-8")
+
+    def versions(self) -> list[int]:
+        """The complete versions, oldest first."""
+        if not self._fs.exists(self._path(f"{self.folder}/manifests")):
+            return []
+        return sorted(int(n[:-5]) for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/manifests"))) if n.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> dict:
+        found = self.versions()
+        if not found:
+            return {"version": None, "buckets": {}, "counts": {}, "schema": None}
+        return json.loads(self._text(f"{self.folder}/manifests/{found[-1] if version is None else version}.json"))
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        """The rows of the current version, of some buckets or of all; None before the first."""
+        m = self.manifest()
+        if m["version"] is None:
             return None
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        done = [int(n[5:]) for n in found if n.startswith("done-")]
-        return max(done, default=None)
-
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/v{v}")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        self._fs.create(self._path(f"{self.folder}/done-{version}")).close()
+        paths = [f"{self.folder}/data/{v}/_bucket={b}" for b, v in m["buckets"].items() if only is None or int(b) in only]
+        schema = StructType.fromJson(m["schema"])
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def counts(self) -> dict[str, int]:
+        return self.manifest()["counts"]
+
+    def apply(self, batch: DataFrame, number: int, change, counts=None) -> None:
+        """Batch `number` brings `change`(old rows of the touched buckets or None, batch) into them; `counts`(old counts, old
+        rows, new rows) gives the counters of the new version.
+        """
+        m = self.manifest()
+        if m["version"] is not None and number <= m["version"]:
+            return
+        batch = batch.where(F.col(self.key).isNotNull())
+        touched = [r[0] for r in batch.select(self.bucket()).distinct().collect()]
+        old = self.read(touched)
+        new = change(old, batch)
+        new.withColumn("_bucket", self.bucket()).repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data/{number}")
+        written = {str(b): number for b in touched}
+        schema = json.loads(new.schema.json())
+        after = {"version": number, "buckets": m["buckets"] | written, "counts": m["counts"], "schema": schema}
+        if counts is not None:
+            rows = self.spark.read.schema(new.schema).parquet(*[f"{self.folder}/data/{number}/_bucket={b}" for b in touched]) if touched else new.limit(0)
+            after["counts"] = counts(m["counts"], old, rows)
+        self._publish(after)
+        self._forget()
+
+    def _publish(self, manifest: dict) -> None:
+        at = f"{self.folder}/manifests/{manifest['version']}"
+        out = self._fs.create(self._path(f"{at}.part"), True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{at}.part"), self._path(f"{at}.json"))
+
+    def _forget(self) -> None:
+        found = self.versions()
+        kept = [self.manifest(v) for v in found[-1 - KEPT :]]
+        named = {(str(v), b) for m in kept for b, v in m["buckets"].items()}
+        for v in found[: -1 - KEPT]:
+            self._fs.delete(self._path(f"{self.folder}/manifests/{v}.json"), False)
+        for d in self._fs.listStatus(self._path(f"{self.folder}/data")):
+            v = d.getPath().getName()
+            left = 0
+            for s in self._fs.listStatus(d.getPath()):
+                name = s.getPath().getName()
+                if name.startswith("_bucket="):
+                    if (v, name[8:]) in named:
+                        left += 1
+                    else:
+                        self._fs.delete(s.getPath(), True)
+            if not left and int(v) not in found[-1 - KEPT :]:
+                self._fs.delete(d.getPath(), True)
+
+
+def _started(stream: DataFrame, fold, checkpoint: str):
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, order: str, keep_old: tuple[str, ...] = ()):
     """A query (available-now trigger) that folds a stream of rows into the table of `folder`, exactly once per batch."""
-    table = Versions(stream.sparkSession, folder)
+    table = Buckets(stream.sparkSession, folder, key)
+    return _started(stream, lambda batch, n: table.apply(batch, n, lambda old, new: merged(old, new, key, order, keep_old)), checkpoint)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        last = table.version()
-        if last is None or number > last:
-            table.write(merged(table.read(), batch, key, order, keep_old), number)
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def replaced(current: DataFrame | None, batch: DataFrame, source: str) -> DataFrame:
+    """All rows of the sources in `batch` replaced by those of the batch: a page's images, references or captures are those of
+    its last fetch.
+    """
+    return batch if current is None else current.join(batch.select(source).distinct(), source, "left_anti").unionByName(batch, allowMissingColumns=True)
+
 
+def replace_stream(stream: DataFrame, folder: str, checkpoint: str, source: str):
+    """Folds a stream of pages' rows into the table of `folder`, each batch replacing all rows of its sources."""
+    table = Buckets(stream.sparkSession, folder, source)
+    return _started(stream, lambda batch, n: table.apply(batch, n, lambda old, new: replaced(old, new, source)), checkpoint)
 
-def inlink_counter(edges: DataFrame) -> DataFrame:
-    """Running link counts by literal target, for a stream in update or complete mode."""
-    return edges.where(F.col("target_url").isNotNull()).groupBy("target_url").agg(F.count(F.lit(1)).alias("count"))
+
+def count_stream(stream: DataFrame, folder: str, checkpoint: str, column: str, ident: str):
+    """Keeps (column, count) of distinct `ident` per value under a stream of rows; repeats of a row, in one batch or in
+    several, count once. State is kept by the query; of the table only the buckets of changed values are rewritten.
+    """
+    table = Buckets(stream.sparkSession, folder, column)
+    counts = stream.where(F.col(column).isNotNull() & F.col(ident).isNotNull()).dropDuplicates([ident]).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    fold = lambda batch, n: table.apply(batch, n, lambda old, new: merged(old, new, column, "count"))
+    return counts.writeStream.outputMode("update").foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_events(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
+def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts and sums per event type and window of a stream; rows later than `late` behind the newest are dropped by the
     watermark, and closed windows leave the state.
     """
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
-def contributions(batch: DataFrame, flags: dict) -> DataFrame:
-    """One row: how many rows of a batch each flag counts; summaries add those of new rows and take away those replaced."""
-    return batch.agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+def window_stream(events: DataFrame, folder: str, checkpoint: str, late: str = "10 minutes", width: str = "1 hour"):
+    """Keeps the windows of `windowed` in the table of `folder`, open ones with what they hold so far."""
+    table = Buckets(events.sparkSession, folder, "window")
+    rows = windowed(events, late, width).withColumn("window", F.concat_ws(" ", F.col("start").cast("string"), "event_type"))
+    fold = lambda batch, n: table.apply(batch, n, lambda old, new: merged(old, new, "window", "events"))
+    return rows.writeStream.outputMode("update").foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def incremental_summary(stream: DataFrame, folder: str, checkpoint: str, key: str, order: str, flags: dict):
-    """Keeps (counter, value) of the table under upserts without reading it again: a batch's rows are joined by key with the
-    rows they replace, whose contributions are taken away.
+def summary_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, order: str, flags: dict):
+    """Keeps the table of `folder` under upserts, and with each version the number of its rows that meet each flag.
+
+    A batch takes the contributions of its buckets' old rows away and adds those of the new ones; other buckets are not read.
     """
-    spark = stream.sparkSession
-    table, counts = Versions(spark, f"{folder}/rows"), Versions(spark, f"{folder}/counts")
+    table = Buckets(stream.sparkSession, folder, key)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        last = counts.version()
-        if last is not None and number <= last:
-            return
-        old = table.read()
-        new = merged(None, batch, key, order)
-        total = contributions(new, flags).first().asDict()
-        if old is not None:
-            stale = old.join(new.select(key), key, "left_semi")
-            keep = stale.join(new.select(key, F.col(order).alias("_new")), key).where(F.col("_new") < F.col(order)).drop("_new")
-            fresh = new.join(keep.select(key), key, "left_anti")
-            total = contributions(fresh, flags).first().asDict()
-            replaced = contributions(stale.join(keep.select(key), key, "left_anti"), flags).first().asDict()
-            before = {r["counter"]: r["value"] for r in counts.read().collect()}
-            total = {n: before.get(n, 0) + total[n] - replaced[n] for n in flags}
-        table.write(merged(old, batch, key, order), number)
-        counts.write(spark.createDataFrame(list(total.items()), "counter string, value bigint").coalesce(1), number)
+    def of(rows: DataFrame | None) -> dict:
+        return {n: 0 for n in flags} if rows is None else rows.agg(*[F.count_if(c).alias(n) for n, c in flags.items()]).first().asDict()
 
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def counts(before: dict, old: DataFrame | None, new: DataFrame) -> dict:
+        gone, come = of(old), of(new)
+        return {n: before.get(n, 0) - gone[n] + come[n] for n in flags}
+
+    return _started(stream, lambda batch, n: table.apply(batch, n, lambda old, new: merged(old, new, key, order), counts), checkpoint)
 
 
 def read_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from siteloom.functions import url as U
 from siteloom.operators import audit, compare, graph, grid, links, references
 from siteloom.sinks import files
 from siteloom.sources import metrics, pages
-from siteloom.sources.schema import conformed
+from siteloom.sources.schema import RECORD, conformed
 from siteloom.streaming import ingest
 
 SITE = "https://a.test"
@@ -254,7 +254,7 @@ DOC = """<!doctype html><html amp><head><title> A  title </title><title>B</title
 
 def test_signals():
     s = H.signals(f"{SITE}/d/p.html", DOC)
-    want = {"title": "A title", "title_count": 2, "meta_description": "Desc", "canonical": f"{SITE}/x", "h1_count": 1, "hreflang_count": 2, "hreflang_invalid_count": 1, "json_ld_count": 2, "json_ld_invalid_count": 1, "structured_data_error_count": 2, "images_missing_alt": 1, "mixed_content_count": 1, "insecure_form_count": 1, "deprecated_html_tag_count": 1, "duplicate_id_count": 1, "html_doctype": True, "amp_document": True, "viewport": False}
+    want = {"title": "A title", "title_count": 2, "meta_description": "Desc", "canonical": f"{SITE}/x", "h1_count": 1, "hreflang_count": 2, "hreflang_invalid_count": 1, "json_ld_count": 2, "json_ld_invalid_count": 1, "structured_data_error_count": 3, "images_missing_alt": 1, "mixed_content_count": 1, "insecure_form_count": 1, "deprecated_html_tag_count": 1, "duplicate_id_count": 1, "html_doctype": True, "amp_document": True, "viewport": False}
     assert {k: s[k] for k in want} == want
     assert s["anchors"][0]["target_url"] == f"{SITE}/up/y?q=1" and s["anchors"][0]["rel_nofollow"]
 
@@ -374,3 +374,114 @@ def test_config_round_trip():
 def test_list_seeds(spark):
     df = spark.createDataFrame([(1, " a "), (2, "b"), (3, "a"), (4, " ")], "p int, u string")
     assert sorted(tuple(r) for r in metrics.list_seeds(df, "u", "p").collect()) == [("list:1:a", "a", 1, 1), ("list:2:b", "b", 2, 1), ("list:3:a", "a", 3, 2)]
+
+
+def _run_stream(spark, tmp_path, batches, schema, start):
+    """Feeds the batches one file each, in order, and returns the folder of the table."""
+    base = str(tmp_path)
+    like = spark.createDataFrame([], schema)
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        start(ingest.read_stream(spark, f"{base}/in", like), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/table"
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    schema = "k long, o long, v string"
+    folder = _run_stream(spark, tmp_path, [[(i, 1, "a") for i in range(200)], [(7, 2, "b"), (7, 0, "late"), (None, 3, "x")], [(9, 2, "c")]], schema, lambda s, t, c: ingest.upsert_stream(s, t, c, "k", "o"))
+    table = ingest.Buckets(spark, folder, "k")
+    got = {r["k"]: r["v"] for r in table.read().collect()}
+    assert len(got) == 200 and got[7] == "b" and got[9] == "c" and got[8] == "a"
+    held = table.manifest()["buckets"]
+    assert sorted(set(held.values())) == [0, 1, 2] and sum(v > 0 for v in held.values()) <= 2
+    assert len(table.versions()) == 2  # the current one and the one before
+    table.apply(spark.createDataFrame([(8, 9, "again")], schema), 2, lambda old, new: new)  # a batch that is replayed changes nothing
+    assert {r["k"]: r["v"] for r in table.read().collect()} == got
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    from datetime import datetime as D
+
+    schema = "ts timestamp, event_type string, value double"
+    batches = [[(D(2024, 1, 1, 0, 5), "a", 1.0), (D(2024, 1, 1, 5, 0), "a", 1.0)], [(D(2024, 1, 1, 4, 55), "a", 1.0), (D(2024, 1, 1, 0, 6), "a", 1.0)]]
+    folder = _run_stream(spark, tmp_path, batches, schema, lambda s, t, c: ingest.window_stream(s, t, c, late="10 minutes"))
+    got = {r["start"].hour: r["events"] for r in ingest.Buckets(spark, folder, "window").read().collect()}
+    assert got == {0: 1, 5: 1, 4: 1}  # 04:55 lies within ten minutes of 05:00, 00:06 does not
+
+
+def test_a_pages_rows_are_replaced_as_a_whole(spark, tmp_path):
+    schema = "source string, target string"
+    folder = _run_stream(spark, tmp_path, [[("a", "1"), ("a", "2"), ("b", "3")], [("a", "9")]], schema, lambda s, t, c: ingest.replace_stream(s, t, c, "source"))
+    assert sorted(map(tuple, ingest.Buckets(spark, folder, "source").read().select("source", "target").collect())) == [("a", "9"), ("b", "3")]
+
+
+def test_counts_and_summaries_under_repeats_and_upserts(spark, tmp_path):
+    schema = "id long, target string"
+    folder = _run_stream(spark, tmp_path / "c", [[(1, "x"), (2, "x"), (1, "x"), (3, None)], [(2, "x"), (4, "y")]], schema, lambda s, t, c: ingest.count_stream(s, t, c, "target", "id"))
+    assert sorted(map(tuple, ingest.Buckets(spark, folder, "target").read().select("target", "count").collect())) == [("x", 2), ("y", 1)]
+    flags = {"all": F.lit(True), "big": F.col("v") > 5}
+    folder = _run_stream(spark, tmp_path / "s", [[(1, 1, 9), (2, 1, 1)], [(1, 2, 3), (3, 1, 7)]], "k long, o long, v long", lambda s, t, c: ingest.summary_stream(s, t, c, "k", "o", flags))
+    assert ingest.Buckets(spark, folder, "k").counts() == {"all": 3, "big": 1}
+
+
+def test_xpath():
+    from siteloom.functions.xpath import evaluate
+
+    doc = H.parse('<html><body><div id=a class="x y"><p>One</p><p>Two <b>bold</b></p></div><div><p>Three</p><a href="/u">L</a></div><ul><li>1</li><li>2</li></ul></body></html>')[0]
+    cases = {
+        "//p": ["One", "Two bold", "Three"], "//div[@id='a']/p[2]": ["Two bold"], "//a/@href": ["/u"], "count(//li)": ["2"], "//li[last()]": ["2"], "//p[contains(., 'bold')]/b | //a": ["bold", "L"], "string(//p)": ["One"],
+        "//div[not(@id)]/p/text()": ["Three"], "/html/body/ul/li[1]": ["1"], "//b/..": ["Two bold"], "//*[@href]": ["L"], "//none": [], "//p[1]": ["One", "Three"],
+    }
+    assert {e: evaluate(doc, e) for e in cases} == cases
+    for bad in ("", "//[", "//p[~]"):
+        with pytest.raises(ValueError):
+            evaluate(doc, bad)
+
+
+def test_directives_of_columns_and_values_agree(spark):
+    values = {"noindex": True, "none": True, "max-image-preview: none": False, "googlebot: noindex, nofollow": False, "index;NOINDEX": True, "a: b: noindex": False, "": False, "noindexed": False, "max-snippet: -1 noindex": True}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r["v"]: r["n"] for r in df.select("v", pages.robots_directive("v", "noindex").alias("n")).collect()}
+    assert got == values == {v: H.has_directive(v, "noindex") for v in values}
+
+
+def test_structured_data_walks_graphs_and_contexts():
+    got = H.structured_data(['{"@context":"https://schema.org","@graph":{"@type":"Product"}}', "[1]", "{", '{"@context":"https://x.test","@graph":[{"@context":["http://schema.org"],"@type":"Offer","price":0}]}'])
+    said = [(i["severity"], i["message"], i["path"]) for i in got["structured_data_issues"]]
+    assert ("error", "Product is missing required field name", "script[1].@graph.name") in said
+    assert ("error", "JSON-LD block 2 does not contain an object entity", "script[2]") in said
+    assert said[2][1].startswith("JSON-LD block 3 is not valid JSON") and got["json_ld_invalid_count"] == 1
+    assert [p for _, _, p in said[3:]] == ["script[4].@graph[0].priceCurrency", "script[4].@graph[0].availability"]
+
+
+def test_messages_and_labels_are_the_fixed_ones(spark):
+    df = conformed(spark.createDataFrame([(1, "https://x.test/a", 404, "text/html", True, "Oak"), (2, "https://x.test/b", 200, "text/html", True, "Oak")], "id long, final_url string, status_code int, content_type string, in_sitemap boolean, title string"))
+    said = {(r["id"], r["rule"]): r["message"] for r in audit.issues(df, scope=[]).collect()}
+    assert said[1, "response.client_error"] == "Client error response: 404" and said[2, "title.too_short"] == "Page title is shorter than 30 characters"
+    assert said[2, "content.thin"] == "Page has 0 words, below the 200-word thin-content threshold" and said[2, "content.low_text_ratio"] == "Visible text is 0.0% of the HTML, below the 10% minimum"
+    labels = {r["id"]: r["issues"].split("; ") for r in links.sitemap_report(df, []).collect()}
+    assert {"4xx URL in sitemap", "Orphan URL in sitemap", "Non-indexable URL in sitemap"} <= set(labels[1]) and "4xx URL in sitemap" not in labels[2]
+
+
+def test_fixed_exports(spark, tmp_path):
+    from siteloom.sinks import exports
+
+    df = conformed(spark.createDataFrame([(1, "u", 0.25, [("https://x.test/r", 301, "/a", None, None, None, None, 12)])], "id long, url string, text_to_code_ratio double, redirect_chain " + RECORD["redirect_chain"][0]))
+    rows = exports.record_rows(df)
+    assert rows.columns == exports.RECORD_COLUMNS and len(rows.columns) == 123
+    got = rows.first().asDict()
+    assert got["text_to_code_ratio"] == "0.2500" and got["status_code"] == "" and got["classification"] == "Internal" and got["hsts_header"] == "false" and got["custom_searches"] == "[]"
+    hop = exports.redirect_rows(df)
+    assert hop.columns == exports.REDIRECT_COLUMNS and tuple(hop.first())[3:8] == ("1", "https://x.test/r", "301", "/a", "")
+    assert exports.write_exports(str(tmp_path), ["records", "redirects"], {"records": df}) == ["records", "redirects"]
+    both = exports.comparison_export(df, df.withColumn("title", F.lit("=1+1")))
+    assert both.columns == exports.COMPARISON_COLUMNS and both.first()["Current Title"] == "'=1+1"
+
+
+def test_hosts_and_decisions(spark):
+    urls = ["https://a.shop.co.uk/x", "https://shop.co.uk/y.css", "https://other.co.uk/", "http://10.0.0.1/z", "https://cdn.test/img/a.png", "https://cdn.test/js/a.js", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    kinds = {"html": True, "image": True, "other": False}
+    got = {r["u"]: (r["d"], r["c"], r["m"]) for r in df.select("u", U.registrable_domain("u").alias("d"), U.on_cdn("u", ["https://cdn.test/img/"]).alias("c"), U.may_crawl("u", "https://www.shop.co.uk/", kinds, scope="domain", cdn_hosts=["cdn.test/img"]).alias("m")).collect()}
+    assert got["https://a.shop.co.uk/x"] == ("shop.co.uk", False, True) and got["https://shop.co.uk/y.css"][2] is False and got["https://other.co.uk/"] == ("other.co.uk", False, False)
+    assert got["http://10.0.0.1/z"][0] is None and got["https://cdn.test/img/a.png"][1:] == (True, True) and got["https://cdn.test/js/a.js"][1] is False
