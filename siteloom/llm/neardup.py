@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from siteloom.session import checkpointed
 
 REGISTERS = 200
-#: Rows of a band. At similarity s (b near 1) a band agrees with probability p = s^4. A pair at 0.7 shares fewer than two
-#: of the 50 bands with probability (1-p)^50 + 50p(1-p)^49 = 2e-5, one at 0.25 shares two with probability 0.016.
+#: Rows of a band, and the bands that a candidate pair must share. At similarity s (b near 1) a band agrees with probability
+#: p = s^4, so of the 50 bands a pair shares three or more with probability 0.99985 at 0.7, 0.61 at 0.5, 0.14 at 0.4 and 0.001 at
+#: 0.25: pages that have only their site's furniture in common are rarely paired.
 BAND_ROWS = 4
-SHARED_BANDS = 2
+SHARED_BANDS = 3
 BASE = 1.002
 RATE = 20.0
 LIMIT = 16000  # q: b^q is over 7e13, more elements than any text has
@@ -169,7 +170,7 @@ def near_pairs(df: DataFrame, ident: str, text: str, similarity: float = SIMILAR
     at least `similarity`, and the membership (_id, _class) of every text.
 
     Equal texts are one class before anything is paired, so a text copied a million times meets its neighbours once. Only
-    representatives that share two bands and whose sizes allow the similarity become candidates (one shuffle on the band
+    representatives that share SHARED_BANDS bands and whose sizes allow the similarity become candidates (one shuffle on the band
     key, skewed bands are split by AQE); candidates are told apart by ids alone, then by the registers' estimate with a
     margin of four standard errors, and what remains is verified on the whole sets, which are made again only for the
     texts that still have a candidate. No candidate is capped or sampled.
