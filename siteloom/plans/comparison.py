@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.operators import audit, compare, links
+from siteloom.operators.ranking import numbered
 from siteloom.plans.audit import BROKEN, CONDITIONS, HTML, NONE, ROBOTS, R, crawl
-from siteloom.plans.reports import NAMED, edges, names
+from siteloom.plans.reports import CANONICAL, CANONICAL_LOOP, E, FAILED, NAMED, edges, names
 from siteloom.sources.tables import table
 
 SCOPE = audit.SCOPE
@@ -24,12 +25,25 @@ def _rows(spark, d):
 
 
 def metrics(spark, d):
-    """Metric rows by address, from the parts table: one row per final address that a part key falls on."""
-    n = F.col("rn")
-    addresses = crawl(spark, d).select(F.col("final_url").alias("url")).distinct()
-    pick = F.pmod(F.length("url") * 7 + F.ascii(F.right("url", F.lit(1))), F.lit(200)).cast("long")
-    parts = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("rn"))
-    return addresses.join(parts, pick == n).select("url", (n * 3).cast("double").alias("clicks"), (n * 10).cast("double").alias("impressions"), n.alias("seq"))
+    """Metric rows from all parts: a part speaks of the address whose place among all (by text) is its key modulo their number,
+    so that an address has several rows if there are more parts than addresses; the last one (seq) holds.
+    """
+    urls = crawl(spark, d).select(F.col("final_url").alias("url")).where("url is not null").distinct()
+    placed = numbered(urls, ["url"], "at", 0)
+    n = placed.count()
+    key = F.col("p_partkey").cast("long")
+    parts = table(spark, d, "part").select(key.alias("seq"), F.pmod(key, F.lit(max(n, 1))).alias("at"))
+    return placed.join(parts, "at").select("url", (F.col("seq") * 3).cast("double").alias("clicks"), (F.col("seq") * 10).cast("double").alias("impressions"), "seq")
+
+
+def _second(spark, d):
+    """Another source: impressions by the suppliers, over the same addresses."""
+    urls = crawl(spark, d).select(F.col("final_url").alias("url")).where("url is not null").distinct()
+    placed = numbered(urls, ["url"], "at", 0)
+    n = placed.count()
+    key = F.col("s_suppkey").cast("long")
+    rows = table(spark, d, "supplier").select(key.alias("seq"), F.pmod(key * 7, F.lit(max(n, 1))).alias("at"))
+    return placed.join(rows, "at").select("url", (F.col("seq") * 10).cast("double").alias("impressions"), "seq")
 
 
 _ASKED = "regexp_replace(coalesce(nullif(trim(url), ''), nullif(regexp_extract(storage_key, '(https?://.*)$', 1), ''), final_url), '#.*$', '')"
@@ -53,11 +67,14 @@ _COMPARED = f"""(SELECT coalesce(b.q, a.q) AS request_url, CAST(coalesce(b.occ,
   FROM {_occ(1)} b FULL JOIN {_occ(0)} a ON a.q = b.q AND a.occ = b.occ)"""
 _CHANGE = "CASE WHEN before_id IS NULL THEN 'added' WHEN after_id IS NULL THEN 'removed' WHEN len(list_filter(fields, lambda x: x <> 'responseHash')) > 0 THEN 'changed' WHEN len(fields) > 0 THEN 'responseOnly' ELSE 'unchanged' END"
 _REPORT = [
-    ("title.missing", "error", CONDITIONS["TitleMissing"]), ("title.duplicate", "warning", CONDITIONS["TitleDuplicate"]), ("title.tooShort", "info", CONDITIONS["TitleTooShort"]), ("title.tooLong", "warning", CONDITIONS["TitleTooLong"]),
-    ("meta.missing", "warning", HTML), ("h1.missing", "warning", CONDITIONS["H1Missing"]), ("canonical.missing", "info", CONDITIONS["CanonicalMissing"]), ("response.clientError", "error", CONDITIONS["Status4xx"]),
+    ("title.missing", "error", CONDITIONS["TitleMissing"]), ("title.duplicate", "warning", CONDITIONS["TitleDuplicate"]), ("title.tooShort", "warning", CONDITIONS["TitleTooShort"]), ("title.tooLong", "warning", CONDITIONS["TitleTooLong"]),
+    ("meta.missing", "warning", HTML), ("h1.missing", "warning", CONDITIONS["H1Missing"]), ("canonical.missing", "warning", CONDITIONS["CanonicalMissing"]), ("response.clientError", "error", CONDITIONS["Status4xx"]),
     ("response.serverError", "error", CONDITIONS["Status5xx"]), ("response.noResponse", "error", NONE),
 ]
-_LOCAL = tuple(r for r, _, _ in _REPORT)
+_FLAGGED = [("canonical.toError", "error", f"SELECT c.crawl_id, c.id FROM ({CANONICAL}) c WHERE c.canonical_to_error"), ("canonical.toRedirect", "warning", f"SELECT c.crawl_id, c.id FROM ({CANONICAL}) c WHERE c.canonical_to_redirect"), ("canonical.loop", "error", f"SELECT crawl_id, id FROM ({CANONICAL_LOOP})")]
+_EVIDENCE = " UNION ALL ".join([f"SELECT crawl_id, '{r}' AS rule, '{s}' AS severity, id AS record_id FROM {R} WHERE {c}" for r, s, c in _REPORT] + [f"SELECT crawl_id, '{r}', '{s}', id FROM ({q})" for r, s, q in _FLAGGED])
+_FULL = f"""SELECT e.crawl_id, e.rule, e.severity, CAST(e.record_id AS VARCHAR) AS k, regexp_replace(r.url, '#.*$', '') AS request_url, r.final_url AS target_url FROM ({_EVIDENCE}) e JOIN {R} r ON r.id = e.record_id
+UNION ALL SELECT n.crawl_id, 'links.broken', 'error', CAST(e.id AS VARCHAR), regexp_replace(e.source_url, '#.*$', ''), e.target_url FROM (SELECT * FROM {E} WHERE coalesce(target_status_code >= 400, false) OR target_url IN (SELECT a FROM {FAILED})) e JOIN (SELECT DISTINCT crawl_id, alias FROM {NAMED}) n ON n.alias = e.source_url"""
 
 QUERIES = {
     "compare_rows": lambda spark, d: _rows(spark, d).where("change <> 'unchanged'").select("request_url", "occurrence", "before_id", "after_id", F.array_join("fields", ",").alias("fields"), "change"),
@@ -65,18 +82,21 @@ QUERIES = {
     "compare_response_only": lambda spark, d: compare.comparison_rows(_rows(spark, d), "responseOnly").select("request_url", "occurrence"),
     "compare_title_changes": lambda spark, d: compare.comparison_rows(_rows(spark, d), "changed", "title").select("request_url", "occurrence", "before_title", "after_title"),
     "metric_deltas": lambda spark, d: compare.metric_deltas(*last_two(spark, d)),
-    "audit_evidence": lambda spark, d: compare.report_evidence(crawl(spark, d)).where(F.col("rule").isin(*_LOCAL)).select("crawl_id", "evidence_id", "rule", "severity", "record_id"),
-    "audit_findings": lambda spark, d: compare.report_findings(compare.report_evidence(crawl(spark, d)).where(F.col("rule").isin(*_LOCAL))).select("crawl_id", "rule", "severity", "occurrences"),
-    "audit_report_full": lambda spark, d: compare.report_findings(compare.report_evidence(crawl(spark, d), edges(spark, d))),
+    "audit_evidence": lambda spark, d: compare.report_evidence(crawl(spark, d)).select("crawl_id", "evidence_id", "rule", "severity", "record_id"),
+    "audit_findings": lambda spark, d: compare.report_findings(compare.report_evidence(crawl(spark, d))).select("crawl_id", "rule", "severity", "occurrences"),
+    "audit_report_full": lambda spark, d: compare.report_findings(compare.report_evidence(crawl(spark, d), edges(spark, d))).select("crawl_id", "rule", "severity", "occurrences", "addresses", "targets"),
+    "compare_row_keys": lambda spark, d: compare.keyed(_rows(spark, d).where("change <> 'unchanged'").select("request_url", "occurrence", "change")),
     "audit_coverage": lambda spark, d: compare.report_coverage(crawl(spark, d)),
     "report_compare_states": lambda spark, d: compare.compared_reports(*last_two(spark, d)),
     "report_compare_findings": lambda spark, d: compare.finding_statuses(compare.compared_reports(*last_two(spark, d))),
     "merge_search_console": lambda spark, d: links.metric_merge(crawl(spark, d), metrics(spark, d), ["clicks", "impressions"], SCOPE, "seq"),
     "merge_ga4": lambda spark, d: links.metric_merge(crawl(spark, d), metrics(spark, d), ["clicks"], SCOPE, "seq", scheme_free=True),
-    "merge_sources": lambda spark, d: links.merged_sources({"a": (metrics(spark, d).select("url", "clicks", "seq"), ["clicks"]), "b": (metrics(spark, d).where("seq % 2 = 0").select("url", "impressions", "seq"), ["impressions"])}, "seq"),
+    "merge_sources": lambda spark, d: links.merged_sources({"a": (metrics(spark, d).select("url", "clicks", "seq"), ["clicks"]), "b": (_second(spark, d), ["impressions"])}, "seq"),
 }
 
-_METRICS = "(SELECT url, rn * 3.0::DOUBLE AS clicks, rn * 10.0::DOUBLE AS impressions, rn AS seq FROM (SELECT DISTINCT final_url AS url FROM crawl_records WHERE id IS NOT NULL) u JOIN (SELECT CAST(p_partkey AS BIGINT) AS rn FROM part) p ON p.rn = (length(url) * 7 + ascii(right(url, 1))) % 200)"
+_PLACED = "(SELECT url, row_number() OVER (ORDER BY url) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT final_url AS url FROM crawl_records WHERE id IS NOT NULL AND final_url IS NOT NULL))"
+_METRICS = f"(SELECT url, p_partkey * 3.0::DOUBLE AS clicks, p_partkey * 10.0::DOUBLE AS impressions, CAST(p_partkey AS BIGINT) AS seq FROM {_PLACED} JOIN part ON p_partkey % n = place)"
+_SECOND = f"(SELECT url, s_suppkey * 10.0::DOUBLE AS impressions, CAST(s_suppkey AS BIGINT) AS seq FROM {_PLACED} JOIN supplier ON s_suppkey * 7 % n = place)"
 _DELTA = {"total": "true", "success": CONDITIONS["Status2xx"], "redirects": CONDITIONS["Status3xx"], "client_errors": CONDITIONS["Status4xx"], "server_errors": CONDITIONS["Status5xx"], "no_response": NONE, "indexable": "indexability = 'Indexable'", "non_indexable": "indexability = 'Non-indexable'", "title_missing": CONDITIONS["TitleMissing"], "broken": BROKEN}
 _SIDE = "(SELECT crawl_id FROM crawl_sessions ORDER BY crawl_id DESC LIMIT 1 OFFSET {})"
 _MERGED = "WITH m AS (SELECT unnest({n}) AS a, clicks, impressions, seq FROM {m}), l AS (SELECT {s} AS a, max({{'o': seq, 'c': clicks, 'i': impressions}}) AS x FROM m GROUP BY 1), n AS (SELECT DISTINCT crawl_id, id, {t} AS a FROM {named}) SELECT crawl_id, id, max(x).c AS clicks{more} FROM n JOIN l USING (a) GROUP BY 1, 2"
@@ -88,10 +108,12 @@ SQL = {
     "compare_response_only": f"SELECT request_url, occurrence FROM {_COMPARED} WHERE {_CHANGE} = 'responseOnly'",
     "compare_title_changes": f"SELECT c.request_url, c.occurrence, b.title AS before_title, a.title AS after_title FROM {_COMPARED} c JOIN {R} b ON b.id = c.before_id JOIN {R} a ON a.id = c.after_id WHERE list_contains(fields, 'title')",
     "metric_deltas": f"WITH {', '.join(f'{n} AS (' + ' UNION ALL '.join(f'''SELECT '{m}' AS metric, count(*) FILTER (WHERE {c}) AS n FROM {R} WHERE crawl_id = {_SIDE.format(o)}''' for m, c in _DELTA.items()) + ')' for n, o in (('p', 1), ('c', 0)))} SELECT metric, p.n AS previous, c.n AS current, c.n - p.n AS delta FROM p JOIN c USING (metric)",
-    "audit_evidence": " UNION ALL ".join(f"SELECT crawl_id, '{r}:record:' || id AS evidence_id, '{r}' AS rule, '{s}' AS severity, id AS record_id FROM {R} WHERE {c}" for r, s, c in _REPORT),
-    "audit_findings": "SELECT crawl_id, rule, severity, count(*) AS occurrences FROM (" + " UNION ALL ".join(f"SELECT crawl_id, '{r}' AS rule, '{s}' AS severity FROM {R} WHERE {c}" for r, s, c in _REPORT) + ") GROUP BY 1, 2, 3",
+    "audit_evidence": f"SELECT crawl_id, rule || ':record:' || record_id AS evidence_id, rule, severity, record_id FROM ({_EVIDENCE})",
+    "audit_findings": f"SELECT crawl_id, rule, severity, count(*) AS occurrences FROM ({_EVIDENCE}) GROUP BY 1, 2, 3",
+    "audit_report_full": f"SELECT crawl_id, rule, severity, count(*) AS occurrences, count(DISTINCT request_url) AS addresses, count(DISTINCT target_url) AS targets FROM ({_FULL}) GROUP BY 1, 2, 3",
+    "compare_row_keys": f"SELECT request_url, occurrence, {_CHANGE} AS change, row_number() OVER (ORDER BY request_url, occurrence) AS row_key FROM {_COMPARED} WHERE {_CHANGE} <> 'unchanged'",
     "audit_coverage": f"SELECT crawl_id, count(*) AS records, count(*) FILTER (WHERE {HTML}) AS eligible_html, count(*) FILTER (WHERE {ROBOTS}) AS blocked, count(*) FILTER (WHERE {BROKEN}) AS failed, count(*) FILTER (WHERE status_code IS NULL AND error IS NULL AND NOT {ROBOTS}) AS unavailable FROM {R} GROUP BY 1",
     "merge_search_console": _MERGED.format(n=names("url"), m=_METRICS, s="a", t="alias", named=NAMED, more=", max(x).i AS impressions"),
     "merge_ga4": _MERGED.format(n=names("url"), m=_METRICS, s=_FREE.format("a"), t=_FREE.format("alias"), named=NAMED, more=""),
-    "merge_sources": f"SELECT url, a.clicks, b.impressions FROM (SELECT regexp_replace(trim(url), '#.*$', '') AS url, max(clicks) AS clicks FROM {_METRICS} GROUP BY 1) a FULL JOIN (SELECT regexp_replace(trim(url), '#.*$', '') AS url, max(impressions) AS impressions FROM {_METRICS} WHERE seq % 2 = 0 GROUP BY 1) b USING (url)",
+    "merge_sources": f"SELECT url, a.clicks, b.impressions FROM (SELECT regexp_replace(trim(url), '#.*$', '') AS url, arg_max(clicks, seq) AS clicks FROM {_METRICS} GROUP BY 1) a FULL JOIN (SELECT regexp_replace(trim(url), '#.*$', '') AS url, arg_max(impressions, seq) AS impressions FROM {_SECOND} GROUP BY 1) b USING (url)",
 }

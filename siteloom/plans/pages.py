@@ -18,11 +18,13 @@ from siteloom.streaming import ingest
 
 
 def captures(spark, d, *more):
-    return once(table(spark, d, "page_captures", "capture_id", "source_url", "raw_html", *more), "capture_id")
+    """Captures once each; markup is the raw one, else the rendered one, else empty."""
+    rows = once(table(spark, d, "page_captures", "capture_id", "source_url", "raw_html", "rendered_html", *more), "capture_id")
+    return rows.withColumn("raw_html", F.coalesce("raw_html", "rendered_html", F.lit("")))
 
 
 def signals(spark, d):
-    return pages.page_signals(captures(spark, d).where("raw_html is not null"), "capture_id", "source_url", "raw_html")
+    return pages.page_signals(captures(spark, d), "capture_id", "source_url", "raw_html")
 
 
 def _tested(spark, d):
@@ -109,13 +111,13 @@ def pixel_width(c, font: float):
 
 QUERIES = {
     "page_titles": lambda spark, d: signals(spark, d).select("capture_id", "title", "h1", "h1_count", "canonical", "html_doctype"),
-    "page_signals_full": lambda spark, d: signals(spark, d).drop("images", "anchors", "resources", "references", "hreflang_links", "structured_data_issues"),
+    "page_signals_full": lambda spark, d: signals(spark, d).select("capture_id", "title_count", "h2_count", "h2", "meta_robots", "canonical_count", "meta_description_count", "viewport", "image_count", "json_ld_count", "hreflang_count", "open_graph_count", "insecure_form_count", "html_doctype"),
     "page_references_of_markup": lambda spark, d: pages.exploded(signals(spark, d), "capture_id", "references").groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
     "page_words": lambda spark, d: once(table(spark, d, "page_captures", "capture_id", "visible_text"), "capture_id").where("visible_text is not null").select("capture_id", F.size(F.filter(F.split("visible_text", r"(?U)\s+"), lambda w: w != "")).alias("words"), F.octet_length("visible_text").alias("bytes")),
     "page_headers": lambda spark, d: once(table(spark, d, "page_captures", "capture_id", "response_headers"), "capture_id").select("capture_id", pages.headers().alias("_h")).select("capture_id", F.col("_h")["content-type"].alias("content_type"), F.col("_h")["cache-control"].alias("cache_control"), F.col("_h")["server"].alias("server")),
-    "custom_extract_css": lambda spark, d: pages.custom_values(captures(spark, d).where("raw_html is not null"), "capture_id", "raw_html", [{"name": "headings", "kind": "css", "pattern": "main > h2, article h2"}, {"name": "robots", "kind": "cssAttribute", "pattern": "meta[name=robots]", "attribute": "content"}]),
-    "custom_extract_regex": lambda spark, d: captures(spark, d).where("raw_html is not null").select("capture_id", F.explode(F.regexp_extract_all("raw_html", F.lit(r'"v":([0-9]+)'), F.lit(1))).alias("value")),
-    "custom_search": lambda spark, d: pages.custom_searches(captures(spark, d).where("raw_html is not null"), "capture_id", "raw_html", [{"name": "cookies", "pattern": "cookie"}]).select("capture_id", F.col("custom_searches")[0]["match_count"].alias("matches")),
+    "custom_extract_css": lambda spark, d: pages.custom_values(captures(spark, d), "capture_id", "raw_html", [{"name": "headings", "kind": "css", "pattern": "h1, h2"}, {"name": "robots", "kind": "cssAttribute", "pattern": "meta[name=robots]", "attribute": "content"}]).select("capture_id", F.size(F.col("custom_extractions")[0]["values"]).alias("headings"), F.array_join(F.col("custom_extractions")[1]["values"], "|").alias("robots")),
+    "custom_extract_regex": lambda spark, d: captures(spark, d).select("capture_id", F.explode(F.regexp_extract_all("raw_html", F.lit(r'"v":([0-9]+)'), F.lit(1))).alias("value")),
+    "custom_search": lambda spark, d: pages.custom_searches(captures(spark, d), "capture_id", "raw_html", [{"name": "cookies", "pattern": "cookie"}]).select("capture_id", F.col("custom_searches")[0]["match_count"].alias("matches")),
     "robots_batch": lambda spark, d: _tested(spark, d).groupBy("verdict").agg(F.sum("n").alias("n")),
     "normalise_urls": lambda spark, d: table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct().select("target_url", U.normalised_query("target_url", drop=["utm_.*"]).alias("normalised"), U.folder_depth("target_url").alias("folder_depth"), U.resource_class("target_url").alias("kind")),
     "url_aliases": lambda spark, d: U.with_aliases(table(spark, d, "link_edges", "target_url").where("target_url is not null").distinct(), ["target_url"]),
@@ -127,7 +129,7 @@ QUERIES = {
     "workbook_titles": lambda spark, d: files.audit_sheet(crawl(spark, d), "Titles").groupBy("crawl_id", "issue").agg(F.count(F.lit(1)).alias("n")),
     "csv_guard": lambda spark, d: edges(spark, d).select("id", files.guarded(F.col("anchor_text")).alias("anchor_text")).distinct(),
     "indexability": lambda spark, d: pages.with_indexability(_directed(spark, d)).select("crawl_id", "id", "indexability", "indexability_status").distinct(),
-    "xpath_values": lambda spark, d: pages.custom_values(captures(spark, d).where("raw_html is not null"), "capture_id", "raw_html", [{"name": "headings", "kind": "xpath", "pattern": "//h1 | //h2"}, {"name": "links", "kind": "xpath", "pattern": "//link[@rel='canonical']/@href"}]).select("capture_id", F.size(F.col("custom_extractions")[0]["values"]).alias("headings"), F.size(F.col("custom_extractions")[1]["values"]).alias("canonicals")),
+    "xpath_values": lambda spark, d: pages.custom_values(captures(spark, d), "capture_id", "raw_html", [{"name": "headings", "kind": "xpath", "pattern": "//h1 | //h2"}, {"name": "links", "kind": "xpath", "pattern": "//link[@rel='canonical']/@href"}]).select("capture_id", F.size(F.col("custom_extractions")[0]["values"]).alias("headings"), F.size(F.col("custom_extractions")[1]["values"]).alias("canonicals")),
     "fetch_records": lambda spark, d: fetches.fetch_records(_fetches(spark, d), ("kind",)).select("kind", "storage_key", "status_code", "status_text", "content_type", "indexability", "indexability_status", "size_bytes", "response_hash", "error"),
     "export_records": lambda spark, d: exports.record_rows(crawl(spark, d)).select("id", "classification", "status_code", "text_to_code_ratio", "title", "in_sitemap", "custom_extractions", "near_duplicate_cluster_id", "backlinks", "html_doctype"),
     "export_links": lambda spark, d: exports.link_rows(edges(spark, d)),
@@ -141,7 +143,7 @@ QUERIES = {
     "stream_references": _stream_references,
 }
 
-_CAPS = "(SELECT DISTINCT capture_id, source_url, raw_html FROM page_captures WHERE capture_id IS NOT NULL AND raw_html IS NOT NULL)"
+_CAPS = "(SELECT DISTINCT capture_id, source_url, coalesce(raw_html, rendered_html, '') AS raw_html FROM page_captures WHERE capture_id IS NOT NULL)"
 _LAST = "(SELECT user_id, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY 1)"
 _T = "target_url"
 _QUERY = f"regexp_extract(regexp_replace({_T}, '#.*$', ''), '\\?(.*)$', 1)"
@@ -182,6 +184,14 @@ def _pixels(c: str, font: float) -> str:
     return f"CAST(floor({' + '.join(parts)} + 0.5) AS BIGINT)"
 
 
+
+def _unescaped(c: str) -> str:
+    for a, b in (("&#x27;", "''''"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&amp;", "'&'")):
+        c = f"replace({c}, '{a}', {b})"
+    return c
+
+
+_H2 = _unescaped("regexp_extract(raw_html, '<h2>([^<]*)', 1)")
 _FORMS = "['', 'max-image-preview: none', 'googlebot: noindex, nofollow', 'NONE', 'index; noindex', 'max-snippet: -1 , follow']"
 _BARS = "len(list_filter(string_split(regexp_replace(regexp_replace(lower(coalesce({}, '')), ':\\s+', ':', 'g'), '[,;]', ' ', 'g'), ' '), lambda x: trim(x) IN ('noindex', 'none'))) > 0"
 _STATUS = f"CASE WHEN {_BARS.format('x')} THEN 'X-Robots-Tag noindex' WHEN {_BARS.format('meta_robots')} THEN 'Meta robots noindex' WHEN canonical IS NOT NULL AND coalesce(regexp_replace({serial('canonical')}, '#.*$', ''), canonical) <> coalesce(regexp_replace({serial('final_url')}, '#.*$', ''), final_url) THEN 'Canonicalized' ELSE 'Indexable' END"
@@ -193,6 +203,8 @@ SQL = {
     "page_titles": f"SELECT capture_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_extract(raw_html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, nullif(trim(replace(replace(replace(replace(replace(regexp_extract(raw_html, '<h1>([^<]*)', 1), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')), '') AS h1, len(regexp_extract_all(raw_html, '<h1>')) AS h1_count, nullif(replace(regexp_extract(raw_html, '<link rel=\"canonical\" href=\"([^\"#]*)', 1), '&amp;', '&'), '') AS canonical, starts_with(lower(raw_html), '<!doctype html') AS html_doctype FROM {_CAPS}",
     "page_words": "SELECT capture_id, len(list_filter(regexp_split_to_array(visible_text, '[\\t\\n\\x0B\\f\\r \\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) AS words, strlen(visible_text) AS bytes FROM (SELECT DISTINCT capture_id, visible_text FROM page_captures WHERE capture_id IS NOT NULL AND visible_text IS NOT NULL)",
     "page_headers": "SELECT capture_id, " + ", ".join(f"nullif(regexp_extract(response_headers, '(?m)^{n}: ([^\\r\\n]*)', 1), '') AS {a}" for n, a in (("content-type", "content_type"), ("cache-control", "cache_control"), ("server", "server"))) + " FROM (SELECT DISTINCT capture_id, response_headers FROM page_captures WHERE capture_id IS NOT NULL)",
+    "custom_extract_css": f"SELECT capture_id, len(list_filter(regexp_extract_all(raw_html, '<h[12]>([^<]*)', 1), lambda x: trim(x) <> '')) AS headings, array_to_string(regexp_extract_all(raw_html, '<meta name=\"robots\" content=\"([^\"]+)\"', 1), '|') AS robots FROM {_CAPS}",
+    "page_signals_full": f"SELECT capture_id, len(regexp_extract_all(raw_html, '<title>')) AS title_count, len(regexp_extract_all(raw_html, '<h2>')) AS h2_count, nullif(trim({_H2}), '') AS h2, nullif(regexp_extract(raw_html, '<meta name=\"robots\" content=\"([^\"]*)', 1), '') AS meta_robots, len(regexp_extract_all(raw_html, '<link rel=\"canonical\"')) AS canonical_count, len(regexp_extract_all(raw_html, '<meta name=\"description\"')) AS meta_description_count, regexp_matches(raw_html, '<meta name=\"viewport\"') AS viewport, len(regexp_extract_all(raw_html, '<img')) AS image_count, len(regexp_extract_all(raw_html, 'application/ld.json')) AS json_ld_count, len(regexp_extract_all(raw_html, 'hreflang=')) AS hreflang_count, len(regexp_extract_all(raw_html, 'property=\"og:')) AS open_graph_count, len(regexp_extract_all(raw_html, '<form')) AS insecure_form_count, starts_with(lower(raw_html), '<!doctype html') AS html_doctype FROM {_CAPS}",
     "custom_extract_regex": f"SELECT capture_id, unnest(regexp_extract_all(raw_html, '\"v\":([0-9]+)', 1)) AS value FROM {_CAPS}",
     "custom_search": f"SELECT capture_id, len(regexp_extract_all(lower(raw_html), 'cookie')) AS matches FROM {_CAPS}",
     "normalise_urls": f"SELECT target_url, {_BASE} || CASE WHEN len({_PARTS}) > 0 THEN '?' || array_to_string({_PARTS}, '&') ELSE '' END AS normalised, CASE WHEN {_PATH} = '' OR {_PATH} LIKE '%/' THEN {_FOLDERS} ELSE greatest({_FOLDERS} - 1, 0) END AS folder_depth, CASE WHEN {_ENDING} = '' THEN 'html' {_KINDS} ELSE 'other' END AS kind FROM (SELECT DISTINCT target_url FROM link_edges WHERE target_url IS NOT NULL)",

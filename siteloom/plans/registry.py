@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siteloom.plans import audit, comparison, pages, reports, synthetic, training
+from siteloom.plans import audit, comparison, library, pages, reports, synthetic, training
 
-QUERIES = {**training.QUERIES, **audit.QUERIES, **reports.QUERIES, **comparison.QUERIES, **pages.QUERIES, **synthetic.QUERIES}
-SQL = {**training.SQL, **audit.SQL, **reports.SQL, **comparison.SQL, **pages.SQL, **synthetic.SQL}
+QUERIES = {**training.QUERIES, **audit.QUERIES, **reports.QUERIES, **comparison.QUERIES, **pages.QUERIES, **library.QUERIES, **synthetic.QUERIES}
+SQL = {**training.SQL, **audit.SQL, **reports.SQL, **comparison.SQL, **pages.SQL, **library.SQL, **synthetic.SQL}

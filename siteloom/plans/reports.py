@@ -114,7 +114,7 @@ SELECT DISTINCT x.crawl_id, x.id, true AS {flag} FROM x JOIN attrs g ON g.crawl_
 """
 
 
-_CANONICAL = f"""
+CANONICAL = f"""
 WITH {_ATTRS},
 s AS (SELECT *, {names('canonical')} AS n, list_has_any(list_concat({names('url')}, {names('final_url')}), {names('canonical')}) AS own FROM attrs WHERE eligible AND regexp_matches(trim(coalesce(canonical, '')), '(?i)^https?://')),
 b AS (SELECT s.crawl_id, s.id, min(best.b) AS b FROM (SELECT crawl_id, id, unnest(n) AS alias FROM s) s LEFT JOIN best ON best.crawl_id = s.crawl_id AND best.alias = s.alias GROUP BY 1, 2),
@@ -128,7 +128,7 @@ SELECT crawl_id, id, unknown AND classification = 'internal' AND coalesce({host(
 """
 _CANONICAL_FLAGS = references.FLAGS[:5]
 #: A path of single targets with more steps than any chain without a loop is taken to have.
-_CANONICAL_LOOP = _CANONICAL.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT crawl_id, id, unknown", 1)[0].rstrip() + f""",
+CANONICAL_LOOP = CANONICAL.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("SELECT crawl_id, id, unknown", 1)[0].rstrip() + f""",
 e AS (SELECT crawl_id, id, target FROM k WHERE NOT unknown AND NOT own AND coalesce(te, false) AND regexp_replace({serial('final_url')}, '#.*$', '') <> regexp_replace({serial('tu')}, '#.*$', '')),
 w(crawl_id, id, a, steps) AS (SELECT crawl_id, id, target, 1 FROM e UNION ALL SELECT w.crawl_id, w.id, e.target, w.steps + 1 FROM w JOIN e ON e.crawl_id = w.crawl_id AND e.id = w.a WHERE w.steps < 40)
 SELECT crawl_id, id, true AS canonical_loop FROM w WHERE steps = 40
@@ -201,7 +201,7 @@ def _rule_sql(rule: str) -> str:
     view, severity, text = audit.RULES[rule]
     shown = "BrokenLinks" if view.startswith(("Status", "_")) else view
     says = {"text_percent": "printf('%.1f', text_to_code_ratio * 100)"}
-    source = f"(SELECT r.* FROM {R} r JOIN ({_CANONICAL}) c USING (crawl_id, id) WHERE c.{_RULE_VIEWS[rule]})" if rule in _RULE_VIEWS else f"(SELECT r.* FROM {R} r JOIN ({_CANONICAL_LOOP}) c USING (crawl_id, id))" if rule == "canonical.loop" else R
+    source = f"(SELECT r.* FROM {R} r JOIN ({CANONICAL}) c USING (crawl_id, id) WHERE c.{_RULE_VIEWS[rule]})" if rule in _RULE_VIEWS else f"(SELECT r.* FROM {R} r JOIN ({CANONICAL_LOOP}) c USING (crawl_id, id))" if rule == "canonical.loop" else R
     return f"SELECT crawl_id, id, final_url AS url, '{rule}' AS rule, '{severity}' AS severity, '{shown}' AS view, {message_sql(text, says)} AS message FROM {source} WHERE {RULE_CONDITIONS.get(rule) or CONDITIONS.get(view, 'true')}"
 
 
@@ -232,12 +232,12 @@ SQL = {
     **{n: f"SELECT crawl_id, id, final_url FROM {R} WHERE {c}" for n, (_, c) in GRIDS.items() if c},
     "grid_search": f"SELECT r.crawl_id, r.id, r.final_url FROM {R} r LEFT JOIN ({_FIRST}) f USING (crawl_id, id) WHERE {_MUSEUM} OR {_LINKED}",
     "grid_sort_page": f"SELECT crawl_id, id, final_url FROM {R} WHERE classification = 'internal' ORDER BY word_count DESC NULLS LAST, id OFFSET 20 LIMIT 50",
-    "canonical_flags": f"SELECT * FROM ({_CANONICAL}) WHERE {' OR '.join(_CANONICAL_FLAGS)}",
-    "canonical_loops": _CANONICAL_LOOP,
-    "view_canonical_loop": f"SELECT l.crawl_id, l.id, r.final_url FROM ({_CANONICAL_LOOP}) l JOIN {R} r USING (crawl_id, id)",
-    **{f"view_{f}": f"SELECT c.crawl_id, c.id, r.final_url FROM ({_CANONICAL}) c JOIN {R} r USING (crawl_id, id) WHERE c.{f}" for f in _CANONICAL_FLAGS},
-    "reference_counts": "SELECT r.crawl_id, " + _REFERENCED + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1",
-    "summary": f"SELECT * FROM (SELECT crawl_id, {SUMMARY} FROM {R} GROUP BY 1) JOIN (SELECT r.crawl_id, {_REFERENCED} FROM {R} r LEFT JOIN ({_CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({_CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1) USING (crawl_id)",
+    "canonical_flags": f"SELECT * FROM ({CANONICAL}) WHERE {' OR '.join(_CANONICAL_FLAGS)}",
+    "canonical_loops": CANONICAL_LOOP,
+    "view_canonical_loop": f"SELECT l.crawl_id, l.id, r.final_url FROM ({CANONICAL_LOOP}) l JOIN {R} r USING (crawl_id, id)",
+    **{f"view_{f}": f"SELECT c.crawl_id, c.id, r.final_url FROM ({CANONICAL}) c JOIN {R} r USING (crawl_id, id) WHERE c.{f}" for f in _CANONICAL_FLAGS},
+    "reference_counts": "SELECT r.crawl_id, " + _REFERENCED + f", count(*) FILTER (WHERE indexability = 'Indexable') AS indexable, count(*) FILTER (WHERE indexability = 'Non-indexable') AS non_indexable FROM {R} r LEFT JOIN ({CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1",
+    "summary": f"SELECT * FROM (SELECT crawl_id, {SUMMARY} FROM {R} GROUP BY 1) JOIN (SELECT r.crawl_id, {_REFERENCED} FROM {R} r LEFT JOIN ({CANONICAL}) c USING (crawl_id, id) LEFT JOIN ({CANONICAL_LOOP}) l USING (crawl_id, id) GROUP BY 1) USING (crawl_id)",
     "hreflang_return": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_missing_return FROM x WHERE x.eligible AND NOT x.self AND x.target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l b JOIN l o ON o.crawl_id = x.crawl_id AND o.id = x.id WHERE b.crawl_id = x.crawl_id AND b.id = x.target AND list_has_any(b.n, o.own))",
     "hreflang_canonical": f"{_HREFLANG} SELECT DISTINCT x.crawl_id, x.id, true AS hreflang_non_canonical FROM x JOIN (SELECT crawl_id, id, canonical, {ALL} AS own FROM {R}) t ON t.crawl_id = x.crawl_id AND t.id = x.target WHERE x.eligible AND trim(coalesce(t.canonical, '')) <> '' AND NOT list_has_any({names('t.canonical')}, t.own)",
     "pagination_next_errors": _target_errors("pagination", "next_to_error"),

@@ -94,13 +94,15 @@ def _sheet(header: list[str], rows: Iterable) -> Iterator[str]:
 
 
 def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
-    """An XLSX file with a sheet per DataFrame. A sheet over the format's row limit is refused before anything is written;
-    rows are streamed to the file, not held.
+    """An XLSX file with a sheet per DataFrame, whose rows are streamed to the file, not held. A sheet over the format's row
+    limit is refused; the unfinished file is not published.
     """
-    for name, df in sheets.items():
-        n = df.count()
-        if n > XLSX_ROWS:
-            raise ValueError(f"{name} has {n} rows; a sheet holds {XLSX_ROWS}")
+
+    def within(name: str, rows):
+        for n, row in enumerate(rows, 1):
+            if n > XLSX_ROWS:
+                raise ValueError(f"{name} has over {XLSX_ROWS} rows, which a sheet does not hold")
+            yield row
 
     def write(part: str) -> None:
         main = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -113,10 +115,10 @@ def write_workbook(path: str, sheets: dict[str, DataFrame]) -> None:
             z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{main}"><sheets>{names}</sheets></workbook>')
             rels = "".join(f'<Relationship Id="r{i}" Type="{main}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
             z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{package}/relationships">{rels}</Relationships>')
-            for i, df in enumerate(sheets.values(), 1):
+            for i, (name, df) in enumerate(sheets.items(), 1):
                 out = flat(df)
                 with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
-                    for piece in _sheet(out.columns, out.toLocalIterator()):
+                    for piece in _sheet(out.columns, within(name, out.toLocalIterator())):
                         f.write(piece.encode("utf-8"))
 
     published(path, write)
@@ -161,11 +163,10 @@ def sitemap_lines(records: DataFrame) -> DataFrame:
 
 def write_sitemap(path: str, records: DataFrame) -> int:
     """A sitemap file of at most 50,000 addresses, the format's limit; more need `write_sitemaps`. Returns their number."""
-    rows = sitemap_lines(records)
-    n = rows.count()
+    lines = [r["value"] for r in sitemap_lines(records).orderBy("final_url").limit(SITEMAP_URLS + 1).collect()]
+    n = len(lines)
     if n > SITEMAP_URLS:
-        raise ValueError(f"{n} addresses; a sitemap holds {SITEMAP_URLS}")
-    lines = [r["value"] for r in rows.orderBy("final_url").collect()]
+        raise ValueError(f"over {SITEMAP_URLS} addresses, which a sitemap does not hold")
 
     def write(part: str) -> None:
         with open(part, "w", encoding="utf-8") as f:

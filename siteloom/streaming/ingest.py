@@ -92,6 +92,11 @@ class Buckets:
         self._publish(after)
         self._forget()
 
+    def clear(self) -> None:
+        """Drops all versions."""
+        if self._fs.exists(self._path(self.folder)):
+            self._fs.delete(self._path(self.folder), True)
+
     def _publish(self, manifest: dict) -> None:
         at = f"{self.folder}/manifests/{manifest['version']}"
         out = self._fs.create(self._path(f"{at}.part"), True)
