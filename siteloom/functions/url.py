@@ -216,6 +216,16 @@ def with_aliases(df: DataFrame, columns: list[str], name: str = "alias") -> Data
     return df.withColumns(parsed).withColumn(name, F.explode(names)).drop(*parsed)
 
 
+def with_names(df: DataFrame, **columns: str | list[str]) -> DataFrame:
+    """`df` with array columns of the distinct aliases of a column or of several: name=columns. Each address is parsed once, in
+    a column of its own.
+    """
+    wanted = {n: [c] if isinstance(c, str) else c for n, c in columns.items()}
+    parsed = {c: f"_parsed_{i}" for i, c in enumerate(dict.fromkeys(x for cs in wanted.values() for x in cs))}
+    rows = df.withColumns({p: serialised(c) for c, p in parsed.items()})
+    return rows.withColumns({n: F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), F.col(parsed[c])) for c in cs]))) for n, cs in wanted.items()}).drop(*parsed.values())
+
+
 def scheme_free(c: Column | str) -> Column:
     """An alias without its scheme, for sources that report hosts and paths only."""
     return F.regexp_replace(_col(c), r"^https?://", "//")

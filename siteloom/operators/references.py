@@ -30,12 +30,13 @@ def _hops() -> Column:
 
 
 def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
-    """The few columns that reference questions ask of a record; repeats once."""
+    """The few columns that reference questions ask of a record, with the aliases of its addresses; repeats once."""
     target_error = gates.no_response() | gates.sure(F.col("status_code").between(400, 599)) | (gates.redirect() & F.col("error").isNotNull())
     fetched = F.col("status_code").isNotNull() | F.col("error").isNotNull() | gates.robots_blocked()
     non_indexable = gates.robots_blocked() | (gates.sure(F.col("indexability") == "Non-indexable") & ~gates.broken() & ~gates.redirect())
-    return records.select(
-        *scope, "id", "url", "final_url", "canonical", F.transform(_hops(), lambda h: h["url"]).alias("hops"),
+    rows = U.with_names(records, url_names="url", final_names="final_url", canonical_names="canonical")
+    return rows.select(
+        *scope, "id", "url", "final_url", "canonical", "url_names", "final_names", "canonical_names", F.transform(_hops(), lambda h: h["url"]).alias("hops"),
         gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"), gates.success_html().alias("eligible"),
         fetched.alias("fetched"), gates.broken().alias("broken"), non_indexable.alias("non_indexable"),
         (F.col("status_code").isNotNull() | gates.no_response()).alias("observed"), target_error.alias("target_error"),
@@ -49,13 +50,12 @@ def alias_index(attrs: DataFrame, scope: list[str]) -> DataFrame:
     """Per alias the best candidate record, and the best observed one: fetched first, then request address before redirect
     hop before final address, then the lowest id.
     """
-    parts = F.array(
-        F.struct(F.col("url").alias("u"), F.lit(0).alias("p"), (F.col("is_3xx") | (F.size("hops") > 0)).alias("r")),
-        F.struct(F.col("final_url").alias("u"), F.lit(2).alias("p"), F.col("is_3xx").alias("r")),
-    )
-    hops = F.transform("hops", lambda h: F.struct(h.alias("u"), F.lit(1).alias("p"), F.lit(True).alias("r")))
-    named = attrs.select(*scope, "id", "fetched", "observed", "limit", F.explode(F.concat(parts, hops)).alias("_n")).select(*scope, "id", "fetched", "observed", "limit", F.col("_n.u").alias("_u"), F.col("_n.p").alias("_p"), F.col("_n.r").alias("_r"))
-    named = U.with_aliases(named, ["_u"])
+    kept = [*scope, "id", "fetched", "observed", "limit"]
+    entry = lambda p, r: lambda u: F.struct(u.alias("alias"), F.lit(p).alias("p"), r.alias("r"))
+    own = F.concat(F.transform("url_names", entry(0, F.col("is_3xx") | (F.size("hops") > 0))), F.transform("final_names", entry(2, F.col("is_3xx"))))
+    named = attrs.select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.alias", F.col("_n.p").alias("_p"), F.col("_n.r").alias("_r"))
+    hops = U.with_aliases(attrs.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"])
+    named = named.unionByName(hops.select(*kept, "alias", F.lit(1).alias("_p"), F.lit(True).alias("_r")))
     rank = F.struct((~F.col("fetched")).alias("unfetched"), F.col("_p").alias("p"), F.col("id").alias("id"), F.col("_r").alias("redirect"))
     seen = F.col("observed") & ~((F.col("_p") == 2) & F.col("limit"))
     return named.groupBy(*scope, "alias").agg(F.min(rank).alias("best"), F.min(F.when(seen, rank)).alias("observed_best"))
@@ -64,9 +64,8 @@ def alias_index(attrs: DataFrame, scope: list[str]) -> DataFrame:
 def canonical_targets(attrs: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id, self, target, target_redirect) of each eligible record with an absolute canonical."""
     own = attrs.where(F.col("eligible") & F.rlike(trimmed(F.coalesce("canonical", F.lit(""))), F.lit("(?i)^https?://")))
-    named = U.with_aliases(own.select(*scope, "id", F.col("canonical").alias("_c")), ["_c"])
-    mine = F.array_distinct(F.flatten(F.array(*[U.aliases_of(F.col(c), U.serialised(c)) for c in ("url", "final_url")])))
-    names = own.select(*scope, "id", "is_3xx", "hops", mine.alias("_mine"), U.aliases_of(F.col("canonical"), U.serialised("canonical")).alias("_names"))
+    names = own.select(*scope, "id", "is_3xx", "hops", F.concat("url_names", "final_names").alias("_mine"), F.col("canonical_names").alias("_names"))
+    named = names.select(*scope, "id", F.explode("_names").alias("alias"))
     best = named.join(index.select(*scope, "alias", "best"), [*scope, "alias"], "left").groupBy(*scope, "id").agg(F.min("best").alias("best"))
     own_self = F.arrays_overlap("_mine", "_names")
     return names.join(best, [*scope, "id"]).select(
@@ -136,9 +135,8 @@ def declared_targets(attrs: DataFrame, index: DataFrame, scope: list[str], kind:
 
     A target among the source's own aliases is the source.
     """
-    own = attrs.where("eligible").select(*scope, "id", F.posexplode(kind).alias("at", "_t"), "url", "final_url", "hops")
-    mine = F.array_distinct(F.flatten(F.array(*[U.aliases_of(F.col(c), U.serialised(c)) for c in ("url", "final_url")])))
-    names = own.select(*scope, "id", "at", F.concat(mine, "hops").alias("_mine"), U.aliases_of(F.col("_t"), U.serialised("_t")).alias("_names"))
+    own = attrs.where("eligible").select(*scope, "id", F.posexplode(kind).alias("at", "_t"), F.concat("url_names", "final_names", "hops").alias("_mine"))
+    names = U.with_names(own, _names="_t")
     found = names.select(*scope, "id", "at", F.explode("_names").alias("alias")).join(index.select(*scope, "alias", "observed_best"), [*scope, "alias"]).groupBy(*scope, "id", "at").agg(F.min("observed_best").alias("_best"))
     return names.join(found, [*scope, "id", "at"], "left").select(*scope, "id", "at", F.when(F.arrays_overlap("_mine", "_names"), F.col("id")).otherwise(F.col("_best.id")).alias("target"))
 
@@ -152,7 +150,7 @@ def relation_marks(base: Resolved, scope: list[str]) -> DataFrame:
     attrs, index = base.attrs, base.index
     if not attrs.where(F.size("next") + F.size("prev") + F.size("amp") > 0).limit(1).count():
         return attrs.limit(0).select(*scope, "id", *[F.lit(False).alias(f) for f in FLAGS[6:]])
-    info = attrs.select(*scope, F.col("id").alias("target"), F.col("target_error").alias("t_error"), F.col("eligible").alias("t_ok"), "amp_document", F.col("canonical").alias("t_canonical"), F.col("final_url").alias("t_final"))
+    info = attrs.select(*scope, F.col("id").alias("target"), F.col("target_error").alias("t_error"), F.col("eligible").alias("t_ok"), "amp_document", F.col("canonical").alias("t_canonical"), F.col("canonical_names").alias("t_names"), F.col("final_url").alias("t_final"))
     found = {k: checkpointed(declared_targets(attrs, index, scope, k)) for k in ("next", "prev", "amp")}
     parts: list[DataFrame] = []
     for kind in ("next", "prev"):
@@ -176,11 +174,9 @@ def relation_marks(base: Resolved, scope: list[str]) -> DataFrame:
     amp = found["amp"].join(info, [*scope, "target"], "left")
     parts.append(amp.where("t_error").select(*scope, "id", F.lit("amp_to_error").alias("flag")))
     parts.append(amp.where(gates.sure(F.col("t_ok")) & gates.sure(~F.col("amp_document"))).select(*scope, "id", F.lit("amp_target_missing_marker").alias("flag")))
-    me = attrs.select(*scope, "id", "url", "final_url")
-    away = amp.where(gates.sure(F.col("t_ok")) & (F.col("target") != F.col("id"))).select(*scope, "id", "t_canonical").join(me, [*scope, "id"])
-    mine = F.flatten(F.array(*[U.aliases_of(F.col(c), U.serialised(c)) for c in ("url", "final_url")]))
-    points = U.aliases_of(F.col("t_canonical"), U.serialised("t_canonical"))
-    lost = blank("t_canonical") | (U.final_key("t_canonical").isNotNull() & ~F.arrays_overlap(points, mine))
+    me = attrs.select(*scope, "id", F.concat("url_names", "final_names").alias("_mine"))
+    away = amp.where(gates.sure(F.col("t_ok")) & (F.col("target") != F.col("id"))).select(*scope, "id", "t_canonical", "t_names").join(me, [*scope, "id"])
+    lost = blank("t_canonical") | (U.final_key("t_canonical").isNotNull() & ~F.arrays_overlap("t_names", "_mine"))
     parts.append(away.where(lost).select(*scope, "id", F.lit("amp_non_reciprocal").alias("flag")))
     canonical = base.targets.where(~F.col("self") & F.col("target").isNotNull())
     observed = attrs.where(F.col("eligible") & F.col("observed")).select(*scope, F.col("id").alias("target"))
@@ -197,18 +193,18 @@ def hreflang_flags(records: DataFrame, scope: list[str]) -> DataFrame:
 
     A link's target is the lowest record id among the aliases' lowest ids; unknown targets never flag.
     """
-    base = records.select(*scope, "id", "storage_key", "url", "final_url", "canonical", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links")).distinct()
-    named = checkpointed(U.with_aliases(base.select(*scope, "id", "storage_key", "url", "final_url"), ["storage_key", "url", "final_url"]).select(*scope, "id", "alias"))
+    base = U.with_names(records, _own=["storage_key", "url", "final_url"], _canonical="canonical")
+    base = checkpointed(base.select(*scope, "id", "canonical", "_own", "_canonical", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links")).distinct())
+    named = base.select(*scope, "id", F.explode("_own").alias("alias"))
     primary = named.groupBy(*scope, "alias").agg(F.min("id").alias("target"))
-    links = U.with_aliases(base.where("size(_links) > 0").select(*scope, "id", F.posexplode("_links").alias("at", "_l")).select(*scope, "id", "at", F.col("_l.url").alias("_u")), ["_u"]).select(*scope, "id", "at", "alias")
+    links = checkpointed(U.with_aliases(base.where("size(_links) > 0").select(*scope, "id", F.posexplode("_links").alias("at", "_l")).select(*scope, "id", "at", F.col("_l.url").alias("_u")), ["_u"]).select(*scope, "id", "at", "alias"))
     own = links.join(named, [*scope, "id", "alias"], "left_semi").select(*scope, "id", "at").distinct()
     resolved = links.join(primary, [*scope, "alias"]).groupBy(*scope, "id", "at").agg(F.min("target").alias("target"))
     resolved = checkpointed(resolved)
     # A return link is a link of the target, one of whose aliases is an alias of the source.
     returns = links.join(named.withColumnRenamed("id", "source"), [*scope, "alias"]).select(*scope, F.col("id").alias("target"), F.col("source").alias("id")).distinct()
     missing = resolved.join(own, [*scope, "id", "at"], "left_anti").join(returns, [*scope, "id", "target"], "left_anti").select(*scope, "id").distinct().withColumn("hreflang_missing_return", F.lit(True))
-    names = F.flatten(F.array(*[U.aliases_of(F.col(c), U.serialised(c)) for c in ("storage_key", "url", "final_url")]))
-    elsewhere = base.where(~blank("canonical")).where(~F.arrays_overlap(U.aliases_of(F.col("canonical"), U.serialised("canonical")), names)).select(*scope, F.col("id").alias("target"))
+    elsewhere = base.where(~blank("canonical") & ~F.arrays_overlap("_canonical", "_own")).select(*scope, F.col("id").alias("target"))
     wrong = resolved.join(elsewhere, [*scope, "target"], "left_semi").select(*scope, "id").distinct().withColumn("hreflang_non_canonical", F.lit(True))
     eligible = base.where("eligible").select(*scope, "id")
     return missing.join(wrong, [*scope, "id"], "full").join(eligible, [*scope, "id"], "left_semi").select(*scope, "id", gates.sure(F.col("hreflang_missing_return")).alias("hreflang_missing_return"), gates.sure(F.col("hreflang_non_canonical")).alias("hreflang_non_canonical"))

@@ -16,6 +16,7 @@ def get_spark(app: str = "siteloom", cpus: str | None = None) -> SparkSession:
         .master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", str(max(8, int(cpus))))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")  # rows here cost more than their bytes say
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
