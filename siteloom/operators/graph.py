@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, count as count_from
 
 from pyspark.sql import DataFrame, Window
@@ -108,6 +109,10 @@ def url_tree(records: DataFrame, scope: list[str]) -> DataFrame:
     return rows.groupBy(*scope, "path", (F.col("segments") + 1).alias("segments")).agg(F.count(F.lit(1)).alias("total"), of(200, 299).alias("success"), of(300, 399).alias("redirects"), of(400, 499).alias("client_errors"), F.count_if(F.col("status_code") >= 500).alias("server_errors"), F.count_if("_n").alias("no_response"), F.count_if("_b").alias("broken"))
 
 
+#: Levels that a search holds apart before they are written together.
+MOST_LEVELS = 64
+
+
 def frontier_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None = 20, in_scope=None, follow_nofollow: bool = False, max_urls: int | None = None) -> DataFrame:
     """(url, depth): a simulated crawl over captured links from `seeds` (url): breadth first, each address once.
 
@@ -120,19 +125,21 @@ def frontier_levels(edges: DataFrame, seeds: DataFrame, max_depth: int | None =
     if in_scope is not None:
         rows = rows.where(in_scope(F.col("target_url")))
     rows = checkpointed(rows.select(U.without_fragment("source_url").alias("source_url"), U.without_fragment("target_url").alias("target_url")).distinct())
-    seen = level = checkpointed(seeds.select(U.without_fragment("url").alias("url")).where("url is not null").distinct().withColumn("depth", F.lit(0)))
-    count = level.count()
+    level = checkpointed(seeds.select(U.without_fragment("url").alias("url")).where("url is not null").distinct().withColumn("depth", F.lit(0)))
+    levels, count = [level], level.count()
     for depth in count_from(1) if max_depth is None else range(1, max_depth + 1):
         if max_urls is not None and count >= max_urls:
             break
         found = rows.join(level.select(F.col("url").alias("source_url")), "source_url", "left_semi").select(F.col("target_url").alias("url")).distinct()
-        level = checkpointed(found.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)))
+        level = checkpointed(found.join(reduce(DataFrame.unionByName, levels), "url", "left_anti").withColumn("depth", F.lit(depth)))
         new = level.count()
         if not new:
             break
         count += new
-        seen = checkpointed(seen.unionByName(level))
-    return seen
+        levels.append(level)
+        if len(levels) == MOST_LEVELS:  # keeps the plan short; each address is written a few times at most
+            levels = [checkpointed(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def simhash(tokens):

@@ -83,11 +83,13 @@ class Buckets:
         old = self.read(touched)
         new = change(old, batch)
         new.withColumn("_bucket", self.bucket()).repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/data/{number}")
-        written = {str(b): number for b in touched}
+        # A touched bucket that has no rows left has no files either.
+        written = [s.getPath().getName()[8:] for s in self._fs.listStatus(self._path(f"{self.folder}/data/{number}")) if s.getPath().getName().startswith("_bucket=")]
+        kept = {b: v for b, v in m["buckets"].items() if int(b) not in touched}
         schema = json.loads(new.schema.json())
-        after = {"version": number, "buckets": m["buckets"] | written, "counts": m["counts"], "schema": schema}
+        after = {"version": number, "buckets": kept | {b: number for b in written}, "counts": m["counts"], "schema": schema}
         if counts is not None:
-            rows = self.spark.read.schema(new.schema).parquet(*[f"{self.folder}/data/{number}/_bucket={b}" for b in touched]) if touched else new.limit(0)
+            rows = self.spark.read.schema(new.schema).parquet(*[f"{self.folder}/data/{number}/_bucket={b}" for b in written]) if written else self.spark.createDataFrame([], new.schema)
             after["counts"] = counts(m["counts"], old, rows)
         self._publish(after)
         self._forget()

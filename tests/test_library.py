@@ -63,6 +63,8 @@ def test_checkpoints(spark, tmp_path):
     assert c.summary() == {"queued": 2, "seen": 2, "crawled": 0}
     c.update(q.where("position = 0").select("storage_key"), queue(spark, ["https://x.test/a", "https://x.test/b", "https://x.test/b"]))
     assert {r["url"] for r in c.load().collect()} == {"https://x.test/a", "https://x.test/b"} and c.summary() == {"queued": 2, "seen": 3, "crawled": 1}
+    c.update(c.load().select("storage_key"), queue(spark, []))  # buckets without rows
+    assert c.summary() == {"queued": 0, "seen": 3, "crawled": 3}
     c.clear()
     assert c.summary() == {"queued": 0, "seen": 0, "crawled": 0}
 
