@@ -91,10 +91,10 @@ def duplicates(records: DataFrame, flags: list[str], scope: list[str]) -> DataFr
     keys = {f: k for f, k in _grouped_by().items() if f in flags}
     if keys:
         entries = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(f).alias("flag"), k.alias("key"))) for f, k in keys.items()]))
-        rows = records.select(*scope, "id", F.explode(entries).alias("_e")).select(*scope, "id", "_e.flag", "_e.key")
+        rows = records.where(_SUCCESS).select(*scope, "id", F.explode(entries).alias("_e")).select(*scope, "id", "_e.flag", "_e.key")
         parts.append(_repeated(rows, [*scope, "flag", "key"], "id").select(*scope, "id", "flag"))
     if "dup_hash" in flags:
-        rows = records.where(gates.success_html() & F.col("response_hash").isNotNull()).select(*scope, "id", "response_hash", U.final_key("final_url").alias("_final")).where(F.col("_final").isNotNull())
+        rows = records.where(_SUCCESS).where(gates.success_html() & F.col("response_hash").isNotNull()).select(*scope, "id", "response_hash", U.final_key("final_url").alias("_final")).where(F.col("_final").isNotNull())
         parts.append(_repeated(rows, [*scope, "response_hash"], "_final").select(*scope, "id", F.lit("dup_hash").alias("flag")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -186,10 +186,19 @@ def predicates(t: Thresholds = Thresholds()) -> dict[str, tuple[Column, str | No
     })
 
 
+_SUCCESS = "status_code between 200 and 299"
+#: What of a view's condition a file reader can test by itself; all views that are not named look at successful pages.
+_PUSHED = {
+    "All": None, "Internal": "classification = 'internal'", "External": "classification = 'external'", "Status3xx": None, "Status4xx": "status_code between 400 and 499", "Status5xx": "status_code >= 500",
+    "NoResponse": "status_code is null and error is not null", "DirectivesNoindex": "indexability_status is not null", "BrokenLinks": None, "SitemapOrphan": "in_sitemap and inlink_count = 0 and classification = 'internal'",
+}
+
+
 def held(records: DataFrame, name: str, thresholds: Thresholds = Thresholds(), scope: list[str] = SCOPE) -> DataFrame:
     """The rows of a named view, their repeats included."""
     condition, flag = predicates(thresholds)[name]
-    rows = records.where(condition)
+    pushed = _PUSHED.get(name, _SUCCESS)
+    rows = (records if pushed is None else records.where(pushed)).where(condition)
     if flag is None:
         return rows
     keys = _grouped_by()
