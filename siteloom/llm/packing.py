@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from siteloom.llm import tokenizer
 from siteloom.session import checkpointed
 
-#: Rows of one size that are ranked in one task.
-RANKED_AT_ONCE = 200_000
+#: Into how many parts, by a hash of their id, the items of one size are ranked. The number is fixed, so that where an item goes
+#: depends on the items alone and not on how many there must be before they are split.
+SHARES = 64
 
 
 class _Gaps:
@@ -147,8 +148,6 @@ def pack(items: DataFrame, ident: str, size: str, kinds: dict[str, int]) -> Data
     for r in total:
         histograms[r["container_kind"]][r["_rest"]] = r["n"]
         whole[r["container_kind"]] += r["full"]
-    most = max([r["n"] for r in total], default=0)
-    shares = max(1, -(-most // RANKED_AT_ONCE))
     tables, offset = {}, {}
     for k, c in kinds.items():
         by: dict[int, list] = defaultdict(list)
@@ -160,13 +159,12 @@ def pack(items: DataFrame, ident: str, size: str, kinds: dict[str, int]) -> Data
     sent = spark.sparkContext.broadcast(tables)
 
     # Rank from 0 of each item within its (kind, size); full pieces get containers of their own behind the planned ones.
-    rest = rest.withColumn("_share", F.pmod(F.xxhash64(ident), F.lit(shares)))
+    rest = rest.withColumn("_share", F.pmod(F.xxhash64(ident), F.lit(SHARES)))
     ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy("container_kind", "_rest", "_share").orderBy(ident)) - 1)
-    if shares > 1:
-        sums = rest.groupBy("container_kind", "_rest", "_share").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy("container_kind", "_rest").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("container_kind", "_rest", "_share", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-        ranked = ranked.join(sums, ["container_kind", "_rest", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    sums = rest.groupBy("container_kind", "_rest", "_share").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("container_kind", "_rest").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("container_kind", "_rest", "_share", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    ranked = ranked.join(sums, ["container_kind", "_rest", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     kind_of = dict(items.dtypes)[ident]
 
     def place(batches):
@@ -190,7 +188,7 @@ def pack(items: DataFrame, ident: str, size: str, kinds: dict[str, int]) -> Data
     if not any(whole.values()):
         return placed
     # Full pieces: numbered by a running count over the few distinct numbers of pieces per share, then within the item.
-    over = rest.where("_full > 0").withColumn("_share", F.pmod(F.xxhash64(ident), F.lit(max(1, -(-max(whole.values()) // RANKED_AT_ONCE)))))
+    over = rest.where("_full > 0").withColumn("_share", F.pmod(F.xxhash64(ident), F.lit(SHARES)))
     before = Window.partitionBy("container_kind", "_share").orderBy(ident).rowsBetween(Window.unboundedPreceding, -1)
     sums = over.groupBy("container_kind", "_share").agg(F.sum("_full").alias("_n"))
     w = Window.partitionBy("container_kind").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)

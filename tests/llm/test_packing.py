@@ -32,7 +32,7 @@ def test_plan_pairs_large_items():
 
 
 def test_tables(spark, monkeypatch):
-    monkeypatch.setattr(P, "RANKED_AT_ONCE", 7)  # several shares per size
+    monkeypatch.setattr(P, "SHARES", 7)  # few items a share
     rows = [(i, 3 if i % 3 else 5 + i % 11, "clash") for i in range(200)] + [(900, 0, "x"), (901, None, "x"), (None, 4, "x"), (902, 47, "x"), (903, 20, "x"), (904, 21, "x")]
     df = spark.createDataFrame(rows, "doc_id long, tokens long, piece string").repartition(4)
     got = P.pack(df, "doc_id", "tokens", {"a": 20, "b": 64}).collect()
