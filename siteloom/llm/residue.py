@@ -313,6 +313,10 @@ def fitted(captures: DataFrame, records: DataFrame) -> Models:
     return got
 
 
+#: Files at either end of the list whose size and time are looked at.
+ASKED = 100
+
+
 def _to_bytes(models: Models) -> bytes:
     out = io.BytesIO()
     arrays = {f"{part}_{f}": v for f, pair in models.lines.items() for part, v in zip(("weights", "bias"), pair)}
@@ -327,12 +331,16 @@ def _from_bytes(raw: bytes) -> Models:
 
 
 def _key(spark, *tables: list[str]) -> str | None:
-    """A hash of the modules that make the models and of the names, sizes and times of the files; None if a table has none."""
+    """A hash of the modules that make the models, of the names of the files, and of the sizes and times of the first and last
+    ASKED of them (a table may have a million, which writers name anew); None if a table has none.
+    """
     if not all(tables):
         return None
     jvm = spark.sparkContext._jvm
     parts = [Path(m.__file__).read_text(encoding="utf-8") for m in (sys.modules[__name__], mainbody, notices, blocks)]
-    for name in sorted(f for t in tables for f in t):
+    names = sorted(f for t in tables for f in t)
+    parts += names
+    for name in dict.fromkeys(names[:ASKED] + names[-ASKED:]):
         path = jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
         parts.append(f"{name} {status.getLen()} {status.getModificationTime()}")
