@@ -12,6 +12,7 @@ from siteloom.operators.ranking import numbered
 from siteloom.session import checkpointed
 from siteloom.sources.schema import once
 
+# The fields a comparison names.
 FIELDS = ("finalUrl", "statusCode", "title", "metaDescription", "indexability", "headings", "canonical", "robotsDirectives", "content", "responseHash")
 _COLUMNS = (
     "id storage_key url final_url list_position list_duplicate_index status_code title title_count meta_description meta_description_count indexability indexability_status h1 h1_count h2 h2_count canonical canonical_count "

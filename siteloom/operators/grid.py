@@ -17,6 +17,7 @@ MOST_ROWS = 1_000_000
 MOST_RULES = 20
 MOST_VALUE = 2_000
 
+# Filter fields, operators and searched columns of the grid.
 FIELDS = {
     "url": ("url", "text"), "finalUrl": ("final_url", "text"), "title": ("title", "text"), "metaDescription": ("meta_description", "text"), "canonical": ("canonical", "text"), "indexability": ("indexability", "text"),
     "statusCode": ("status_code", "number"), "depth": ("depth", "number"), "wordCount": ("word_count", "number"), "responseTimeMs": ("response_time_ms", "number"),
@@ -25,27 +26,37 @@ TEXT_OPERATORS = frozenset("contains notContains equals notEquals isEmpty isNotE
 NUMBER_OPERATORS = frozenset("equals notEquals lessThan greaterThan isEmpty isNotEmpty".split())
 
 #: Scalar columns that the global search reads.
-SEARCHED = (
-    "url final_url status_code status_text content_type indexability indexability_status title meta_description meta_keywords meta_robots x_robots_tag h1 h2 canonical amphtml rel_next rel_prev redirect_target "
-    "redirect_type response_hash content_hash error classification depth word_count near_duplicate_cluster_id list_position deprecated_html_tag_count duplicate_id_count js_rendered rendered_dom_changed "
-    "rendered_word_count_delta rendered_link_count_delta search_console_clicks search_console_impressions search_console_ctr search_console_average_position"
-).split()
+SEARCHED = [
+    "url", "final_url", "status_code", "status_text", "content_type", "indexability", "indexability_status", "title", "meta_description",
+    "meta_keywords", "meta_robots", "x_robots_tag", "h1", "h2", "canonical", "amphtml", "rel_next", "rel_prev", "redirect_target", "redirect_type",
+    "response_hash", "content_hash", "error", "classification", "depth", "word_count", "near_duplicate_cluster_id", "list_position",
+    "deprecated_html_tag_count", "duplicate_id_count", "js_rendered", "rendered_dom_changed", "rendered_word_count_delta",
+    "rendered_link_count_delta", "search_console_clicks", "search_console_impressions", "search_console_ctr", "search_console_average_position",
+]
 SEARCHED_ARRAYS = ("amphtml_targets", "rel_next_targets", "rel_prev_targets")
 #: Searched too where the first inlinks are joined.
 SEARCHED_INLINK = ("first_inlink_source_url", "first_inlink_anchor_text", "first_inlink_source_position")
 
-_SORTED = """statusCode responseTimeMs dnsLookupTimeMs tcpConnectTimeMs tlsHandshakeTimeMs ttfbMs downloadTimeMs totalNetworkTimeMs transferRateBytesPerSec resolvedIpCount inSitemap listPosition listDuplicateIndex sizeBytes depth
-titleLen titleCount titlePixelWidth metaDescription metaDescriptionLen metaDescriptionCount metaDescriptionPixelWidth h1 h1Len h1Count h2 h2Len h2Count canonicalCount relNext relPrev amphtml metaKeywords wordCount textToCodeRatio
-imageCount imagesMissingAlt imagesAltTooLong mixedContentCount insecureFormCount hreflangCount hreflangInvalidCount jsonLdCount jsonLdInvalidCount structuredDataErrorCount structuredDataWarningCount openGraphCount twitterCardCount
-deprecatedHtmlTagCount duplicateIdCount jsRendered renderedDomChanged renderedWordCountDelta renderedLinkCountDelta searchConsoleClicks searchConsoleImpressions searchConsoleCtr searchConsoleAveragePosition analyticsSessions
-analyticsEngagedSessions analyticsConversions analyticsRevenue backlinkCount referringDomainCount backlinkAuthority nearDuplicateClusterId inlinkCount firstInlinkSourceUrl firstInlinkSourcePosition outlinkCount title url finalUrl"""
+# The sort keys of the grid; each sorts by the column of its name.
+_SORTED = [
+    "statusCode", "responseTimeMs", "dnsLookupTimeMs", "tcpConnectTimeMs", "tlsHandshakeTimeMs", "ttfbMs", "downloadTimeMs", "totalNetworkTimeMs",
+    "transferRateBytesPerSec", "resolvedIpCount", "inSitemap", "listPosition", "listDuplicateIndex", "sizeBytes", "depth", "titleLen", "titleCount",
+    "titlePixelWidth", "metaDescription", "metaDescriptionLen", "metaDescriptionCount", "metaDescriptionPixelWidth", "h1", "h1Len", "h1Count", "h2",
+    "h2Len", "h2Count", "canonicalCount", "relNext", "relPrev", "amphtml", "metaKeywords", "wordCount", "textToCodeRatio", "imageCount",
+    "imagesMissingAlt", "imagesAltTooLong", "mixedContentCount", "insecureFormCount", "hreflangCount", "hreflangInvalidCount", "jsonLdCount",
+    "jsonLdInvalidCount", "structuredDataErrorCount", "structuredDataWarningCount", "openGraphCount", "twitterCardCount", "deprecatedHtmlTagCount",
+    "duplicateIdCount", "jsRendered", "renderedDomChanged", "renderedWordCountDelta", "renderedLinkCountDelta", "searchConsoleClicks",
+    "searchConsoleImpressions", "searchConsoleCtr", "searchConsoleAveragePosition", "analyticsSessions", "analyticsEngagedSessions",
+    "analyticsConversions", "analyticsRevenue", "backlinkCount", "referringDomainCount", "backlinkAuthority", "nearDuplicateClusterId", "inlinkCount",
+    "firstInlinkSourceUrl", "firstInlinkSourcePosition", "outlinkCount", "title", "url", "finalUrl",
+]
 
 
 def snake(name: str) -> str:
     return "".join(f"_{c.lower()}" if c.isupper() else c for c in name)
 
 
-SORT_KEYS = {k: snake(k) for k in _SORTED.split()}
+SORT_KEYS = {k: snake(k) for k in _SORTED}
 
 
 @dataclass(frozen=True)
