@@ -102,7 +102,32 @@ _SIDE = "(SELECT crawl_id FROM crawl_sessions ORDER BY crawl_id DESC LIMIT 1 OFF
 _MERGED = "WITH m AS (SELECT unnest({n}) AS a, clicks, impressions, seq FROM {m}), l AS (SELECT {s} AS a, max({{'o': seq, 'c': clicks, 'i': impressions}}) AS x FROM m GROUP BY 1), n AS (SELECT DISTINCT crawl_id, id, {t} AS a FROM {named}) SELECT crawl_id, id, max(x).c AS clicks{more} FROM n JOIN l USING (a) GROUP BY 1, 2"
 _FREE = "regexp_replace({}, '^https?://', '//')"
 
+def _reported(offset: int) -> str:
+    """One side of a comparison of reports: each occurrence with its findings and its fitness."""
+    group = "OVER (PARTITION BY q)"
+    known = f"min(list_duplicate_index) {group} > 0 AND len(list_distinct(list(list_duplicate_index) {group})) = count(*) {group}"
+    return f"""(SELECT o.q, o.occ, {HTML} AS html, (o.status_code IS NOT NULL OR o.error IS NOT NULL) AS seen, (o.status_code IS NOT NULL AND coalesce(o.indexability_status <> 'Response body incomplete', true)) AS valid, o.amb, coalesce(f.rules, []) AS rules
+  FROM (SELECT *, count(*) {group} > 1 AND NOT ({known}) AS amb FROM {_occ(offset)}) o LEFT JOIN (SELECT record_id, list(rule) AS rules FROM ({_EVIDENCE}) GROUP BY 1) f ON f.record_id = o.id)"""
+
+
+_GLOBAL = ", ".join(f"'{r}'" for r in ("title.duplicate", "meta.duplicate", "canonical.toError", "canonical.toRedirect", "canonical.loop"))
+_FIT = "CASE WHEN starts_with(rule, 'response.') THEN coalesce({s}_seen, false) ELSE coalesce({s}_html, false) END"
+_STATES = f"""
+WITH j AS (SELECT coalesce(b.q, a.q) AS request_url, CAST(coalesce(b.occ, a.occ) AS INT) AS occurrence, coalesce(b.rules, []) AS had, coalesce(a.rules, []) AS has, b.seen AS b_seen, a.seen AS a_seen, b.html AS b_html, a.html AS a_html, a.valid AS a_valid,
+    coalesce(b.amb, false) OR coalesce(a.amb, false) AS doubt FROM {_reported(1)} b FULL JOIN {_reported(0)} a ON a.q = b.q AND a.occ = b.occ),
+l AS (SELECT count(*) > 0 AS lost FROM j WHERE b_seen IS NOT NULL AND (NOT coalesce(a_valid, false) OR doubt OR (b_html AND NOT coalesce(a_html, false)))),
+r AS (SELECT j.*, l.lost, unnest(list_distinct(list_concat(had, has))) AS rule FROM j, l),
+t AS (SELECT *, list_contains(had, rule) AS was, list_contains(has, rule) AS is_now FROM r),
+u AS (SELECT *, CASE WHEN was AND is_now AND NOT doubt THEN NULL WHEN doubt THEN 'ambiguous occurrence' WHEN was AND a_seen IS NULL THEN 'missing in the current report' WHEN NOT was AND b_seen IS NULL THEN 'missing in the baseline'
+    WHEN was AND NOT {_FIT.format(s='a')} THEN 'current page not eligible' WHEN NOT was AND NOT {_FIT.format(s='b')} THEN 'baseline page not eligible' WHEN lost AND rule IN ({_GLOBAL}) THEN 'incomplete context' END AS reason FROM t)
+SELECT rule, request_url, occurrence, CASE WHEN reason IS NOT NULL THEN 'notObserved' WHEN was AND is_now THEN 'persisting' WHEN was THEN 'resolved' ELSE 'added' END AS state, reason FROM u
+"""
+
 SQL = {
+    "report_compare_states": _STATES,
+    "report_compare_findings": f"""SELECT rule, added, persisting, resolved, not_observed, CASE WHEN not_observed > 0 AND added + persisting + resolved = 0 THEN 'notComparable' WHEN added > 0 AND resolved > 0 THEN 'mixedChanges' WHEN resolved > 0 AND persisting + not_observed = 0 THEN 'resolved'
+  WHEN resolved > 0 THEN 'improved' WHEN added > 0 AND persisting = 0 THEN 'new' WHEN added > 0 THEN 'worsened' ELSE 'unchanged' END AS status
+  FROM (SELECT rule, count(*) FILTER (WHERE state = 'added') AS added, count(*) FILTER (WHERE state = 'persisting') AS persisting, count(*) FILTER (WHERE state = 'resolved') AS resolved, count(*) FILTER (WHERE state = 'notObserved') AS not_observed FROM ({_STATES}) GROUP BY 1)""",
     "compare_rows": f"SELECT request_url, occurrence, before_id, after_id, array_to_string(fields, ',') AS fields, {_CHANGE} AS change FROM {_COMPARED} WHERE {_CHANGE} <> 'unchanged'",
     "compare_counts": f"SELECT {', '.join(f'''count(*) FILTER (WHERE {_CHANGE} = '{c}') AS \"{c}\"''' for c in ('added', 'removed', 'changed', 'responseOnly', 'unchanged'))}, {', '.join(f'''count(*) FILTER (WHERE list_contains(fields, '{f}')) AS \"{f}Changed\"''' for f in ('title', 'canonical', 'responseHash'))}, count(*) FILTER (WHERE before_id IS NOT NULL AND after_id IS NOT NULL) AS \"contentUnavailable\" FROM {_COMPARED}",
     "compare_response_only": f"SELECT request_url, occurrence FROM {_COMPARED} WHERE {_CHANGE} = 'responseOnly'",

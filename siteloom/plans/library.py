@@ -9,6 +9,7 @@ from siteloom.operators import compare, frontier, library, links
 from siteloom.plans import synthetic
 from siteloom.plans.audit import HTML, R, crawl
 from siteloom.plans.comparison import _EVIDENCE, last_two
+from siteloom.plans.comparison import SQL as COMPARED
 from siteloom.session import checkpointed
 from siteloom.sinks import exports, packages
 from siteloom.sources import pages
@@ -118,5 +119,6 @@ SQL = {
     "measurable_records": f"SELECT crawl_id, id FROM {R} WHERE {HTML} AND regexp_matches(final_url, '^https?://[^/@]+(/|\\?|#|$)')",
     "incomplete_bodies": f"SELECT crawl_id, id, CASE WHEN coalesce(size_bytes > 60000, false) AND coalesce(status_code BETWEEN 200 AND 299, false) THEN 'Non-indexable' ELSE indexability END AS indexability FROM {R} WHERE (size_bytes > 60000 AND status_code BETWEEN 200 AND 299) OR indexability_status = 'Response body incomplete'",
     "capture_faults": "SELECT DISTINCT capture_id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(coalesce(source_url, ''), '^https?://[^/?#]+') THEN 'source_url' END, CASE WHEN NOT regexp_matches(coalesce(final_url, ''), '^https?://[^/?#]+') THEN 'final_url' END, CASE WHEN strlen(raw_html) > 8388608 THEN 'raw_html' END, CASE WHEN strlen(rendered_html) > 8388608 THEN 'rendered_html' END, CASE WHEN strlen(visible_text) > 4194304 THEN 'visible_text' END, CASE WHEN strlen(response_headers) > 262144 OR len(string_split(response_headers, chr(10))) > 256 THEN 'response_headers' END], lambda x: x IS NOT NULL), ',') AS faults FROM page_captures WHERE capture_id IS NOT NULL",
+    "comparison_workspace": f"SELECT change, count(*) AS n, max(row_key) AS last_key FROM ({COMPARED['compare_row_keys']}) GROUP BY 1",
     "report_pages": f"WITH c AS (SELECT rule, count(*) AS n FROM ({_EVIDENCE}) GROUP BY 1) SELECT rule, page, least(1000, n - 1000 * (page - 1)) AS rows FROM (SELECT rule, n, unnest(range(1, CAST(ceil(n / 1000.0) AS BIGINT) + 1)) AS page FROM c)",
 }
