@@ -8,6 +8,7 @@ function `serialise`, which passes plain addresses by without work.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -19,6 +20,8 @@ from siteloom.functions.text import trimmed
 
 PLAIN = r"^https?://[a-z0-9._-]+(:[0-9]+)?(/[A-Za-z0-9._~!$&()*+,;=:@%/-]*)?(\?[A-Za-z0-9._~!$&()*+,;=:@%/?-]*)?(#[A-Za-z0-9._~!$&()*+,;=:@%/?-]*)?$"
 DOTS = r"/\.{1,2}(/|\?|#|$)|%2[eE]"
+#: Plain addresses that are their own and only alias: no port, fragment, escape, dot segment or white space, and a path below the root.
+ALONE = r"^https?://[a-z0-9._-]++(?:/[A-Za-z0-9_~!$&()*+,;=:@-][A-Za-z0-9._~!$&()*+,;=:@-]*+)++/?(?:\?[A-Za-z0-9._~!$&()*+,;=:@?-]*+)?\z"
 _DEFAULT = {"http": 80, "https": 443, "ftp": 21}
 
 
@@ -182,6 +185,11 @@ def plain_serialised(c: Column | str) -> Column:
     return F.concat(scheme(c), F.lit("://"), authority(c), path(c), query(c), fragment(c))
 
 
+def is_alone(c: Column | str) -> Column:
+    """Whether the address has no other alias than itself; tested by one expression, before all others."""
+    return F.coalesce(F.rlike(_col(c), F.lit(ALONE)), F.lit(False))
+
+
 def serialised(c: Column | str) -> Column:
     """The serialisation of any address: plain ones on the JVM; the Arrow function gets null in their place."""
     c = trimmed(c)
@@ -210,20 +218,20 @@ def aliases(c: Column | str) -> Column:
 
 def with_aliases(df: DataFrame, columns: list[str], name: str = "alias") -> DataFrame:
     """`df` with one row per distinct alias of any of `columns` (rows without any are left out)."""
-    # Serialised first, in columns of their own: each is used several times in the aliases.
-    parsed = {f"_parsed_{i}": serialised(c) for i, c in enumerate(columns)}
-    names = F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), F.col(p)) for c, p in zip(columns, parsed)])))
-    return df.withColumns(parsed).withColumn(name, F.explode(names)).drop(*parsed)
+    return with_names(df, **{name: columns}).withColumn(name, F.explode(name))
 
 
 def with_names(df: DataFrame, **columns: str | list[str]) -> DataFrame:
     """`df` with array columns of the distinct aliases of a column or of several: name=columns. Each address is parsed once, in
-    a column of its own.
+    a column of its own. Rows of addresses without a further alias are told by one expression each and are not parsed at all.
     """
     wanted = {n: [c] if isinstance(c, str) else c for n, c in columns.items()}
     parsed = {c: f"_parsed_{i}" for i, c in enumerate(dict.fromkeys(x for cs in wanted.values() for x in cs))}
-    rows = df.withColumns({p: serialised(c) for c, p in parsed.items()})
-    return rows.withColumns({n: F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), F.col(parsed[c])) for c in cs]))) for n, cs in wanted.items()}).drop(*parsed.values())
+    alone = reduce(lambda a, b: a & b, [F.col(c).isNull() | is_alone(c) for c in parsed])
+    few = df.where(alone).withColumns({n: F.array_distinct(F.array_compact(F.array(*cs))) if len(cs) > 1 else F.when(F.col(cs[0]).isNull(), F.array().cast("array<string>")).otherwise(F.array(cs[0])) for n, cs in wanted.items()})
+    rows = df.where(~alone).withColumns({p: serialised(c) for c, p in parsed.items()})
+    rest = rows.withColumns({n: F.array_distinct(F.flatten(F.array(*[aliases_of(F.col(c), F.col(parsed[c])) for c in cs]))) for n, cs in wanted.items()}).drop(*parsed.values())
+    return few.unionByName(rest)
 
 
 def scheme_free(c: Column | str) -> Column:

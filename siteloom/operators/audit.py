@@ -113,9 +113,8 @@ def marks(records: DataFrame, flags: list[str], scope: list[str]) -> DataFrame:
     if any(f.startswith(("dup_", "ascii_")) for f in flags):
         parts.append(duplicates(records, [f for f in flags if f.startswith(("dup_", "ascii_"))], scope))
     wide = []
-    if set(flags) & set(references.FLAGS):
-        base = references.resolved(records, scope)
-        wide += [make(base, scope) for make, names in ((references.canonical_marks, references.CANONICAL), (references.relation_marks, references.RELATIONS)) if set(flags) & set(names)]
+    if asked := [f for f in references.FLAGS if f in flags]:
+        parts.append(references.marks(records, scope, asked))
     if set(flags) & set(HREFLANG_FLAGS):
         wide.append(references.hreflang_flags(records, scope))
     for w in wide:

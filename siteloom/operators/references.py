@@ -7,6 +7,7 @@ row, so the hot side is never multiplied; AQE splits its skewed partition.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from siteloom.functions import url as U
 from siteloom.functions.text import blank, trimmed
 from siteloom.operators import gates
-from siteloom.session import checkpointed
+from siteloom.session import checkpointed, of_one_scan
+from siteloom.sources.schema import unrepeated
 
 FLAGS = (
     "canonical_uncrawled", "canonical_to_redirect", "canonical_to_error", "canonical_non_indexable", "canonical_chain", "canonical_loop",
@@ -29,163 +31,256 @@ def _hops() -> Column:
     return F.filter("redirect_chain", lambda h: h["status_code"].between(300, 399))
 
 
+#: What is asked of a target, as bits of one number. Counts of declared targets are none, one or more.
+ERROR, ELIGIBLE, UNMARKED, NEXT_ONE, NEXT_MORE, PREV_ONE, PREV_MORE, BROKEN, NON_INDEXABLE, OBSERVED, REDIRECT, FETCHED, NEAR = (1 << i for i in range(13))
+
+
+def has(bit: int) -> Column:
+    return gates.sure(F.col("facts").bitwiseAND(F.lit(bit)) != 0)
+
+
 def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
-    """The few columns that reference questions ask of a record, with the aliases of its addresses; repeats once."""
+    """The few columns that reference questions ask of a record, repeats once."""
     target_error = gates.no_response() | gates.sure(F.col("status_code").between(400, 599)) | (gates.redirect() & F.col("error").isNotNull())
     fetched = F.col("status_code").isNotNull() | F.col("error").isNotNull() | gates.robots_blocked()
     non_indexable = gates.robots_blocked() | (gates.sure(F.col("indexability") == "Non-indexable") & ~gates.broken() & ~gates.redirect())
-    rows = U.with_names(records, url_names="url", final_names="final_url", canonical_names="canonical")
-    return rows.select(
-        *scope, "id", "url", "final_url", "canonical", "url_names", "final_names", "canonical_names", F.transform(_hops(), lambda h: h["url"]).alias("hops"),
-        gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"), gates.success_html().alias("eligible"),
-        fetched.alias("fetched"), gates.broken().alias("broken"), non_indexable.alias("non_indexable"),
-        (F.col("status_code").isNotNull() | gates.no_response()).alias("observed"), target_error.alias("target_error"),
-        gates.sure(F.col("error") == "Redirect limit exceeded").alias("limit"), "amp_document",
-        F.coalesce("rel_next_targets", F.array_compact(F.array("rel_next"))).alias("next"), F.coalesce("rel_prev_targets", F.array_compact(F.array("rel_prev"))).alias("prev"),
-        F.coalesce("amphtml_targets", F.array_compact(F.array("amphtml"))).alias("amp"),
-    ).distinct()
+    observed = F.col("status_code").isNotNull() | gates.no_response()
+    none = F.array().cast("array<string>")
+    of = {k: F.coalesce(f"{c}_targets", F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)) for k, c in (("next", "rel_next"), ("prev", "rel_prev"), ("amp", "amphtml"))}
+    bits = {ERROR: target_error, ELIGIBLE: gates.success_html(), UNMARKED: gates.sure(~F.col("amp_document")), BROKEN: gates.broken(), NON_INDEXABLE: non_indexable, OBSERVED: observed, FETCHED: fetched}
+    bits |= {one: F.size(of[k]) == 1 for k, one in (("next", NEXT_ONE), ("prev", PREV_ONE))} | {more: F.size(of[k]) > 1 for k, more in (("next", NEXT_MORE), ("prev", PREV_MORE))}
+    facts = reduce(lambda x, y: x.bitwiseOR(y), [F.when(on, F.lit(bit)).otherwise(F.lit(0)) for bit, on in bits.items()])
+    rows = records.select(
+        *scope, "id", "url", "final_url", "canonical", F.when(F.size("redirect_chain") > 0, F.transform(_hops(), lambda h: h["url"])).otherwise(none).alias("hops"), gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"),
+        gates.success_html().alias("eligible"), fetched.alias("fetched"), non_indexable.alias("non_indexable"), observed.alias("observed"), gates.sure(F.col("error") == "Redirect limit exceeded").alias("limit"),
+        facts.alias("facts"), *[c.alias(k) for k, c in of.items()],
+    )
+    return unrepeated(rows) if of_one_scan(records) else checkpointed(rows.distinct())
+
+
+def _alone() -> Column:
+    """Whether a record has one address, which has no other alias."""
+    return U.is_alone("url") & F.col("url").eqNullSafe(F.col("final_url"))
 
 
 def alias_index(attrs: DataFrame, scope: list[str]) -> DataFrame:
     """Per alias the best candidate record, and the best observed one: fetched first, then request address before redirect
-    hop before final address, then the lowest id.
+    hop before final address, then the lowest id. A final address that is among the record's request addresses stands behind
+    them and is left out. The hash of the alias comes first, as numbers are sorted and compared at less cost than addresses.
     """
-    kept = [*scope, "id", "fetched", "observed", "limit"]
+    kept = [*scope, "id", "fetched", "observed", "limit", "facts"]
     entry = lambda p, r: lambda u: F.struct(u.alias("alias"), F.lit(p).alias("p"), r.alias("r"))
-    own = F.concat(F.transform("url_names", entry(0, F.col("is_3xx") | (F.size("hops") > 0))), F.transform("final_names", entry(2, F.col("is_3xx"))))
-    named = attrs.select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.alias", F.col("_n.p").alias("_p"), F.col("_n.r").alias("_r"))
+    direct = F.col("is_3xx") | (F.size("hops") > 0)
+    several = U.with_names(attrs.where(~_alone()), url_names="url", final_names="final_url")
+    own = F.concat(F.transform("url_names", entry(0, direct)), F.transform(F.array_except("final_names", "url_names"), entry(2, F.col("is_3xx"))))
+    several = several.select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.alias", F.col("_n.p").alias("_p"), F.col("_n.r").alias("_r"))
+    named = attrs.where(_alone()).select(*kept, F.col("url").alias("alias"), F.lit(0).alias("_p"), direct.alias("_r")).unionByName(several)
     hops = U.with_aliases(attrs.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"])
     named = named.unionByName(hops.select(*kept, "alias", F.lit(1).alias("_p"), F.lit(True).alias("_r")))
-    rank = F.struct((~F.col("fetched")).alias("unfetched"), F.col("_p").alias("p"), F.col("id").alias("id"), F.col("_r").alias("redirect"))
+    rank = F.struct((~F.col("fetched")).alias("unfetched"), F.col("_p").alias("p"), F.col("id").alias("id"), F.col("_r").alias("redirect"), F.col("facts").alias("facts"))
     seen = F.col("observed") & ~((F.col("_p") == 2) & F.col("limit"))
-    return named.groupBy(*scope, "alias").agg(F.min(rank).alias("best"), F.min(F.when(seen, rank)).alias("observed_best"))
-
-
-def canonical_targets(attrs: DataFrame, index: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, id, self, target, target_redirect) of each eligible record with an absolute canonical."""
-    own = attrs.where(F.col("eligible") & F.rlike(trimmed(F.coalesce("canonical", F.lit(""))), F.lit("(?i)^https?://")))
-    names = own.select(*scope, "id", "is_3xx", "hops", F.concat("url_names", "final_names").alias("_mine"), F.col("canonical_names").alias("_names"))
-    named = names.select(*scope, "id", F.explode("_names").alias("alias"))
-    best = named.join(index.select(*scope, "alias", "best"), [*scope, "alias"], "left").groupBy(*scope, "id").agg(F.min("best").alias("best"))
-    own_self = F.arrays_overlap("_mine", "_names")
-    return names.join(best, [*scope, "id"]).select(
-        *scope, "id", own_self.alias("self"), F.when(own_self, F.col("id")).otherwise(F.col("best.id")).alias("target"),
-        F.when(own_self, F.col("is_3xx") | F.arrays_overlap("_names", "hops")).otherwise(F.col("best.redirect")).alias("target_redirect"),
-    )
+    return named.groupBy(F.xxhash64("alias").alias("_h"), *scope, "alias").agg(F.min(rank).alias("best"), F.min(F.when(seen, rank)).alias("observed_best"))
+
+
+def _absolute() -> Column:
+    return F.when(U.is_alone("canonical"), True).otherwise(F.rlike(trimmed(F.coalesce("canonical", F.lit(""))), F.lit("(?i)^https?://")))
+
+
+def self_canonicals(attrs: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id, flag) of eligible records whose canonical is one of their own aliases: they are their own target."""
+    alone = _alone() & U.is_alone("canonical")
+    names = U.with_names(attrs.where(F.col("eligible") & _absolute() & ~alone), url_names="url", final_names="final_url", canonical_names="canonical")
+    found = lambda hop: F.array(F.when(F.col("is_3xx") | hop, F.lit("canonical_to_redirect")), F.when(F.col("non_indexable"), F.lit("canonical_non_indexable")))
+    one = attrs.where(F.col("eligible") & alone & (F.col("canonical") == F.col("url"))).select(*scope, "id", found(F.array_contains("hops", F.col("canonical"))).alias("_f"))
+    rest = names.where(F.arrays_overlap(F.concat("url_names", "final_names"), "canonical_names")).select(*scope, "id", found(F.arrays_overlap("canonical_names", "hops")).alias("_f"))
+    return one.unionByName(rest).select(*scope, "id", F.explode("_f").alias("flag")).where("flag is not null")
+
+
+def _declared(kind: str):
+    return lambda text, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.size(kind).alias("n"), text.alias("text"), F.lit(0).alias("near"))
+
+
+def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool = False) -> DataFrame:
+    """(scope, id, kind, at, n, target, facts): the record that each canonical and each declared next, prev or amp target of
+    an eligible record resolves to - null: unknown, or for declared ones not observed - and what is known of it. n is how many
+    the record declares.
+
+    A target among the source's own aliases is the source; a canonical among them is left out (`self_canonicals`). With
+    `away` only records whose canonical leads away are asked. All kinds meet the index in one join, whose result is kept.
+    Where neither the record nor its only target has further aliases, no list of names is made.
+    """
+    own = attrs.where("eligible")
+    near = F.when(F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url"))), F.lit(NEAR)).otherwise(F.lit(0))
+    none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
+    turned = U.is_alone("canonical") & (F.col("canonical") != F.col("url")) if away else F.lit(True)
+    parts, lists, simple = [], [], F.lit(True)
+    for k in kinds:
+        if k == "canonical":
+            text, none_of, alone = F.col(k), F.col(k).isNull(), _alone() & U.is_alone(k)
+            entries = F.when(_absolute(), F.array(F.struct(F.lit(k).alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), F.col(k).alias("text"), near.alias("near"))))
+            itself, met = F.lit(False), alone & (text != F.col("url"))
+        else:
+            text, none_of = F.get(k, F.lit(0)), F.size(k) <= 0
+            alone = _alone() & (F.size(k) == 1) & U.is_alone(text)
+            entries = F.when(F.size(k) > 0, F.transform(k, _declared(k)))
+            itself, met = (text == F.col("url")) | F.array_contains("hops", text), alone & turned
+        if away:
+            alone = alone & U.is_alone("canonical")
+        parts.append(own.where(met).select(*scope, "id", F.lit(k).alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), (near if k == "canonical" else F.lit(0)).alias("near"), F.col("facts").alias("_facts"), itself.alias("_self"), F.lit(1).alias("_m"), text.alias("alias")))
+        lists.append(F.when(alone, none).otherwise(F.coalesce(entries, none)))
+        simple = simple & (none_of | alone)
+    names = dict(url_names="url", final_names="final_url") | ({"canonical_names": "canonical"} if away else {})
+    rest = U.with_names(own.where(_absolute() & ~simple) if away else own.where(~simple), **names).withColumn("_mine", F.concat("url_names", "final_names"))
+    if away:
+        rest = rest.where(~F.arrays_overlap("_mine", "canonical_names"))
+    rows = rest.select(*scope, "id", "_mine", "hops", F.col("facts").alias("_facts"), F.explode(F.concat(*lists)).alias("_e")).select(*scope, "id", "_mine", "hops", "_facts", "_e.*")
+    rows = U.with_names(rows, _names="text")
+    itself = F.arrays_overlap("_mine", "_names") | ((F.col("kind") != "canonical") & F.arrays_overlap("hops", "_names"))
+    rows = rows.select(*scope, "id", "kind", "at", "n", "near", "_facts", F.coalesce(itself, F.lit(False)).alias("_self"), F.size("_names").alias("_m"), F.explode_outer("_names").alias("alias")).where(~((F.col("kind") == "canonical") & F.col("_self")))
+    rows = reduce(DataFrame.unionByName, [*parts, rows])
+    met = rows.withColumn("_h", F.xxhash64("alias")).join(alias_index(attrs, scope), ["_h", *scope, "alias"], "left")
+    best = F.when(F.col("kind") == "canonical", F.col("best")).otherwise(F.col("observed_best")) if "canonical" in kinds else F.col("observed_best")
+    # What a record knows of itself also holds where it is its own target.
+    target = lambda b: F.when(F.col("_self"), F.col("id")).otherwise(b["id"]).alias("target")
+    facts = lambda b: F.when(F.col("_self"), F.col("_facts")).otherwise(F.coalesce(b["facts"], F.lit(0)).bitwiseOR(F.when(b["redirect"], F.lit(REDIRECT)).otherwise(F.lit(0)))).bitwiseOR(F.col("near")).alias("facts")
+    several = F.col("_m") > 1
+    kept = checkpointed(met.select(*scope, "id", "kind", "at", "n", target(best), facts(best), F.when(several, F.struct("near", "_facts", "_self", best.alias("best"))).alias("_all")))
+    plain = kept.where("_all is null").drop("_all")
+    more = kept.where("_all is not null").groupBy(*scope, "id", "kind", "at", "n", F.col("_all.near").alias("near"), F.col("_all._facts").alias("_facts"), F.col("_all._self").alias("_self")).agg(F.min("_all.best").alias("_b"))
+    return plain.unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b")), facts(F.col("_b"))))
 
 
 def cycle_ids(edges: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle.
 
-    Pointer doubling: after k rounds each node knows the node 2^k steps on. Ends drop out, so what is left once 2^k is over
-    the number of edges never ends. Rounds grow with the logarithm of the edges and stop as soon as none is left.
+    Pointer doubling: after k rounds each node knows the node 2^k steps on; those whose path ends before drop out. A path that
+    ends after 2^k steps or more passes a node with just 2^k to go, which drops out in the next round. So a round without a
+    loss shows that no path left ever ends: rounds grow with the logarithm of the longest path that ends, not of the edges.
     """
     jump = checkpointed(edges.select(*scope, "id", "next"))
-    left = total = jump.count()
-    reach = 1
-    while left and reach <= total:
+    left, before = jump.count(), None
+    while left and left != before:
         ahead = jump.select(*scope, F.col("id").alias("next"), F.col("next").alias("_far"))
         jump = checkpointed(jump.join(ahead, [*scope, "next"]).select(*scope, "id", F.col("_far").alias("next")))
-        left, reach = jump.count(), 2 * reach
+        left, before = jump.count(), left
     return jump.select(*scope, "id")
 
 
 @dataclass(frozen=True)
 class Resolved:
-    """What all reference questions about a crawl share, each made once."""
+    """What reference questions about a crawl share, each made once."""
 
     attrs: DataFrame
-    index: DataFrame
-    targets: DataFrame
+    found: DataFrame
 
 
-def resolved(records: DataFrame, scope: list[str]) -> Resolved:
-    attrs = checkpointed(attributes(records, scope))
-    index = checkpointed(alias_index(attrs, scope))
-    return Resolved(attrs, index, checkpointed(canonical_targets(attrs, index, scope)))
+#: The kinds of targets that a flag asks for.
+_KINDS = {f: ["canonical"] for f in CANONICAL} | {
+    "next_to_error": ["next"], "prev_to_error": ["prev"], "next_loop": ["next"], "prev_loop": ["prev"], "next_non_reciprocal": ["next", "prev"], "prev_non_reciprocal": ["next", "prev"],
+    "pagination_canonical_to_linked_page": ["canonical", "next", "prev"], "amp_to_error": ["amp"], "amp_non_reciprocal": ["amp"], "amp_target_missing_marker": ["amp"],
+}
 
 
-def canonical_flags(records: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, id, six canonical flags) of the records that have an absolute canonical."""
-    return canonical_marks(resolved(records, scope), scope)
-
-
-def canonical_marks(base: Resolved, scope: list[str]) -> DataFrame:
-    attrs, targets = base.attrs, base.targets
-    info = attrs.select(*scope, F.col("id").alias("target"), F.col("fetched").alias("t_fetched"), F.col("broken").alias("t_broken"), F.col("non_indexable").alias("t_non"), F.col("eligible").alias("t_ok"), F.col("final_url").alias("t_final"))
-    me = attrs.select(*scope, "id", "internal", "final_url", "canonical")
-    far = targets.select(*scope, F.col("id").alias("target"), (~F.col("self")).alias("t_points_on"))
-    got = targets.join(me, [*scope, "id"]).join(info, [*scope, "target"], "left").join(far, [*scope, "target"], "left")
-    unknown = F.col("target").isNull() | ~gates.sure(F.col("t_fetched"))
-    apart = ~F.col("self") & (F.coalesce(U.final_key("final_url"), F.col("final_url")) != F.coalesce(U.final_key("t_final"), F.col("t_final")))
-    got = got.select(
-        *scope, "id", "target",
-        (unknown & F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url")))).alias("canonical_uncrawled"),
-        (~unknown & gates.sure(F.col("target_redirect"))).alias("canonical_to_redirect"), (~unknown & gates.sure(F.col("t_broken"))).alias("canonical_to_error"),
-        (~unknown & gates.sure(F.col("t_non"))).alias("canonical_non_indexable"),
-        (~unknown & gates.sure(apart & F.col("t_ok"))).alias("_onward"), gates.sure(F.col("t_points_on")).alias("_far"),
-    )
-    got = checkpointed(got.withColumn("canonical_chain", F.col("_onward") & F.col("_far")))
-    loops = cycle_ids(got.where("_onward").select(*scope, "id", F.col("target").alias("next")), scope).withColumn("canonical_loop", F.lit(True))
-    return got.join(loops, [*scope, "id"], "left").select(*scope, "id", *FLAGS[:5], gates.sure(F.col("canonical_loop")).alias("canonical_loop"))
+def resolved(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS) -> Resolved:
+    """Targets of the kinds that `flags` ask for; no others are resolved."""
+    attrs = attributes(records, scope)
+    kinds = [k for k in ("canonical", "next", "prev", "amp") if any(k in _KINDS[f] for f in flags)]
+    return Resolved(attrs, targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}))
 
 
-def declared_targets(attrs: DataFrame, index: DataFrame, scope: list[str], kind: str) -> DataFrame:
-    """(scope, id, at, target): the record that each declared next, prev or amp target resolves to; null: not observed.
+def _wide(rows: DataFrame, scope: list[str], flags: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy(*scope, "id").agg(*[F.bool_or(F.col("flag") == f).alias(f) for f in flags])
 
-    A target among the source's own aliases is the source.
-    """
-    own = attrs.where("eligible").select(*scope, "id", F.posexplode(kind).alias("at", "_t"), F.concat("url_names", "final_names", "hops").alias("_mine"))
-    names = U.with_names(own, _names="_t")
-    found = names.select(*scope, "id", "at", F.explode("_names").alias("alias")).join(index.select(*scope, "alias", "observed_best"), [*scope, "alias"]).groupBy(*scope, "id", "at").agg(F.min("observed_best").alias("_best"))
-    return names.join(found, [*scope, "id", "at"], "left").select(*scope, "id", "at", F.when(F.arrays_overlap("_mine", "_names"), F.col("id")).otherwise(F.col("_best.id")).alias("target"))
+
+def marks(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS) -> DataFrame:
+    """(scope, id, flag) of every one of `flags` that a record has, some more than once."""
+    base = resolved(records, scope, flags)
+    return reduce(DataFrame.unionByName, [*canonical_marks(base, scope, flags), *relation_marks(base, scope, flags)])
+
+
+def canonical_flags(records: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id, six canonical flags) of the records that have an absolute canonical."""
+    base = resolved(records, scope, CANONICAL)
+    rows = _wide(reduce(DataFrame.unionByName, canonical_marks(base, scope, CANONICAL)), scope, CANONICAL)
+    all_rows = base.attrs.where(F.col("eligible") & _absolute()).select(*scope, "id")
+    return all_rows.join(rows, [*scope, "id"], "left").select(*scope, "id", *[gates.sure(F.col(f)).alias(f) for f in CANONICAL])
+
+
+def canonical_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
+    """Parts (scope, id, flag) of the canonical flags asked for."""
+    attrs, parts = base.attrs, []
+    if not set(flags) & set(CANONICAL):
+        return parts
+    found = base.found.where("kind = 'canonical'")
+    known = F.col("target").isNotNull() & has(FETCHED)
+    own = {"canonical_uncrawled": ~known & has(NEAR), "canonical_to_redirect": known & has(REDIRECT), "canonical_to_error": known & has(BROKEN), "canonical_non_indexable": known & has(NON_INDEXABLE)}
+    if asked := [f for f in own if f in flags]:
+        parts.append(found.select(*scope, "id", F.explode(F.array(*[F.when(own[f], F.lit(f)) for f in asked])).alias("flag")).where("flag is not null"))
+    if asked := [f for f in ("canonical_to_redirect", "canonical_non_indexable") if f in flags]:
+        parts.append(self_canonicals(attrs, scope).where(F.col("flag").isin(asked)))
+    if {"canonical_chain", "canonical_loop"} & set(flags):
+        finals = attrs.select(*scope, "id", "final_url")
+        edges = found.where(known & has(ELIGIBLE)).select(*scope, "id", "target").join(finals, [*scope, "id"]).join(finals.withColumnsRenamed({"id": "target", "final_url": "_final"}), [*scope, "target"])
+        key = lambda c: F.coalesce(U.final_key(c), F.col(c))
+        onward = checkpointed(edges.where(key("final_url") != key("_final")).select(*scope, "id", F.col("target").alias("next")))
+        if "canonical_chain" in flags:
+            far = found.select(*scope, F.col("id").alias("next"))
+            parts.append(onward.join(far, [*scope, "next"], "left_semi").select(*scope, "id", F.lit("canonical_chain").alias("flag")))
+        if "canonical_loop" in flags:
+            parts.append(cycle_ids(onward, scope).withColumn("flag", F.lit("canonical_loop")))
+    return parts
 
 
 def relation_flags(records: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, id, the ten pagination and AMP flags) of the records with any declared target."""
-    return relation_marks(resolved(records, scope), scope)
-
-
-def relation_marks(base: Resolved, scope: list[str]) -> DataFrame:
-    attrs, index = base.attrs, base.index
-    if not attrs.where(F.size("next") + F.size("prev") + F.size("amp") > 0).limit(1).count():
-        return attrs.limit(0).select(*scope, "id", *[F.lit(False).alias(f) for f in FLAGS[6:]])
-    info = attrs.select(*scope, F.col("id").alias("target"), F.col("target_error").alias("t_error"), F.col("eligible").alias("t_ok"), "amp_document", F.col("canonical").alias("t_canonical"), F.col("canonical_names").alias("t_names"), F.col("final_url").alias("t_final"))
-    found = {k: checkpointed(declared_targets(attrs, index, scope, k)) for k in ("next", "prev", "amp")}
-    parts: list[DataFrame] = []
-    for kind in ("next", "prev"):
-        known = found[kind].join(info, [*scope, "target"], "left")
-        parts.append(known.where("t_error").select(*scope, "id", F.lit(f"{kind}_to_error").alias("flag")))
-        eligible = known.where(gates.sure(F.col("t_ok")))
-        single = found[kind].groupBy(*scope, "id").agg(F.count_distinct("target").alias("_n"), F.count_if(F.col("target").isNull()).alias("_open")).where("_n = 1 and _open = 0").select(*scope, "id")
-        onward = eligible.where("target <> id").select(*scope, "id", F.col("target").alias("next")).distinct()
-        followed = onward.join(single, [*scope, "id"], "left_semi")
-        loops = checkpointed(cycle_ids(followed, scope))
-        looped = onward.join(loops.withColumnRenamed("id", "next"), [*scope, "next"], "left_semi").select(*scope, "id")
-        selfish = eligible.where("target = id").select(*scope, "id")
-        parts.append(looped.unionByName(selfish).unionByName(loops).distinct().select(*scope, "id", F.lit(f"{kind}_loop").alias("flag")))
-        back = found["prev" if kind == "next" else "next"].select(*scope, F.col("id").alias("target"), F.col("target").alias("_back"))
-        mutual = eligible.where("target <> id").select(*scope, "id", "target").distinct().join(back, [*scope, "target"], "left").groupBy(*scope, "id", "target").agg(
-            F.bool_or(gates.sure(F.col("_back") == F.col("id"))).alias("_returns"), F.count(F.lit(1)).alias("_rows"), F.count("_back").alias("_known")
-        )
-        declared = attrs.select(*scope, F.col("id").alias("target"), F.size("prev" if kind == "next" else "next").alias("_declared"))
-        lost = mutual.join(declared, [*scope, "target"]).where(~F.col("_returns") & ((F.col("_declared") == 0) | (F.col("_known") == F.col("_declared"))))
-        parts.append(lost.select(*scope, "id", F.lit(f"{kind}_non_reciprocal").alias("flag")))
-    amp = found["amp"].join(info, [*scope, "target"], "left")
-    parts.append(amp.where("t_error").select(*scope, "id", F.lit("amp_to_error").alias("flag")))
-    parts.append(amp.where(gates.sure(F.col("t_ok")) & gates.sure(~F.col("amp_document"))).select(*scope, "id", F.lit("amp_target_missing_marker").alias("flag")))
-    me = attrs.select(*scope, "id", F.concat("url_names", "final_names").alias("_mine"))
-    away = amp.where(gates.sure(F.col("t_ok")) & (F.col("target") != F.col("id"))).select(*scope, "id", "t_canonical", "t_names").join(me, [*scope, "id"])
-    lost = blank("t_canonical") | (U.final_key("t_canonical").isNotNull() & ~F.arrays_overlap("t_names", "_mine"))
-    parts.append(away.where(lost).select(*scope, "id", F.lit("amp_non_reciprocal").alias("flag")))
-    canonical = base.targets.where(~F.col("self") & F.col("target").isNotNull())
-    observed = attrs.where(F.col("eligible") & F.col("observed")).select(*scope, F.col("id").alias("target"))
-    linked = found["next"].unionByName(found["prev"]).where("target <> id").select(*scope, "id", "target").distinct()
-    parts.append(canonical.join(observed, [*scope, "target"], "left_semi").join(linked, [*scope, "id", "target"], "left_semi").select(*scope, "id", F.lit("pagination_canonical_to_linked_page").alias("flag")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy(*scope, "id").agg(*[F.bool_or(F.col("flag") == f).alias(f) for f in FLAGS[6:]])
+    """(scope, id, the ten pagination and AMP flags) of the records that have any."""
+    parts = relation_marks(resolved(records, scope, RELATIONS), scope, RELATIONS)
+    return _wide(reduce(DataFrame.unionByName, parts), scope, RELATIONS)
+
+
+def relation_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
+    """Parts (scope, id, flag) of the pagination and AMP flags asked for. A record that declares one target, as most do, needs
+    no grouping.
+    """
+    attrs, found, parts = base.attrs, base.found, []
+
+    def add(flag: str, *rows: DataFrame) -> None:
+        parts.extend(r.select(*scope, "id", F.lit(flag).alias("flag")) for r in rows)
+
+    for kind, other, one, more in (("next", "prev", PREV_ONE, PREV_MORE), ("prev", "next", NEXT_ONE, NEXT_MORE)):
+        known = found.where(F.col("kind") == kind)
+        onward = known.where(has(ELIGIBLE) & (F.col("target") != F.col("id")))
+        if f"{kind}_to_error" in flags:
+            add(f"{kind}_to_error", known.where(has(ERROR)))
+        if f"{kind}_loop" in flags:
+            several = known.where("n > 1").groupBy(*scope, "id").agg(F.count_distinct("target").alias("_n"), F.count_if(F.col("target").isNull()).alias("_open"), F.min("target").alias("next"), F.bool_and(has(ELIGIBLE)).alias("_ok"))
+            followed = onward.where("n = 1").select(*scope, "id", F.col("target").alias("next")).unionByName(several.where("_n = 1 and _open = 0 and _ok and next <> id").select(*scope, "id", "next"))
+            loops = checkpointed(cycle_ids(followed, scope))
+            # Whose only target leads into a loop is among them already.
+            looped = onward.where("n > 1").join(loops.withColumnRenamed("id", "target"), [*scope, "target"], "left_semi")
+            add(f"{kind}_loop", loops, looped, known.where(has(ELIGIBLE) & (F.col("target") == F.col("id"))))
+        if f"{kind}_non_reciprocal" in flags:
+            back = found.where(F.col("kind") == other).select(*scope, F.col("id").alias("target"), F.col("target").alias("_back"), "n")
+            add(f"{kind}_non_reciprocal", onward.where(~has(one) & ~has(more)))
+            add(f"{kind}_non_reciprocal", onward.where(has(one)).select(*scope, "id", "target").join(back.where("n = 1"), [*scope, "target"]).where("_back <> id"))
+            mutual = onward.where(has(more)).select(*scope, "id", "target").distinct().join(back.where("n > 1"), [*scope, "target"]).groupBy(*scope, "id", "target").agg(
+                F.bool_or(gates.sure(F.col("_back") == F.col("id"))).alias("_returns"), F.count("_back").alias("_known"), F.max("n").alias("_declared")
+            )
+            add(f"{kind}_non_reciprocal", mutual.where("not _returns and _known = _declared"))
+    amp = found.where("kind = 'amp'")
+    if "amp_to_error" in flags:
+        add("amp_to_error", amp.where(has(ERROR)))
+    if "amp_target_missing_marker" in flags:
+        add("amp_target_missing_marker", amp.where(has(ELIGIBLE) & has(UNMARKED)))
+    if "amp_non_reciprocal" in flags:
+        away = amp.where(has(ELIGIBLE) & (F.col("target") != F.col("id"))).select(*scope, "id", "target")
+        ends = away.join(attrs.select(*scope, F.col("id").alias("target"), F.col("canonical").alias("_canonical")), [*scope, "target"]).join(attrs.select(*scope, "id", "url", "final_url"), [*scope, "id"])
+        ends = U.with_names(checkpointed(ends.select(*scope, "id", "_canonical", "url", "final_url")), _mine=["url", "final_url"], _names="_canonical")
+        add("amp_non_reciprocal", ends.where(blank("_canonical") | (U.final_key("_canonical").isNotNull() & ~F.arrays_overlap("_names", "_mine"))))
+    if "pagination_canonical_to_linked_page" in flags:
+        canonical = found.where((F.col("kind") == "canonical") & has(ELIGIBLE) & has(OBSERVED)).select(*scope, "id", "target")
+        linked = found.where("kind in ('next', 'prev') and target <> id").select(*scope, "id", "target")
+        add("pagination_canonical_to_linked_page", canonical.join(linked, [*scope, "id", "target"], "left_semi"))
+    return parts
 
 
 def hreflang_flags(records: DataFrame, scope: list[str]) -> DataFrame:
@@ -193,9 +288,9 @@ def hreflang_flags(records: DataFrame, scope: list[str]) -> DataFrame:
 
     A link's target is the lowest record id among the aliases' lowest ids; unknown targets never flag.
     """
-    base = U.with_names(records, _own=["storage_key", "url", "final_url"], _canonical="canonical")
-    base = checkpointed(base.select(*scope, "id", "canonical", "_own", "_canonical", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links")).distinct())
-    named = base.select(*scope, "id", F.explode("_own").alias("alias"))
+    base = records.select(*scope, "id", "canonical", "storage_key", "url", "final_url", gates.success_html().alias("eligible"), F.filter("hreflang_links", lambda x: x["valid"]).alias("_links"))
+    base = unrepeated(base) if of_one_scan(records) else checkpointed(base.distinct())
+    named = U.with_aliases(base.select(*scope, "id", "storage_key", "url", "final_url"), ["storage_key", "url", "final_url"]).select(*scope, "id", "alias")
     primary = named.groupBy(*scope, "alias").agg(F.min("id").alias("target"))
     links = checkpointed(U.with_aliases(base.where("size(_links) > 0").select(*scope, "id", F.posexplode("_links").alias("at", "_l")).select(*scope, "id", "at", F.col("_l.url").alias("_u")), ["_u"]).select(*scope, "id", "at", "alias"))
     own = links.join(named, [*scope, "id", "alias"], "left_semi").select(*scope, "id", "at").distinct()
@@ -204,7 +299,8 @@ def hreflang_flags(records: DataFrame, scope: list[str]) -> DataFrame:
     # A return link is a link of the target, one of whose aliases is an alias of the source.
     returns = links.join(named.withColumnRenamed("id", "source"), [*scope, "alias"]).select(*scope, F.col("id").alias("target"), F.col("source").alias("id")).distinct()
     missing = resolved.join(own, [*scope, "id", "at"], "left_anti").join(returns, [*scope, "id", "target"], "left_anti").select(*scope, "id").distinct().withColumn("hreflang_missing_return", F.lit(True))
-    elsewhere = base.where(~blank("canonical") & ~F.arrays_overlap("_canonical", "_own")).select(*scope, F.col("id").alias("target"))
+    others = U.with_names(base.where(~blank("canonical")), _own=["storage_key", "url", "final_url"], _canonical="canonical")
+    elsewhere = others.where(~F.arrays_overlap("_canonical", "_own")).select(*scope, F.col("id").alias("target"))
     wrong = resolved.join(elsewhere, [*scope, "target"], "left_semi").select(*scope, "id").distinct().withColumn("hreflang_non_canonical", F.lit(True))
     eligible = base.where("eligible").select(*scope, "id")
     return missing.join(wrong, [*scope, "id"], "full").join(eligible, [*scope, "id"], "left_semi").select(*scope, "id", gates.sure(F.col("hreflang_missing_return")).alias("hreflang_missing_return"), gates.sure(F.col("hreflang_non_canonical")).alias("hreflang_non_canonical"))

@@ -47,3 +47,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def of_one_scan(df: DataFrame) -> bool:
+    """Whether a frame is made row by row from one table, so that making it again, narrowed to what is asked, costs less than
+    keeping it.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    at = plan
+    while at.children().size() == 1:
+        if at.nodeName() not in ("Project", "Filter"):
+            return False
+        at = at.children().apply(0)
+    return at.children().isEmpty()

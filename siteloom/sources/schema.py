@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.session import checkpointed
+
 _HOP = "struct<url:string,status_code:int,location:string,dns_lookup_time_ms:bigint,tcp_connect_time_ms:bigint,tls_handshake_time_ms:bigint,ttfb_ms:bigint,elapsed_ms:bigint>"
 
 #: name: (type, default). A null default means "never measured", which differs from a measured zero or false.
@@ -62,3 +64,21 @@ def records(df: DataFrame, scope: tuple[str, ...] = ("crawl_id",)) -> DataFrame:
 def once(df: DataFrame) -> DataFrame:
     """Exact repeats (same id) once, of whole rows that a filter has left."""
     return df.dropDuplicates(["id"])
+
+
+#: Ids that are handed to all executors at most.
+MOST_IDS = 10_000
+
+
+def unrepeated(rows: DataFrame) -> DataFrame:
+    """`once` for rows that are many and wide: a job of its own finds the ids that come again, so that only ids are shuffled;
+    whole rows are only where their id does come again.
+    """
+    again = checkpointed(rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id"))
+    n = again.count()
+    if n > MOST_IDS:
+        return once(rows)
+    if not n:
+        return rows
+    again = F.broadcast(again)
+    return rows.join(again, "id", "left_anti").unionByName(once(rows.join(again, "id", "left_semi"))).select(*rows.columns)
