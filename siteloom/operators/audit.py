@@ -15,7 +15,8 @@ from siteloom.functions import url as U
 from siteloom.functions.text import ascii_lower, ascii_text_key, blank, text_key, trimmed
 from siteloom.operators import gates, references
 from siteloom.operators.gates import sure
-from siteloom.sources.schema import once
+from siteloom.session import checkpointed, of_one_scan
+from siteloom.sources.schema import MOST_IDS, once, unrepeated
 
 SCOPE = ["crawl_id"]
 # The names of the views.
@@ -75,11 +76,15 @@ def _grouped_by() -> dict[str, Column]:
     return keys | {"dup_cluster": F.when(html, F.col("near_duplicate_cluster_id").cast("string"))}
 
 
-def _repeated(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+def _repeated(rows: DataFrame, by: list[str], value: str, ahead: bool = False) -> DataFrame:
     """The rows whose `by` is found with two or more values. Least and greatest are all it takes, so exact repeats change
-    nothing, no group is held, and a hot key is reduced before the shuffle.
+    nothing, no group is held, and a hot key is reduced before the shuffle. With `ahead` the keys are found by a job of their
+    own, so that a few are handed round and rows stay where they are.
     """
     groups = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo <> _hi").select(*by)
+    if ahead:
+        groups = checkpointed(groups)
+        groups = F.broadcast(groups) if groups.count() <= MOST_IDS else groups
     return rows.join(groups, by, "left_semi")
 
 
@@ -92,10 +97,10 @@ def duplicates(records: DataFrame, flags: list[str], scope: list[str]) -> DataFr
     if keys:
         entries = F.array_compact(F.array(*[F.when(k.isNotNull(), F.struct(F.lit(f).alias("flag"), k.alias("key"))) for f, k in keys.items()]))
         rows = records.where(_SUCCESS).select(*scope, "id", F.explode(entries).alias("_e")).select(*scope, "id", "_e.flag", "_e.key")
-        parts.append(_repeated(rows, [*scope, "flag", "key"], "id").select(*scope, "id", "flag"))
+        parts.append(_repeated(rows, [*scope, "flag", "key"], "id", ahead=True).select(*scope, "id", "flag"))
     if "dup_hash" in flags:
         rows = records.where(_SUCCESS).where(gates.success_html() & F.col("response_hash").isNotNull()).select(*scope, "id", "response_hash", U.final_key("final_url").alias("_final")).where(F.col("_final").isNotNull())
-        parts.append(_repeated(rows, [*scope, "response_hash"], "_final").select(*scope, "id", F.lit("dup_hash").alias("flag")))
+        parts.append(_repeated(rows, [*scope, "response_hash"], "_final", ahead=True).select(*scope, "id", F.lit("dup_hash").alias("flag")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -105,7 +110,22 @@ FLAGS = ("dup_title", "dup_meta_description", "dup_h1", "dup_h2", "dup_cluster",
 
 
 def marks(records: DataFrame, flags: list[str], scope: list[str]) -> DataFrame:
-    """(scope, id, flag), once each, for every one of `flags` that a record has; what is not asked for is not computed.
+    """(scope, id, flag), once each, for every one of `flags` that a record has."""
+    return _marks(records, flags, scope).distinct()
+
+
+def masks(records: DataFrame, flags: list[str], scope: list[str]) -> DataFrame:
+    """(scope, id, mask), one row per record that has any of `flags`: the bit of a flag is its place in the list."""
+    bit = F.create_map(*[x for i, f in enumerate(flags) for x in (F.lit(f), F.lit(1 << i).cast("bigint"))])[F.col("flag")]
+    return _marks(records, flags, scope).groupBy(*scope, "id").agg(F.bit_or(bit).alias("mask"))
+
+
+def _in_mask(flags: list[str], flag: str) -> Column:
+    return F.col("mask").bitwiseAND(F.lit(1 << flags.index(flag)).cast("bigint")) != 0
+
+
+def _marks(records: DataFrame, flags: list[str], scope: list[str]) -> DataFrame:
+    """(scope, id, flag), some more than once; what is not asked for is not computed.
 
     All sources are narrow and are put together by a union, so that records are joined with their flags once or not at all.
     """
@@ -120,7 +140,7 @@ def marks(records: DataFrame, flags: list[str], scope: list[str]) -> DataFrame:
     for w in wide:
         names = [F.when(F.col(f), F.lit(f)) for f in flags if f in w.columns]
         parts.append(w.select(*scope, "id", F.explode(F.array_compact(F.array(*names))).alias("flag")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _over(c: str, n: int = 0) -> Column:
@@ -231,16 +251,36 @@ def flagged(records: DataFrame, names: list[str], thresholds: Thresholds = Thres
     return rows.drop(*flags)
 
 
+#: Labels that are tested in one pass.
+AT_ONCE = 6
+
+
 def hits(records: DataFrame, wanted: dict[str, tuple[Column, str | None]], scope: list[str], columns: tuple = (), values: dict[str, Column] | None = None) -> DataFrame:
     """(scope, id, columns, label, value): one row per record and label of `wanted` - (condition, flag) by label - it meets,
     with the label's text from `values`. Repeated rows count once.
 
-    Labels without a flag are entries of one array that is made at the scan; only rows with any are shuffled, narrow. Labels
+    Over a table's own rows a few labels are tested at a time, in compiled code of a size that the JVM compiles further, and
+    nothing is shuffled. Else labels without a flag are entries of one array; only rows with any are shuffled, narrow. Labels
     with a flag meet the marks by one join.
     """
     values = values or {}
     none = F.lit(None).cast("string")
     parts = []
+    single = unrepeated(records, many=lambda rows: None) if of_one_scan(records) else None
+    if single is not None:
+        def met(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+            entries = [F.when(c, F.struct(F.lit(label).alias("label"), values.get(label, none).alias("value"))) for label, c in conditions.items()]
+            got = rows.select(*scope, "id", *columns, F.array(*entries).alias("_hits"))
+            return got.select("*", F.explode("_hits").alias("_h")).where("_h is not null").select(*scope, "id", *got.columns[len(scope) + 1 : -1], "_h.label", "_h.value")
+
+        own = [(label, c) for label, (c, flag) in wanted.items() if flag is None]
+        parts += [met(single, dict(own[i : i + AT_ONCE])) for i in range(0, len(own), AT_ONCE)]
+        of = {label: flag for label, (_, flag) in wanted.items() if flag is not None}
+        if of:
+            flags = list(dict.fromkeys(of.values()))
+            marked = single.join(masks(records, flags, scope), [*scope, "id"])
+            parts.append(met(marked, {label: _in_mask(flags, flag) for label, flag in of.items()}))
+        return reduce(DataFrame.unionByName, parts)
     own = {label: c for label, (c, flag) in wanted.items() if flag is None}
     if own:
         found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(label).alias("label"), values.get(label, none).alias("value"))) for label, c in own.items()]))
@@ -405,7 +445,8 @@ REFERENCE_COUNTERS = tuple(c for c in COUNTERS if c.startswith(("canonical_", "p
 def summary(records: DataFrame, counters: list[str] | None = None, thresholds: Thresholds = Thresholds(), scope: list[str] = SCOPE) -> DataFrame:
     """One row per crawl: how many records each counter's view holds, and how many are indexable or not.
 
-    The conditions of a row are bits of one or two numbers, so what is shuffled to drop repeats is the id and these. Counters
+    Rows of a table without repeats are counted where they are. Else the conditions of a row are bits of one or two numbers, so
+    what is shuffled to drop repeats is the id and these. Counters
     that need other rows are counted from their flags, without a join with the records.
     """
     names = list(COUNTERS) if counters is None else counters
@@ -414,11 +455,15 @@ def summary(records: DataFrame, counters: list[str] | None = None, thresholds: T
     own |= {"indexable": sure(F.col("indexability") == "Indexable"), "non_indexable": sure(F.col("indexability") == "Non-indexable")}
     place = {c: divmod(i, 60) for i, c in enumerate(own)}
     words = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(own[c], F.lit(1 << at)).otherwise(F.lit(0)).cast("bigint") for c, (w, at) in place.items() if w == n]).alias(f"_w{n}") for n in range(-(-len(own) // 60))]
+    single = unrepeated(records, many=lambda rows: None) if of_one_scan(records) else None
     rows = records.select(*scope, "id", *words).distinct()
-    parts = [rows.groupBy(*scope).agg(*[F.count_if(F.col(f"_w{w}").bitwiseAND(F.lit(1 << at).cast("bigint")) != 0).alias(c) for c, (w, at) in place.items()])]
+    if single is not None:
+        parts = [single.groupBy(*scope).agg(*[F.count_if(own[c]).alias(c) for c in place])]
+    else:
+        parts = [rows.groupBy(*scope).agg(*[F.count_if(F.col(f"_w{w}").bitwiseAND(F.lit(1 << at).cast("bigint")) != 0).alias(c) for c, (w, at) in place.items()])]
     flags = {p[COUNTERS[c]][1]: c for c in names if c not in own}
     if flags:
-        parts.append(marks(records, list(flags), scope).groupBy(*scope).agg(*[F.count_if(F.col("flag") == f).alias(c) for f, c in flags.items()]))
+        parts.append(masks(records, list(flags), scope).groupBy(*scope).agg(*[F.count_if(_in_mask(list(flags), f)).alias(c) for f, c in flags.items()]))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return both.groupBy(*scope).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*names, "indexable", "non_indexable")])
 

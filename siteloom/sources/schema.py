@@ -70,14 +70,14 @@ def once(df: DataFrame) -> DataFrame:
 MOST_IDS = 10_000
 
 
-def unrepeated(rows: DataFrame) -> DataFrame:
+def unrepeated(rows: DataFrame, many=once) -> DataFrame:
     """`once` for rows that are many and wide: a job of its own finds the ids that come again, so that only ids are shuffled;
-    whole rows are only where their id does come again.
+    whole rows are only where their id does come again. Are those more than can be handed round, `many` is applied.
     """
     again = checkpointed(rows.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id"))
     n = again.count()
     if n > MOST_IDS:
-        return once(rows)
+        return many(rows)
     if not n:
         return rows
     again = F.broadcast(again)
