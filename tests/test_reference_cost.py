@@ -5,7 +5,10 @@ from siteloom.operators import audit, references
 from siteloom.sources.schema import conformed, unrepeated
 
 #: View: how many intermediate results it may keep.
-KEPT = {"AmpToError": 1}
+KEPT = {
+    "AmpToError": 1, "PaginationPrevToError": 1, "AmpTargetMissingMarker": 1, "AmpNonReciprocal": 2, "PaginationNextNonReciprocal": 1, "PaginationPrevNonReciprocal": 1,
+    "PaginationCanonicalToLinkedPage": 1, "PaginationNextLoop": 5, "PaginationPrevLoop": 5,
+}
 
 
 @pytest.fixture
@@ -24,7 +27,8 @@ def pages(spark):
 
 
 WANT = {
-    "AmpToError": [1],
+    "AmpToError": [1], "PaginationPrevToError": [3], "AmpTargetMissingMarker": [3], "AmpNonReciprocal": [3], "PaginationNextNonReciprocal": [3], "PaginationPrevNonReciprocal": [],
+    "PaginationCanonicalToLinkedPage": [1, 3], "PaginationNextLoop": [1, 2, 3], "PaginationPrevLoop": [1, 2],
 }
 
 
@@ -34,6 +38,11 @@ def test_a_view_keeps_only_what_it_asks_for(spark, kept, name):
     assert len(kept) <= KEPT[name]
 
 
+def test_flags_of_a_record_are_one_number(spark):
+    flags = ["next_loop", "amp_to_error"]
+    assert {r["id"]: r["mask"] for r in audit.masks(pages(spark), flags, []).collect()} == {1: 3, 2: 1, 3: 1}
+
+
 def test_cycles_end_with_the_longest_path(spark, kept):
     nxt = {**{i: i + 10_000 for i in range(10, 2000)}, 1: 2, 2: 1, 3: 1, 4: 5, 5: 6, 6: 7}
     df = spark.createDataFrame(list(nxt.items()), "id long, next long")
