@@ -39,8 +39,10 @@ def has(bit: int) -> Column:
     return gates.sure(F.col("facts").bitwiseAND(F.lit(bit)) != 0)
 
 
-def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
-    """The few columns that reference questions ask of a record, repeats once."""
+def attributes(records: DataFrame, scope: list[str], repeats: bool = False) -> DataFrame:
+    """The few columns that reference questions ask of a record, repeats once. With `repeats` they may stay in, where finding
+    them takes a job of its own.
+    """
     target_error = gates.no_response() | gates.sure(F.col("status_code").between(400, 599)) | (gates.redirect() & F.col("error").isNotNull())
     fetched = F.col("status_code").isNotNull() | F.col("error").isNotNull() | gates.robots_blocked()
     non_indexable = gates.robots_blocked() | (gates.sure(F.col("indexability") == "Non-indexable") & ~gates.broken() & ~gates.redirect())
@@ -50,12 +52,15 @@ def attributes(records: DataFrame, scope: list[str]) -> DataFrame:
     bits = {ERROR: target_error, ELIGIBLE: gates.success_html(), UNMARKED: gates.sure(~F.col("amp_document")), BROKEN: gates.broken(), NON_INDEXABLE: non_indexable, OBSERVED: observed, FETCHED: fetched}
     bits |= {one: F.size(of[k]) == 1 for k, one in (("next", NEXT_ONE), ("prev", PREV_ONE))} | {more: F.size(of[k]) > 1 for k, more in (("next", NEXT_MORE), ("prev", PREV_MORE))}
     facts = reduce(lambda x, y: x.bitwiseOR(y), [F.when(on, F.lit(bit)).otherwise(F.lit(0)) for bit, on in bits.items()])
+    # A scope that is a literal would be left out of a grouping but not of a join, which would then have to shuffle once more.
     rows = records.select(
-        *scope, "id", "url", "final_url", "canonical", F.when(F.size("redirect_chain") > 0, F.transform(_hops(), lambda h: h["url"])).otherwise(none).alias("hops"), gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"),
+        *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in scope], "id", "url", "final_url", "canonical", F.when(F.size("redirect_chain") > 0, F.transform(_hops(), lambda h: h["url"])).otherwise(none).alias("hops"), gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"),
         gates.success_html().alias("eligible"), fetched.alias("fetched"), non_indexable.alias("non_indexable"), observed.alias("observed"), gates.sure(F.col("error") == "Redirect limit exceeded").alias("limit"),
         facts.alias("facts"), *[c.alias(k) for k, c in of.items()],
     )
-    return unrepeated(rows) if of_one_scan(records) else checkpointed(rows.distinct())
+    if of_one_scan(records):
+        return rows if repeats else unrepeated(rows)
+    return checkpointed(rows.distinct())
 
 
 def _alone() -> Column:
@@ -63,23 +68,45 @@ def _alone() -> Column:
     return U.is_alone("url") & F.col("url").eqNullSafe(F.col("final_url"))
 
 
-def alias_index(attrs: DataFrame, scope: list[str]) -> DataFrame:
-    """Per alias the best candidate record, and the best observed one: fetched first, then request address before redirect
-    hop before final address, then the lowest id. A final address that is among the record's request addresses stands behind
-    them and is left out. The hash of the alias comes first, as numbers are sorted and compared at less cost than addresses.
+def _simple(kinds: list[str]) -> Column:
+    """Whether a record has one name, and of each kind one target at most, with one name as well."""
+    ok = F.lit(True)
+    for k in kinds:
+        ok = ok & ((F.col(k).isNull() | ~_absolute() | U.is_alone(k)) if k == "canonical" else (F.size(k) <= 0) | ((F.size(k) == 1) & U.is_alone(F.get(k, F.lit(0)))))
+    return _alone() & (F.size("hops") <= 0) & (~F.col("eligible") | ok)
+
+
+def sorted_out(attrs: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """`_simple` records and, if there are any, the others, kept. Most crawls have few others or none, so all that takes lists
+    of names is spared the simple ones.
     """
-    kept = [*scope, "id", "fetched", "observed", "limit", "facts"]
-    entry = lambda p, r: lambda u: F.struct(u.alias("alias"), F.lit(p).alias("p"), r.alias("r"))
-    direct = F.col("is_3xx") | (F.size("hops") > 0)
-    several = U.with_names(attrs.where(~_alone()), url_names="url", final_names="final_url")
-    own = F.concat(F.transform("url_names", entry(0, direct)), F.transform(F.array_except("final_names", "url_names"), entry(2, F.col("is_3xx"))))
-    several = several.select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.alias", F.col("_n.p").alias("_p"), F.col("_n.r").alias("_r"))
-    named = attrs.where(_alone()).select(*kept, F.col("url").alias("alias"), F.lit(0).alias("_p"), direct.alias("_r")).unionByName(several)
-    hops = U.with_aliases(attrs.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"])
-    named = named.unionByName(hops.select(*kept, "alias", F.lit(1).alias("_p"), F.lit(True).alias("_r")))
-    rank = F.struct((~F.col("fetched")).alias("unfetched"), F.col("_p").alias("p"), F.col("id").alias("id"), F.col("_r").alias("redirect"), F.col("facts").alias("facts"))
-    seen = F.col("observed") & ~((F.col("_p") == 2) & F.col("limit"))
-    return named.groupBy(F.xxhash64("alias").alias("_h"), *scope, "alias").agg(F.min(rank).alias("best"), F.min(F.when(seen, rank)).alias("observed_best"))
+    n = attrs.agg(F.count_if(~_simple(kinds))).first()[0]
+    return (attrs.where(_simple(kinds)), checkpointed(attrs.where(~_simple(kinds)))) if n else (attrs, None)
+
+
+def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], kinds: list[str]) -> DataFrame:
+    """Per alias the best observed candidate record (id, facts), and for canonicals the best fetched one (any_id, any_facts):
+    request address before redirect hop before final address, then the lowest id. A final address that is among the record's
+    request addresses stands behind them and is left out. The hash of the alias comes first, as numbers are sorted and compared
+    at less cost than addresses; numbers alone are aggregated, so that nothing is sorted for it.
+    """
+    fields = lambda seen, r: [seen.alias("seen"), F.col("facts").bitwiseOR(F.when(r, F.lit(REDIRECT)).otherwise(F.lit(0))).alias("facts")]
+    named, ranks = simple.select(*scope, "id", F.col("url").alias("alias"), F.lit(0).alias("p"), *fields(F.col("observed"), F.col("is_3xx"))), [0]
+    if others is not None:
+        ranks, kept = [0, 1, 2], [*scope, "id", "observed", "limit", "facts"]
+        entry = lambda p, r: lambda u: F.struct(u.alias("alias"), F.lit(p).alias("p"), r.alias("r"))
+        own = F.concat(F.transform("url_names", entry(0, F.col("is_3xx") | (F.size("hops") > 0))), F.transform(F.array_except("final_names", "url_names"), entry(2, F.col("is_3xx"))))
+        several = U.with_names(others, url_names="url", final_names="final_url").select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.*")
+        hops = U.with_aliases(others.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"]).select(*kept, "alias", F.lit(1).alias("p"), F.lit(True).alias("r"))
+        named = named.unionByName(several.unionByName(hops).select(*scope, "id", "alias", "p", *fields(F.col("observed") & ~((F.col("p") == 2) & F.col("limit")), F.col("r"))))
+    named = named.where(has(FETCHED) if "canonical" in kinds else "seen")
+
+    def best(name: str, on: Column) -> list[Column]:
+        """The first rank's lowest id, and what is known of it."""
+        at = [F.when(on & (F.col("p") == p), F.col("id")) if others is not None else F.when(on, F.col("id")) for p in ranks]
+        return [F.coalesce(*[F.min(x) for x in at]).alias(f"{name}id"), F.coalesce(*[F.min_by("facts", x) for x in at]).alias(f"{name}facts"), *([F.coalesce(*[F.min(F.when(x.isNotNull(), F.lit(p))) for p, x in zip(ranks, at)]).alias(f"{name}p")] if others is not None else [])]
+
+    return named.groupBy(F.hash("alias").alias("_h"), *scope, "alias").agg(*best("", F.col("seen")), *(best("any_", F.lit(True)) if "canonical" in kinds else []))
 
 
 def _absolute() -> Column:
@@ -100,67 +127,76 @@ def _declared(kind: str):
     return lambda text, at: F.struct(F.lit(kind).alias("kind"), at.alias("at"), F.size(kind).alias("n"), text.alias("text"), F.lit(0).alias("near"))
 
 
-def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool = False) -> DataFrame:
+def _requests(simple: DataFrame, scope: list[str], kinds: list[str], near: Column, away: bool) -> DataFrame:
+    """What eligible `_simple` records ask for, in one pass."""
+    rows, asked = simple.where("eligible"), []
+    if away:
+        rows = rows.where(U.is_alone("canonical") & (F.col("canonical") != F.col("url")))
+    for k in kinds:
+        text, own = (F.col(k), F.lit(False)) if k == "canonical" else (F.get(k, F.lit(0)), F.get(k, F.lit(0)) == F.col("url"))
+        met = U.is_alone(k) & (text != F.col("url")) if k == "canonical" else F.size(k) > 0
+        asked.append((met, F.struct(F.lit(k).alias("kind"), (near if k == "canonical" else F.lit(0)).alias("near"), F.when(own, F.col("facts")).alias("_facts"), own.alias("_self"), text.alias("alias"))))
+    if len(asked) == 1:
+        rows = rows.where(asked[0][0]).select(*scope, "id", asked[0][1].alias("_e"))
+    else:
+        rows = rows.select(*scope, "id", F.explode(F.array(*[F.when(*a) for a in asked])).alias("_e")).where("_e is not null")
+    return rows.select(*scope, "id", "_e.kind", F.lit(0).alias("at"), F.lit(1).alias("n"), "_e.near", "_e._facts", "_e._self", F.lit(1).alias("_m"), "_e.alias")
+
+
+def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool = False, once: bool = False) -> tuple[DataFrame, bool]:
     """(scope, id, kind, at, n, target, facts): the record that each canonical and each declared next, prev or amp target of
-    an eligible record resolves to - null: unknown, or for declared ones not observed - and what is known of it. n is how many
-    the record declares.
+    an eligible record resolves to - null: unknown, for canonicals not fetched, for declared ones not observed - and what is
+    known of it. n is how many the record declares. And whether any record may declare several.
 
     A target among the source's own aliases is the source; a canonical among them is left out (`self_canonicals`). With
-    `away` only records whose canonical leads away are asked. All kinds meet the index in one join, whose result is kept.
-    Where neither the record nor its only target has further aliases, no list of names is made.
+    `away` only records whose canonical leads away are asked. All kinds meet the index in one join, whose result is kept. If
+    each kind is read `once` and there are simple records only, each has its own join with the index and nothing is kept.
     """
-    own = attrs.where("eligible")
     near = F.when(F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url"))), F.lit(NEAR)).otherwise(F.lit(0))
-    none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
-    turned = U.is_alone("canonical") & (F.col("canonical") != F.col("url")) if away else F.lit(True)
-    parts, lists, simple = [], [], F.lit(True)
-    for k in kinds:
-        if k == "canonical":
-            text, none_of, alone = F.col(k), F.col(k).isNull(), _alone() & U.is_alone(k)
-            entries = F.when(_absolute(), F.array(F.struct(F.lit(k).alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), F.col(k).alias("text"), near.alias("near"))))
-            itself, met = F.lit(False), alone & (text != F.col("url"))
-        else:
-            text, none_of = F.get(k, F.lit(0)), F.size(k) <= 0
-            alone = _alone() & (F.size(k) == 1) & U.is_alone(text)
-            entries = F.when(F.size(k) > 0, F.transform(k, _declared(k)))
-            itself, met = (text == F.col("url")) | F.array_contains("hops", text), alone & turned
+    simple, others = sorted_out(attrs, kinds)
+    apart = once and others is None
+    rows = [_requests(simple, scope, ks, near, away) for ks in ([[k] for k in kinds] if apart else [kinds])]
+    if others is not None:
+        none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
+        one = F.when(_absolute(), F.array(F.struct(F.lit("canonical").alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), F.col("canonical").alias("text"), near.alias("near"))))
+        lists = [F.coalesce(one, none) if k == "canonical" else F.coalesce(F.when(F.size(k) > 0, F.transform(k, _declared(k))), none) for k in kinds]
+        names = dict(url_names="url", final_names="final_url") | ({"canonical_names": "canonical"} if away else {})
+        rest = U.with_names(others.where(F.col("eligible") & (_absolute() if away else F.lit(True))), **names).withColumn("_mine", F.concat("url_names", "final_names"))
         if away:
-            alone = alone & U.is_alone("canonical")
-        parts.append(own.where(met).select(*scope, "id", F.lit(k).alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), (near if k == "canonical" else F.lit(0)).alias("near"), F.col("facts").alias("_facts"), itself.alias("_self"), F.lit(1).alias("_m"), text.alias("alias")))
-        lists.append(F.when(alone, none).otherwise(F.coalesce(entries, none)))
-        simple = simple & (none_of | alone)
-    names = dict(url_names="url", final_names="final_url") | ({"canonical_names": "canonical"} if away else {})
-    rest = U.with_names(own.where(_absolute() & ~simple) if away else own.where(~simple), **names).withColumn("_mine", F.concat("url_names", "final_names"))
-    if away:
-        rest = rest.where(~F.arrays_overlap("_mine", "canonical_names"))
-    rows = rest.select(*scope, "id", "_mine", "hops", F.col("facts").alias("_facts"), F.explode(F.concat(*lists)).alias("_e")).select(*scope, "id", "_mine", "hops", "_facts", "_e.*")
-    rows = U.with_names(rows, _names="text")
-    itself = F.arrays_overlap("_mine", "_names") | ((F.col("kind") != "canonical") & F.arrays_overlap("hops", "_names"))
-    rows = rows.select(*scope, "id", "kind", "at", "n", "near", "_facts", F.coalesce(itself, F.lit(False)).alias("_self"), F.size("_names").alias("_m"), F.explode_outer("_names").alias("alias")).where(~((F.col("kind") == "canonical") & F.col("_self")))
-    rows = reduce(DataFrame.unionByName, [*parts, rows])
-    met = rows.withColumn("_h", F.xxhash64("alias")).join(alias_index(attrs, scope), ["_h", *scope, "alias"], "left")
-    best = F.when(F.col("kind") == "canonical", F.col("best")).otherwise(F.col("observed_best")) if "canonical" in kinds else F.col("observed_best")
+            rest = rest.where(~F.arrays_overlap("_mine", "canonical_names"))
+        more = rest.select(*scope, "id", "_mine", "hops", F.col("facts").alias("_facts"), F.explode(F.concat(*lists)).alias("_e")).select(*scope, "id", "_mine", "hops", "_facts", "_e.*")
+        more = U.with_names(more, _names="text")
+        itself = F.arrays_overlap("_mine", "_names") | ((F.col("kind") != "canonical") & F.arrays_overlap("hops", "_names"))
+        more = more.select(*scope, "id", "kind", "at", "n", "near", "_facts", F.coalesce(itself, F.lit(False)).alias("_self"), F.size("_names").alias("_m"), F.explode_outer("_names").alias("alias"))
+        rows[0] = rows[0].unionByName(more.where(~((F.col("kind") == "canonical") & F.col("_self"))))
+    index = alias_index(simple, others, scope, kinds).withColumnRenamed("id", "_id")
+    met = reduce(DataFrame.unionByName, [r.withColumn("_h", F.hash("alias")).join(index, ["_h", *scope, "alias"], "left") for r in rows])
+    found = lambda c, own: F.when(F.col("kind") == "canonical", F.col(f"any_{c}")).otherwise(F.col(own)) if "canonical" in kinds else F.col(own)
+    best, known = found("id", "_id"), found("facts", "facts")
     # What a record knows of itself also holds where it is its own target.
-    target = lambda b: F.when(F.col("_self"), F.col("id")).otherwise(b["id"]).alias("target")
-    facts = lambda b: F.when(F.col("_self"), F.col("_facts")).otherwise(F.coalesce(b["facts"], F.lit(0)).bitwiseOR(F.when(b["redirect"], F.lit(REDIRECT)).otherwise(F.lit(0)))).bitwiseOR(F.col("near")).alias("facts")
-    several = F.col("_m") > 1
-    kept = checkpointed(met.select(*scope, "id", "kind", "at", "n", target(best), facts(best), F.when(several, F.struct("near", "_facts", "_self", best.alias("best"))).alias("_all")))
-    plain = kept.where("_all is null").drop("_all")
+    target = lambda i: F.when(F.col("_self"), F.col("id")).otherwise(i).alias("target")
+    facts = lambda f: F.when(F.col("_self"), F.col("_facts")).otherwise(F.coalesce(f, F.lit(0))).bitwiseOR(F.col("near")).alias("facts")
+    if others is None:
+        plain = met.select(*scope, "id", "kind", "at", "n", target(best), facts(known))
+        return plain if apart else checkpointed(plain), False
+    several = F.struct("near", "_facts", "_self", F.when(best.isNotNull(), F.struct(found("p", "p").alias("p"), best.alias("id"), known.alias("facts"))).alias("best"))
+    kept = checkpointed(met.select(*scope, "id", "kind", "at", "n", target(best), facts(known), F.when(F.col("_m") > 1, several).alias("_all")))
     more = kept.where("_all is not null").groupBy(*scope, "id", "kind", "at", "n", F.col("_all.near").alias("near"), F.col("_all._facts").alias("_facts"), F.col("_all._self").alias("_self")).agg(F.min("_all.best").alias("_b"))
-    return plain.unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b")), facts(F.col("_b"))))
+    return kept.where("_all is null").drop("_all").unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b.id")), facts(F.col("_b.facts")))), True
 
 
-def cycle_ids(edges: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle.
+def cycle_ids(edges: DataFrame, scope: list[str], kept: bool = False) -> DataFrame:
+    """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle. `kept`: the
+    edges need not be kept once more.
 
     Pointer doubling: after k rounds each node knows the node 2^k steps on; those whose path ends before drop out. A path that
     ends after 2^k steps or more passes a node with just 2^k to go, which drops out in the next round. So a round without a
     loss shows that no path left ever ends: rounds grow with the logarithm of the longest path that ends, not of the edges.
     """
-    jump = checkpointed(edges.select(*scope, "id", "next"))
+    jump = edges.select(*scope, "id", "next") if kept else checkpointed(edges.select(*scope, "id", "next"))
     left, before = jump.count(), None
     while left and left != before:
-        ahead = jump.select(*scope, F.col("id").alias("next"), F.col("next").alias("_far"))
+        ahead = jump.groupBy(*scope, F.col("id").alias("next")).agg(F.min("next").alias("_far"))  # repeats once
         jump = checkpointed(jump.join(ahead, [*scope, "next"]).select(*scope, "id", F.col("_far").alias("next")))
         left, before = jump.count(), left
     return jump.select(*scope, "id")
@@ -172,6 +208,7 @@ class Resolved:
 
     attrs: DataFrame
     found: DataFrame
+    several: bool  # whether a record may declare several targets of a kind
 
 
 #: The kinds of targets that a flag asks for.
@@ -183,9 +220,9 @@ _KINDS = {f: ["canonical"] for f in CANONICAL} | {
 
 def resolved(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS) -> Resolved:
     """Targets of the kinds that `flags` ask for; no others are resolved."""
-    attrs = attributes(records, scope)
+    attrs = attributes(records, scope, not set(flags) & {"canonical_chain", "canonical_loop"})
     kinds = [k for k in ("canonical", "next", "prev", "amp") if any(k in _KINDS[f] for f in flags)]
-    return Resolved(attrs, targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}))
+    return Resolved(attrs, *targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}, len(flags) == 1 and flags[0] in RELATIONS))
 
 
 def _wide(rows: DataFrame, scope: list[str], flags: tuple[str, ...]) -> DataFrame:
@@ -252,20 +289,28 @@ def relation_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
         if f"{kind}_to_error" in flags:
             add(f"{kind}_to_error", known.where(has(ERROR)))
         if f"{kind}_loop" in flags:
-            several = known.where("n > 1").groupBy(*scope, "id").agg(F.count_distinct("target").alias("_n"), F.count_if(F.col("target").isNull()).alias("_open"), F.min("target").alias("next"), F.bool_and(has(ELIGIBLE)).alias("_ok"))
-            followed = onward.where("n = 1").select(*scope, "id", F.col("target").alias("next")).unionByName(several.where("_n = 1 and _open = 0 and _ok and next <> id").select(*scope, "id", "next"))
-            loops = checkpointed(cycle_ids(followed, scope))
-            # Whose only target leads into a loop is among them already.
-            looped = onward.where("n > 1").join(loops.withColumnRenamed("id", "target"), [*scope, "target"], "left_semi")
-            add(f"{kind}_loop", loops, looped, known.where(has(ELIGIBLE) & (F.col("target") == F.col("id"))))
+            eligible = known.where(has(ELIGIBLE) & F.col("target").isNotNull()).select(*scope, "id", F.col("target").alias("next"), "n")
+            if base.several:
+                several = known.where("n > 1").groupBy(*scope, "id").agg(F.count_distinct("target").alias("_n"), F.count_if(F.col("target").isNull()).alias("_open"), F.min("target").alias("next"), F.bool_and(has(ELIGIBLE)).alias("_ok"))
+                followed = eligible.where("n = 1 and next <> id").select(*scope, "id", "next").unionByName(several.where("_n = 1 and _open = 0 and _ok and next <> id").select(*scope, "id", "next"))
+            else:
+                eligible = checkpointed(eligible.drop("n"))
+                followed = eligible.where("next <> id")
+            loops = checkpointed(cycle_ids(followed, scope, not base.several))
+            add(f"{kind}_loop", loops, eligible.where("next = id"))
+            if base.several:  # whose only target leads into a loop is among them already
+                add(f"{kind}_loop", onward.where("n > 1").join(loops.withColumnRenamed("id", "target"), [*scope, "target"], "left_semi"))
         if f"{kind}_non_reciprocal" in flags:
-            back = found.where(F.col("kind") == other).select(*scope, F.col("id").alias("target"), F.col("target").alias("_back"), "n")
-            add(f"{kind}_non_reciprocal", onward.where(~has(one) & ~has(more)))
-            add(f"{kind}_non_reciprocal", onward.where(has(one)).select(*scope, "id", "target").join(back.where("n = 1"), [*scope, "target"]).where("_back <> id"))
-            mutual = onward.where(has(more)).select(*scope, "id", "target").distinct().join(back.where("n > 1"), [*scope, "target"]).groupBy(*scope, "id", "target").agg(
-                F.bool_or(gates.sure(F.col("_back") == F.col("id"))).alias("_returns"), F.count("_back").alias("_known"), F.max("n").alias("_declared")
-            )
-            add(f"{kind}_non_reciprocal", mutual.where("not _returns and _known = _declared"))
+            # Always so; with the same columns as onward's, the index is shuffled once for both.
+            back = found.where(F.col("kind") == other).where("facts >= 0").select(*scope, F.col("id").alias("target"), F.col("target").alias("_back"), "n", "at")
+            single = back.where("n = 1").groupBy(*scope, "target").agg(F.min("_back").alias("_back"))
+            once = onward.where(~has(more)).select(*scope, "id", "target", has(one).alias("_one"))
+            add(f"{kind}_non_reciprocal", once.join(single, [*scope, "target"], "left").where("not _one or _back <> id"))
+            if base.several:
+                mutual = onward.where(has(more)).select(*scope, "id", "target").distinct().join(back.where("n > 1").distinct(), [*scope, "target"]).groupBy(*scope, "id", "target").agg(
+                    F.bool_or(gates.sure(F.col("_back") == F.col("id"))).alias("_returns"), F.count("_back").alias("_known"), F.max("n").alias("_declared")
+                )
+                add(f"{kind}_non_reciprocal", mutual.where("not _returns and _known = _declared"))
     amp = found.where("kind = 'amp'")
     if "amp_to_error" in flags:
         add("amp_to_error", amp.where(has(ERROR)))
@@ -273,7 +318,9 @@ def relation_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
         add("amp_target_missing_marker", amp.where(has(ELIGIBLE) & has(UNMARKED)))
     if "amp_non_reciprocal" in flags:
         away = amp.where(has(ELIGIBLE) & (F.col("target") != F.col("id"))).select(*scope, "id", "target")
-        ends = away.join(attrs.select(*scope, F.col("id").alias("target"), F.col("canonical").alias("_canonical")), [*scope, "target"]).join(attrs.select(*scope, "id", "url", "final_url"), [*scope, "id"])
+        able = attrs.where("eligible")
+        ends = away.join(able.select(*scope, F.col("id").alias("target"), F.col("canonical").alias("_canonical")), [*scope, "target"]).select(*scope, "id", "_canonical").distinct()
+        ends = ends.join(able.where(F.size("amp") > 0).select(*scope, "id", "url", "final_url"), [*scope, "id"])
         ends = U.with_names(checkpointed(ends.select(*scope, "id", "_canonical", "url", "final_url")), _mine=["url", "final_url"], _names="_canonical")
         add("amp_non_reciprocal", ends.where(blank("_canonical") | (U.final_key("_canonical").isNotNull() & ~F.arrays_overlap("_names", "_mine"))))
     if "pagination_canonical_to_linked_page" in flags:

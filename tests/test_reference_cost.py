@@ -54,3 +54,22 @@ def test_only_ids_that_come_again_are_looked_at(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c")], "id long, text string")
     assert sorted(map(tuple, unrepeated(df).collect())) == [(1, "a"), (2, "b"), (3, "c")]
     assert unrepeated(df.where("id <> 2")).count() == 2
+
+
+#: View: how many lists of names it makes of simple records.
+NAMED = {"AmpTargetMissingMarker": 0}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_simple_records_are_neither_named_nor_searched_for_repeats(spark, monkeypatch, name):
+    made, names = [], references.U.with_names
+    monkeypatch.setattr(references.U, "with_names", lambda df, **columns: made.append(1) or names(df, **columns))
+    monkeypatch.setattr(references, "unrepeated", lambda rows: made.append(9) or unrepeated(rows))
+    twice = pages(spark).unionByName(pages(spark).where("id < 4"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        df = spark.createDataFrame(twice.collect(), twice.schema)
+        assert sorted(r["id"] for r in audit.view(df, name, scope=[]).collect()) == WANT[name]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(made) <= NAMED[name]
