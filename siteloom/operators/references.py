@@ -84,29 +84,27 @@ def sorted_out(attrs: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame
     return (attrs.where(_simple(kinds)), checkpointed(attrs.where(~_simple(kinds)))) if n else (attrs, None)
 
 
-def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], kinds: list[str]) -> DataFrame:
-    """Per alias the best observed candidate record (id, facts), and for canonicals the best fetched one (any_id, any_facts):
-    request address before redirect hop before final address, then the lowest id. A final address that is among the record's
-    request addresses stands behind them and is left out. The hash of the alias comes first, as numbers are sorted and compared
-    at less cost than addresses; numbers alone are aggregated, so that nothing is sorted for it.
+def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], fetched: bool = False) -> DataFrame:
+    """Per alias the best observed (or, as asked, `fetched`) candidate record, as (_id, _known): request address before redirect
+    hop before final address, then the lowest id. A final address that is among the record's request addresses stands behind
+    them and is left out. The hash of the alias comes first, as numbers are sorted and compared at less cost than addresses;
+    numbers alone are aggregated, so that nothing is sorted for it.
     """
-    fields = lambda seen, r: [seen.alias("seen"), F.col("facts").bitwiseOR(F.when(r, F.lit(REDIRECT)).otherwise(F.lit(0))).alias("facts")]
+    fields = lambda seen, r: ["fetched", seen.alias("seen"), F.col("facts").bitwiseOR(F.when(r, F.lit(REDIRECT)).otherwise(F.lit(0))).alias("facts")]
     named, ranks = simple.select(*scope, "id", F.col("url").alias("alias"), F.lit(0).alias("p"), *fields(F.col("observed"), F.col("is_3xx"))), [0]
     if others is not None:
-        ranks, kept = [0, 1, 2], [*scope, "id", "observed", "limit", "facts"]
+        ranks, kept = [0, 1, 2], [*scope, "id", "fetched", "observed", "limit", "facts"]
         entry = lambda p, r: lambda u: F.struct(u.alias("alias"), F.lit(p).alias("p"), r.alias("r"))
         own = F.concat(F.transform("url_names", entry(0, F.col("is_3xx") | (F.size("hops") > 0))), F.transform(F.array_except("final_names", "url_names"), entry(2, F.col("is_3xx"))))
         several = U.with_names(others, url_names="url", final_names="final_url").select(*kept, F.explode(own).alias("_n")).select(*kept, "_n.*")
         hops = U.with_aliases(others.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"]).select(*kept, "alias", F.lit(1).alias("p"), F.lit(True).alias("r"))
         named = named.unionByName(several.unionByName(hops).select(*scope, "id", "alias", "p", *fields(F.col("observed") & ~((F.col("p") == 2) & F.col("limit")), F.col("r"))))
-    named = named.where(has(FETCHED) if "canonical" in kinds else "seen")
+    named = named.where("fetched" if fetched else "seen")
 
-    def best(name: str, on: Column) -> list[Column]:
-        """The first rank's lowest id, and what is known of it."""
-        at = [F.when(on & (F.col("p") == p), F.col("id")) if others is not None else F.when(on, F.col("id")) for p in ranks]
-        return [F.coalesce(*[F.min(x) for x in at]).alias(f"{name}id"), F.coalesce(*[F.min_by("facts", x) for x in at]).alias(f"{name}facts"), *([F.coalesce(*[F.min(F.when(x.isNotNull(), F.lit(p))) for p, x in zip(ranks, at)]).alias(f"{name}p")] if others is not None else [])]
-
-    return named.groupBy(F.hash("alias").alias("_h"), *scope, "alias").agg(*best("", F.col("seen")), *(best("any_", F.lit(True)) if "canonical" in kinds else []))
+    # The first rank's lowest id, and what is known of it.
+    at = [F.when(F.col("p") == p, F.col("id")) for p in ranks] if others is not None else [F.col("id")]
+    best = [F.coalesce(*[F.min(x) for x in at]).alias("_id"), F.coalesce(*[F.min_by("facts", x) for x in at]).alias("_known"), F.min("p").alias("_p")]
+    return named.groupBy(F.hash("alias").alias("_h"), *scope, "alias").agg(*(best if others is not None else best[:2]))
 
 
 def _absolute() -> Column:
@@ -149,17 +147,19 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
     known of it. n is how many the record declares. And whether any record may declare several.
 
     A target among the source's own aliases is the source; a canonical among them is left out (`self_canonicals`). With
-    `away` only records whose canonical leads away are asked. All kinds meet the index in one join, whose result is kept. If
-    each kind is read `once` and there are simple records only, each has its own join with the index and nothing is kept.
+    `away` only records whose canonical leads away are asked. Declared targets meet the index in one join and canonicals in
+    another; the result is kept. If each kind is read `once` and there are simple records only, each has its own join and
+    nothing is kept. An index for both at once would be code too long for the JVM to compile.
     """
     near = F.when(F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url"))), F.lit(NEAR)).otherwise(F.lit(0))
     simple, others = sorted_out(attrs, kinds)
     apart = once and others is None
-    rows = [_requests(simple, scope, ks, near, away) for ks in ([[k] for k in kinds] if apart else [kinds])]
-    if others is not None:
-        none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
+    none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
+
+    def listed(ks: list[str]) -> DataFrame:
+        """What the others ask for."""
         one = F.when(_absolute(), F.array(F.struct(F.lit("canonical").alias("kind"), F.lit(0).alias("at"), F.lit(1).alias("n"), F.col("canonical").alias("text"), near.alias("near"))))
-        lists = [F.coalesce(one, none) if k == "canonical" else F.coalesce(F.when(F.size(k) > 0, F.transform(k, _declared(k))), none) for k in kinds]
+        lists = [F.coalesce(one, none) if k == "canonical" else F.coalesce(F.when(F.size(k) > 0, F.transform(k, _declared(k))), none) for k in ks]
         names = dict(url_names="url", final_names="final_url") | ({"canonical_names": "canonical"} if away else {})
         rest = U.with_names(others.where(F.col("eligible") & (_absolute() if away else F.lit(True))), **names).withColumn("_mine", F.concat("url_names", "final_names"))
         if away:
@@ -168,21 +168,25 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
         more = U.with_names(more, _names="text")
         itself = F.arrays_overlap("_mine", "_names") | ((F.col("kind") != "canonical") & F.arrays_overlap("hops", "_names"))
         more = more.select(*scope, "id", "kind", "at", "n", "near", "_facts", F.coalesce(itself, F.lit(False)).alias("_self"), F.size("_names").alias("_m"), F.explode_outer("_names").alias("alias"))
-        rows[0] = rows[0].unionByName(more.where(~((F.col("kind") == "canonical") & F.col("_self"))))
-    index = alias_index(simple, others, scope, kinds).withColumnRenamed("id", "_id")
-    met = reduce(DataFrame.unionByName, [r.withColumn("_h", F.hash("alias")).join(index, ["_h", *scope, "alias"], "left") for r in rows])
-    found = lambda c, own: F.when(F.col("kind") == "canonical", F.col(f"any_{c}")).otherwise(F.col(own)) if "canonical" in kinds else F.col(own)
-    best, known = found("id", "_id"), found("facts", "facts")
+        return more.where(~((F.col("kind") == "canonical") & F.col("_self")))
+
+    def met(ks: list[str]) -> DataFrame:
+        rows = _requests(simple, scope, ks, near, away)
+        rows = rows if others is None else rows.unionByName(listed(ks))
+        return rows.withColumn("_h", F.hash("alias")).join(alias_index(simple, others, scope, ks == ["canonical"]), ["_h", *scope, "alias"], "left")
+
+    groups = [[k] for k in kinds] if apart else [g for g in ([k for k in kinds if k == "canonical"], [k for k in kinds if k != "canonical"]) if g]
+    met_all = reduce(DataFrame.unionByName, map(met, groups))
     # What a record knows of itself also holds where it is its own target.
     target = lambda i: F.when(F.col("_self"), F.col("id")).otherwise(i).alias("target")
     facts = lambda f: F.when(F.col("_self"), F.col("_facts")).otherwise(F.coalesce(f, F.lit(0))).bitwiseOR(F.col("near")).alias("facts")
+    best = [*scope, "id", "kind", "at", "n", target(F.col("_id")), facts(F.col("_known"))]
     if others is None:
-        plain = met.select(*scope, "id", "kind", "at", "n", target(best), facts(known))
-        return plain if apart else checkpointed(plain), False
-    several = F.struct("near", "_facts", "_self", F.when(best.isNotNull(), F.struct(found("p", "p").alias("p"), best.alias("id"), known.alias("facts"))).alias("best"))
-    kept = checkpointed(met.select(*scope, "id", "kind", "at", "n", target(best), facts(known), F.when(F.col("_m") > 1, several).alias("_all")))
+        return met_all.select(*best) if apart else checkpointed(met_all.select(*best)), False
+    several = F.struct("near", "_facts", "_self", F.when(F.col("_id").isNotNull(), F.struct("_p", "_id", "_known")).alias("best"))
+    kept = checkpointed(met_all.select(*best, F.when(F.col("_m") > 1, several).alias("_all")))
     more = kept.where("_all is not null").groupBy(*scope, "id", "kind", "at", "n", F.col("_all.near").alias("near"), F.col("_all._facts").alias("_facts"), F.col("_all._self").alias("_self")).agg(F.min("_all.best").alias("_b"))
-    return kept.where("_all is null").drop("_all").unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b.id")), facts(F.col("_b.facts")))), True
+    return kept.where("_all is null").drop("_all").unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b._id")), facts(F.col("_b._known")))), True
 
 
 def cycle_ids(edges: DataFrame, scope: list[str], kept: bool = False) -> DataFrame:
