@@ -57,7 +57,7 @@ def test_only_ids_that_come_again_are_looked_at(spark):
 
 
 #: View: how many lists of names it makes of simple records.
-NAMED = {"AmpTargetMissingMarker": 0, "PaginationCanonicalToLinkedPage": 0, "PaginationPrevToError": 0, "AmpNonReciprocal": 1, "PaginationPrevLoop": 0, "PaginationNextNonReciprocal": 0}
+NAMED = {"AmpTargetMissingMarker": 0, "PaginationCanonicalToLinkedPage": 0, "PaginationPrevToError": 0, "AmpNonReciprocal": 1, "PaginationPrevLoop": 0, "PaginationNextNonReciprocal": 0, "PaginationNextLoop": 0, "PaginationPrevNonReciprocal": 0}
 
 
 @pytest.mark.parametrize("name", NAMED)
