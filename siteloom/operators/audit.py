@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import url as U
 from siteloom.functions.text import ascii_lower, ascii_text_key, blank, text_key, trimmed
-from siteloom.operators import gates, references
+from siteloom.operators import gates, references, sieve
 from siteloom.operators.gates import sure
 from siteloom.session import checkpointed, of_one_scan
 from siteloom.sources.schema import MOST_IDS, once, unrepeated
@@ -223,7 +223,7 @@ def held(records: DataFrame, name: str, thresholds: Thresholds = Thresholds(), s
     keys = _grouped_by()
     if flag in keys:
         return _repeated(rows.withColumn("_key", keys[flag]).where("_key is not null"), [*scope, "_key"], "id").drop("_key")
-    return rows.join(marks(records, [flag], scope).drop("flag"), [*scope, "id"], "left_semi")
+    return sieve.within(rows, checkpointed(_marks(records, [flag], scope).select(*scope, "id")), [*scope, "id"])
 
 
 def view(records: DataFrame, name: str, thresholds: Thresholds = Thresholds(), scope: list[str] = SCOPE) -> DataFrame:

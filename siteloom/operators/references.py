@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import url as U
 from siteloom.functions.text import blank, trimmed
-from siteloom.operators import gates
+from siteloom.operators import gates, sieve
 from siteloom.session import checkpointed, of_one_scan
 from siteloom.sources.schema import unrepeated
 
@@ -32,7 +32,11 @@ def _hops() -> Column:
 
 
 #: What is asked of a target, as bits of one number. Counts of declared targets are none, one or more.
-ERROR, ELIGIBLE, UNMARKED, NEXT_ONE, NEXT_MORE, PREV_ONE, PREV_MORE, BROKEN, NON_INDEXABLE, OBSERVED, REDIRECT, FETCHED, NEAR = (1 << i for i in range(13))
+ERROR, ELIGIBLE, UNMARKED, NEXT_ONE, NEXT_MORE, PREV_ONE, PREV_MORE, BROKEN, NON_INDEXABLE, OBSERVED, REDIRECT, FETCHED, NEAR, OWN = (1 << i for i in range(14))
+
+
+def _canonical_is_own() -> Column:
+    return gates.sure(F.col("canonical") == F.col("url"))
 
 
 def has(bit: int) -> Column:
@@ -48,15 +52,19 @@ def attributes(records: DataFrame, scope: list[str], repeats: bool = False) -> D
     non_indexable = gates.robots_blocked() | (gates.sure(F.col("indexability") == "Non-indexable") & ~gates.broken() & ~gates.redirect())
     observed = F.col("status_code").isNotNull() | gates.no_response()
     none = F.array().cast("array<string>")
-    of = {k: F.coalesce(f"{c}_targets", F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)) for k, c in (("next", "rel_next"), ("prev", "rel_prev"), ("amp", "amphtml"))}
-    bits = {ERROR: target_error, ELIGIBLE: gates.success_html(), UNMARKED: gates.sure(~F.col("amp_document")), BROKEN: gates.broken(), NON_INDEXABLE: non_indexable, OBSERVED: observed, FETCHED: fetched}
-    bits |= {one: F.size(of[k]) == 1 for k, one in (("next", NEXT_ONE), ("prev", PREV_ONE))} | {more: F.size(of[k]) > 1 for k, more in (("next", NEXT_MORE), ("prev", PREV_MORE))}
+    declared = {"next": "rel_next", "prev": "rel_prev", "amp": "amphtml"}
+    of = {k: F.coalesce(f"{c}_targets", F.when(F.col(c).isNotNull(), F.array(c)).otherwise(none)) for k, c in declared.items()}
+    listed = {k: F.col(f"{c}_targets").isNotNull() for k, c in declared.items()}
+    count = {k: F.when(listed[k], F.size(f"{c}_targets")).otherwise(F.when(F.col(c).isNotNull(), 1).otherwise(0)) for k, c in declared.items()}
+    first = {k: F.when(listed[k], F.get(f"{c}_targets", F.lit(0))).otherwise(F.col(c)) for k, c in declared.items()}
+    bits = {ERROR: target_error, ELIGIBLE: gates.success_html(), UNMARKED: gates.sure(~F.col("amp_document")), BROKEN: gates.broken(), NON_INDEXABLE: non_indexable, OBSERVED: observed, FETCHED: fetched, OWN: _canonical_is_own()}
+    bits |= {one: count[k] == 1 for k, one in (("next", NEXT_ONE), ("prev", PREV_ONE))} | {more: count[k] > 1 for k, more in (("next", NEXT_MORE), ("prev", PREV_MORE))}
     facts = reduce(lambda x, y: x.bitwiseOR(y), [F.when(on, F.lit(bit)).otherwise(F.lit(0)) for bit, on in bits.items()])
     # A scope that is a literal would be left out of a grouping but not of a join, which would then have to shuffle once more.
     rows = records.select(
         *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in scope], "id", "url", "final_url", "canonical", F.when(F.size("redirect_chain") > 0, F.transform(_hops(), lambda h: h["url"])).otherwise(none).alias("hops"), gates.redirect().alias("is_3xx"), (F.col("classification") == "internal").alias("internal"),
         gates.success_html().alias("eligible"), fetched.alias("fetched"), non_indexable.alias("non_indexable"), observed.alias("observed"), gates.sure(F.col("error") == "Redirect limit exceeded").alias("limit"),
-        facts.alias("facts"), *[c.alias(k) for k, c in of.items()],
+        facts.alias("facts"), *[c.alias(k) for k, c in of.items()], *[c.alias(f"{k}_count") for k, c in count.items()], *[c.alias(f"{k}_first") for k, c in first.items()],
     )
     if of_one_scan(records):
         return rows if repeats else unrepeated(rows)
@@ -72,23 +80,25 @@ def _simple(kinds: list[str]) -> Column:
     """Whether a record has one name, and of each kind one target at most, with one name as well."""
     ok = F.lit(True)
     for k in kinds:
-        ok = ok & ((F.col(k).isNull() | ~_absolute() | U.is_alone(k)) if k == "canonical" else (F.size(k) <= 0) | ((F.size(k) == 1) & U.is_alone(F.get(k, F.lit(0)))))
+        ok = ok & ((F.col(k).isNull() | ~_absolute() | U.is_alone(k)) if k == "canonical" else (F.col(f"{k}_count") <= 0) | ((F.col(f"{k}_count") == 1) & U.is_alone(f"{k}_first")))
     return _alone() & (F.size("hops") <= 0) & (~F.col("eligible") | ok)
 
 
-def sorted_out(attrs: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def sorted_out(attrs: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame | None, bool]:
     """`_simple` records and, if there are any, the others, kept. Most crawls have few others or none, so all that takes lists
-    of names is spared the simple ones.
+    of names is spared the simple ones. And whether few of many records, all simple, ask for anything.
     """
-    n = attrs.agg(F.count_if(~_simple(kinds))).first()[0]
-    return (attrs.where(_simple(kinds)), checkpointed(attrs.where(~_simple(kinds)))) if n else (attrs, None)
+    asks = F.lit("canonical" in kinds) | (F.col("eligible") & reduce(lambda x, y: x | y, [F.col(f"{k}_count") > 0 for k in kinds if k != "canonical"], F.lit(False)))
+    n, asked, total = attrs.agg(F.count_if(~_simple(kinds)), F.count_if(asks), F.count(F.lit(1))).first()
+    few = not n and total > sieve.WORTH and asked < min(sieve.MOST_KEYS, total / 4)
+    return (attrs.where(_simple(kinds)), checkpointed(attrs.where(~_simple(kinds))), few) if n else (attrs, None, few)
 
 
-def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], fetched: bool = False) -> DataFrame:
+def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], fetched: bool = False, among: DataFrame | None = None) -> DataFrame:
     """Per alias the best observed (or, as asked, `fetched`) candidate record, as (_id, _known): request address before redirect
     hop before final address, then the lowest id. A final address that is among the record's request addresses stands behind
     them and is left out. The hash of the alias comes first, as numbers are sorted and compared at less cost than addresses;
-    numbers alone are aggregated, so that nothing is sorted for it.
+    numbers alone are aggregated, so that nothing is sorted for it. With `among` only aliases found there are wanted.
     """
     fields = lambda seen, r: ["fetched", seen.alias("seen"), F.col("facts").bitwiseOR(F.when(r, F.lit(REDIRECT)).otherwise(F.lit(0))).alias("facts")]
     named, ranks = simple.select(*scope, "id", F.col("url").alias("alias"), F.lit(0).alias("p"), *fields(F.col("observed"), F.col("is_3xx"))), [0]
@@ -100,6 +110,8 @@ def alias_index(simple: DataFrame, others: DataFrame | None, scope: list[str], f
         hops = U.with_aliases(others.where(F.size("hops") > 0).select(*kept, F.explode("hops").alias("_u")), ["_u"]).select(*kept, "alias", F.lit(1).alias("p"), F.lit(True).alias("r"))
         named = named.unionByName(several.unionByName(hops).select(*scope, "id", "alias", "p", *fields(F.col("observed") & ~((F.col("p") == 2) & F.col("limit")), F.col("r"))))
     named = named.where("fetched" if fetched else "seen")
+    if among is not None:
+        named = sieve.sieved(named, among, ["alias"])
 
     # The first rank's lowest id, and what is known of it.
     at = [F.when(F.col("p") == p, F.col("id")) for p in ranks] if others is not None else [F.col("id")]
@@ -131,8 +143,8 @@ def _requests(simple: DataFrame, scope: list[str], kinds: list[str], near: Colum
     if away:
         rows = rows.where(U.is_alone("canonical") & (F.col("canonical") != F.col("url")))
     for k in kinds:
-        text, own = (F.col(k), F.lit(False)) if k == "canonical" else (F.get(k, F.lit(0)), F.get(k, F.lit(0)) == F.col("url"))
-        met = U.is_alone(k) & (text != F.col("url")) if k == "canonical" else F.size(k) > 0
+        text, own = (F.col(k), F.lit(False)) if k == "canonical" else (F.col(f"{k}_first"), F.col(f"{k}_first") == F.col("url"))
+        met = U.is_alone(k) & (text != F.col("url")) if k == "canonical" else F.col(f"{k}_count") > 0
         asked.append((met, F.struct(F.lit(k).alias("kind"), (near if k == "canonical" else F.lit(0)).alias("near"), F.when(own, F.col("facts")).alias("_facts"), own.alias("_self"), text.alias("alias"))))
     if len(asked) == 1:
         rows = rows.where(asked[0][0]).select(*scope, "id", asked[0][1].alias("_e"))
@@ -152,7 +164,7 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
     nothing is kept. An index for both at once would be code too long for the JVM to compile.
     """
     near = F.when(F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url"))), F.lit(NEAR)).otherwise(F.lit(0))
-    simple, others = sorted_out(attrs, kinds)
+    simple, others, few = sorted_out(attrs, kinds)
     apart = once and others is None
     none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
 
@@ -173,7 +185,7 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
     def met(ks: list[str]) -> DataFrame:
         rows = _requests(simple, scope, ks, near, away)
         rows = rows if others is None else rows.unionByName(listed(ks))
-        return rows.withColumn("_h", F.hash("alias")).join(alias_index(simple, others, scope, ks == ["canonical"]), ["_h", *scope, "alias"], "left")
+        return rows.withColumn("_h", F.hash("alias")).join(alias_index(simple, others, scope, ks == ["canonical"], rows if few else None), ["_h", *scope, "alias"], "left")
 
     groups = [[k] for k in kinds] if apart else [g for g in ([k for k in kinds if k == "canonical"], [k for k in kinds if k != "canonical"]) if g]
     met_all = reduce(DataFrame.unionByName, map(met, groups))
@@ -189,21 +201,71 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
     return kept.where("_all is null").drop("_all").unionByName(more.select(*scope, "id", "kind", "at", "n", target(F.col("_b._id")), facts(F.col("_b._known")))), True
 
 
-def cycle_ids(edges: DataFrame, scope: list[str], kept: bool = False) -> DataFrame:
-    """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle. `kept`: the
-    edges need not be kept once more.
+#: Ids of one block share all but these many bits; edges that are followed in one task at most.
+BLOCK, TOGETHER = 14, 1 << 20
 
-    Pointer doubling: after k rounds each node knows the node 2^k steps on; those whose path ends before drop out. A path that
-    ends after 2^k steps or more passes a node with just 2^k to go, which drops out in the next round. So a round without a
-    loss shows that no path left ever ends: rounds grow with the logarithm of the longest path that ends, not of the edges.
+
+def _followed(edges: DataFrame, scope: list[str], whole: bool = False) -> DataFrame:
+    """(scope, id, next, ends) of the edges whose path is not known to end: paths are followed as far as they stay among the
+    edges of one block of ids, by pointer doubling over arrays, in memory that the block bounds. next is the id itself on paths
+    that enter a cycle, else the first id of another block. An edge to itself is one that ends. With `whole` all edges are one
+    block, and an edge to itself is a cycle.
     """
-    jump = edges.select(*scope, "id", "next") if kept else checkpointed(edges.select(*scope, "id", "next"))
-    left, before = jump.count(), None
-    while left and left != before:
-        ahead = jump.groupBy(*scope, F.col("id").alias("next")).agg(F.min("next").alias("_far"))  # repeats once
+
+    def follow(table):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, nxt = table["id"].to_numpy(), table["next"].to_numpy()
+        order = np.lexsort((nxt, ids))
+        ids, at = np.unique(ids[order], return_index=True)  # repeats once
+        nxt, n = nxt[order][at], len(ids)
+        to = np.minimum(np.searchsorted(ids, nxt), n - 1)
+        itself = nxt == ids
+        onward = (ids[to] == nxt) & ~itself
+        last = np.where(onward, to, np.arange(n))
+        for _ in range(n.bit_length()):  # 2**k steps after k rounds; a path that ends has fewer than n
+            last = last[last]
+        ends = itself & (not whole)
+        cycle = (onward | itself & whole)[last]
+        far = np.where(cycle | ends, ids, nxt[last])
+        stay = cycle | ends
+        if not whole:
+            stay |= far >> BLOCK != ids >> BLOCK
+        names = pa.schema([*(table.schema.field(c) for c in scope), ("id", pa.int64()), ("next", pa.int64()), ("ends", pa.bool_())])
+        ids, far, ends = ids[stay], far[stay], ends[stay]
+        return pa.table([*(pa.array([table[c][0].as_py()] * len(ids), table.schema.field(c).type) for c in scope), pa.array(ids), pa.array(far), pa.array(ends)], schema=names)
+
+    kinds = [f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in scope]
+    block = F.lit(0) if whole else F.shiftright("id", BLOCK)
+    rows = edges.where("id is not null and next is not null").select(*scope, "id", "next", block.alias("_block"))
+    return rows.groupBy(*scope, "_block").applyInArrow(follow, ", ".join([*kinds, "id long, next long, ends boolean"]))
+
+
+def cycle_ids(edges: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, id) of the nodes whose path over `edges` (scope, id, next; one next per id at most) enters a cycle, some more than
+    once. An edge to itself is a cycle of its own; other paths end there.
+
+    Pages of a series are mostly found one after another, so paths are first followed within blocks of ids, in one pass. What
+    leads from block to block is followed in one task where it is little, else by pointer doubling until it is: after k rounds
+    each node knows the node 2^k blocks on; those whose path ends before drop out. A path that ends after 2^k steps or more
+    passes a node with just 2^k to go, which drops out in the next round. So a round without a loss shows that no path left
+    ever ends.
+    """
+    near = checkpointed(_followed(edges, scope))
+    away, found = near.where("id <> next"), near.where("id = next")
+    left, before = away.count(), None
+    if not left:
+        return found.select(*scope, "id")
+    met = found.where("not ends").join(away.select(*scope, F.col("next").alias("id")), [*scope, "id"], "left_semi")
+    jump = away.select(*scope, "id", "next").unionByName(met.select(*scope, "id", "next"))
+    while left > TOGETHER and left != before:
+        ahead = jump.select(*scope, F.col("id").alias("next"), F.col("next").alias("_far"))
         jump = checkpointed(jump.join(ahead, [*scope, "next"]).select(*scope, "id", F.col("_far").alias("next")))
         left, before = jump.count(), left
-    return jump.select(*scope, "id")
+    if left != before:
+        jump = _followed(jump, scope, whole=True)
+    return found.select(*scope, "id").unionByName(jump.select(*scope, "id"))
 
 
 @dataclass(frozen=True)
@@ -226,7 +288,7 @@ def resolved(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list
     """Targets of the kinds that `flags` ask for; no others are resolved."""
     attrs = attributes(records, scope, not set(flags) & {"canonical_chain", "canonical_loop"})
     kinds = [k for k in ("canonical", "next", "prev", "amp") if any(k in _KINDS[f] for f in flags)]
-    return Resolved(attrs, *targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}, len(flags) == 1 and flags[0] in RELATIONS))
+    return Resolved(attrs, *targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}, len(flags) == 1 and flags[0] in RELATIONS and flags[0] != "amp_non_reciprocal"))
 
 
 def _wide(rows: DataFrame, scope: list[str], flags: tuple[str, ...]) -> DataFrame:
@@ -297,13 +359,12 @@ def relation_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
             if base.several:
                 several = known.where("n > 1").groupBy(*scope, "id").agg(F.count_distinct("target").alias("_n"), F.count_if(F.col("target").isNull()).alias("_open"), F.min("target").alias("next"), F.bool_and(has(ELIGIBLE)).alias("_ok"))
                 followed = eligible.where("n = 1 and next <> id").select(*scope, "id", "next").unionByName(several.where("_n = 1 and _open = 0 and _ok and next <> id").select(*scope, "id", "next"))
-            else:
-                eligible = checkpointed(eligible.drop("n"))
-                followed = eligible.where("next <> id")
-            loops = checkpointed(cycle_ids(followed, scope, not base.several))
-            add(f"{kind}_loop", loops, eligible.where("next = id"))
-            if base.several:  # whose only target leads into a loop is among them already
+                loops = checkpointed(cycle_ids(followed, scope))
+                add(f"{kind}_loop", loops, eligible.where("next = id"))
+                # whose only target leads into a loop is among them already
                 add(f"{kind}_loop", onward.where("n > 1").join(loops.withColumnRenamed("id", "target"), [*scope, "target"], "left_semi"))
+            else:
+                add(f"{kind}_loop", cycle_ids(eligible, scope))
         if f"{kind}_non_reciprocal" in flags:
             # Always so; with the same columns as onward's, the index is shuffled once for both.
             back = found.where(F.col("kind") == other).where("facts >= 0").select(*scope, F.col("id").alias("target"), F.col("target").alias("_back"), "n", "at")
@@ -321,12 +382,22 @@ def relation_marks(base: Resolved, scope: list[str], flags) -> list[DataFrame]:
     if "amp_target_missing_marker" in flags:
         add("amp_target_missing_marker", amp.where(has(ELIGIBLE) & has(UNMARKED)))
     if "amp_non_reciprocal" in flags:
-        away = amp.where(has(ELIGIBLE) & (F.col("target") != F.col("id"))).select(*scope, "id", "target")
+        away = amp.where(has(ELIGIBLE) & (F.col("target") != F.col("id"))).select(*scope, "id", "target", "facts")
         able = attrs.where("eligible")
-        ends = away.join(able.select(*scope, F.col("id").alias("target"), F.col("canonical").alias("_canonical")), [*scope, "target"]).select(*scope, "id", "_canonical").distinct()
+        named = able
+        if not base.several:  # whose canonical is its own only address does not name another; few are left to be looked at
+            add("amp_non_reciprocal", away.where(has(OWN)))
+            away, named = away.where(~has(OWN)), able.where(~_canonical_is_own())
+        ends = away.join(named.select(*scope, F.col("id").alias("target"), F.col("canonical").alias("_canonical")), [*scope, "target"]).select(*scope, "id", "_canonical").distinct()
         ends = ends.join(able.where(F.size("amp") > 0).select(*scope, "id", "url", "final_url"), [*scope, "id"])
-        ends = U.with_names(checkpointed(ends.select(*scope, "id", "_canonical", "url", "final_url")), _mine=["url", "final_url"], _names="_canonical")
-        add("amp_non_reciprocal", ends.where(blank("_canonical") | (U.final_key("_canonical").isNotNull() & ~F.arrays_overlap("_names", "_mine"))))
+        ends = checkpointed(ends.select(*scope, "id", "_canonical", "url", "final_url"))
+        if not base.several:
+            easy = blank("_canonical") | U.is_alone("_canonical")
+            add("amp_non_reciprocal", ends.where(easy).where(blank("_canonical") | (F.col("_canonical") != F.col("url"))))
+            ends = ends.where(~easy)
+        if base.several or ends.count():
+            ends = U.with_names(ends, _mine=["url", "final_url"], _names="_canonical")
+            add("amp_non_reciprocal", ends.where(blank("_canonical") | (U.final_key("_canonical").isNotNull() & ~F.arrays_overlap("_names", "_mine"))))
     if "pagination_canonical_to_linked_page" in flags:
         canonical = found.where((F.col("kind") == "canonical") & has(ELIGIBLE) & has(OBSERVED)).select(*scope, "id", "target")
         linked = found.where("kind in ('next', 'prev') and target <> id").select(*scope, "id", "target")
