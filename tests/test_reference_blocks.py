@@ -24,7 +24,7 @@ def series(spark, kind):
 LOOPS = [*range(901, 932), 933]
 
 
-@pytest.mark.parametrize("kind, view", [("next", "PaginationNextLoop")])
+@pytest.mark.parametrize("kind, view", [("next", "PaginationNextLoop"), ("prev", "PaginationPrevLoop")])
 @pytest.mark.parametrize("block, together", [(14, 1 << 20), (4, 1 << 20), (2, 20), (1, 0)])
 def test_loops_are_the_same_in_blocks_of_any_size(spark, monkeypatch, kept, kind, view, block, together):
     monkeypatch.setattr(references, "BLOCK", block)
