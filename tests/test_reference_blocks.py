@@ -41,3 +41,22 @@ def test_a_sieve_keeps_all_partners_and_little_else(spark):
     assert left.count() < 22_000
     assert sorted(r["id"] for r in sieve.within(rows, among, ["id"]).where("id < 50").collect()) == [0, 10, 20, 30, 40]
     assert sieve.within(rows, among.where("id < 100"), ["id"]).agg(F.count(F.lit(1))).first()[0] == 10
+
+
+def test_amp_pages_are_told_by_their_canonical_without_lists_of_names(spark, monkeypatch):
+    made, names = [], references.U.with_names
+    monkeypatch.setattr(references.U, "with_names", lambda df, **columns: made.append(1) or names(df, **columns))
+    u = lambda i: i and f"https://s.test/p/{i}"
+    rows = [(i, u(i + 10), u(i)) for i in range(1, 6)] + [(11, None, u(11)), (12, None, u(2)), (13, None, " "), (14, None, u(1)), (15, None, None)]
+    df = spark.createDataFrame([(1, i, 200, u(i), amp, canonical) for i, amp, canonical in [*rows, *((i, None, u(i)) for i in range(100, 160))]], "crawl_id int, id long, status_code int, url string, amphtml string, canonical string")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    odd = F.when(F.col("id") == 14, F.concat(F.lit(u(4)), F.lit("#top"))).otherwise(F.col("canonical"))
+    try:
+        for least in (0, 100_000):  # with a sieve and without
+            monkeypatch.setattr(sieve, "WORTH", least)
+            shop = conformed(df.selectExpr("*", "url final_url", "'text/html' content_type"), ("crawl_id",))
+            assert sorted(r["id"] for r in audit.view(shop, "AmpNonReciprocal").collect()) == [1, 3, 4, 5]
+        assert not made
+        assert sorted(r["id"] for r in audit.view(shop.withColumn("canonical", odd), "AmpNonReciprocal").collect()) == [1, 3, 5]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
