@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siteloom.functions import url as U
@@ -153,7 +153,7 @@ def _requests(simple: DataFrame, scope: list[str], kinds: list[str], near: Colum
     return rows.select(*scope, "id", "_e.kind", F.lit(0).alias("at"), F.lit(1).alias("n"), "_e.near", "_e._facts", "_e._self", F.lit(1).alias("_m"), "_e.alias")
 
 
-def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool = False, once: bool = False) -> tuple[DataFrame, bool]:
+def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool = False, once: bool = False, parts: tuple | None = None) -> tuple[DataFrame, bool]:
     """(scope, id, kind, at, n, target, facts): the record that each canonical and each declared next, prev or amp target of
     an eligible record resolves to - null: unknown, for canonicals not fetched, for declared ones not observed - and what is
     known of it. n is how many the record declares. And whether any record may declare several.
@@ -164,7 +164,7 @@ def targets_of(attrs: DataFrame, scope: list[str], kinds: list[str], away: bool
     nothing is kept. An index for both at once would be code too long for the JVM to compile.
     """
     near = F.when(F.col("internal") & gates.sure(U.host(F.lower(trimmed("canonical"))) == U.host(F.lower("final_url"))), F.lit(NEAR)).otherwise(F.lit(0))
-    simple, others, few = sorted_out(attrs, kinds)
+    simple, others, few = parts or sorted_out(attrs, kinds)
     apart = once and others is None
     none = F.array().cast("array<struct<kind:string,at:int,n:int,text:string,near:int>>")
 
@@ -284,11 +284,42 @@ _KINDS = {f: ["canonical"] for f in CANONICAL} | {
 }
 
 
-def resolved(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS) -> Resolved:
+def resolved(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS, attrs: DataFrame | None = None, parts: tuple | None = None) -> Resolved:
     """Targets of the kinds that `flags` ask for; no others are resolved."""
-    attrs = attributes(records, scope, not set(flags) & {"canonical_chain", "canonical_loop"})
+    attrs = attributes(records, scope, not set(flags) & {"canonical_chain", "canonical_loop"}) if attrs is None else attrs
     kinds = [k for k in ("canonical", "next", "prev", "amp") if any(k in _KINDS[f] for f in flags)]
-    return Resolved(attrs, *targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}, len(flags) == 1 and flags[0] in RELATIONS and flags[0] != "amp_non_reciprocal"))
+    return Resolved(attrs, *targets_of(attrs, scope, kinds, set(flags) == {"pagination_canonical_to_linked_page"}, len(flags) == 1 and flags[0] in RELATIONS and flags[0] != "amp_non_reciprocal", parts))
+
+
+#: Flag: its kind of target and the kind of the way back.
+_WAYS = {"next_non_reciprocal": ("next", "prev"), "prev_non_reciprocal": ("prev", "next")}
+
+
+def one_way(attrs: DataFrame, scope: list[str], kind: str, other: str) -> DataFrame | None:
+    """(scope, id) of records whose `kind` of target does not lead back, where all records are `_simple`; None if an address has
+    several records. The index says where its records lead back to, so that one join tells nearly all; only a way back to
+    another address has to be looked up, and few have one.
+    """
+    back = F.when(F.col("eligible") & (F.col(f"{other}_count") == 1), F.col(f"{other}_first"))
+    rows = attrs.where("observed").select(F.hash("url").alias("_h"), *scope, F.col("url").alias("alias"), "id", "eligible", back.alias("_back"))
+    # Shuffled first: grouped in the order in which they are joined, rows are sorted once.
+    index = rows.repartition("_h", *scope, "alias").groupBy("_h", *scope, "alias").agg(F.min(F.struct("id", "eligible", "_back")).alias("_best"), F.max("id").alias("_last"))
+    seen = Observation()
+    index = index.observe(seen, F.count_if(F.col("_best.id") != F.col("_last")).alias("several"))
+    text = F.col(f"{kind}_first")
+    asked = attrs.where(F.col("eligible") & (F.col(f"{kind}_count") > 0) & (text != F.col("url"))).select(F.hash(text).alias("_h"), *scope, text.alias("alias"), "id", F.col("url").alias("_url"))
+    met = asked.join(index, ["_h", *scope, "alias"]).where("_best.eligible").select(*scope, "id", "_url", "alias", "_best._back")
+    away = met.where("_back is null or _back <> _url").select(*scope, "id", F.when(F.col("_back") != F.col("alias"), F.col("_back")).alias("alias"))
+    away = checkpointed(away)
+    if seen.get["several"]:
+        return None
+    known, open_ = away.where("alias is null").select(*scope, "id"), away.where("alias is not null")
+    n = open_.count()
+    if not n:
+        return known
+    names = attrs.where("observed").select(*scope, F.col("url").alias("alias"))
+    names = sieve.sieved(names, open_, ["alias"]) if n < sieve.MOST_KEYS else names
+    return known.unionByName(open_.join(names, [*scope, "alias"], "left_semi").select(*scope, "id"))
 
 
 def _wide(rows: DataFrame, scope: list[str], flags: tuple[str, ...]) -> DataFrame:
@@ -297,7 +328,13 @@ def _wide(rows: DataFrame, scope: list[str], flags: tuple[str, ...]) -> DataFram
 
 def marks(records: DataFrame, scope: list[str], flags: tuple[str, ...] | list[str] = FLAGS) -> DataFrame:
     """(scope, id, flag) of every one of `flags` that a record has, some more than once."""
-    base = resolved(records, scope, flags)
+    attrs = parts = None
+    if len(flags) == 1 and flags[0] in _WAYS:
+        attrs, (kind, other) = attributes(records, scope, True), _WAYS[flags[0]]
+        parts = sorted_out(attrs, [kind, other])
+        if parts[1] is None and (rows := one_way(attrs, scope, kind, other)) is not None:
+            return rows.withColumn("flag", F.lit(flags[0]))
+    base = resolved(records, scope, flags, attrs, parts)
     return reduce(DataFrame.unionByName, [*canonical_marks(base, scope, flags), *relation_marks(base, scope, flags)])
 
 

@@ -60,3 +60,18 @@ def test_amp_pages_are_told_by_their_canonical_without_lists_of_names(spark, mon
         assert sorted(r["id"] for r in audit.view(shop.withColumn("canonical", odd), "AmpNonReciprocal").collect()) == [1, 3, 5]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("kind, other, view", [("next", "prev", "PaginationNextNonReciprocal"), ("prev", "next", "PaginationPrevNonReciprocal")])
+def test_one_join_tells_whether_a_target_leads_back(spark, monkeypatch, kind, other, view):
+    made, index = [], references.alias_index
+    monkeypatch.setattr(references, "alias_index", lambda *a: made.append(1) or index(*a))
+    u = lambda i: i and f"https://s.test/p/{i}"
+    forth, back = {1: 2, 3: 4, 6: 7, 8: 9, 10: 11, 12: 13, 14: 14, 15: 98}, {2: 1, 4: 5, 7: 99, 11: 11}
+    rows = [(1, i, 404 if i == 13 else 200, u(i), u(forth.get(i)), u(back.get(i))) for i in range(1, 16)]
+    at = lambda rows: conformed(spark.createDataFrame(rows, f"crawl_id int, id long, status_code int, url string, rel_{kind} string, rel_{other} string").selectExpr("*", "url final_url", "'text/html' content_type"), ("crawl_id",))
+    assert sorted(r["id"] for r in audit.view(at([*rows, *rows[:2]]), view).collect()) == [3, 8, 10]
+    assert not made
+    # Another record of an address: the way back leads to the first.
+    assert sorted(r["id"] for r in audit.view(at([*rows, (1, 20, 200, u(1), u(2), None)]), view).collect()) == [3, 8, 10, 20]
+    assert made
